@@ -9,6 +9,7 @@ holds it, which a segment tree over the remaining capacities finds in log2(windo
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,15 +26,19 @@ from .common import table
 
 #: Texts are tokenized in slices of about so many bytes, and so many words are remembered.
 SLICE_BYTES = 8_000_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
+LETTER_STOP = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,])"
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 class WordTokenizer:
     """Token ids of whole texts through a cache of words.
 
-    For tokenizers that drop white space and never join characters across it: a text's ids
-    are then its words' ids one after another, and most words have been seen before. Texts
-    that spell a special token go to the tokenizer whole.
+    For tokenizers that lower-case, drop white space and part letters from punctuation, and
+    never join characters across these: a text's ids are then its words' ids one after
+    another, and most words have been seen before. Only ASCII capitals are folded and only
+    Latin letters parted from stops and commas here; all else is left to the tokenizer. Texts
+    that spell a special token, in any case, go to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -43,21 +48,41 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, tuple[int, ...]] = {"": ()}
-
-    def _look_up(self, words: list[str]) -> list[tuple[int, ...]]:
-        if new := [w for w in words if w not in self.words]:
+        self.specials = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Each run of letters ends in one token of this kind, if the vocabulary marks word ends.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
+        self.words: dict[str, list[int]] = {"": []}
+
+    def _add(self, new: list[str]) -> None:
+        """Plain words go to the tokenizer as one text, which is parted at the word ends again."""
+        plain = [w for w in new if PLAIN.fullmatch(w)]
+        ids = self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids
+        ends = (np.flatnonzero(self.ends[np.array(ids, int)]) + 1).tolist()
+        if len(ends) == len(plain):
+            for w, a, b in zip(plain, [0, *ends], ends):
+                self.words[w] = ids[a:b]
+            new = [w for w in new if w not in self.words]
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.words[w] = e.ids
+
+    def _look_up(self, words: list[str]) -> list[list[int]]:
+        known = list(map(self.words.get, words))
+        if new := [w for w, ids in zip(words, known) if ids is None]:
             if len(self.words) + len(new) > CACHED_WORDS:
-                self.words = {"": ()}
-                new = [w for w in words if w]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.words[w] = tuple(e.ids)
-        return [self.words[w] for w in words]
+                self.words = {"": []}
+                new = words
+            self._add(new)
+            known = [self.words[w] for w in words]
+        return known
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids start (and the last ones end)."""
-        split = pc.ascii_split_whitespace(texts)
+        lower = pc.ascii_lower(texts)
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, LETTER_STOP, r"\1 \2"))
         coded = split.flatten().dictionary_encode()
         ids = self._look_up(coded.dictionary.to_pylist())
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -69,7 +94,7 @@ class WordTokenizer:
         total = int(ends[-1]) if len(ends) else 0
         out = flat[np.repeat(starts[word] - ends + n, n) + np.arange(total)]
         bounds = np.concatenate(([0], ends))[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        marked = [i for s in self.specials for i in np.flatnonzero(pc.match_substring(texts, s).to_numpy(zero_copy_only=False))]
+        marked = [i for s in self.specials for i in np.flatnonzero(pc.match_substring(lower, s).to_numpy(zero_copy_only=False))]
         if marked:
             parts = [out[a:b] for a, b in zip(bounds, bounds[1:])]
             for i in set(marked):
@@ -104,7 +129,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, with_ids:
             texts = whole.column(1).cast(pa.large_string())
             sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else np.zeros(0, int)
             for a, b in slices(sizes, SLICE_BYTES):
-                ids, bounds = encoder.encode(texts[a:b].cast(pa.string()))
+                ids, bounds = encoder.encode(texts.take(pa.array(range(a, b))).cast(pa.string()))
                 rows: list[list] = [[], [], [], [], [], []]
                 for k, doc in enumerate(whole.column(0)[a:b]):
                     own = np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id)).astype("<u4")

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op8_packing
 from .sharding import op10_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_packing": op8_packing,
     "op10_sharding": op10_sharding,
 }
 
