@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Texts are tokenized in slices of about so many bytes, and so many words are remembered.
-SLICE_BYTES = 8_000_000
-CACHED_WORDS = 500_000
+SLICE_BYTES = 16_000_000
+CACHED_WORDS = 900_000
 LETTER_STOP = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,])"
-PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+PLAIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 
 class WordTokenizer:
