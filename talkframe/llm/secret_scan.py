@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,14 +141,19 @@ def scan(docs: DataFrame, min_log10: float = 12.0, text: str = "text", key: str
     ignored.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            found = [[{"kind": k, "start": a, "end": b} for k, a, b in find_secrets(t, min_log10)] for t in rows["_text"]]
-            yield pd.DataFrame({key: rows[key], "secrets": found})
+            found = [
+                [{"kind": k, "start": a, "end": b} for k, a, b in find_secrets(t.as_py(), min_log10)]
+                for t in rows.column("_text")
+            ]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, pa.list_(span))], [key, "secrets"])
 
     kind = dict(docs.dtypes)[key]
     schema = f"`{key}` {kind}, secrets array<struct<kind:string,start:long,end:long>>"
-    return docs.select(key, F.col(text).alias("_text")).mapInPandas(run, schema)
+    return docs.select(key, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", min_log10: float = 12.0, text: str = "text") -> DataFrame:
@@ -171,14 +177,16 @@ def redact(docs: DataFrame, mask: str = "[secret]", min_log10: float = 12.0, tex
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
     """Counts and digests of the spans in every document."""
     found = scan(table(spark, sf_dir, "documents"))
-    kinds = {k: F.filter("secrets", lambda s, k=k: s["kind"] == k) for k in KINDS[:3]}
+
+    def of_kind(kind: str):
+        return F.filter("secrets", lambda s: s["kind"] == kind)
 
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     return found.select(
         "doc_id",
-        *(F.size(s).cast("long").alias(f"n_{k}") for k, s in kinds.items()),
+        *(F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]),
         F.sha2(joined(F.filter("secrets", lambda s: s["kind"] != KINDS[3])), 256).alias("base_sha256"),
         joined(F.col("secrets")).alias("spans"),
     )
