@@ -10,12 +10,14 @@ from .lang_id import op2_language_id
 from .packing import op8_packing
 from .secret_scan import op7_secret_scan
 from .sharding import op10_sharding
+from .simhash import op3_simhash
 from .toxicity import op9_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
+    "op3_simhash": op3_simhash,
     "op7_secret_scan": op7_secret_scan,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, with_columns
+from .common import checkpointed, table, with_columns
 from .lang_id import remainder
 
 #: Labelled texts of each class, about, that the lexicon and the regression are fitted on.
@@ -217,12 +217,13 @@ def _terms_of(text: str) -> set[tuple[str, int]]:
     return out
 
 
-def _sample(train: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
-    share = {r[0]: min(1.0, per_class / r[1]) for r in train.groupBy(label).count().collect()}
+def _sample(labels: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
+    """About ``per_class`` rows of each class, by a hash of the key."""
+    share = {r[0]: min(1.0, per_class / r[1]) for r in labels.groupBy(label).count().collect()}
     if not share:
-        return train
+        return labels
     rate = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col(label)]
-    return train.where(F.pmod(F.xxhash64(F.lit(11), key), F.lit(1 << 20)) < rate * (1 << 20))
+    return labels.where(F.pmod(F.xxhash64(F.lit(11), key), F.lit(1 << 20)) < rate * (1 << 20))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
@@ -239,16 +240,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
     return w.tolist()
 
 
-def fit(train: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = TRAIN_PER_CLASS) -> Model:
-    """Lexicon and regression from labelled rows: about ``per_class`` texts of each class.
+def fit(
+    docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = TRAIN_PER_CLASS
+) -> Model:
+    """Lexicon and regression from about ``per_class`` labelled texts of each class.
+
+    The sample is drawn from the labels and, being bounded, broadcast to the documents. A key
+    with several labels counts as toxic if one of them says so.
 
     One half of the sample, by a hash of the key, gives the lexicon and the other the
     regression, so that terms which are frequent by chance get no trust. Terms are counted
     where the texts are; the driver gets at most ``MAX_TERMS`` terms and the sample's features.
     """
-    labelled = train.where(F.col(text).isNotNull() & F.col(label).isin(0, 1))
-    sample = _sample(labelled.select(key, text, label), label, key, per_class)
-    rows = sample.select(F.col(text).alias("_text"), F.col(label).cast("int").alias("_label"), F.pmod(F.xxhash64(F.lit(12), key), F.lit(2)).alias("_half"))
+    one = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
+    sample = F.broadcast(_sample(one, "_label", key, per_class))
+    half = F.pmod(F.xxhash64(F.lit(12), key), F.lit(2))
+    rows = checkpointed(docs.where(F.col(text).isNotNull()).select(key, text).join(sample, key).select(F.col(text).alias("_text"), "_label", half.alias("_half")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int, int]] = set()
@@ -321,6 +328,5 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learned from four fifths of the labelled ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
-    labels = table(spark, sf_dir, "labels").where(~held_out & F.col("toxic").isNotNull())
-    train = docs.join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
-    return score(docs, fit(train)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    return score(docs, fit(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
