@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op5_decontamination
 from .lang_id import op2_language_id
+from .line_dedup import op6_line_dedup
 from .packing import op8_packing
 from .secret_scan import op7_secret_scan
 from .sharding import op10_sharding
@@ -18,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
     "op3_simhash": op3_simhash,
+    "op5_decontamination": op5_decontamination,
+    "op6_line_dedup": op6_line_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
