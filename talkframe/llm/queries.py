@@ -13,6 +13,7 @@ from .packing import op8_packing
 from .secret_scan import op7_secret_scan
 from .sharding import op10_sharding
 from .simhash import op3_simhash
+from .topk import OP4_SQL, op4_topk
 from .toxicity import op9_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
     "op3_simhash": op3_simhash,
+    "op4_topk": op4_topk,
     "op5_decontamination": op5_decontamination,
     "op6_line_dedup": op6_line_dedup,
     "op7_secret_scan": op7_secret_scan,
@@ -28,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_topk": OP4_SQL}
