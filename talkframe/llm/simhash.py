@@ -18,14 +18,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, table, text_or_empty, with_columns
+from .common import checkpointed, table, text_or_empty
 from .golay import keys as golay_keys
 from .graph import components
+from .tokens import U, mix, sized, word_hashes
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # first bit, bits
 SEED = 42
@@ -208,6 +210,186 @@ def fingerprint_components(docs: DataFrame, size: int = 3, radius: int = 2, text
     return fps.join(own, "fp").select(key, "fp", "component_id")
 
 
+#: Differing bits of the words' fingerprints up to which a pair is verified.
+WORD_RADIUS = 14
+#: Keys that are broadcast at most; more are joined by an exchange.
+MOST_KEYS = 1_000_000
+
+
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of some texts, and where each text's words start (and the last ones end).
+
+    Words are runs of letters, digits and characters outside ASCII, in lower case.
+    """
+    encoded = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    raw = np.frombuffer(b"\n".join([*encoded, b""]), np.uint8)
+    inside = ((raw >= 48) & (raw <= 57)) | ((raw >= 97) & (raw <= 122)) | (raw >= 128)
+    starts, _, hashes = word_hashes(raw, inside)
+    return hashes, np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in encoded)]))
+
+
+def _classify(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text a hash of its sequence of words, and the SimHash of its distinct words."""
+    words, bounds = _words(texts)
+    n = np.diff(bounds)
+    of = np.repeat(np.arange(len(texts)), n)
+    place = (np.arange(len(words)) - bounds[:-1][of]).astype(np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(words + place * U(0xD1B54A32D192ED03)))))
+    node = mix(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64))
+    distinct = np.sort(np.unique(mix(words ^ mix(of.astype(np.uint64))), return_index=True)[1])
+    bits = np.unpackbits(words[distinct].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    n = np.bincount(of[distinct], minlength=len(texts))
+    # A text without words borrows the row of zeros at the end.
+    counts = np.add.reduceat(np.concatenate((bits, np.zeros((1, 64), np.uint8))), np.cumsum(n) - n, axis=0, dtype=np.int64)
+    fp = np.packbits((2 * counts > n[:, None]) & (n > 0)[:, None], axis=1).view(">u8").ravel()
+    return node.view(np.int64), fp.astype(np.uint64).view(np.int64)
+
+
+def shingle_similarity(a: str, b: str, size: int = 5) -> float:
+    """Jaccard similarity of the sets of word shingles; fewer words are one shingle; 1 if both have none."""
+    sets = []
+    for t in (a, b):
+        words, _ = _words([t])
+        n = min(size, len(words))
+        out = np.zeros(len(words) - n + 1 if n else 0, np.uint64)
+        for k in range(n):
+            out = mix(out * U(0x9E3779B97F4A7C15) + words[k : k + len(out)])
+        sets.append(np.unique(out))
+    shared = len(np.intersect1d(*sets, assume_unique=True))
+    union = len(sets[0]) + len(sets[1]) - shared
+    return shared / union if union else 1.0
+
+
+def _pairs(nodes: DataFrame, parts: bool, most: int) -> DataFrame:
+    """Pairs (a, b, bits) of ``nodes`` (node, fp, root) that meet under a key, of different roots.
+
+    Without ``parts`` each node is given the first one it may be linked to in each key's group,
+    which costs a row a member; groups of over ``most`` are taken in parts that do not meet.
+    With ``parts`` all pairs are given, and such groups' parts meet each other too.
+    """
+
+    def near(x: dict, y: dict | None, first: bool) -> pa.RecordBatch:
+        z = x if y is None else y
+        bits = np.bitwise_count(x["fp"].view(np.uint64)[:, None] ^ z["fp"].view(np.uint64)[None, :])
+        link = (bits <= WORD_RADIUS) & (x["root"][:, None] != z["root"][None, :])
+        if y is None:
+            link = np.tril(link, -1)
+        if first:
+            i = np.flatnonzero(link.any(axis=1))
+            j = link[i].argmax(axis=1)
+        else:
+            i, j = np.nonzero(link)
+        a, b = x["node"][i], z["node"][j]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(bits[i, j].astype(np.int32))], ["a", "b", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, partial in _groups(batches, most):
+            order = np.argsort(rows["node"])
+            if not (partial and parts):
+                yield near({k: v[order] for k, v in rows.items()}, None, not parts)
+
+    def crowd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, partial in _groups(batches, most):
+            if partial:
+                yield pa.RecordBatch.from_arrays([pa.array(rows[c]) for c in ("key", "fp", "node", "root")], ["key", "fp", "node", "root"])
+
+    keyed = _keyed(nodes, _fuzzy_keys, ["node", "root"])
+    met = keyed.repartition("key").sortWithinPartitions("key")
+    out = met.mapInArrow(run, "a long, b long, bits int")
+    if parts:
+        crowded = checkpointed(met.mapInArrow(crowd, "key long, fp long, node long, root long"))
+        sizes = crowded.groupBy("key").count().select("key", F.ceil(F.col("count") / (most // 2)).cast("int").alias("n"))
+        dealt = crowded.join(sizes, "key").withColumn("p", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+        others = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+        dealt = dealt.select("*", others.alias("q")).select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "fp", "node", "root")
+
+        def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            x, y = ({c: rows.loc[rows["p"] == v, c].to_numpy() for c in ("fp", "node", "root")} for v in key[1:])
+            return near(x, None if key[1] == key[2] else y, False).to_pandas()
+
+        out = out.unionAll(dealt.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long, bits int"))
+    return out.distinct()
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, similarity: float, text: str, key: str) -> DataFrame:
+    """The pairs (a, b) whose texts are similar enough; ``reps`` has node and the key of a text with it."""
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct().join(reps, "node")
+    wanted = checkpointed(wanted.select("node", F.col("rep").alias(key)))
+    few = wanted.count() <= MOST_KEYS
+    texts = docs.select(key, text_or_empty(text).alias("text")).join(F.broadcast(wanted) if few else wanted, key)
+    texts = checkpointed(texts.select("node", "text").dropDuplicates(["node"]))
+
+    @F.pandas_udf("double")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([shingle_similarity(x, y, size) for x, y in zip(a, b)], dtype=float)
+
+    a, b = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    both = pairs.select("a", "b").join(a, "a").join(b, "b")
+    return checkpointed(both.select("a", "b", similar("text_a", "text_b").alias("s")).where(F.col("s") >= similarity - 1e-12).select("a", "b"))
+
+
+def near_duplicates(
+    docs: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id", most: int = 512
+) -> DataFrame:
+    """The key and group_id, the smallest key of its group, of every row with a non-null key.
+
+    Texts with the same words are one node, so exact copies never meet. Every node is first
+    verified against one candidate, which joins most of each group; then all candidate pairs
+    whose nodes are still in different groups are verified. A pair that is inside a group
+    needs no verification, so a large group of near copies costs about a row a member.
+
+    Verification is exact; candidates are found by fingerprints, so a pair at the threshold may
+    be missed unless other links join it (see the README for measured recall). Null and empty
+    texts have no words and are one group. Rows repeated under one key share a group through
+    either's text. Null keys give no row. Other columns are ignored.
+    """
+
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for at, to in sized(texts):
+                node, fp = _classify(texts[at:to])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(node), pa.array(fp)], [key, "node", "fp"])
+
+    kind = dict(docs.dtypes)[key]
+    source = docs.where(F.col(key).isNotNull()).select(key, text_or_empty(text).alias("_text"))
+    classes = checkpointed(source.mapInArrow(classify, f"`{key}` {kind}, node long, fp long"))
+    nodes = checkpointed(classes.groupBy("node").agg(F.min(key).alias("rep"), F.min("fp").alias("fp")))
+    reps = nodes.select("node", "rep")
+
+    alone = nodes.select("node", "fp", F.col("node").alias("root"))
+    closest = _pairs(alone, False, most).groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b")
+    tried = checkpointed(closest)
+    links = _verified(tried, reps, docs, size, similarity, text, key)
+    roots = components(links)
+    grouped = checkpointed(nodes.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")))
+    rest = checkpointed(_pairs(grouped, True, most).join(tried, ["a", "b"], "left_anti"))
+    more = _verified(rest, reps, docs, size, similarity, text, key)
+    roots = components(links.unionAll(more))
+    linked = checkpointed(reps.join(roots, "node"))
+    least = linked.groupBy("root").agg(F.min("rep").alias("group_id"))
+    named = linked.join(least, "root").select("node", "group_id")
+    own = reps.join(named, "node", "left").select("node", F.coalesce("group_id", "rep").alias("group_id"))
+    return classes.join(own, "node").select(key, "group_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """``docs`` without all but the document of the smallest key of each group of near-duplicates.
+
+    Rows with a null key stay; of rows repeated under the key that stays, one is kept.
+    """
+    groups = checkpointed(near_duplicates(docs, text=text, key=key, **options))
+    gone = groups.groupBy(key).agg(F.min("group_id").alias("g"), F.count("*").alias("n"))
+    gone = checkpointed(gone.where((F.col("g") < F.col(key)) | (F.col("n") > 1)))
+    few = gone.count() <= MOST_KEYS
+    again = gone.where(F.col("g") == F.col(key)).select(key)
+    hint = F.broadcast if few else (lambda df: df)
+    kept = docs.join(hint(gone.select(key)), key, "left_anti")
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    return kept.unionByName(docs.join(hint(again), key, "left_semi").dropDuplicates([key])).select(docs.columns)
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = fingerprint_components(table(spark, sf_dir, "documents"))
