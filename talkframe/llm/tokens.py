@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 NUMBER = np.uint64(0x5851F42D4C957F2D)  # stands for every word with a digit
 U = np.uint64
 
