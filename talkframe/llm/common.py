@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Texts that an executor's JVM and Python hold at once, twice each.
+TEXTS_AT_ONCE = 1000
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are short enough for rows of whole texts."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH)) <= TEXTS_AT_ONCE:
+        conf.set(BATCH, TEXTS_AT_ONCE)
+    return df
+
+
+@contextmanager
+def long_batches(df: DataFrame, rows: int = 20_000) -> Iterator[None]:
+    """Long Arrow batches, for narrow rows, while jobs inside the block run."""
+    conf = df.sparkSession.conf
+    before = conf.get(BATCH)
+    conf.set(BATCH, rows)
+    try:
+        yield
+    finally:
+        conf.set(BATCH, before)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

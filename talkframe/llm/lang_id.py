@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, with_columns
+from .common import lean, table, with_columns
 
 DIMENSIONS, NGRAM, SEED = 1024, 3, 7
 #: Training texts a language, about: the bound of the sample that the prototypes are fitted on.
@@ -131,7 +131,7 @@ def fit_prototypes(
         for name, v in sums.items():
             yield pd.DataFrame({"lang": name, "at": np.arange(dimensions), "value": v})
 
-    parts = chosen.select(F.col(lang).alias("_lang"), F.col(text).alias("_text")).mapInPandas(bundle, "lang string, at int, value double")
+    parts = lean(chosen).select(F.col(lang).alias("_lang"), F.col(text).alias("_text")).mapInPandas(bundle, "lang string, at int, value double")
     out = {name: np.zeros(dimensions) for name in share}
     for r in parts.groupBy("lang", "at").agg(F.sum("value").alias("value")).collect():
         out[r["lang"]][r["at"]] = r["value"]
@@ -164,6 +164,7 @@ def identify(
             scores += np.where(ok, cosines[np.arange(len(best)), best].clip(0, 1), 0.0).tolist()
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
+    docs = lean(docs)
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     judged = docs.select(*kept, judge(F.col(text)).alias("_judged"))
     return with_columns(judged, lang_pred=F.col("_judged.lang_pred"), score=F.col("_judged.score")).drop("_judged")

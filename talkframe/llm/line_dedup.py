@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, lean, table
 from .tokens import NUMBER, U, lower_ascii, mix, sized, word_hashes
 
 DEPTH = 3  # leading words
@@ -123,7 +123,7 @@ def templates(lines: pd.DataFrame, similarity: float) -> np.ndarray:
 
 def recurring(docs: DataFrame, min_docs: int, min_words: int, similarity: float, text: str, key: str) -> DataFrame:
     """line (hash) and first_doc of every line of a recurring template."""
-    source = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("binary").alias("_text"))
+    source = lean(docs).select(F.col(key).cast("long").alias("_key"), F.col(text).cast("binary").alias("_text"))
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,7 +237,7 @@ def _rewrite(docs: DataFrame, blocks: list, min_words: int, text: str, key: str)
 
     names = [*docs.columns, "_kept"]
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", _kept struct<text:string,lines:long,dropped:long,bytes:long>"
-    return docs.select(*docs.columns, F.col(text).cast("binary").alias("_raw"), F.col(key).cast("long").alias("_key")).mapInArrow(run, schema)
+    return lean(docs).select(*docs.columns, F.col(text).cast("binary").alias("_raw"), F.col(key).cast("long").alias("_key")).mapInArrow(run, schema)
 
 
 def drop_recurring_lines(

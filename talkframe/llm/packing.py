@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 #: Texts are tokenized in slices of about so many bytes, and so many words are remembered.
 SLICE_BYTES = 8_000_000
@@ -146,7 +146,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, with_ids:
     names = [key, "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
     kind = dict(docs.dtypes)[key]
     schema = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
-    return docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(cut, schema)
+    return lean(docs).select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(cut, schema)
 
 
 class Windows:

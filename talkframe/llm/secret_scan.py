@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -153,7 +153,7 @@ def scan(docs: DataFrame, min_log10: float = 12.0, text: str = "text", key: str
 
     kind = dict(docs.dtypes)[key]
     schema = f"`{key}` {kind}, secrets array<struct<kind:string,start:long,end:long>>"
-    return docs.select(key, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return lean(docs).select(key, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", min_log10: float = 12.0, text: str = "text") -> DataFrame:
@@ -171,7 +171,7 @@ def redact(docs: DataFrame, mask: str = "[secret]", min_log10: float = 12.0, tex
                 out.append(t if t is None else "".join(parts) + t[at:])
             yield rows.assign(**{text: out})
 
-    return docs.mapInPandas(run, docs.schema)
+    return lean(docs).mapInPandas(run, docs.schema)
 
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, text_or_empty
+from .common import checkpointed, lean, long_batches, table, text_or_empty
 from .golay import keys as golay_keys
 from .graph import components
 from .tokens import U, mix, sized, word_hashes
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, size: int = 3, text: str = "text", key: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], [key, "fp"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text_or_empty(text).cast("binary").alias("_text")).mapInArrow(run, f"`{key}` {kind}, fp long")
+    return lean(docs).select(key, text_or_empty(text).cast("binary").alias("_text")).mapInArrow(run, f"`{key}` {kind}, fp long")
 
 
 def _segments(fps: np.ndarray) -> list[np.ndarray]:
@@ -185,7 +185,8 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, most: int = 1024) -> Data
 
     keyed = _keyed(fps.select("fp"), _exact_keys, [])
     met = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, crowded boolean").distinct()
-    met = checkpointed(met)
+    with long_batches(fps):
+        met = checkpointed(met)
     balls = met.where("crowded").select(F.col("a").alias("fp"), F.explode(F.array(F.lit(0).cast("long"), *(F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)))).alias("bit"))
     shared = balls.groupBy(F.col("fp").bitwiseXOR(F.col("bit")).alias("word")).agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)
     stars = shared.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b").distinct()
@@ -245,70 +246,124 @@ def _classify(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return node.view(np.int64), fp.astype(np.uint64).view(np.int64)
 
 
+def _shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's word shingles; fewer words are one shingle."""
+    words, bounds = _words(texts)
+    n = max(0, len(words) - size + 1)
+    whole = np.zeros(n, np.uint64)
+    for k in range(size):
+        whole = mix(whole * U(0x9E3779B97F4A7C15) + words[k : k + n])
+    out = []
+    for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+        if b - a >= size:
+            out.append(np.unique(whole[a : b - size + 1]))
+            continue
+        short = np.zeros(min(1, b - a), np.uint64)
+        for w in words[a:b]:
+            short = mix(short * U(0x9E3779B97F4A7C15) + w)
+        out.append(short)
+    return out
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = np.sort(np.concatenate((a, b)))
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared) if len(both) else 1.0
+
+
 def shingle_similarity(a: str, b: str, size: int = 5) -> float:
-    """Jaccard similarity of the sets of word shingles; fewer words are one shingle; 1 if both have none."""
-    sets = []
-    for t in (a, b):
-        words, _ = _words([t])
-        n = min(size, len(words))
-        out = np.zeros(len(words) - n + 1 if n else 0, np.uint64)
-        for k in range(n):
-            out = mix(out * U(0x9E3779B97F4A7C15) + words[k : k + len(out)])
-        sets.append(np.unique(out))
-    shared = len(np.intersect1d(*sets, assume_unique=True))
-    union = len(sets[0]) + len(sets[1]) - shared
-    return shared / union if union else 1.0
-
-
-def _pairs(nodes: DataFrame, parts: bool, most: int) -> DataFrame:
-    """Pairs (a, b, bits) of ``nodes`` (node, fp, root) that meet under a key, of different roots.
-
-    Without ``parts`` each node is given the first one it may be linked to in each key's group,
-    which costs a row a member; groups of over ``most`` are taken in parts that do not meet.
-    With ``parts`` all pairs are given, and such groups' parts meet each other too.
-    """
+    """Jaccard similarity of the sets of word shingles; 1 if both texts have no word."""
+    return _jaccard(*_shingle_sets([a, b], size))
 
-    def near(x: dict, y: dict | None, first: bool) -> pa.RecordBatch:
-        z = x if y is None else y
-        bits = np.bitwise_count(x["fp"].view(np.uint64)[:, None] ^ z["fp"].view(np.uint64)[None, :])
-        link = (bits <= WORD_RADIUS) & (x["root"][:, None] != z["root"][None, :])
-        if y is None:
-            link = np.tril(link, -1)
-        if first:
-            i = np.flatnonzero(link.any(axis=1))
-            j = link[i].argmax(axis=1)
-        else:
-            i, j = np.nonzero(link)
-        a, b = x["node"][i], z["node"][j]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(bits[i, j].astype(np.int32))], ["a", "b", "bits"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, partial in _groups(batches, most):
-            order = np.argsort(rows["node"])
-            if not (partial and parts):
-                yield near({k: v[order] for k, v in rows.items()}, None, not parts)
+def _runs(batches: Iterator[pa.RecordBatch], longest: int = 1_000_000) -> Iterator[tuple[dict[str, np.ndarray], int | None]]:
+    """Columns of rows sorted by key, in pieces that end with a key's last row; and a key that was cut.
 
-    def crowd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, partial in _groups(batches, most):
-            if partial:
-                yield pa.RecordBatch.from_arrays([pa.array(rows[c]) for c in ("key", "fp", "node", "root")], ["key", "fp", "node", "root"])
+    A key of more than ``longest`` rows is given in pieces.
+    """
+    held: list[dict[str, np.ndarray]] = []
+    broken = None
+    for b in batches:
+        if sum(len(h["key"]) for h in held) > longest:
+            broken = int(held[0]["key"][-1])
+            yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}, broken
+            held = []
+        rows = {n: b.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(b.schema.names)}
+        cut = int(np.searchsorted(rows["key"], rows["key"][-1]))
+        if held and (cut or rows["key"][0] != held[0]["key"][-1]):
+            head = [*held, {n: v[:cut] for n, v in rows.items()}]
+            yield {n: np.concatenate([h[n] for h in head]) for n in rows}, broken
+            held = []
+        elif cut:
+            yield {n: v[:cut] for n, v in rows.items()}, broken
+        held.append({n: v[cut:] for n, v in rows.items()})
+    if held:
+        yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}, broken
+
+
+def _candidates(nodes: DataFrame, most: int) -> DataFrame:
+    """Pairs a < b of nodes (node, fp) that meet under a key, with the bits in which they differ.
+
+    Members of a key are compared at all distances in the order of their nodes, for all keys
+    of a batch at once. A key with over ``most`` members gives each member only the nearest of
+    the ``most`` before it, and its members besides, as rows with bits -1: (key, node, fp).
+    """
 
-    keyed = _keyed(nodes, _fuzzy_keys, ["node", "root"])
-    met = keyed.repartition("key").sortWithinPartitions("key")
-    out = met.mapInArrow(run, "a long, b long, bits int")
-    if parts:
-        crowded = checkpointed(met.mapInArrow(crowd, "key long, fp long, node long, root long"))
-        sizes = crowded.groupBy("key").count().select("key", F.ceil(F.col("count") / (most // 2)).cast("int").alias("n"))
-        dealt = crowded.join(sizes, "key").withColumn("p", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-        others = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-        dealt = dealt.select("*", others.alias("q")).select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "fp", "node", "root")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, broken in _runs(batches):
+            key, fp, node = rows["key"], rows["fp"].view(np.uint64), rows["node"]
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            sizes = np.diff(np.concatenate((starts, [len(key)])))
+            crowded = np.repeat(sizes > most, sizes)
+            if broken is not None:
+                crowded |= key == broken
+            at, found = np.flatnonzero(np.repeat(sizes > 1, sizes)), []
+            best, partner = np.full(len(key), 99), np.zeros(len(key), np.int64)
+            for distance in range(1, most):
+                at = at[at + distance < len(key)]
+                at = at[key[at] == key[at + distance]]
+                if not len(at):
+                    break
+                bits = np.bitwise_count(fp[at] ^ fp[at + distance])
+                near, few = bits <= WORD_RADIUS, ~crowded[at]
+                take = near & few
+                found.append((at[take], at[take] + distance, bits[take]))
+                late = at[near & ~few] + distance
+                closer = bits[near & ~few] < best[late]
+                best[late[closer]], partner[late[closer]] = bits[near & ~few][closer], late[closer] - distance
+            lone = np.flatnonzero(best < 99)
+            found.append((partner[lone], lone, best[lone]))
+            i, j, bits = (np.concatenate(c).astype(np.int64) for c in zip(*found))
+            member = np.flatnonzero(crowded)
+            columns = (
+                (np.zeros(len(i), np.int64), key[member]), (np.minimum(node[i], node[j]), node[member]),
+                (np.maximum(node[i], node[j]), fp[member].view(np.int64)), (bits, np.full(len(member), -1)),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], ["key", "a", "b", "bits"])
+
+    keyed = _keyed(nodes, _fuzzy_keys, ["node"]).repartition("key").sortWithinPartitions("key", "node")
+    return keyed.mapInArrow(run, "key long, a long, b long, bits long").distinct()
+
+
+def _crowded_pairs(members: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b) of crowded keys' members (key, node, fp) whose roots differ, all of them.
+
+    Members are dealt into parts of about ``most``, and parts meet in twos, in tasks of their own.
+    """
+    sizes = members.groupBy("key").count().select("key", F.ceil(F.col("count") / most).cast("int").alias("n"))
+    named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    dealt = named.join(sizes, "key").withColumn("p", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("q"))
+    dealt = dealt.select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "fp", "node", "root")
 
-        def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            x, y = ({c: rows.loc[rows["p"] == v, c].to_numpy() for c in ("fp", "node", "root")} for v in key[1:])
-            return near(x, None if key[1] == key[2] else y, False).to_pandas()
+    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = ({c: rows.loc[rows["p"] == v, c].to_numpy() for c in ("fp", "node", "root")} for v in key[1:])
+        link = np.bitwise_count(x["fp"].view(np.uint64)[:, None] ^ y["fp"].view(np.uint64)[None, :]) <= WORD_RADIUS
+        i, j = np.nonzero(link & (x["root"][:, None] != y["root"][None, :]))
+        a, b = x["node"][i], y["node"][j]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-        out = out.unionAll(dealt.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long, bits int"))
-    return out.distinct()
+    return dealt.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, similarity: float, text: str, key: str) -> DataFrame:
@@ -317,19 +372,27 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, sim
     wanted = checkpointed(wanted.select("node", F.col("rep").alias(key)))
     few = wanted.count() <= MOST_KEYS
     texts = docs.select(key, text_or_empty(text).alias("text")).join(F.broadcast(wanted) if few else wanted, key)
-    texts = checkpointed(texts.select("node", "text").dropDuplicates(["node"]))
+    texts = texts.select("node", "text").dropDuplicates(["node"])
 
     @F.pandas_udf("double")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([shingle_similarity(x, y, size) for x, y in zip(a, b)], dtype=float)
+        out: list[float] = []
+        for at in range(0, len(a), 256):
+            left, right = a[at : at + 256].tolist(), b[at : at + 256].tolist()
+            texts_ = list(dict.fromkeys(left + right))
+            sets = {}
+            for x, y in sized([t.encode("utf-8", "surrogatepass") for t in texts_]):
+                sets |= zip(texts_[x:y], _shingle_sets(texts_[x:y], size))
+            out += [_jaccard(sets[x], sets[y]) for x, y in zip(left, right)]
+        return pd.Series(out, dtype=float)
 
     a, b = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    both = pairs.select("a", "b").join(a, "a").join(b, "b")
+    both = pairs.select("a", "b").join(b, "b").join(a, "a")
     return checkpointed(both.select("a", "b", similar("text_a", "text_b").alias("s")).where(F.col("s") >= similarity - 1e-12).select("a", "b"))
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id", most: int = 512
+    docs: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id", most: int = 128
 ) -> DataFrame:
     """The key and group_id, the smallest key of its group, of every row with a non-null key.
 
@@ -352,19 +415,23 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(node), pa.array(fp)], [key, "node", "fp"])
 
     kind = dict(docs.dtypes)[key]
-    source = docs.where(F.col(key).isNotNull()).select(key, text_or_empty(text).alias("_text"))
+    source = lean(docs).where(F.col(key).isNotNull()).select(key, text_or_empty(text).alias("_text"))
     classes = checkpointed(source.mapInArrow(classify, f"`{key}` {kind}, node long, fp long"))
     nodes = checkpointed(classes.groupBy("node").agg(F.min(key).alias("rep"), F.min("fp").alias("fp")))
     reps = nodes.select("node", "rep")
 
-    alone = nodes.select("node", "fp", F.col("node").alias("root"))
-    closest = _pairs(alone, False, most).groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b")
-    tried = checkpointed(closest)
+    with long_batches(docs):
+        met = checkpointed(_candidates(nodes.select("fp", "node"), most))
+    pairs = met.where("bits >= 0").groupBy("a", "b").agg(F.min("bits").alias("bits"))
+    tried = checkpointed(pairs.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b"))
     links = _verified(tried, reps, docs, size, similarity, text, key)
     roots = components(links)
-    grouped = checkpointed(nodes.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")))
-    rest = checkpointed(_pairs(grouped, True, most).join(tried, ["a", "b"], "left_anti"))
-    more = _verified(rest, reps, docs, size, similarity, text, key)
+    rest = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("_ra")), "a", "left")
+    rest = rest.join(roots.select(F.col("node").alias("b"), F.col("root").alias("_rb")), "b", "left")
+    rest = rest.where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b")
+    members = met.where("bits < 0").select("key", F.col("a").alias("node"), F.col("b").alias("fp"))
+    rest = rest.unionAll(_crowded_pairs(members, roots, most)).distinct().join(tried, ["a", "b"], "left_anti")
+    more = _verified(checkpointed(rest), reps, docs, size, similarity, text, key)
     roots = components(links.unionAll(more))
     linked = checkpointed(reps.join(roots, "node"))
     least = linked.groupBy("root").agg(F.min("rep").alias("group_id"))

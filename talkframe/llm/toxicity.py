@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, with_columns
+from .common import checkpointed, lean, table, with_columns
 from .lang_id import remainder
 
 #: Labelled texts of each class, about, that the lexicon and the regression are fitted on.
@@ -319,6 +319,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             x = np.array([features(t, trie, memo) for t in texts.fillna("")]).reshape(len(texts), FEATURES)
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
 
+    docs = lean(docs)
     kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     scored = docs.select(*kept, judge(F.col(text)).alias("score"))
     return with_columns(scored, predicted=(F.col("score") >= 0.5).cast("int"))
