@@ -153,33 +153,35 @@ def edit_distance(a: list, b: list) -> int:
     return row[-1]
 
 
-@F.pandas_udf("double")
-def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    memo: dict[tuple, float | None] = {}
-    for pair in set(zip(a, b)):
-        memo[pair] = None if pair[0] is None or pair[1] is None else jaro_winkler_of(*pair)
-    return pd.Series([memo[p] for p in zip(a, b)], dtype=float)
-
-
-@F.pandas_udf("string")
-def _metaphone(a: pd.Series) -> pd.Series:
-    return a.map(lambda w: None if w is None else metaphone_of(w))
-
-
-@F.pandas_udf("int")
-def _word_edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else edit_distance(x.split(), y.split()) for x, y in zip(a, b)], dtype="Int32")
+def _each(a: pd.Series, b: pd.Series, f) -> list:
+    """``f`` of each pair, once for equal pairs of a batch; null if either side is."""
+    memo = {p: None if p[0] is None or p[1] is None else f(*p) for p in set(zip(a, b))}
+    return [memo[p] for p in zip(a, b)]
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
     """Jaro-Winkler similarity by code points; null if either is null."""
-    return _jaro_winkler(a, b)
+
+    @F.pandas_udf("double")
+    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(_each(x, y, jaro_winkler_of), dtype=float)
+
+    return similar(a, b)
 
 
 def metaphone(a: Column) -> Column:
-    return _metaphone(a)
+    @F.pandas_udf("string")
+    def code(x: pd.Series) -> pd.Series:
+        return x.map(lambda w: None if w is None else metaphone_of(w))
+
+    return code(a)
 
 
 def word_edits(a: Column, b: Column) -> Column:
     """Levenshtein distance of white-space words."""
-    return _word_edits(a, b)
+
+    @F.pandas_udf("int")
+    def edits(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(_each(x, y, lambda p, q: edit_distance(p.split(), q.split())), dtype="Int32")
+
+    return edits(a, b)
