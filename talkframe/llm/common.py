@@ -67,6 +67,20 @@ def bytes_of(name: str = "text") -> Column:
     return F.coalesce(F.octet_length(F.col(name)), F.lit(0)).cast("long")
 
 
+#: Keys that are broadcast at most; more are joined by an exchange.
+MOST_KEYS = 1_000_000
+
+
+def hinted(keys: DataFrame) -> DataFrame:
+    """``keys``, a table that is quick to read, to be broadcast if it is small."""
+    return F.broadcast(keys) if keys.count() <= MOST_KEYS else keys
+
+
+def without(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``docs`` but for those with one of the keys."""
+    return docs.join(hinted(checkpointed(keys.select(key))), key, "left_anti").select(docs.columns)
+
+
 def with_columns(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with these columns; a column of the same name, in any case, is replaced."""
     lower = {c.lower() for c in columns}

@@ -13,7 +13,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,7 +25,7 @@ from .common import lean, table
 
 #: Texts are tokenized in slices of about so many bytes, and so many words are remembered.
 SLICE_BYTES = 8_000_000
-CACHED_WORDS = 900_000
+CACHED_WORDS = 500_000
 LETTER_STOP = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,])"
 PLAIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
@@ -55,25 +54,26 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix:
             self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
-        self.words: dict[str, list[int]] = {"": []}
+        self.words: dict[str, bytes] = {"": b""}  # ids as unsigned 32-bit numbers
 
     def _add(self, new: list[str]) -> None:
         """Plain words go to the tokenizer as one text, which is parted at the word ends again."""
         plain = [w for w in new if PLAIN.fullmatch(w)]
-        ids = self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids
-        ends = (np.flatnonzero(self.ends[np.array(ids, int)]) + 1).tolist()
+        ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, np.uint32)
+        ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        packed = ids.tobytes()
         if len(ends) == len(plain):
             for w, a, b in zip(plain, [0, *ends], ends):
-                self.words[w] = ids[a:b]
+                self.words[w] = packed[a:b]
             new = [w for w in new if w not in self.words]
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[w] = e.ids
+            self.words[w] = np.array(e.ids, np.uint32).tobytes()
 
-    def _look_up(self, words: list[str]) -> list[list[int]]:
+    def _look_up(self, words: list[str]) -> list[bytes]:
         known = list(map(self.words.get, words))
         if new := [w for w, ids in zip(words, known) if ids is None]:
             if len(self.words) + len(new) > CACHED_WORDS:
-                self.words = {"": []}
+                self.words = {"": b""}
                 new = words
             self._add(new)
             known = [self.words[w] for w in words]
@@ -85,8 +85,8 @@ class WordTokenizer:
         split = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, LETTER_STOP, r"\1 \2"))
         coded = split.flatten().dictionary_encode()
         ids = self._look_up(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         starts = np.cumsum(lengths) - lengths
         word = coded.indices.to_numpy(zero_copy_only=False)
         n = lengths[word]

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lean, long_batches, table, text_or_empty
+from .common import checkpointed, hinted, lean, long_batches, table, text_or_empty, without
 from .golay import keys as golay_keys
 from .graph import components
 from .tokens import U, mix, sized, word_hashes
@@ -212,9 +212,9 @@ def fingerprint_components(docs: DataFrame, size: int = 3, radius: int = 2, text
 
 
 #: Differing bits of the words' fingerprints up to which a pair is verified.
-WORD_RADIUS = 14
-#: Keys that are broadcast at most; more are joined by an exchange.
-MOST_KEYS = 1_000_000
+WORD_RADIUS = 11
+#: Texts of a part of a crowd, about; a task compares two parts.
+PART = 256
 
 
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -302,11 +302,11 @@ def _runs(batches: Iterator[pa.RecordBatch], longest: int = 1_000_000) -> Iterat
 
 
 def _candidates(nodes: DataFrame, most: int) -> DataFrame:
-    """Pairs a < b of nodes (node, fp) that meet under a key, with the bits in which they differ.
+    """Pairs a < b of nodes (node, fp) that meet under a key and differ in few bits, as rows (0, a, b).
 
     Members of a key are compared at all distances in the order of their nodes, for all keys
-    of a batch at once. A key with over ``most`` members gives each member only the nearest of
-    the ``most`` before it, and its members besides, as rows with bits -1: (key, node, fp).
+    of a batch at once. A key with over ``most`` members gives its members instead, as rows
+    (1, key, node): what its pairs would be is settled in blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,62 +317,84 @@ def _candidates(nodes: DataFrame, most: int) -> DataFrame:
             crowded = np.repeat(sizes > most, sizes)
             if broken is not None:
                 crowded |= key == broken
-            at, found = np.flatnonzero(np.repeat(sizes > 1, sizes)), []
-            best, partner = np.full(len(key), 99), np.zeros(len(key), np.int64)
+            at, found = np.flatnonzero(np.repeat(sizes > 1, sizes) & ~crowded), [np.zeros((2, 0), np.int64)]
             for distance in range(1, most):
                 at = at[at + distance < len(key)]
                 at = at[key[at] == key[at + distance]]
                 if not len(at):
                     break
-                bits = np.bitwise_count(fp[at] ^ fp[at + distance])
-                near, few = bits <= WORD_RADIUS, ~crowded[at]
-                take = near & few
-                found.append((at[take], at[take] + distance, bits[take]))
-                late = at[near & ~few] + distance
-                closer = bits[near & ~few] < best[late]
-                best[late[closer]], partner[late[closer]] = bits[near & ~few][closer], late[closer] - distance
-            lone = np.flatnonzero(best < 99)
-            found.append((partner[lone], lone, best[lone]))
-            i, j, bits = (np.concatenate(c).astype(np.int64) for c in zip(*found))
+                near = at[np.bitwise_count(fp[at] ^ fp[at + distance]) <= WORD_RADIUS]
+                found.append(np.stack((near, near + distance)))
+            i, j = np.concatenate(found, axis=1)
             member = np.flatnonzero(crowded)
             columns = (
-                (np.zeros(len(i), np.int64), key[member]), (np.minimum(node[i], node[j]), node[member]),
-                (np.maximum(node[i], node[j]), fp[member].view(np.int64)), (bits, np.full(len(member), -1)),
+                (np.zeros(len(i), np.int64), np.ones(len(member), np.int64)),
+                (np.minimum(node[i], node[j]), key[member]), (np.maximum(node[i], node[j]), node[member]),
             )
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], ["key", "a", "b", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], ["crowded", "a", "b"])
 
     keyed = _keyed(nodes, _fuzzy_keys, ["node"]).repartition("key").sortWithinPartitions("key", "node")
-    return keyed.mapInArrow(run, "key long, a long, b long, bits long").distinct()
-
-
-def _crowded_pairs(members: DataFrame, roots: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) of crowded keys' members (key, node, fp) whose roots differ, all of them.
-
-    Members are dealt into parts of about ``most``, and parts meet in twos, in tasks of their own.
+    return keyed.mapInArrow(run, "crowded long, a long, b long").distinct()
+
+
+def _block_links(texts: list[str], fps: np.ndarray, size: int, similarity: float) -> np.ndarray:
+    """For each text the first one of its component: close fingerprints and similar enough shingles."""
+    sets: list[np.ndarray] = []
+    for a, b in sized([t.encode("utf-8", "surrogatepass") for t in texts]):
+        sets += _shingle_sets(texts[a:b], size)
+    counts = np.array([len(x) for x in sets])
+    shingles, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), counts)
+    place = np.cumsum(times > 1) - 1  # shingles that only one text has are in no intersection
+    row, column = row[times[column] > 1], place[column[times[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    width = 4096
+    for at in range(0, int((times > 1).sum()), width):
+        a, b = np.searchsorted(column, (at, at + width))
+        part = np.zeros((len(sets), width), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        shared += part @ part.T
+    union = counts[:, None] + counts[None, :] - shared
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= WORD_RADIUS
+    link = near & (shared >= (similarity - 1e-9) * union)
+    np.fill_diagonal(link, True)
+    return _spanning(link)
+
+
+def _blocks(crowds: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float, text: str, key: str) -> DataFrame:
+    """Links (a, b) within crowds (crowd, node): all pairs are compared, and each block gives a link a text at most.
+
+    A crowd is dealt into parts of about ``PART`` texts, and parts meet in twos, in tasks of
+    their own. A text is sent once for each part of its crowd, and no pair is ever a row.
     """
-    sizes = members.groupBy("key").count().select("key", F.ceil(F.col("count") / most).cast("int").alias("n"))
-    named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    dealt = named.join(sizes, "key").withColumn("p", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    sizes = crowds.groupBy("crowd").count().select("crowd", F.ceil(F.col("count") / PART).cast("int").alias("n"))
+    dealt = crowds.join(sizes, "crowd").withColumn("p", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("q"))
-    dealt = dealt.select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "fp", "node", "root")
+    dealt = dealt.select("crowd", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node")
+    texts = _texts(crowds.select("node").distinct(), nodes, docs, text, key)
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        root = _block_links(rows["text"].tolist(), rows["fp"].to_numpy().view(np.uint64), size, similarity)
+        own = np.flatnonzero(root != np.arange(len(root)))
+        node = rows["node"].to_numpy()
+        return pd.DataFrame({"a": node[own], "b": node[root[own]]})
+
+    return dealt.join(texts, "node").groupBy("crowd", "i", "j").applyInPandas(meet, "a long, b long")
 
-    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = ({c: rows.loc[rows["p"] == v, c].to_numpy() for c in ("fp", "node", "root")} for v in key[1:])
-        link = np.bitwise_count(x["fp"].view(np.uint64)[:, None] ^ y["fp"].view(np.uint64)[None, :]) <= WORD_RADIUS
-        i, j = np.nonzero(link & (x["root"][:, None] != y["root"][None, :]))
-        a, b = x["node"][i], y["node"][j]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long").distinct()
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """node, fp and text of the nodes wanted; nodes has the key of a document with the text."""
+    keys = checkpointed(wanted.join(nodes, "node").select("node", "fp", F.col("rep").alias(key)))
+    found = docs.select(key, text_or_empty(text).alias("text")).join(hinted(keys), key)
+    return found.select("node", "fp", "text").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, similarity: float, text: str, key: str) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough; ``reps`` has node and the key of a text with it."""
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct().join(reps, "node")
-    wanted = checkpointed(wanted.select("node", F.col("rep").alias(key)))
-    few = wanted.count() <= MOST_KEYS
-    texts = docs.select(key, text_or_empty(text).alias("text")).join(F.broadcast(wanted) if few else wanted, key)
-    texts = texts.select("node", "text").dropDuplicates(["node"])
+def _pair_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float, text: str, key: str) -> DataFrame:
+    """The pairs (a, b) whose texts are similar enough, each pair by itself."""
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = _texts(wanted, nodes, docs, text, key)
 
     @F.pandas_udf("double")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -388,7 +410,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, sim
 
     a, b = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     both = pairs.select("a", "b").join(b, "b").join(a, "a")
-    return checkpointed(both.select("a", "b", similar("text_a", "text_b").alias("s")).where(F.col("s") >= similarity - 1e-12).select("a", "b"))
+    return both.select("a", "b", similar("text_a", "text_b").alias("s")).where(F.col("s") >= similarity - 1e-9).select("a", "b")
 
 
 def near_duplicates(
@@ -396,10 +418,12 @@ def near_duplicates(
 ) -> DataFrame:
     """The key and group_id, the smallest key of its group, of every row with a non-null key.
 
-    Texts with the same words are one node, so exact copies never meet. Every node is first
-    verified against one candidate, which joins most of each group; then all candidate pairs
-    whose nodes are still in different groups are verified. A pair that is inside a group
-    needs no verification, so a large group of near copies costs about a row a member.
+    Texts with the same words are one node, so exact copies never meet. Candidates that hang
+    together are a crowd, and so are the members of keys with over ``most`` of them. A crowd
+    with many pairs for its texts is compared in blocks, each a task with a bounded number of
+    texts that gives a link a text at most; one with few pairs is compared pair by pair.
+    Either way every candidate pair is verified, and a large group of near copies makes no
+    more rows than it has texts and parts.
 
     Verification is exact; candidates are found by fingerprints, so a pair at the threshold may
     be missed unless other links join it (see the README for measured recall). Null and empty
@@ -422,17 +446,23 @@ def near_duplicates(
 
     with long_batches(docs):
         met = checkpointed(_candidates(nodes.select("fp", "node"), most))
-    pairs = met.where("bits >= 0").groupBy("a", "b").agg(F.min("bits").alias("bits"))
-    tried = checkpointed(pairs.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b"))
-    links = _verified(tried, reps, docs, size, similarity, text, key)
+    pairs = met.where("crowded = 0").select("a", "b")
+    loose = checkpointed(components(pairs)).withColumnRenamed("root", "crowd")
+    members = met.where("crowded = 1").select(F.col("a").alias("key"), F.col("b").alias("node"))
+    stars = members.join(members.groupBy("key").agg(F.min("node").alias("a")), "key").select("a", F.col("node").alias("b"))
+    tight = components(stars).select(F.col("root").alias("crowd"), "node", F.lit(True).alias("tight"))
+    placed = pairs.join(loose, F.col("a") == F.col("node")).select("a", "b", "crowd")
+    sizes = loose.groupBy("crowd").agg(F.count("*").alias("k"))
+    sizes = sizes.join(placed.groupBy("crowd").agg(F.count("*").alias("m")), "crowd")
+    # Blocks send a text once for each part of its crowd, pairs send two texts each.
+    sizes = checkpointed(sizes.withColumn("dense", F.col("k") * F.ceil(F.col("k") / PART) <= 2 * F.col("m")))
+    dense, sparse = (sizes.where(F.col("dense") == x).select("crowd") for x in (True, False))
+    crowds = loose.join(dense, "crowd").select("crowd", "node", F.lit(False).alias("tight")).unionByName(tight)
+    crowds = checkpointed(crowds.select(F.xxhash64("crowd", "tight").alias("crowd"), "node"))
+    links = checkpointed(_blocks(crowds, nodes, docs, size, similarity, text, key))
+    if not sparse.isEmpty():
+        links = links.unionAll(checkpointed(_pair_links(checkpointed(placed.join(sparse, "crowd").select("a", "b")), nodes, docs, size, similarity, text, key)))
     roots = components(links)
-    rest = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("_ra")), "a", "left")
-    rest = rest.join(roots.select(F.col("node").alias("b"), F.col("root").alias("_rb")), "b", "left")
-    rest = rest.where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b")
-    members = met.where("bits < 0").select("key", F.col("a").alias("node"), F.col("b").alias("fp"))
-    rest = rest.unionAll(_crowded_pairs(members, roots, most)).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verified(checkpointed(rest), reps, docs, size, similarity, text, key)
-    roots = components(links.unionAll(more))
     linked = checkpointed(reps.join(roots, "node"))
     least = linked.groupBy("root").agg(F.min("rep").alias("group_id"))
     named = linked.join(least, "root").select("node", "group_id")
@@ -448,13 +478,11 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options
     groups = checkpointed(near_duplicates(docs, text=text, key=key, **options))
     gone = groups.groupBy(key).agg(F.min("group_id").alias("g"), F.count("*").alias("n"))
     gone = checkpointed(gone.where((F.col("g") < F.col(key)) | (F.col("n") > 1)))
-    few = gone.count() <= MOST_KEYS
     again = gone.where(F.col("g") == F.col(key)).select(key)
-    hint = F.broadcast if few else (lambda df: df)
-    kept = docs.join(hint(gone.select(key)), key, "left_anti")
+    kept = without(docs, gone, key)
     if again.isEmpty():
         return kept.select(docs.columns)
-    return kept.unionByName(docs.join(hint(again), key, "left_semi").dropDuplicates([key])).select(docs.columns)
+    return kept.unionByName(docs.join(hinted(again), key, "left_semi").dropDuplicates([key])).select(docs.columns)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
