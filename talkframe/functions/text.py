@@ -5,7 +5,7 @@ Regular expressions carry ``(?iu)(?U)`` where words of any alphabet must match i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 ANY = "(?iu)(?U)"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used.
+
+    Without it each use would repeat the value's whole expression, and a chain of such
+    functions would grow exponentially.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fold(text: Column) -> Column:
     """Lower case of the same length: the dotted capital I becomes one letter, not two."""
     return F.lower(F.translate(text, "İ", "i"))
@@ -42,7 +51,7 @@ def strip(text: Column) -> Column:
 
 def rstrip(text: Column, characters: str) -> Column:
     """``characters`` is the inside of a regular expression's class."""
-    return F.regexp_replace(text, f"[{characters}]+$", "")
+    return F.regexp_replace(text, rf"[{characters}]+\z", "")
 
 
 def capitalize_first(text: Column, turkish: bool = False) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ANY, capitalize_first, fold, rstrip, strip, words
+from ..functions.text import ANY, capitalize_first, fold, let, rstrip, strip, words
 
 # Turkish fillers, and words after which one of them is a noun.
 HESITATIONS = "ee+|aa+|hmm?|ımm?"
@@ -52,10 +52,17 @@ PHANTOM_PHRASES = (
 
 def tidy(text: Column) -> Column:
     """Single blanks, no doubled or leading commas, a stop for trailing ones, a capital first."""
+    return let(_without_junk(text), _with_capital)
+
+
+def _without_junk(text: Column) -> Column:
     text = F.regexp_replace(text, "[ \t]{2,}", " ")
     text = F.regexp_replace(text, r"(?U)\s*,\s*,+", ",")
     text = F.regexp_replace(text, r"(?U)^[,\s]+", "")
-    text = F.regexp_replace(text, r"(?U)[,\s]+$", ".")
+    return F.regexp_replace(text, r"(?U)[,\s]+$", ".")
+
+
+def _with_capital(text: Column) -> Column:
     first = F.substring(text, 1, 1)
     small = (first == F.lower(first)) & (first != F.upper(first))
     return strip(F.when(small, capitalize_first(text)).otherwise(text))
@@ -76,6 +83,10 @@ def strip_loops(text: Column, repeats: int = 3) -> Column:
     Shorter runs are looked for first, and of each length the leftmost counts. The first copy
     goes too. Texts of fewer than ``2 * repeats`` words are left alone.
     """
+    return let(text, lambda t: _strip_loops(t, repeats))
+
+
+def _strip_loops(text: Column, repeats: int) -> Column:
     out = text
     for n in (3, 2, 1):  # the last alternative built is tried first
         run = rf"(\S+(?:\s+\S+){{{n - 1}}})"
@@ -87,7 +98,10 @@ def strip_loops(text: Column, repeats: int = 3) -> Column:
 
 def strip_phantom_phrase(text: Column, phrases: Sequence[str] = PHANTOM_PHRASES) -> Column:
     """The text without the first of the phrases that it ends with, in any case."""
-    folded = rstrip(fold(text), " .")
+    return let(text, lambda t: let(rstrip(fold(t), " ."), lambda folded: _strip_phrase(t, folded, phrases)))
+
+
+def _strip_phrase(text: Column, folded: Column, phrases: Sequence[str]) -> Column:
     out = text
     for phrase in reversed(phrases):
         low = phrase.lower()

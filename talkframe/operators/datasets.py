@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rand import below, choose, order, uniform
-from ..functions.text import capitalize_first, chat_ml, drop_filler_words, drop_punctuation, end_sentence, fold_marks, replace_first, strip, words
+from ..functions.text import capitalize_first, chat_ml, drop_filler_words, drop_punctuation, end_sentence, fold_marks, let, strip, words
 from .relational import first_of_each
 
 PAIR = ("input", "output")
@@ -211,12 +211,19 @@ def _each_character(text: Column, seed: int, row: Column, change) -> Column:
 
 def spoil_terms(text: Column, variants: Mapping[str, Sequence[str]], chance: float, seed: int, row: Column) -> Column:
     """Terms, longest first, said as one of their variants, a chance a term."""
-    out = text
-    for term in sorted(variants, key=lambda t: (-len(t), t)):
-        quoted = "".join(f"\\{c}" if not c.isalnum() and c != " " else c for c in term)
-        said = choose(list(variants[term]), None, seed + 1, row, F.lit(term))
-        out = F.when(uniform(seed, row, F.lit(term)) < chance, F.regexp_replace(out, F.lit(f"(?iu){quoted}"), said)).otherwise(out)
-    return out
+    if not variants:
+        return text
+    quoted = lambda t: "(?iu)" + "".join(f"\\{c}" if not c.isalnum() and c != " " else c for c in t)
+    terms = F.array(*(
+        F.struct(F.lit(quoted(t)).alias("p"), F.array(*map(F.lit, variants[t])).alias("v"))
+        for t in sorted(variants, key=lambda t: (-len(t), t))
+    ))
+
+    def step(acc: Column, x: Column) -> Column:
+        said = F.element_at(x["v"], below(F.size(x["v"]), seed + 1, row, x["p"]).cast("int") + 1)
+        return F.when(uniform(seed, row, x["p"]) < chance, F.regexp_replace(acc, x["p"], said)).otherwise(acc)
+
+    return F.aggregate(terms, text, step)
 
 
 def spoil_marks(text: Column, chance: float, seed: int, row: Column) -> Column:
@@ -225,10 +232,13 @@ def spoil_marks(text: Column, chance: float, seed: int, row: Column) -> Column:
 
 def spoil_suffixes(text: Column, chance: float, seed: int, row: Column) -> Column:
     """Suffixes after an apostrophe run together with their word, the first of each kind."""
-    out = text
-    for s in SUFFIXES:
-        out = F.when(uniform(seed, row, F.lit(s)) < chance, replace_first(out, f"'{s}", s)).otherwise(out)
-    return out
+
+    def step(acc: Column, s: Column) -> Column:
+        at = F.position(F.concat(F.lit("'"), s), acc)
+        joined = F.concat(F.substring(acc, F.lit(1), at - 1), F.substring(acc, at + 1, F.length(acc)))
+        return F.when((at > 0) & (uniform(seed, row, s) < chance), joined).otherwise(acc)
+
+    return F.aggregate(F.array(*map(F.lit, SUFFIXES)), text, step)
 
 
 def spoil_punctuation(text: Column, chance: float, seed: int, row: Column) -> Column:
@@ -261,7 +271,10 @@ def add_fillers(text: Column, frequency: str, seed: int, row: Column) -> Column:
     """None or one filler (low), one to three (medium), or three to six (high); texts under three words keep none."""
     least, most = {"low": (0, 1), "medium": (1, 3), "high": (3, 6)}[frequency]
     fillers = list(FILLERS[frequency])
-    said = words(text)
+    return let(words(text), lambda said: _with_fillers(said, fillers, least, most, seed, row))
+
+
+def _with_fillers(said: Column, fillers: list[str], least: int, most: int, seed: int, row: Column) -> Column:
     room = F.greatest(F.lit(1), F.size(said) - 1)
     low, high = F.least(F.lit(least), room), F.least(F.lit(most), room)
     n = low + below(high - low + 1, seed, row).cast("int")
@@ -271,7 +284,7 @@ def add_fillers(text: Column, frequency: str, seed: int, row: Column) -> Column:
         return F.array_insert(acc, at, choose(fillers, None, seed + 3, row, k))
 
     turns = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.when(F.size(said) < 3, text).otherwise(F.array_join(F.aggregate(turns, said, put), " "))
+    return F.array_join(F.when(F.size(said) < 3, said).otherwise(F.aggregate(turns, said, put)), " ")
 
 
 def spoil(text: Column, style: str, variants: Mapping[str, Sequence[str]], seed: int, row: Column) -> Column:
@@ -297,38 +310,50 @@ def spoil_by_difficulty(text: Column, difficulty: Column, seed: int, row: Column
         mixed = F.array_sort(F.transform(there, lambda c: F.struct(order(seed, row, c).alias("o"), c.alias("c"))))
         return F.aggregate(F.slice(mixed, 1, k), t, lambda acc, x: F.replace(acc, x["c"], F.translate(x["c"], "âüöışçğİÜÖŞÇĞ", "auoiscgIUOSCG")))
 
-    lower_first = lambda t: F.concat(F.lower(F.substring(t, 1, 1)), F.substring(t, 2, 2147483647))
+    lower_first = lambda text_: let(text_, lambda t: F.concat(F.lower(F.substring(t, 1, 1)), F.substring(t, 2, 2147483647)))
 
     def filler(t: Column, k: int) -> Column:
-        said, w = words(t), choose(list(SPOKEN_FILLERS), None, seed + k, row)
-        at = 2 + below(F.greatest(F.size(said) - 1, F.lit(1)), seed + k + 1, row).cast("int")
-        return F.when(F.size(said) < 2, F.concat_ws(" ", w, t)).otherwise(F.array_join(F.array_insert(said, at, w), " "))
+        w = choose(list(SPOKEN_FILLERS), None, seed + k, row)
 
-    def misheard(t: Column) -> Column:
+        def put(said: Column) -> Column:
+            at = F.when(F.size(said) < 2, 1).otherwise(2 + below(F.greatest(F.size(said) - 1, F.lit(1)), seed + k + 1, row).cast("int"))
+            return F.array_join(F.array_insert(said, at, w), " ")
+
+        return let(words(t), put)
+
+    def misheard(text_: Column) -> Column:
+        return let(text_, _misheard)
+
+    def _misheard(t: Column) -> Column:
         hits = F.filter(F.array(*(F.struct(order(seed + 3, row, F.lit(a)).alias("o"), F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in MISHEARD)), lambda x: F.contains(t, x["a"]))
         first = F.try_element_at(F.array_sort(hits), F.lit(1))
         at = F.instr(t, first["a"])
         return F.when(F.size(hits) == 0, t).otherwise(F.concat(F.substring(t, F.lit(1), at - 1), first["b"], F.substring(t, at + F.length(first["a"]), F.length(t))))
 
     def parted(t: Column) -> Column:
-        said = words(t)
+        return let(words(t), _parted)
+
+    def _parted(said: Column) -> Column:
         long = F.filter(F.transform(said, lambda w, i: F.when(F.length(w) > 5, i)), lambda i: i.isNotNull())
         which = F.element_at(long, below(F.greatest(F.size(long), F.lit(1)), seed + 4, row).cast("int") + 1)
         cut = lambda w: 2 + below(F.length(w) - 3, seed + 5, row).cast("int")
         out = F.transform(said, lambda w, i: F.when(i == which, F.concat(F.substring(w, F.lit(1), cut(w)), F.lit(" "), F.substring(w, cut(w) + 1, F.length(w)))).otherwise(w))
-        return F.when(F.size(long) == 0, t).otherwise(F.array_join(out, " "))
+        return F.array_join(F.when(F.size(long) == 0, said).otherwise(out), " ")
 
     def dropped(t: Column) -> Column:
-        said = words(t)
+        return let(words(t), _dropped)
+
+    def _dropped(said: Column) -> Column:
         short = F.filter(F.transform(said, lambda w, i: F.when(F.length(w) <= 4, i)), lambda i: i.isNotNull())
         which = F.element_at(short, below(F.greatest(F.size(short), F.lit(1)), seed + 6, row).cast("int") + 1)
-        return F.when((F.size(said) < 4) | (F.size(short) == 0), t).otherwise(F.array_join(F.filter(said, lambda w, i: i != which), " "))
+        return F.array_join(F.when((F.size(said) < 4) | (F.size(short) == 0), said).otherwise(F.filter(said, lambda w, i: i != which)), " ")
 
-    easy = marks(text, 1)
-    easy = F.when(uniform(seed + 7, row) < 0.5, drop_punctuation(easy)).otherwise(lower_first(easy))
-    base = lower_first(drop_punctuation(marks(text, 2)))
+    easy = let(marks(text, 1), lambda t: F.when(uniform(seed + 7, row) < 0.5, drop_punctuation(t)).otherwise(lower_first(t)))
     left_out = below(3, seed + 8, row)
-    medium = F.when(left_out == 0, parted(misheard(base))).when(left_out == 1, parted(filler(base, 20))).otherwise(misheard(filler(base, 20)))
+    medium = let(
+        lower_first(drop_punctuation(marks(text, 2))),
+        lambda t: F.when(left_out == 0, parted(misheard(t))).when(left_out == 1, parted(filler(t, 20))).otherwise(misheard(filler(t, 20))),
+    )
     hard = lower_first(drop_punctuation(marks(text, 13)))
     hard = filler(dropped(parted(misheard(filler(hard, 20)))), 30)
     return F.when(difficulty == "easy", easy).when(difficulty == "medium", medium).otherwise(hard)
@@ -351,11 +376,12 @@ def persona_variants(rows: DataFrame, variants: Mapping[str, Sequence[str]], see
     """
     own = rows.select(F.col(key), F.col(persona), F.col(text).alias("output"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("variant"))
     row = F.struct(key, "variant")
-    said = spoil(F.col("output"), "mid", variants, seed, row)
+    known = F.coalesce(F.col(persona).isin(*STYLES), F.lit(False))
+    out = None
     for style in STYLES:
-        if style != "mid":
-            said = F.when(F.col(persona) == style, spoil(F.col("output"), style, variants, seed, row)).otherwise(said)
-    out = own.withColumn("input", said)
+        like_it = (F.col(persona) == style) | ~known if style == "mid" else F.col(persona) == style
+        part = own.where(like_it).withColumn("input", spoil(F.col("output"), style, variants, seed, row))
+        out = part if out is None else out.unionByName(part)
     plain = drop_punctuation(F.lower("output"))
     out = out.withColumn("input", F.when(F.col("input") == F.col("output"), plain).otherwise(F.col("input")))
     return unique(changed(out), keys=("input",), arrival=(key, "variant"))

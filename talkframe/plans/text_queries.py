@@ -243,7 +243,7 @@ def symbol_report(spark, sf):
     return sy.report(rows, "pages", "2024-01-31 00:00")
 
 
-@query("project_libraries", "SELECT 'numpy' AS libraries")
+@query("project_libraries", "SELECT 'app,numpy' AS libraries")
 def project_libraries(spark, sf):
     return sy.libraries(sy.python_symbols(code_files(spark, sf))).select(F.array_join("libraries", ",").alias("libraries"))
 
