@@ -76,7 +76,7 @@ def inheritance(files: DataFrame, path: str = "path", text: str = "text") -> Dat
     rows = files.where(suffix(F.col(path)) == ".swift").select(
         path, F.arrays_zip(F.regexp_extract_all(text, F.lit(head), F.lit(1)).alias("name"), F.regexp_extract_all(text, F.lit(head), F.lit(2)).alias("all")).alias("_z")
     )
-    parts = F.filter(F.transform(F.split("all", ","), F.trim), lambda p: p.rlike(r"^[A-Z]\w*"))
+    parts = F.filter(F.transform(F.split("all", ","), lambda p: F.trim(p)), lambda p: p.rlike(r"^[A-Z]\w*"))
     rest = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(2), F.size(parts)), ", "))
     return rows.select(path, F.inline("_z")).select(path, F.col("name").alias("symbol_name"), F.try_element_at(parts, F.lit(1)).alias("parent_class"), rest.alias("conformances"))
 

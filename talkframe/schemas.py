@@ -25,16 +25,19 @@ DDL = {
     "token_blacklist": "jti string, expires_at timestamp, revoked_at timestamp",
 }
 
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in DDL.items()}
+PAIR = "input string, output string, category string, type string, difficulty string, source string"
 
-PAIR = StructType.fromDDL("input string, output string, category string, type string, difficulty string, source string")
+
+def schema(name: str) -> StructType:
+    """A table's schema; a session must be active, as DDL is parsed by Spark."""
+    return StructType.fromDDL(DDL[name])
 
 
 def defaults(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` with all columns of the table, in its order; a missing tenant is ``default``."""
     have = {c.lower(): c for c in rows.columns}
     columns = []
-    for f in SCHEMAS[name].fields:
+    for f in schema(name).fields:
         c = F.col(have[f.name]) if f.name in have else F.lit(None)
         if f.name == "tenant_id":
             c = F.coalesce(c, F.lit("default"))

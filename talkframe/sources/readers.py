@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
 
 from ..schemas import PAIR
 
@@ -18,7 +17,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def json_lines(spark: SparkSession, path: str, schema: StructType = PAIR, required: Sequence[str] = ("input", "output")) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, schema: str = PAIR, required: Sequence[str] = ("input", "output")) -> DataFrame:
     """Rows of the lines that are JSON with all required fields, with file and ord, the line's order in it.
 
     Blank lines and bad ones are passed over; a path without files gives no rows.
@@ -31,7 +30,7 @@ def json_lines(spark: SparkSession, path: str, schema: StructType = PAIR, requir
     return parsed.where(F.forall(F.array(*there), lambda x: x)).select("_r.*", "file", "ord")
 
 
-def strict_json_lines(spark: SparkSession, path: str, schema: StructType = PAIR) -> DataFrame:
+def strict_json_lines(spark: SparkSession, path: str, schema: str = PAIR) -> DataFrame:
     """The same, but a bad line ends the job."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
@@ -53,11 +52,15 @@ def sentences(spark: SparkSession, folder: str, longer_than: int = 10) -> DataFr
     return files.select(F.trim("value").alias("text")).where(F.length("text") > longer_than)
 
 
+def _colons(ddl: str) -> str:
+    """Columns as a struct's fields."""
+    return ",".join(":".join(c.split(maxsplit=1)) for c in ddl.split(","))
+
+
 def json_array(spark: SparkSession, path: str, element: str) -> DataFrame:
     """Rows of a file that is one JSON array, with ord; ``element`` is their DDL."""
-    whole = spark.read.option("wholetext", "true").text(path)
-    kind = ArrayType(StructType.fromDDL(element))
-    return whole.select(F.posexplode(F.from_json("value", kind)).alias("ord", "_r")).select("ord", "_r.*")
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.posexplode(F.from_json("value", f"array<struct<{_colons(element)}>>")).alias("ord", "_r")).select("ord", "_r.*")
 
 
 def source_tree(spark: SparkSession, folder: str) -> DataFrame:
