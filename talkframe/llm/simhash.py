@@ -213,8 +213,10 @@ def fingerprint_components(docs: DataFrame, size: int = 3, radius: int = 2, text
 
 #: Differing bits of the words' fingerprints up to which a pair is verified.
 WORD_RADIUS = 11
+#: And those of the fingerprints of word pairs, which parts what words alone bring together by chance.
+PAIR_RADIUS = 18
 #: Texts of a part of a crowd, about; a task compares two parts.
-PART = 256
+PART = 512
 
 
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -229,8 +231,17 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in encoded)]))
 
 
-def _classify(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For each text a hash of its sequence of words, and the SimHash of its distinct words."""
+def _majorities(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The SimHash of each run of hashes; ``n`` has the runs' lengths, and a run of none gives zero."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    # An empty run borrows the row of zeros at the end.
+    counts = np.add.reduceat(np.concatenate((bits, np.zeros((1, 64), np.uint8))), np.cumsum(n) - n, axis=0, dtype=np.int64)
+    out = np.packbits((2 * counts > n[:, None]) & (n > 0)[:, None], axis=1).view(">u8").ravel()
+    return out.astype(np.uint64).view(np.int64)
+
+
+def _classify(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text a hash of its words in order, and the SimHashes of its distinct words and of its word pairs."""
     words, bounds = _words(texts)
     n = np.diff(bounds)
     of = np.repeat(np.arange(len(texts)), n)
@@ -238,12 +249,10 @@ def _classify(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(words + place * U(0xD1B54A32D192ED03)))))
     node = mix(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64))
     distinct = np.sort(np.unique(mix(words ^ mix(of.astype(np.uint64))), return_index=True)[1])
-    bits = np.unpackbits(words[distinct].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    n = np.bincount(of[distinct], minlength=len(texts))
-    # A text without words borrows the row of zeros at the end.
-    counts = np.add.reduceat(np.concatenate((bits, np.zeros((1, 64), np.uint8))), np.cumsum(n) - n, axis=0, dtype=np.int64)
-    fp = np.packbits((2 * counts > n[:, None]) & (n > 0)[:, None], axis=1).view(">u8").ravel()
-    return node.view(np.int64), fp.astype(np.uint64).view(np.int64)
+    same = np.flatnonzero(of[1:] == of[:-1])
+    pairs = mix(words[same] * U(0x9E3779B97F4A7C15) + words[same + 1])
+    fp = _majorities(words[distinct], np.bincount(of[distinct], minlength=len(texts)))
+    return node.view(np.int64), fp, _majorities(pairs, np.bincount(of[same], minlength=len(texts)))
 
 
 def _shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
@@ -301,40 +310,69 @@ def _runs(batches: Iterator[pa.RecordBatch], longest: int = 1_000_000) -> Iterat
         yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}, broken
 
 
-def _candidates(nodes: DataFrame, most: int) -> DataFrame:
-    """Pairs a < b of nodes (node, fp) that meet under a key and differ in few bits, as rows (0, a, b).
+def _close(key: np.ndarray, fp: np.ndarray, gp: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of rows under one key, both among ``at``'s keys, that differ in few bits."""
+    found = [np.zeros((2, 0), np.int64)]
+    for distance in range(1, most):
+        at = at[at + distance < len(key)]
+        at = at[key[at] == key[at + distance]]
+        if not len(at):
+            break
+        near = at[np.bitwise_count(fp[at] ^ fp[at + distance]) <= WORD_RADIUS]
+        near = near[np.bitwise_count(gp[near] ^ gp[near + distance]) <= PAIR_RADIUS]
+        found.append(np.stack((near, near + distance)))
+    i, j = np.concatenate(found, axis=1)
+    return i, j
+
+
+def _candidates(nodes: DataFrame, most: int, all_pairs: bool = False) -> DataFrame:
+    """What hangs together: rows (a, b, pairs, crowded), each node b with one earlier node a.
 
     Members of a key are compared at all distances in the order of their nodes, for all keys
-    of a batch at once. A key with over ``most`` members gives its members instead, as rows
-    (1, key, node): what its pairs would be is settled in blocks.
+    of a batch at once. A node is given with the first node of its component among the key's
+    close pairs, and the number of close pairs that it adds. A key with over ``most`` members
+    counts all its pairs as close: each member comes with the first one. So a key gives no
+    more rows than it has members. ``all_pairs`` gives every close pair of small keys instead.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first_of: dict[int, int] = {}
         for rows, broken in _runs(batches):
-            key, fp, node = rows["key"], rows["fp"].view(np.uint64), rows["node"]
+            key, fp, gp, node = rows["key"], rows["fp"].view(np.uint64), rows["gp"].view(np.uint64), rows["node"]
+            n = len(key)
             starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            sizes = np.diff(np.concatenate((starts, [len(key)])))
+            sizes = np.diff(np.concatenate((starts, [n])))
             crowded = np.repeat(sizes > most, sizes)
             if broken is not None:
                 crowded |= key == broken
-            at, found = np.flatnonzero(np.repeat(sizes > 1, sizes) & ~crowded), [np.zeros((2, 0), np.int64)]
-            for distance in range(1, most):
-                at = at[at + distance < len(key)]
-                at = at[key[at] == key[at + distance]]
-                if not len(at):
+            i, j = _close(key, fp, gp, np.flatnonzero(np.repeat(sizes > 1, sizes) & ~crowded), most)
+            if all_pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(np.ones(len(i), np.int64)), pa.array(np.zeros(len(i), bool))], names)
+                continue
+            root = np.arange(n)
+            while len(i):
+                least, new = np.minimum(root[i], root[j]), root.copy()
+                np.minimum.at(new, i, least)
+                np.minimum.at(new, j, least)
+                new = new[new]
+                if (new == root).all():
                     break
-                near = at[np.bitwise_count(fp[at] ^ fp[at + distance]) <= WORD_RADIUS]
-                found.append(np.stack((near, near + distance)))
-            i, j = np.concatenate(found, axis=1)
-            member = np.flatnonzero(crowded)
-            columns = (
-                (np.zeros(len(i), np.int64), np.ones(len(member), np.int64)),
-                (np.minimum(node[i], node[j]), key[member]), (np.maximum(node[i], node[j]), node[member]),
-            )
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], ["crowded", "a", "b"])
-
-    keyed = _keyed(nodes, _fuzzy_keys, ["node"]).repartition("key").sortWithinPartitions("key", "node")
-    return keyed.mapInArrow(run, "crowded long, a long, b long").distinct()
+                root = new
+            start = np.repeat(starts, sizes)
+            root = np.where(crowded, start, root)
+            pairs = np.where(crowded, np.arange(n) - start, np.bincount(j, minlength=n))
+            head = node[root]
+            if broken is not None:  # a key in pieces: all pieces hang on its very first node
+                head[key == broken] = first_of.setdefault(broken, int(head[key == broken][0]) if (key == broken).any() else 0)
+            own = np.flatnonzero(head != node)
+            _, once = np.unique(np.stack((head[own], node[own])), axis=1, return_index=True)
+            own = own[once]
+            yield pa.RecordBatch.from_arrays([pa.array(head[own]), pa.array(node[own]), pa.array(pairs[own].astype(np.int64)), pa.array(crowded[own])], names)
+
+    names = ["a", "b", "pairs", "crowded"]
+    keyed = _keyed(nodes, _fuzzy_keys, ["gp", "node"]).repartition("key").sortWithinPartitions("key", "node")
+    met = keyed.mapInArrow(run, "a long, b long, pairs long, crowded boolean")
+    return met.groupBy("a", "b").agg(F.max("pairs").alias("pairs"), F.max("crowded").alias("crowded"))
 
 
 def _block_links(texts: list[str], fps: np.ndarray, size: int, similarity: float) -> np.ndarray:
@@ -414,7 +452,7 @@ def _pair_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id", most: int = 128
+    docs: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id", most: int = 512
 ) -> DataFrame:
     """The key and group_id, the smallest key of its group, of every row with a non-null key.
 
@@ -435,33 +473,28 @@ def near_duplicates(
         for b in batches:
             texts = b.column(1).to_pylist()
             for at, to in sized(texts):
-                node, fp = _classify(texts[at:to])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(node), pa.array(fp)], [key, "node", "fp"])
+                node, fp, gp = _classify(texts[at:to])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(node), pa.array(fp), pa.array(gp)], [key, "node", "fp", "gp"])
 
     kind = dict(docs.dtypes)[key]
     source = lean(docs).where(F.col(key).isNotNull()).select(key, text_or_empty(text).alias("_text"))
-    classes = checkpointed(source.mapInArrow(classify, f"`{key}` {kind}, node long, fp long"))
-    nodes = checkpointed(classes.groupBy("node").agg(F.min(key).alias("rep"), F.min("fp").alias("fp")))
+    classes = checkpointed(source.mapInArrow(classify, f"`{key}` {kind}, node long, fp long, gp long"))
+    nodes = checkpointed(classes.groupBy("node").agg(F.min(key).alias("rep"), F.min("fp").alias("fp"), F.min("gp").alias("gp")))
     reps = nodes.select("node", "rep")
 
     with long_batches(docs):
-        met = checkpointed(_candidates(nodes.select("fp", "node"), most))
-    pairs = met.where("crowded = 0").select("a", "b")
-    loose = checkpointed(components(pairs)).withColumnRenamed("root", "crowd")
-    members = met.where("crowded = 1").select(F.col("a").alias("key"), F.col("b").alias("node"))
-    stars = members.join(members.groupBy("key").agg(F.min("node").alias("a")), "key").select("a", F.col("node").alias("b"))
-    tight = components(stars).select(F.col("root").alias("crowd"), "node", F.lit(True).alias("tight"))
-    placed = pairs.join(loose, F.col("a") == F.col("node")).select("a", "b", "crowd")
-    sizes = loose.groupBy("crowd").agg(F.count("*").alias("k"))
-    sizes = sizes.join(placed.groupBy("crowd").agg(F.count("*").alias("m")), "crowd")
+        met = checkpointed(_candidates(nodes.select("fp", "gp", "node"), most))
+    crowds = checkpointed(components(met.select("a", "b"))).withColumnRenamed("root", "crowd")
+    weight = met.join(crowds, F.col("b") == F.col("node")).groupBy("crowd").agg(F.sum("pairs").alias("m"), F.max("crowded").alias("full"))
+    sizes = crowds.groupBy("crowd").agg(F.count("*").alias("k")).join(weight, "crowd")
     # Blocks send a text once for each part of its crowd, pairs send two texts each.
-    sizes = checkpointed(sizes.withColumn("dense", F.col("k") * F.ceil(F.col("k") / PART) <= 2 * F.col("m")))
-    dense, sparse = (sizes.where(F.col("dense") == x).select("crowd") for x in (True, False))
-    crowds = loose.join(dense, "crowd").select("crowd", "node", F.lit(False).alias("tight")).unionByName(tight)
-    crowds = checkpointed(crowds.select(F.xxhash64("crowd", "tight").alias("crowd"), "node"))
-    links = checkpointed(_blocks(crowds, nodes, docs, size, similarity, text, key))
-    if not sparse.isEmpty():
-        links = links.unionAll(checkpointed(_pair_links(checkpointed(placed.join(sparse, "crowd").select("a", "b")), nodes, docs, size, similarity, text, key)))
+    sizes = checkpointed(sizes.withColumn("dense", F.col("full") | (F.col("k") * F.ceil(F.col("k") / PART) <= 2 * F.col("m"))))
+    dense, sparse = (crowds.join(sizes.where(F.col("dense") == x).select("crowd"), "crowd") for x in (True, False))
+    links = checkpointed(_blocks(checkpointed(dense.select("crowd", "node")), nodes, docs, size, similarity, text, key))
+    if not sizes.where("not dense").isEmpty():
+        alone = nodes.join(sparse.select("node"), "node", "left_semi").select("fp", "gp", "node")
+        pairs = checkpointed(_candidates(alone, most, all_pairs=True).select("a", "b"))
+        links = links.unionAll(checkpointed(_pair_links(pairs, nodes, docs, size, similarity, text, key)))
     roots = components(links)
     linked = checkpointed(reps.join(roots, "node"))
     least = linked.groupBy("root").agg(F.min("rep").alias("group_id"))
