@@ -96,10 +96,33 @@ def split_with_floor(rows: DataFrame, seed: int, *keys: str, valid: float = 0.1,
     return both.withColumn("split", label).drop("n", "_t")
 
 
+def placed(rows: DataFrame, key: str, parts: int = 64) -> DataFrame:
+    """Rows with n, their place from 0 in the order of a key, and no task for all of them.
+
+    Borders come from a sample of ``parts * parts`` keys at most, chosen by their hash; rows
+    between two borders are counted, and sorted among themselves. Null keys come first.
+    """
+    known = rows.select(key).where(F.col(key).isNotNull())
+    sampled = sorted(r[0] for r in known.orderBy(order(0, F.col(key)), key).limit(parts * parts).collect())
+    cuts = sorted(set(sampled[:: max(1, len(sampled) // parts)][1:]))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+    cut = rows.withColumn("_p", F.when(F.col(key).isNull(), -1).otherwise(part))
+    counts = cut.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = counts.withColumn("_b", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).select("_p", "_b")
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
+    return cut.join(F.broadcast(before), "_p").withColumn("n", (F.col("_b") + place).cast("long")).drop("_p", "_b")
+
+
 def split_sorted(rows: DataFrame, key: str, train: float = 0.95) -> DataFrame:
-    """Rows with split by their place in the order of a key: the first share trains, the rest is held out."""
-    ranked = rows.withColumn("_p", F.percent_rank().over(Window.orderBy(key)))
-    return ranked.withColumn("split", F.when(F.col("_p") < train, "train").otherwise("eval")).drop("_p")
+    """Rows with split by their place in the order of a key: floor(n·train) train, the rest is held out."""
+    total = rows.agg(F.count("*").alias("_t"))
+    both = placed(rows, key).crossJoin(F.broadcast(total))  # the total is one row
+    return both.withColumn("split", F.when(F.col("n") < F.floor(F.col("_t") * train + 1e-9), "train").otherwise("eval")).drop("n", "_t")
+
+
+def tagged(rows: DataFrame, **tags: str) -> DataFrame:
+    """Pairs with constant tags, such as type, difficulty or category."""
+    return rows.withColumns({k: F.lit(v) for k, v in tags.items()})
 
 
 def recipe(sources: Sequence[DataFrame], seed: int, cap: int | None = None, train: float = 0.8, valid: float = 0.1) -> DataFrame:
@@ -127,13 +150,9 @@ def rounds(files: DataFrame, last: int, base: Sequence[DataFrame], seed: int) ->
     return split(rows, seed, *PAIR)
 
 
-def shard(rows: DataFrame, n: int, i: int, key: str, ranges: int = 4096) -> DataFrame:
-    """Every nth row, from the ith, in the order of a key: round robin without a sort of all in one task."""
-    ranged = rows.repartitionByRange(min(ranges, 64), key).withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = counts.withColumn("_b", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).select("_p", "_b")
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
-    return ranged.join(F.broadcast(before), "_p").withColumn("_n", F.col("_b") + place).where(F.col("_n") % n == i).drop("_p", "_b", "_n")
+def shard(rows: DataFrame, n: int, i: int, key: str) -> DataFrame:
+    """Every nth row, from the ith, in the order of a key."""
+    return placed(rows, key).where(F.col("n") % n == i).drop("n")
 
 
 def quotas(groups: DataFrame, target: int, key: str) -> DataFrame:

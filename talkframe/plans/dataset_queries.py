@@ -67,6 +67,13 @@ def shard_rr(spark, sf):
     return ds.shard(table(spark, sf, "documents").select("doc_id"), 3, 1, "doc_id")
 
 
+@query("split_sorted", """
+WITH n AS (SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS n, count(*) OVER () AS t FROM customer)
+SELECT c_name, CASE WHEN n < floor(t * 0.95) THEN 'train' ELSE 'eval' END AS split FROM n""")
+def split_sorted(spark, sf):
+    return ds.split_sorted(table(spark, sf, "customer").select("c_name"), "c_name")
+
+
 @query("quota_alloc", """
 WITH g AS (SELECT DISTINCT event_type FROM events)
 SELECT event_type, CAST(1003 // count(*) OVER () + CASE WHEN row_number() OVER (ORDER BY event_type) <= 1003 % count(*) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM g""")

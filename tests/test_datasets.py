@@ -40,6 +40,12 @@ def test_shards_cover_everything_once(spark):
     assert sorted(itertools.chain(*parts)) == list(range(101)) and sorted(parts[1]) == list(range(1, 101, 3))
 
 
+def test_places_of_odd_keys(spark):
+    rows = spark.createDataFrame([(None,), ("b",), ("a",), ("b",), (None,)], "k string")
+    assert [r["k"] for r in ds.placed(rows, "k").orderBy("n").collect()] == [None, None, "a", "b", "b"]
+    assert sorted(r["n"] for r in ds.placed(rows, "k", 2).collect()) == list(range(5)) and ds.placed(rows.limit(0), "k").count() == 0
+
+
 def test_unique_keeps_the_first_as_it_was(spark):
     a = spark.createDataFrame([(" x", "y", 0), ("x", "y ", 1), ("z", "w", 2), ("x", "y", 3)], "input string, output string, ord int")
     got = ds.unique(ds.merge(a), trimmed=True).collect()
