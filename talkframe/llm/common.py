@@ -35,7 +35,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Texts that an executor's JVM and Python hold at once, twice each.
-TEXTS_AT_ONCE = 1000
+TEXTS_AT_ONCE = 500
 
 
 def lean(df: DataFrame) -> DataFrame:
