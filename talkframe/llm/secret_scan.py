@@ -9,7 +9,6 @@ of guesses is reported. Placeholders and plain words are cheap to guess and are
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from bisect import bisect_left

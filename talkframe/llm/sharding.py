@@ -88,8 +88,8 @@ def splitters(keys: DataFrame, n_shards: int, tolerance: float = 0.002, bins: in
         next_: list[Interval] = []
         for i, ranges in _histogram(keys, open_, bins).items():
             x = open_[i]
-            below, column = x.below, ("h0", "h1") if x.first is None else ("g0", "g1")
-            edges = [(lo := r[column[0]]) if x.first is None else r["g0"] for r in ranges]
+            below, least = x.below, "h0" if x.first is None else "g0"
+            edges = [r[least] for r in ranges]
             after = x.high + 1
             for k, r in enumerate(ranges):
                 inside = tuple(w for w in x.wanted if below < w <= below + r["bytes"] or k == 0 and w <= below)

@@ -381,7 +381,7 @@ def _block_links(texts: list[str], fps: np.ndarray, size: int, similarity: float
     for a, b in sized([t.encode("utf-8", "surrogatepass") for t in texts]):
         sets += _shingle_sets(texts[a:b], size)
     counts = np.array([len(x) for x in sets])
-    shingles, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), counts)
     place = np.cumsum(times > 1) - 1  # shingles that only one text has are in no intersection
     row, column = row[times[column] > 1], place[column[times[column] > 1]]

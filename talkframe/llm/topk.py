@@ -10,7 +10,6 @@ query a floor from the start, so that a block of far vectors is pruned at its ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
