@@ -38,11 +38,9 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 TEXTS_AT_ONCE = 500
 
 
-def lean(df: DataFrame) -> DataFrame:
+def lean(df: DataFrame, rows: int = TEXTS_AT_ONCE) -> DataFrame:
     """``df``, in a session whose Arrow batches are short enough for rows of whole texts."""
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(BATCH)) <= TEXTS_AT_ONCE:
-        conf.set(BATCH, TEXTS_AT_ONCE)
+    df.sparkSession.conf.set(BATCH, rows)
     return df
 
 

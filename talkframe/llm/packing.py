@@ -26,6 +26,8 @@ from .common import lean, table
 #: Texts are tokenized in slices of about so many bytes, and so many words are remembered.
 SLICE_BYTES = 8_000_000
 CACHED_WORDS = 400_000
+#: Texts of an Arrow batch: in longer ones more words repeat.
+TEXTS_AT_ONCE = 2000
 LETTER_STOP = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,])"
 PLAIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
@@ -146,7 +148,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, with_ids:
     names = [key, "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
     kind = dict(docs.dtypes)[key]
     schema = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
-    return lean(docs).select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(cut, schema)
+    return lean(docs, TEXTS_AT_ONCE).select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(cut, schema)
 
 
 class Windows:
