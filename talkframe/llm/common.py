@@ -45,7 +45,7 @@ def lean(df: DataFrame, rows: int = TEXTS_AT_ONCE) -> DataFrame:
 
 
 @contextmanager
-def long_batches(df: DataFrame, rows: int = 20_000) -> Iterator[None]:
+def long_batches(df: DataFrame, rows: int = 10_000) -> Iterator[None]:
     """Long Arrow batches, for narrow rows, while jobs inside the block run."""
     conf = df.sparkSession.conf
     before = conf.get(BATCH)

@@ -25,7 +25,7 @@ from .common import lean, table
 
 #: Texts are tokenized in slices of about so many bytes, and so many words are remembered.
 SLICE_BYTES = 8_000_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 #: Texts of an Arrow batch: in longer ones more words repeat.
 TEXTS_AT_ONCE = 2000
 LETTER_STOP = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,])"
