@@ -375,8 +375,8 @@ def _candidates(nodes: DataFrame, most: int, all_pairs: bool = False) -> DataFra
     return met.groupBy("a", "b").agg(F.max("pairs").alias("pairs"), F.max("crowded").alias("crowded"))
 
 
-def _block_links(texts: list[str], fps: np.ndarray, size: int, similarity: float) -> np.ndarray:
-    """For each text the first one of its component: close fingerprints and similar enough shingles."""
+def _block_links(texts: list[str], fps: np.ndarray | None, size: int, similarity: float) -> np.ndarray:
+    """For each text the first one of its component. Similar enough shingles alone decide; ``fps`` has no part in it."""
     sets: list[np.ndarray] = []
     for a, b in sized([t.encode("utf-8", "surrogatepass") for t in texts]):
         sets += _shingle_sets(texts[a:b], size)
@@ -395,8 +395,7 @@ def _block_links(texts: list[str], fps: np.ndarray, size: int, similarity: float
         part[row[a:b], column[a:b] - at] = 1
         shared += part @ part.T
     union = counts[:, None] + counts[None, :] - shared
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= WORD_RADIUS
-    link = near & (shared >= (similarity - 1e-9) * union)
+    link = shared >= (similarity - 1e-9) * union
     np.fill_diagonal(link, True)
     return _spanning(link)
 

@@ -144,6 +144,11 @@ def test_block_links_are_exact():
     assert root.tolist() == [0, 0, 2, 3, 4, 0] and simhash.shingle_similarity("a b", "A, b!") == 1.0
 
 
+def test_block_links_ask_no_fingerprint():
+    root = simhash._block_links(["a b c d e f g h", "a b c d e f g h i"], np.array([0, (1 << 64) - 1], np.uint64), 5, 0.8)
+    assert root.tolist() == [0, 0]
+
+
 # URL filter
 
 
