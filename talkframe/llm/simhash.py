@@ -1,4 +1,4 @@
-"""SimHash near-duplicates, found by Golay-code fuzzy hashing.
+"""Near-duplicates: SimHash links found by Golay-code fuzzy hashing, and exact links of shingles.
 
 Fingerprints fall into three segments, of 23, 23 and 18 bits. A segment's keys are the Golay
 codewords near it (see ``golay``): segments that differ in up to two bits share one. Documents
@@ -8,9 +8,9 @@ that meet under a key composed of two segments' keys are compared and verified.
 segments one is then free of errors, and another has two at most, so the pair meets under one
 segment as it is with a codeword of another.
 
-``near_duplicates`` links documents by the exact similarity of their word shingles. There the
-fingerprint is of the distinct words, which an edit disturbs less than it does the shingles,
-and pairs meet under codewords of any two segments; an edit may spoil the third one wholly.
+``near_duplicates`` links documents by the exact similarity of their word shingles. Its
+candidates are complete: shingles have one order for all texts, common ones last, and two texts
+that are similar enough share one among the first few of each (a prefix filter).
 """
 
 from __future__ import annotations
@@ -89,18 +89,6 @@ def _exact_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
-def _fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and keys of codewords of each two segments."""
-    near = [golay_keys(p).astype(np.int64) for p in _segments(fps)]
-    rows, out = [], []
-    for tag, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        a, b = near[i][:, :, None], near[j][:, None, :]
-        row, x, y = np.nonzero((a >= 0) & (b >= 0))
-        rows.append(row)
-        out.append((tag << 60) | (near[i][row, x] << 12) | near[j][row, y])
-    return np.concatenate(rows), np.concatenate(out)
-
-
 def _keyed(fps: DataFrame, make, columns: list[str]) -> DataFrame:
     """A row for each key of each row's ``fp``, with these other long columns."""
 
@@ -211,10 +199,8 @@ def fingerprint_components(docs: DataFrame, size: int = 3, radius: int = 2, text
     return fps.join(own, "fp").select(key, "fp", "component_id")
 
 
-#: Differing bits of the words' fingerprints up to which a pair is verified.
-WORD_RADIUS = 11
-#: And those of the fingerprints of word pairs, which parts what words alone bring together by chance.
-PAIR_RADIUS = 18
+#: Of one text in SAMPLED the shingles are counted; those of SEEN texts or more are common, MOST_COMMON of them at most.
+SAMPLED, SEEN, MOST_COMMON = 32, 4, 1_000_000
 #: Texts of a part of a crowd, about; a task compares two parts.
 PART = 512
 
@@ -231,28 +217,14 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in encoded)]))
 
 
-def _majorities(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The SimHash of each run of hashes; ``n`` has the runs' lengths, and a run of none gives zero."""
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    # An empty run borrows the row of zeros at the end.
-    counts = np.add.reduceat(np.concatenate((bits, np.zeros((1, 64), np.uint8))), np.cumsum(n) - n, axis=0, dtype=np.int64)
-    out = np.packbits((2 * counts > n[:, None]) & (n > 0)[:, None], axis=1).view(">u8").ravel()
-    return out.astype(np.uint64).view(np.int64)
-
-
-def _classify(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text a hash of its words in order, and the SimHashes of its distinct words and of its word pairs."""
+def _classify(texts: list[str]) -> np.ndarray:
+    """For each text a hash of its words in order."""
     words, bounds = _words(texts)
     n = np.diff(bounds)
     of = np.repeat(np.arange(len(texts)), n)
     place = (np.arange(len(words)) - bounds[:-1][of]).astype(np.uint64)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(words + place * U(0xD1B54A32D192ED03)))))
-    node = mix(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64))
-    distinct = np.sort(np.unique(mix(words ^ mix(of.astype(np.uint64))), return_index=True)[1])
-    same = np.flatnonzero(of[1:] == of[:-1])
-    pairs = mix(words[same] * U(0x9E3779B97F4A7C15) + words[same + 1])
-    fp = _majorities(words[distinct], np.bincount(of[distinct], minlength=len(texts)))
-    return node.view(np.int64), fp, _majorities(pairs, np.bincount(of[same], minlength=len(texts)))
+    return mix(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64)).view(np.int64)
 
 
 def _shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
@@ -274,6 +246,45 @@ def _shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
     return out
 
 
+def _common(source: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts have, sorted, and each one's rank, the commonest last.
+
+    They are counted in a sample. It only decides the order in which shingles are taken, and so
+    how many texts meet; every order finds all pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            for at, to in sized(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_shingle_sets(texts[at:to], size)).view(np.int64))], ["s"])
+
+    sample = source.where(F.pmod(F.xxhash64("_text"), F.lit(SAMPLED)) == 0).select("_text").distinct()
+    counts = sample.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
+    found = counts.orderBy(F.desc("n"), "s").limit(MOST_COMMON).select("s").toPandas()["s"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], (len(found) - order).astype(np.int64)
+
+
+def _prefixes(texts: list[str], size: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
+    """For each text the number of its distinct shingles, and the first of them in the common order.
+
+    Texts of n shingles that are similar enough share ceil(similarity * n) at least, so one of
+    them is among the n - ceil(similarity * n) + 1 first ones.
+    """
+    sets = _shingle_sets(texts, size)
+    n = np.array([len(x) for x in sets], np.int64)
+    every = np.concatenate(sets)
+    rank = np.zeros(len(every), np.int64)
+    known, ranks = common
+    if len(known):
+        at = np.minimum(np.searchsorted(known, every), len(known) - 1)
+        rank = np.where(known[at] == every, ranks[at], 0)
+    every = every[np.argsort((np.repeat(np.arange(len(sets)), n) << 32) | rank, kind="stable")]
+    first = np.where(n > 0, n - np.ceil((similarity - 1e-9) * n - 1e-6).astype(np.int64) + 1, 0)
+    return n, [every[a : a + k].tobytes() for a, k in zip((np.cumsum(n) - n).tolist(), first.tolist())]
+
+
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = np.sort(np.concatenate((a, b)))
     shared = int((both[1:] == both[:-1]).sum())
@@ -310,22 +321,45 @@ def _runs(batches: Iterator[pa.RecordBatch], longest: int = 1_000_000) -> Iterat
         yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}, broken
 
 
-def _close(key: np.ndarray, fp: np.ndarray, gp: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places i < j of rows under one key, both among ``at``'s keys, that differ in few bits."""
+def _close(rows: dict[str, np.ndarray], at: np.ndarray, most: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of rows under one key, both among ``at``'s keys, that may be similar enough.
+
+    Where two texts first meet, they share no more shingles than either has from there on.
+    """
+    key, n, left = rows["key"], rows["spot"] & 0xFFFFFFFF, rows["spot"] >> 32
+    share = (similarity - 1e-9) / (1 + similarity - 1e-9)
     found = [np.zeros((2, 0), np.int64)]
     for distance in range(1, most):
         at = at[at + distance < len(key)]
         at = at[key[at] == key[at + distance]]
         if not len(at):
             break
-        near = at[np.bitwise_count(fp[at] ^ fp[at + distance]) <= WORD_RADIUS]
-        near = near[np.bitwise_count(gp[near] ^ gp[near + distance]) <= PAIR_RADIUS]
+        near = at[np.minimum(left[at], left[at + distance]) >= share * (n[at] + n[at + distance]) - 1e-6]
         found.append(np.stack((near, near + distance)))
     i, j = np.concatenate(found, axis=1)
     return i, j
 
 
-def _candidates(nodes: DataFrame, most: int, all_pairs: bool = False) -> DataFrame:
+def _shingle_keys(nodes: DataFrame) -> DataFrame:
+    """A row (key, spot, node) for each of the first shingles of each node.
+
+    The spot has the number of the node's shingles from this one on, and below it that of all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, n, first = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
+            for at, to in sized(first, 1_000_000):
+                key = np.frombuffer(b"".join(first[at:to]), np.int64)
+                k = np.array([len(x) // 8 for x in first[at:to]])
+                place, all_ = np.arange(len(key)) - np.repeat(np.cumsum(k) - k, k), np.repeat(n[at:to].astype(np.int64), k)
+                columns = [pa.array(key), pa.array((all_ - place) << 32 | all_), pa.array(np.repeat(node[at:to], k))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "spot", "node"])
+
+    return nodes.select("node", "n", "first").mapInArrow(run, "key long, spot long, node long")
+
+
+def _candidates(nodes: DataFrame, most: int, similarity: float, all_pairs: bool = False) -> DataFrame:
     """What hangs together: rows (a, b, pairs, crowded), each node b with one earlier node a.
 
     Members of a key are compared at all distances in the order of their nodes, for all keys
@@ -338,14 +372,14 @@ def _candidates(nodes: DataFrame, most: int, all_pairs: bool = False) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first_of: dict[int, int] = {}
         for rows, broken in _runs(batches):
-            key, fp, gp, node = rows["key"], rows["fp"].view(np.uint64), rows["gp"].view(np.uint64), rows["node"]
+            key, node = rows["key"], rows["node"]
             n = len(key)
             starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             sizes = np.diff(np.concatenate((starts, [n])))
             crowded = np.repeat(sizes > most, sizes)
             if broken is not None:
                 crowded |= key == broken
-            i, j = _close(key, fp, gp, np.flatnonzero(np.repeat(sizes > 1, sizes) & ~crowded), most)
+            i, j = _close(rows, np.flatnonzero(np.repeat(sizes > 1, sizes) & ~crowded), most, similarity)
             if all_pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(np.ones(len(i), np.int64)), pa.array(np.zeros(len(i), bool))], names)
                 continue
@@ -370,7 +404,7 @@ def _candidates(nodes: DataFrame, most: int, all_pairs: bool = False) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(head[own]), pa.array(node[own]), pa.array(pairs[own].astype(np.int64)), pa.array(crowded[own])], names)
 
     names = ["a", "b", "pairs", "crowded"]
-    keyed = _keyed(nodes, _fuzzy_keys, ["gp", "node"]).repartition("key").sortWithinPartitions("key", "node")
+    keyed = _shingle_keys(nodes).repartition("key").sortWithinPartitions("key", "node")
     met = keyed.mapInArrow(run, "a long, b long, pairs long, crowded boolean")
     return met.groupBy("a", "b").agg(F.max("pairs").alias("pairs"), F.max("crowded").alias("crowded"))
 
@@ -413,7 +447,7 @@ def _blocks(crowds: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, sim
     texts = _texts(crowds.select("node").distinct(), nodes, docs, text, key)
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        root = _block_links(rows["text"].tolist(), rows["fp"].to_numpy().view(np.uint64), size, similarity)
+        root = _block_links(rows["text"].tolist(), None, size, similarity)
         own = np.flatnonzero(root != np.arange(len(root)))
         node = rows["node"].to_numpy()
         return pd.DataFrame({"a": node[own], "b": node[root[own]]})
@@ -422,10 +456,10 @@ def _blocks(crowds: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, sim
 
 
 def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """node, fp and text of the nodes wanted; nodes has the key of a document with the text."""
-    keys = checkpointed(wanted.join(nodes, "node").select("node", "fp", F.col("rep").alias(key)))
+    """node and text of the nodes wanted; nodes has the key of a document with the text."""
+    keys = checkpointed(wanted.join(nodes, "node").select("node", F.col("rep").alias(key)))
     found = docs.select(key, text_or_empty(text).alias("text")).join(hinted(keys), key)
-    return found.select("node", "fp", "text").dropDuplicates(["node"])
+    return found.select("node", "text").dropDuplicates(["node"])
 
 
 def _pair_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float, text: str, key: str) -> DataFrame:
@@ -462,27 +496,31 @@ def near_duplicates(
     Either way every candidate pair is verified, and a large group of near copies makes no
     more rows than it has texts and parts.
 
-    Verification is exact; candidates are found by fingerprints, so a pair at the threshold may
-    be missed unless other links join it (see the README for measured recall). Null and empty
+    Candidates are complete and verification is exact, so all pairs of ``similarity`` or more
+    are joined, in crowds of either kind, and no others. Null and empty
     texts have no words and are one group. Rows repeated under one key share a group through
     either's text. Null keys give no row. Other columns are ignored.
     """
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for b in batches:
             texts = b.column(1).to_pylist()
             for at, to in sized(texts):
-                node, fp, gp = _classify(texts[at:to])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(node), pa.array(fp), pa.array(gp)], [key, "node", "fp", "gp"])
+                n, first = _prefixes(texts[at:to], size, similarity, known)
+                columns = [pa.array(_classify(texts[at:to])), pa.array(n.astype(np.int32)), pa.array(first, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), *columns], [key, "node", "n", "first"])
 
     kind = dict(docs.dtypes)[key]
     source = lean(docs).where(F.col(key).isNotNull()).select(key, text_or_empty(text).alias("_text"))
-    classes = checkpointed(source.mapInArrow(classify, f"`{key}` {kind}, node long, fp long, gp long"))
-    nodes = checkpointed(classes.groupBy("node").agg(F.min(key).alias("rep"), F.min("fp").alias("fp"), F.min("gp").alias("gp")))
-    reps = nodes.select("node", "rep")
+    shared = docs.sparkSession.sparkContext.broadcast(_common(source, size))
+    classes = checkpointed(source.mapInArrow(classify, f"`{key}` {kind}, node long, n int, first binary"))
+    nodes = checkpointed(classes.groupBy("node").agg(F.min(key).alias("rep")))
+    own = hinted(nodes.select(F.col("rep").alias(key), "node"))
+    shingles = classes.join(own, [key, "node"], "left_semi").select("node", "n", "first")
 
     with long_batches(docs):
-        met = checkpointed(_candidates(nodes.select("fp", "gp", "node"), most))
+        met = checkpointed(_candidates(shingles, most, similarity))
     crowds = checkpointed(components(met.select("a", "b"))).withColumnRenamed("root", "crowd")
     weight = met.join(crowds, F.col("b") == F.col("node")).groupBy("crowd").agg(F.sum("pairs").alias("m"), F.max("crowded").alias("full"))
     sizes = crowds.groupBy("crowd").agg(F.count("*").alias("k")).join(weight, "crowd")
@@ -491,14 +529,14 @@ def near_duplicates(
     dense, sparse = (crowds.join(sizes.where(F.col("dense") == x).select("crowd"), "crowd") for x in (True, False))
     links = checkpointed(_blocks(checkpointed(dense.select("crowd", "node")), nodes, docs, size, similarity, text, key))
     if not sizes.where("not dense").isEmpty():
-        alone = nodes.join(sparse.select("node"), "node", "left_semi").select("fp", "gp", "node")
-        pairs = checkpointed(_candidates(alone, most, all_pairs=True).select("a", "b"))
+        alone = shingles.join(hinted(checkpointed(sparse.select("node"))), "node", "left_semi")
+        pairs = checkpointed(_candidates(alone, most, similarity, all_pairs=True).select("a", "b"))
         links = links.unionAll(checkpointed(_pair_links(pairs, nodes, docs, size, similarity, text, key)))
     roots = components(links)
-    linked = checkpointed(reps.join(roots, "node"))
+    linked = checkpointed(nodes.join(roots, "node"))
     least = linked.groupBy("root").agg(F.min("rep").alias("group_id"))
     named = linked.join(least, "root").select("node", "group_id")
-    own = reps.join(named, "node", "left").select("node", F.coalesce("group_id", "rep").alias("group_id"))
+    own = nodes.join(named, "node", "left").select("node", F.coalesce("group_id", "rep").alias("group_id"))
     return classes.join(own, "node").select(key, "group_id")
 
 

@@ -149,6 +149,32 @@ def test_block_links_ask_no_fingerprint():
     assert root.tolist() == [0, 0]
 
 
+@pytest.mark.parametrize("most, part", [(512, 512), (512, 1), (4, 3)])  # as dense crowds, as sparse ones, with crowded keys
+def test_contiguous_edits_at_the_threshold(spark, monkeypatch, most, part):
+    monkeypatch.setattr(simhash, "PART", part)
+    monkeypatch.setattr(simhash, "SAMPLED", 2)
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(5000)]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    passage, pairs = rng.choices(vocabulary, k=40), []
+    for i in range(120):
+        base = rng.choices(vocabulary, k=rng.randrange(100, 500))
+        if i % 4 == 0:  # a passage that many texts have
+            base[20:60] = passage
+        n = len(base)
+        at = rng.randrange(n // 2)
+        edits = (lambda k: base + rng.choices(vocabulary, k=k), lambda k: base[: n - k], lambda k: base[:at] + rng.choices(vocabulary, k=k) + base[at + k :])
+        least = next(k for k in range(n, 0, -1) if alike(plain_shingles(" ".join(base)), plain_shingles(" ".join(edits[i % 3](k)))) >= 0.8)
+        pairs.append((" ".join(base), " ".join(edits[i % 3](least))))
+    rows = [(2 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    sets = {i: plain_shingles(t) for i, t in rows}
+    want = {(a, b) for a, b in itertools.combinations(sets, 2) if alike(sets[a], sets[b]) >= 0.8}
+    assert {(2 * i, 2 * i + 1) for i in range(120)} == want
+    assert sum(alike(sets[a], sets[b]) <= 0.85 for a, b in want) > 100
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()}
+    assert got == {i: i - i % 2 for i in sets}
+
+
 # URL filter
 
 
