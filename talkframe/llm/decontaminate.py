@@ -14,6 +14,7 @@ documents at once, and the rest of the text needs no fingerprints. Nothing is lo
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,6 +35,8 @@ BLOCKS, BLOCK_BITS = 4, 16
 RADIUS = 14
 #: Bytes of benchmark text that executors hold at once; a larger benchmark is taken in parts.
 MOST_BYTES = 64 << 20
+#: Characters outside ASCII that part words: signs, marks, symbols, blanks.
+PARTING = re.compile(r"[^\w\x00-\x7f]+")
 
 
 def words_of(text: str) -> list[str]:
@@ -152,10 +155,15 @@ def _combine(words: np.ndarray) -> np.ndarray:
 
 
 def _inside(raw: np.ndarray) -> np.ndarray:
-    """Bytes of words: letters and digits, and all of other alphabets."""
+    """Bytes of words: letters and digits, and all outside ASCII, where only those of words are left."""
     return ((raw >= 48) & (raw <= 57)) | ((raw >= 97) & (raw <= 122)) | (raw >= 128)
 
 
+def _plain(text: str) -> bytes:
+    """A lower-cased text in which ASCII alone parts words, the same words as ``words_of`` finds."""
+    return (text if text.isascii() else PARTING.sub(" ", text)).encode("utf-8", "surrogatepass")
+
+
 def _shingle_hash(shingle: str) -> int:
     raw = np.frombuffer(shingle.encode(), np.uint8)
     hashes = _combine(word_hashes(raw, _inside(raw))[2])
@@ -163,10 +171,9 @@ def _shingle_hash(shingle: str) -> int:
 
 
 def _suspects(texts: list[bytes], bench: Benchmark) -> np.ndarray:
-    """Which lower-cased texts may have a shingle of the benchmark.
+    """Which texts, as ``_plain`` gives them, may have a shingle of the benchmark.
 
-    Punctuation outside ASCII sticks to its word here; texts with it, and items of fewer than
-    five words, are looked at the slow way.
+    Items of fewer than five words are not looked for here.
     """
     raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     starts, _, hashes = word_hashes(raw, _inside(raw))
@@ -177,9 +184,6 @@ def _suspects(texts: list[bytes], bench: Benchmark) -> np.ndarray:
     ends = np.cumsum([len(t) + 1 for t in texts])
     out = np.zeros(len(texts), bool)
     out[np.searchsorted(ends, starts[hit], "right")] = True
-    # U+2000 to U+206F (dashes, quotes) and U+00A0 to U+00BF (such as guillemets) in UTF-8.
-    odd = np.flatnonzero(((raw[:-1] == 0xE2) & ((raw[1:] == 0x80) | (raw[1:] == 0x81))) | ((raw[:-1] == 0xC2) & (raw[1:] < 0xC0)))
-    out[np.searchsorted(ends, odd, "right")] = True
     return out
 
 
@@ -210,7 +214,7 @@ def _find(docs: DataFrame, items: list[tuple[int, str]], text: str, key: str) ->
         short = any(len(w) < SHINGLE for w in bench.words)
         for b in batches:
             texts = [t.as_py().lower() for t in b.column(1)]
-            raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+            raw = [_plain(t) for t in texts]
             rows: list[tuple] = []
             for at, to in sized(raw):
                 for i in range(to - at) if short else np.flatnonzero(_suspects(raw[at:to], bench)).tolist():

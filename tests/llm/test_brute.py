@@ -435,6 +435,24 @@ def test_benchmark_in_parts(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.contaminated(docs, bench).collect())) == whole and [(r[0], r[1]) for r in whole] == [(1, 0), (1, 1)]
 
 
+def test_items_in_other_scripts(spark):
+    items = [
+        "हिन्दी भाषा में यह एक छोटा सा परीक्षण वाक्य है", "การทดสอบ นี้ เป็น ภาษาไทย ที่ มี สระ และ วรรณยุกต์", "春眠不觉晓、处处闻啼鸟。夜来风雨声，花落知多少、红豆生南国。春来发几枝",
+        "שָׁלוֹם לְכֻלָּם זֶה מִשְׁפָּט קָצָר לִבְדִיקָה", "re\u0301sume\u0301 cafe\u0301 de\u0301ja\u0300 vu a\u0300 la carte enfin", "one•two•three•four•five•six•seven😀eight",
+    ]
+    docs = spark.createDataFrame([(i, f"some words before it {t} and some after") for i, t in enumerate(items)] + [(9, "हिन्दी में कुछ और")], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, i) for i in range(len(items))]
+
+
+def test_prefilter_sees_the_words():
+    every = "".join(f"a{chr(c)}b " for c in range(0x3100) if not 0xD800 <= c < 0xE000).lower()
+    raw = np.frombuffer(decontaminate._plain(every), np.uint8)
+    starts, ends, _ = decontaminate.word_hashes(raw, decontaminate._inside(raw))
+    assert [raw[a:b].tobytes().decode() for a, b in zip(starts, ends)] == decontaminate.words_of(every)
+
+
 # Search
 
 
