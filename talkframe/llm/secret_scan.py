@@ -4,7 +4,8 @@ The fixed patterns always count. The method adds values in a credential context
 as ``pwd`` or ``Bearer`` before them): each is segmented into words, dates, repeats, sequences,
 keyboard walks and brute-force spans so that the guesses needed are fewest, by dynamic
 programming over its positions; a value that still takes more than ``min_log10`` decimal orders
-of guesses is reported. Placeholders and plain words are cheap to guess and are left alone.
+of guesses is reported. Placeholders and plain words are cheap to guess and are left alone: the
+words are COMMON and those of the scanned texts themselves, counted outside of values.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pandas as pd
 import pyarrow as pa
@@ -43,6 +45,9 @@ COMMON = (
     "your my the and for none null true false value string placeholder redacted hidden removed"
 ).split()
 RANKS = {w: i + 1 for i, w in enumerate(COMMON)}
+#: Words of the texts that count as known: in SEEN texts or more, MOST_WORDS at most; a worker holds HELD counts.
+WORDS = re.compile(r"[^\W\d_]{3,24}")
+SEEN, MOST_WORDS, HELD = 3, 200_000, 300_000
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 NEIGHBOURS = {a + b for row in KEY_ROWS for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))}
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
@@ -55,7 +60,7 @@ def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: dict[str, int] = RANKS) -> float:
     """Decimal logarithm of the fewest guesses that some segmentation of the value needs.
 
     best[j] is the least cost of the first j characters. Each span adds the logarithm of its
@@ -77,9 +82,9 @@ def guess_cost(value: str) -> float:
         # A brute-force character carries on the span before it free of the charge.
         best[i + 1] = min(best[i + 1], best[i] + math.log10(_alphabet(value[i])))
         for end in range(i + 3, min(n, i + LONGEST) + 1):
-            if rank := RANKS.get(low[i:end]) or RANKS.get(plain[i:end]):
+            if rank := ranks.get(low[i:end]) or ranks.get(plain[i:end]):
                 capital = 0.3 if value[i:end] not in (low[i:end], low[i:end].upper()) else 0.0
-                offer(end, math.log10(rank + 1) + capital + (0.6 if low[i:end] not in RANKS else 0.0))
+                offer(end, math.log10(rank + 1) + capital + (0.6 if low[i:end] not in ranks else 0.0))
         if end := dates.get(i):
             offer(end, math.log10(365 * 120 if end - i > 4 else 120))
         far = min(n, i + LONGEST_RUN)
@@ -110,7 +115,7 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def find_secrets(text: str | None, min_log10: float = 12.0) -> list[tuple[str, int, int]]:
+def find_secrets(text: str | None, min_log10: float = 12.0, ranks: dict[str, int] = RANKS) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) in code points, by start and then in the order of KINDS."""
     if not text:
         return []
@@ -126,12 +131,44 @@ def find_secrets(text: str | None, min_log10: float = 12.0) -> list[tuple[str, i
         before = bisect_left(starts, end)  # fixed spans that start before the value's end
         if before and ends[before - 1] > start or len(value) < 8:
             continue
-        if guess_cost(value) >= min_log10 and re.search(r"\d", value) and re.search(r"[A-Za-z]", value):
+        if guess_cost(value, ranks) >= min_log10:
             spans.append(("guess", start, end))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(spans, key=lambda s: (s[1], order[s[0]]))
 
 
+def _words_outside(text: str) -> set[str]:
+    """A text's words in lower case, without those of values that may be secrets."""
+    parts, at = [], 0
+    for a, b in sorted(m.span(1) for m in chain(CONTEXT.finditer(text), ASSIGN.finditer(text))):
+        parts.append(text[at : max(at, a)])
+        at = max(at, b)
+    return set(WORDS.findall(" ".join([*parts, text[at:]]).lower()))
+
+
+def known_words(docs: DataFrame, text: str = "text") -> dict[str, int]:
+    """Ranks of words: COMMON first, then the words of all the texts by the number of texts that have them.
+
+    A value after a credential keyword is not counted, so that a secret does not become a word
+    however many copies of it there are; a plain word stands elsewhere too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        for rows in batches:
+            for t in rows.column(0).to_pylist():
+                counts.update(_words_outside(t or ""))
+                if len(counts) > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+                    counts.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+
+    counted = lean(docs).select(F.col(text).alias("_text")).mapInArrow(run, "word string, n long")
+    totals = counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
+    ranked = totals.orderBy(F.desc("n"), "word").limit(MOST_WORDS).select("word").toPandas()["word"].tolist()
+    return RANKS | {w: len(COMMON) + i for i, w in enumerate((w for w in ranked if w not in RANKS), 1)}
+
+
 def scan(docs: DataFrame, min_log10: float = 12.0, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Each document's secrets: the key and ``secrets``, an array of (kind, start, end).
 
@@ -140,12 +177,13 @@ def scan(docs: DataFrame, min_log10: float = 12.0, text: str = "text", key: str
     ignored.
     """
 
+    ranks = docs.sparkSession.sparkContext.broadcast(known_words(docs, text))
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             found = [
-                [{"kind": k, "start": a, "end": b} for k, a, b in find_secrets(t.as_py(), min_log10)]
+                [{"kind": k, "start": a, "end": b} for k, a, b in find_secrets(t.as_py(), min_log10, ranks.value)]
                 for t in rows.column("_text")
             ]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, pa.list_(span))], [key, "secrets"])
@@ -157,13 +195,14 @@ def scan(docs: DataFrame, min_log10: float = 12.0, text: str = "text", key: str
 
 def redact(docs: DataFrame, mask: str = "[secret]", min_log10: float = 12.0, text: str = "text") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced; overlapping spans give one mask."""
+    ranks = docs.sparkSession.sparkContext.broadcast(known_words(docs, text))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for t in rows[text]:
                 parts, at = [], 0
-                for _, a, b in find_secrets(t, min_log10):
+                for _, a, b in find_secrets(t, min_log10, ranks.value):
                     if a >= at:
                         parts += [t[at:a], mask]
                     at = max(at, b)

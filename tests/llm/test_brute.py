@@ -298,6 +298,17 @@ def test_guess_cost():
     assert [k for k, _, _ in found] == ["guess"]
 
 
+def test_guess_cost_alone_decides(spark):
+    prose = "protection of confidential correspondence remains straightforward; all requirements are comprehensive"
+    said = [
+        "pwd: xKqZvWmRtYpLsB", "Bearer qzxvkwjhgpyrtmbnd here", "pin: 83920174658203", "my passphrase is Zrqhvkwmxpltgs",  # secrets
+        "password confidential", "pwd: requirements", "the secret is straightforward", "authorization comprehensive", "pin: 12341234",
+    ]
+    rows = [(i, t) for i, t in enumerate(said)] + [(100 + i, f"{prose} {i}") for i in range(5)] + [(200 + i, said[0]) for i in range(5)]
+    got = {r["doc_id"]: [x["kind"] for x in r["secrets"]] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, kinds in got.items() if kinds == ["guess"]} == {0, 1, 2, 3, *range(200, 205)} and sum(map(bool, got.values())) == 9
+
+
 # Packing, sharding
 
 
