@@ -79,8 +79,17 @@ SELECT user_id, prev AS s, s AS e, false AS is_cmd FROM p WHERE s > prev + 0.3
 UNION ALL SELECT user_id, s, e, true FROM p WHERE e > s + 0.3
 UNION ALL SELECT user_id, e, 1440.0, false FROM p WHERE n = m AND e + 0.3 < 1440.0""")
 def segment_plan(spark, sf):
+    return planned(table(spark, sf, "events").where("user_id < 50"))
+
+
+@query("segment_plan_all")
+def segment_plan_all(spark, sf):
+    return planned(table(spark, sf, "events"))
+
+
+def planned(events):
     s = (F.hour("ts") * 60 + F.minute("ts")).cast("double")
-    rows = table(spark, sf, "events").where("user_id < 50").select("user_id", F.struct(s.alias("s"), (s + (F.col("event_id") % 7).cast("double") / 4).alias("e")).alias("x"))
+    rows = events.select("user_id", F.struct(s.alias("s"), (s + (F.col("event_id") % 7).cast("double") / 4).alias("e")).alias("x"))
     plans = rows.groupBy("user_id").agg(c.plan_segments(F.collect_list("x"), F.lit(1440.0)).alias("p"))
     return plans.select("user_id", F.inline("p"))
 
