@@ -274,14 +274,25 @@ SPOILT = "lower(regexp_replace(text, '[.,!?;:]', '', 'g'))"
 ASCII = "(SELECT * FROM benchmark WHERE strlen(text) = length(text))"
 
 
-def evaluated(spark, sf):
-    rows = table(spark, sf, "benchmark").where(F.octet_length("text") == F.length("text"))
+def evaluated(spark, sf, ascii_only=True):
+    rows = table(spark, sf, "benchmark")
+    if ascii_only:  # DuckDB's levenshtein compares bytes
+        rows = rows.where(F.octet_length("text") == F.length("text"))
     return rows.select("item_id", F.concat(F.lit("Actually "), "text").alias("input"), F.col("text").alias("output"), F.lower(tx.drop_punctuation(F.col("text"))).alias("prediction"))
 
 
 @query("cer_rows", f"SELECT item_id, round(levenshtein(trim({SPOILT}), trim(text)) / length(trim(text)), 6) AS cer FROM {ASCII}")
 def cer_rows(spark, sf):
-    return evaluated(spark, sf).select("item_id", F.round(e.cer(F.col("output"), F.col("prediction")), 6).alias("cer"))
+    return rates(evaluated(spark, sf))
+
+
+@query("cer_rows_all")
+def cer_rows_all(spark, sf):
+    return rates(evaluated(spark, sf, ascii_only=False))
+
+
+def rates(rows):
+    return rows.select("item_id", F.round(e.cer(F.col("output"), F.col("prediction")), 6).alias("cer"))
 
 
 @query("eval_report", f"""
@@ -294,6 +305,11 @@ def eval_report(spark, sf):
     return e.report(evaluated(spark, sf))
 
 
+@query("eval_report_all")
+def eval_report_all(spark, sf):
+    return e.report(evaluated(spark, sf, ascii_only=False))
+
+
 @query("backtrack_rate", """
 SELECT count(*) AS judged, count(*) FILTER (contains(lower(a), 'wait')) AS still FROM (SELECT CASE WHEN turn % 2 = 0 THEN 'Wait ' || text ELSE text END AS q, CASE WHEN turn % 4 = 0 THEN 'wait ' || text ELSE text END AS a FROM conversations)
 WHERE contains(lower(q), 'wait')""")
