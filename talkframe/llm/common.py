@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,41 +17,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut through the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one named in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only where that is
-    unset, as in tests on one machine, a temporary folder is chosen.
+    Where that is unset a temporary folder is chosen, but only on one machine, as in tests; on a
+    cluster the executors would not see it, and this is an error.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    if named := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="talkframe-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut through the shared checkpoint folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="talkframe-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Texts that an executor's JVM and Python hold at once, twice each.
-TEXTS_AT_ONCE = 500
+def deleted(spark: SparkSession, path: str) -> None:
+    """A folder that is needed no more goes, in whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def lean(df: DataFrame, rows: int = TEXTS_AT_ONCE) -> DataFrame:
-    """``df``, in a session whose Arrow batches are short enough for rows of whole texts."""
-    df.sparkSession.conf.set(BATCH, rows)
-    return df
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch, but for one row that is larger. An executor's JVM and Python hold a batch a few times each.
+BYTES_AT_ONCE = 8 << 20
+
 
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded by their bytes.
 
-@contextmanager
-def long_batches(df: DataFrame, rows: int = 10_000) -> Iterator[None]:
-    """Long Arrow batches, for narrow rows, while jobs inside the block run."""
-    conf = df.sparkSession.conf
-    before = conf.get(BATCH)
-    conf.set(BATCH, rows)
-    try:
-        yield
-    finally:
-        conf.set(BATCH, before)
+    Plans are lazy, so the setting has to hold when the result is used: all operators set it to
+    the same value, and it is left in place.
+    """
+    df.sparkSession.conf.set(BATCH_BYTES, BYTES_AT_ONCE)
+    return df
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -84,3 +87,15 @@ def with_columns(df: DataFrame, **columns: Column) -> DataFrame:
     lower = {c.lower() for c in columns}
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in lower]
     return df.select(*kept, *(c.alias(n) for n, c in columns.items()))
+
+
+def boxed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``row``, all columns of ``df`` as one struct, and these columns: their names can't clash with any of ``df``."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(c.alias(n) for n, c in columns.items()))
+
+
+def unboxed(df: DataFrame, of: DataFrame, **columns: Column) -> DataFrame:
+    """The columns of ``of`` out of ``row`` again, and these; one of the same name, in any case, is replaced."""
+    lower = {c.lower() for c in columns}
+    kept = [F.col("row").getField(c).alias(c) for c in of.columns if c.lower() not in lower]
+    return df.select(*kept, *(c.alias(n) for n, c in columns.items()))

@@ -9,6 +9,7 @@ holds it, which a segment tree over the remaining capacities finds in log2(windo
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,23 +24,66 @@ from pyspark.sql import functions as F
 
 from .common import lean, table
 
-#: Texts are tokenized in slices of about so many bytes, and so many words are remembered.
+#: Texts are tokenized in slices of about so many bytes; so many words are remembered, about, in 40 bytes each.
 SLICE_BYTES = 8_000_000
-CACHED_WORDS = 250_000
-#: Texts of an Arrow batch: in longer ones more words repeat.
-TEXTS_AT_ONCE = 2000
-LETTER_STOP = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,])"
-PLAIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+CACHED_WORDS = 800_000
+#: Words that the tokenizer gets at once: it keeps a hundred bytes for each of their tokens.
+WORDS_AT_ONCE = 20_000
+#: What a tokenizer says of itself whose texts may be taken word by word.
+NORMALIZER = [("NFC", None), ("Replace", {"Regex": r"\s+"}), ("Lowercase", None)]
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: A letter before a sign of ASCII: the two are never in one token, nor is the sign in one with what comes before.
+LETTER_SIGN = f"([{LATIN}])([!-/:-@\\[-`{{-~])"
+PLAIN = re.compile(f"[{LATIN}]+")
+
+
+class WordCache:
+    """Token ids of words: the words as one Arrow array, their ids one after another.
+
+    Words are looked up many at once. Beyond ``CACHED_WORDS`` those that were not met for
+    longest go, about half of them.
+    """
+
+    def __init__(self) -> None:
+        self.words, self.ids = pa.array([], pa.string()), np.zeros(0, np.uint32)
+        self.lengths, self.met, self.now = np.zeros(0, np.int32), np.zeros(0, np.int32), 0
+
+    def places(self, words: pa.Array, encode) -> np.ndarray:
+        """Where each of these distinct words is; ``encode`` gives ids and lengths of unknown ones."""
+        self.now += 1
+        if len(self.words) > CACHED_WORDS:
+            self._keep(self.met > np.partition(self.met, len(self.met) // 2)[len(self.met) // 2])
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            missing = at.is_null()
+            new = words.filter(missing)
+            ids, lengths = encode(new.to_pylist())
+            place = at.fill_null(0).to_numpy().copy()
+            place[missing.to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, new])
+            self.ids, self.lengths = np.concatenate((self.ids, ids)), np.concatenate((self.lengths, lengths.astype(np.int32)))
+            self.met = np.concatenate((self.met, np.zeros(len(new), np.int32)))
+        else:
+            place = at.to_numpy()
+        self.met[place] = self.now
+        return place
+
+    def _keep(self, own: np.ndarray) -> None:
+        self.ids = self.ids[np.repeat(own, self.lengths)]
+        self.words = self.words.filter(pa.array(own))
+        self.lengths, self.met = self.lengths[own], self.met[own]
 
 
 class WordTokenizer:
     """Token ids of whole texts through a cache of words.
 
-    For tokenizers that lower-case, drop white space and part letters from punctuation, and
-    never join characters across these: a text's ids are then its words' ids one after
-    another, and most words have been seen before. Only ASCII capitals are folded and only
-    Latin letters parted from stops and commas here; all else is left to the tokenizer. Texts
-    that spell a special token, in any case, go to the tokenizer whole.
+    That is for tokenizers whose normalizer and pattern of words are NORMALIZER and
+    WORD_PATTERN: they lower-case, drop white space and part letters from signs, and never join
+    characters across these, so a text's ids are its words' ids one after another, and most
+    words have been seen before. Only ASCII capitals are folded and only Latin letters parted
+    from signs here; all else is left to the tokenizer. Texts that spell a special token go to
+    the tokenizer whole, and so do all texts where the tokenizer is of another kind.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,55 +100,78 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix:
             self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
-        self.words: dict[str, bytes] = {"": b""}  # ids as unsigned 32-bit numbers
-
-    def _add(self, new: list[str]) -> None:
-        """Plain words go to the tokenizer as one text, which is parted at the word ends again."""
-        plain = [w for w in new if PLAIN.fullmatch(w)]
-        ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, np.uint32)
-        ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-        packed = ids.tobytes()
-        if len(ends) == len(plain):
-            for w, a, b in zip(plain, [0, *ends], ends):
-                self.words[w] = packed[a:b]
-            new = [w for w in new if w not in self.words]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, np.uint32).tobytes()
-
-    def _look_up(self, words: list[str]) -> list[bytes]:
-        known = list(map(self.words.get, words))
-        if new := [w for w, ids in zip(words, known) if ids is None]:
-            if len(self.words) + len(new) > CACHED_WORDS:
-                self.words = {"": b""}
-                new = words
-            self._add(new)
-            known = [self.words[w] for w in words]
-        return known
+        self.by_word = self._takes_words()
+        self.cache = WordCache()
+
+    def _takes_words(self) -> bool:
+        about = json.loads(self.tokenizer.to_str())
+        steps = (about["normalizer"] or {}).get("normalizers", [])
+        splits = (about["pre_tokenizer"] or {}).get("pretokenizers", [])
+        return (
+            [(x["type"], x.get("pattern")) for x in steps] == NORMALIZER
+            and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+            and splits[0]["pattern"] == {"Regex": WORD_PATTERN}
+            and (splits[0]["behavior"], splits[0]["invert"]) == ("Removed", True)
+            and not splits[1]["add_prefix_space"]
+            and not splits[1]["use_regex"]
+        )
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has."""
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for a in range(0, len(words), WORDS_AT_ONCE):
+            own = words[a : a + WORDS_AT_ONCE]
+            plain = np.array([bool(PLAIN.fullmatch(w)) for w in own])
+            # Plain words go to the tokenizer as one text, which is parted at the word ends again.
+            found = np.array(self.tokenizer.encode(" ".join([w for w, p in zip(own, plain) if p]), add_special_tokens=False).ids, np.uint32)
+            n = np.diff(np.flatnonzero(self.ends[found]), prepend=-1)
+            if len(n) != plain.sum():
+                plain[:] = False
+                found = found[:0]
+            other = [e.ids for e in self.tokenizer.encode_batch_fast([w for w, p in zip(own, plain) if not p], add_special_tokens=False)]
+            count = np.zeros(len(own), np.int64)
+            count[plain], count[~plain] = n[: plain.sum()], [len(x) for x in other]
+            out, in_plain = np.zeros(count.sum(), np.uint32), np.repeat(plain, count)
+            out[in_plain], out[~in_plain] = found, np.array([i for x in other for i in x], np.uint32)
+            ids.append(out)
+            lengths.append(count)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and where each text's ids start (and the last ones end)."""
+        """All ids one after another, and where each text's ids start (and the last one's end)."""
+        if not self.by_word:
+            parts = self._whole(texts.to_pylist())
+            return np.concatenate([np.zeros(0, np.uint32), *parts]), np.cumsum([0, *map(len, parts)])
         lower = pc.ascii_lower(texts)
-        split = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, LETTER_STOP, r"\1 \2"))
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, LETTER_SIGN, r"\1 \2"))
         coded = split.flatten().dictionary_encode()
-        ids = self._look_up(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        starts = np.cumsum(lengths) - lengths
+        place = self.cache.places(coded.dictionary, self._ids)
+        lengths = self.cache.lengths[place].astype(np.int64)
+        starts = (np.cumsum(self.cache.lengths, dtype=np.int64) - self.cache.lengths)[place]
         word = coded.indices.to_numpy(zero_copy_only=False)
         n = lengths[word]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        out = flat[np.repeat(starts[word] - ends + n, n) + np.arange(total)]
+        at = np.repeat(starts[word] - ends + n, n)
+        at += np.arange(total)
+        out = self.cache.ids[at]
         bounds = np.concatenate(([0], ends))[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        marked = [i for s in self.specials for i in np.flatnonzero(pc.match_substring(lower, s).to_numpy(zero_copy_only=False))]
+        marked = {i for s in self.specials if s.encode() in _data(lower) for i in np.flatnonzero(pc.match_substring(lower, s).to_numpy(zero_copy_only=False))}
         if marked:
             parts = [out[a:b] for a, b in zip(bounds, bounds[1:])]
-            for i in set(marked):
-                parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+            for i in marked:
+                parts[i] = self._whole([texts[int(i)].as_py()])[0]
             out, bounds = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
         return out, bounds
 
 
+def _data(texts: pa.Array) -> bytes:
+    return (texts.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+
+
 @lru_cache(1)
 def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
@@ -113,7 +180,7 @@ def _tokenizer(path: str) -> WordTokenizer:
 def slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of rows with about ``most`` in all; a longer row is alone."""
     start, total = 0, 0
-    for i, n in enumerate(lengths):
+    for i, n in enumerate(lengths.tolist()):
         if i > start and total + n > most:
             yield start, i
             start, total = i, 0
@@ -128,27 +195,27 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, with_ids:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokenizer(tokenizer)
         for whole in batches:
-            texts = whole.column(1).cast(pa.large_string())
-            sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else np.zeros(0, int)
-            for a, b in slices(sizes, SLICE_BYTES):
-                ids, bounds = encoder.encode(texts.take(pa.array(range(a, b))).cast(pa.string()))
-                rows: list[list] = [[], [], [], [], [], []]
-                for k, doc in enumerate(whole.column(0)[a:b]):
-                    own = np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id)).astype("<u4")
-                    for start in range(0, len(own), window):
-                        part = own[start : start + window]
-                        for column, value in zip(rows, (doc, start, len(part), zlib.crc32(part), len(own), part if with_ids else None)):
-                            column.append(value)
-                docs_ = pa.array([x.as_py() for x in rows[0]], whole.column(0).type)
-                columns = [docs_, *(pa.array(c, pa.int64()) for c in rows[1:5])]
+            texts = whole.column(1)
+            for a, b in slices(pc.binary_length(texts).to_numpy(), SLICE_BYTES):
+                ids, bounds = encoder.encode(texts.slice(a, b - a).cast(pa.string()))
+                all_ = np.insert(ids, bounds[1:], end_id).astype("<u4")
+                n = np.diff(bounds) + 1
+                k = -(-n // window)  # pieces of each document
+                doc = np.repeat(np.arange(len(n)), k)
+                start = (np.arange(len(doc)) - (np.cumsum(k) - k)[doc]) * window
+                length = np.minimum(window, n[doc] - start)
+                at = (np.cumsum(n) - n)[doc] + start
+                raw = memoryview(all_).cast("B")
+                crc = [zlib.crc32(raw[x:y]) for x, y in zip((4 * at).tolist(), (4 * (at + length)).tolist())]
+                columns = [whole.column(0).slice(a, b - a).take(pa.array(doc)), *(pa.array(c, pa.int64()) for c in (start, length, crc, n[doc]))]
                 if with_ids:
-                    columns.append(pa.array(rows[5], pa.list_(pa.int64())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(all_)), pa.int32()), pa.array(all_.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     names = [key, "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
     kind = dict(docs.dtypes)[key]
     schema = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
-    return lean(docs, TEXTS_AT_ONCE).select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(cut, schema)
+    return lean(docs).select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(cut, schema)
 
 
 class Windows:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hinted, lean, long_batches, table, text_or_empty, without
+from .common import checkpointed, hinted, lean, table, text_or_empty, without
 from .golay import keys as golay_keys
 from .graph import components
 from .tokens import U, mix, sized, word_hashes
@@ -173,8 +173,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, most: int = 1024) -> Data
 
     keyed = _keyed(fps.select("fp"), _exact_keys, [])
     met = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, crowded boolean").distinct()
-    with long_batches(fps):
-        met = checkpointed(met)
+    met = checkpointed(met)
     balls = met.where("crowded").select(F.col("a").alias("fp"), F.explode(F.array(F.lit(0).cast("long"), *(F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)))).alias("bit"))
     shared = balls.groupBy(F.col("fp").bitwiseXOR(F.col("bit")).alias("word")).agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)
     stars = shared.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b").distinct()
@@ -519,8 +518,7 @@ def near_duplicates(
     own = hinted(nodes.select(F.col("rep").alias(key), "node"))
     shingles = classes.join(own, [key, "node"], "left_semi").select("node", "n", "first")
 
-    with long_batches(docs):
-        met = checkpointed(_candidates(shingles, most, similarity))
+    met = checkpointed(_candidates(shingles, most, similarity))
     crowds = checkpointed(components(met.select("a", "b"))).withColumnRenamed("root", "crowd")
     weight = met.join(crowds, F.col("b") == F.col("node")).groupBy("crowd").agg(F.sum("pairs").alias("m"), F.max("crowded").alias("full"))
     sizes = crowds.groupBy("crowd").agg(F.count("*").alias("k")).join(weight, "crowd")
