@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +50,7 @@ def deleted(spark: SparkSession, path: str) -> None:
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of an Arrow batch, but for one row that is larger. An executor's JVM and Python hold a batch a few times each.
-BYTES_AT_ONCE = 8 << 20
+BYTES_AT_ONCE = 2 << 20
 
 
 def lean(df: DataFrame) -> DataFrame:
@@ -59,6 +63,25 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
+def _give_back() -> None:
+    """Memory that Arrow and the C library hold free goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a partition's batches, after which the worker gives its memory back: workers outlive tasks."""
+
+    def kept(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return kept
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
