@@ -1,10 +1,10 @@
 """Language identification with hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1. An n-gram's vector binds its letters: the first
-letter's vector is permuted (rotated) n-1 times, the next n-2 times, and so on, and all are
-multiplied. A text's vector bundles (adds up) the vectors of its n-grams; a language's prototype
-bundles its training texts, each scaled to length one. A text is given the language whose
-prototype has the largest cosine with it.
+Each letter has a random vector of +1 and -1, kept as bits (a set bit is -1). An n-gram's vector
+binds its letters: the first letter's vector is permuted (rotated by a byte) n-1 times, the next
+n-2 times, and so on, and all are multiplied, which is XOR of the bits. A text's vector bundles
+(adds up) the vectors of its n-grams; a language's prototype bundles its training texts, each
+scaled to length one. A text is given the language whose prototype has the largest cosine with it.
 """
 
 from __future__ import annotations
@@ -17,53 +17,91 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, table, with_columns
+from .common import boxed, lean, table, tidy, unboxed
 
 DIMENSIONS, NGRAM, SEED = 1024, 3, 7
 #: Training texts a language, about: the bound of the sample that the prototypes are fitted on.
 TRAIN_PER_LANGUAGE = 4000
 #: Characters that are bundled at once; a longer text is alone.
 SLICE_CHARS = 300_000
+#: N-grams whose vectors are made at once, and counts of n-grams in texts that are held at once.
+NGRAMS_AT_ONCE, COUNTS_AT_ONCE = 2048, 1 << 21
 
 
 class Encoder:
     """Text vectors; letters get their random vectors when first met, the same everywhere."""
 
     def __init__(self, dimensions: int = DIMENSIONS, n: int = NGRAM, seed: int = SEED) -> None:
+        if dimensions % 8:
+            raise ValueError("dimensions come in whole bytes")
         self.dimensions, self.n, self.seed = dimensions, n, seed
         self.id_of = np.full(0x110000, -1, np.int32)  # -1: not met; 0: not a letter
-        self.id_of[0] = 0
-        self.rotated = [np.ones((1, dimensions), np.int8) for _ in range(n)]  # by place in the n-gram
-        self._meet(np.array([32]))
+        self.letters, self.met = np.zeros((64, dimensions // 8), np.uint8), 1  # row 0 is the gap's
+        self.letters[0] = self._bits(32)
+        self.id_of[[0, 32]] = 0
+
+    def _bits(self, point: int) -> np.ndarray:
+        return np.frombuffer(np.random.default_rng([self.seed, point]).bytes(self.dimensions // 8), np.uint8)
 
     def _meet(self, points: np.ndarray) -> None:
-        for p in points:
+        for p in points.tolist():
             if not chr(p).isalpha():
                 self.id_of[p] = 0
-                if p != 32 or len(self.rotated[0]) > 1:
-                    continue
-            own = np.random.default_rng([self.seed, int(p)]).integers(0, 2, self.dimensions, np.int8) * 2 - 1
-            for place in range(self.n):
-                turned = np.roll(own, self.n - 1 - place)[None]
-                self.rotated[place] = turned if p == 32 else np.concatenate([self.rotated[place], turned])
-            if p != 32:
-                self.id_of[p] = len(self.rotated[0]) - 1
+                continue
+            if self.met == len(self.letters):
+                self.letters = np.concatenate((self.letters, np.zeros_like(self.letters)))
+            self.letters[self.met], self.id_of[p] = self._bits(p), self.met
+            self.met += 1
+
+    def _bound(self, codes: np.ndarray, width: int) -> np.ndarray:
+        """Bits of the vectors of n-grams, a row each; ``codes`` are their letters' ids in base ``width``."""
+        out = np.zeros((len(codes), self.dimensions // 8), np.uint8)
+        for place in reversed(range(self.n)):
+            out ^= np.roll(self.letters[codes % width], self.n - 1 - place, axis=1)
+            codes = codes // width
+        return np.unpackbits(out, axis=1)
+
+    def _bundle(self, codes: np.ndarray, own: np.ndarray, n_texts: int, width: int) -> np.ndarray:
+        """Sums of the vectors of n-grams in each text; ``own`` are the texts' numbers."""
+        if width**self.n <= 1 << 21:
+            found = np.flatnonzero(np.bincount(codes, minlength=1))
+            column = np.zeros(int(found[-1]) + 1 if len(found) else 1, np.int64)
+            column[found] = np.arange(len(found))
+            column = column[codes]
+        else:
+            found, column = np.unique(codes, return_inverse=True)
+        counts, step = None, NGRAMS_AT_ONCE
+        if n_texts * len(found) <= COUNTS_AT_ONCE:
+            counts = np.bincount(own * len(found) + column, minlength=n_texts * len(found)).reshape(n_texts, len(found)).astype(np.float32)
+        else:
+            step = max(1, min(step, COUNTS_AT_ONCE // n_texts))
+            order = np.argsort(column, kind="stable")
+            column, own = column[order], own[order]
+        set_bits = np.zeros((n_texts, self.dimensions), np.float32)
+        for at in range(0, len(found), step):
+            some = found[at : at + step]
+            if counts is not None:
+                part = counts[:, at : at + step]
+            else:
+                a, b = np.searchsorted(column, (at, at + len(some)))
+                part = np.bincount(own[a:b] * len(some) + column[a:b] - at, minlength=n_texts * len(some)).reshape(n_texts, len(some)).astype(np.float32)
+            set_bits += part @ self._bound(some, width).astype(np.float32)
+        return np.bincount(own, minlength=n_texts)[:, None].astype(np.float32) - 2 * set_bits
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Vectors of length one, a row a text, and which texts have a letter (others get zeros)."""
-        joined = " ".join(["", *(t.lower() for t in texts), ""])
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        # Lower-casing can lengthen a text, so its own length counts.
-        ends = np.cumsum([len(t.lower()) + 1 for t in texts])
+        lower = [t.lower() for t in texts]  # this can lengthen a text
+        points = np.frombuffer(" ".join(["", *lower, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum([len(t) + 1 for t in lower])
         ids = self.id_of[points]
         if (new := ids < 0).any():
             self._meet(np.unique(points[new]))
             ids = self.id_of[points]
-        doc = np.searchsorted(ends, np.arange(len(ids)), "left").astype(np.int64)  # text i: after ends[i-1], to ends[i]
+        doc = np.repeat(np.arange(len(texts) + 1), np.diff(ends, prepend=-1, append=len(ids) - 1))  # text i: after ends[i-1], to ends[i]
         keep = np.concatenate(([True], (ids[1:] != 0) | (ids[:-1] != 0)))  # one gap between words
         ids, doc = ids[keep], doc[keep]
         has = np.bincount(doc[ids > 0], minlength=len(texts))[: len(texts)] > 0
-        width, m = int(max(2, len(self.rotated[0]))), len(ids) - self.n + 1
+        width, m = max(2, self.met), len(ids) - self.n + 1
         if m <= 0:
             return np.zeros((len(texts), self.dimensions), np.float32), has
         codes = np.zeros(m, np.int64)
@@ -72,20 +110,7 @@ class Encoder:
         # An n-gram belongs to the text of its middle letter; those across a border touch only the gap.
         own = doc[self.n // 2 : self.n // 2 + m]
         inside = (own < len(texts)) & (ids[self.n // 2 : self.n // 2 + m] > 0)
-        codes, own = codes[inside], own[inside]
-        if width**self.n <= 1 << 21:
-            found = np.flatnonzero(np.bincount(codes, minlength=1))
-            column = np.zeros(int(found[-1]) + 1 if len(found) else 1, np.int64)
-            column[found] = np.arange(len(found))
-            column = column[codes]
-        else:
-            found, column = np.unique(codes, return_inverse=True)
-        counts = np.bincount(own * max(1, len(found)) + column, minlength=len(texts) * max(1, len(found)))
-        bound, rest = np.ones((len(found), self.dimensions), np.int8), found
-        for place in reversed(range(self.n)):
-            bound *= self.rotated[place][rest % width]
-            rest = rest // width
-        out = counts.reshape(len(texts), -1).astype(np.float32) @ bound.astype(np.float32) if len(found) else np.zeros((len(texts), self.dimensions), np.float32)
+        out = self._bundle(codes[inside], own[inside], len(texts), width)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm == 0, 1, norm), has
 
@@ -113,25 +138,32 @@ def fit_prototypes(
 
     About ``per_language`` texts of each language, chosen by a hash of the key, are bundled;
     partial sums are formed where the texts are, so the driver gets one vector a language.
+
+    Rows with a null text or language teach nothing; nor does a text without a letter, and a
+    language that has no other gets no prototype. A null key hashes like any other; repeated
+    rows count each; texts count as a whole; an empty table gives no prototype; other columns,
+    whatever their names, are ignored. The result does not depend on the rows' order but for
+    the rounding of sums.
     """
-    train = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = {r[0]: min(1.0, per_language / r[1]) for r in train.groupBy(lang).count().collect()}
+    train = train.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    train = train.where("lang is not null and text is not null")
+    share = {r[0]: min(1.0, per_language / r[1]) for r in train.groupBy("lang").count().collect()}
     if not share:
         return {}
-    rate = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col(lang)]
-    chosen = train.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 20)) < rate * (1 << 20))
+    rate = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]
+    chosen = train.where(F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 20)) < rate * (1 << 20))
 
     def bundle(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, sums = _encoder(dimensions, n, seed), {}
         for batch in rows:
-            names = batch["_lang"].to_numpy()
-            for a, b, vectors, _ in encoder.batches(batch["_text"].tolist()):
+            names = batch["lang"].to_numpy()
+            for a, b, vectors, _ in encoder.batches(batch["text"].tolist()):
                 for name in set(names[a:b]):
                     sums[name] = sums.get(name, 0) + vectors[names[a:b] == name].sum(axis=0, dtype=np.float64)
         for name, v in sums.items():
             yield pd.DataFrame({"lang": name, "at": np.arange(dimensions), "value": v})
 
-    parts = lean(chosen).select(F.col(lang).alias("_lang"), F.col(text).alias("_text")).mapInPandas(bundle, "lang string, at int, value double")
+    parts = lean(chosen).select("lang", "text").mapInPandas(tidy(bundle), "lang string, at int, value double")
     out = {name: np.zeros(dimensions) for name in share}
     for r in parts.groupBy("lang", "at").agg(F.sum("value").alias("value")).collect():
         out[r["lang"]][r["at"]] = r["value"]
@@ -153,21 +185,23 @@ def identify(
     matrix = np.array([prototypes[k] for k in names], np.float32).reshape(len(names), dimensions)
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def judge(texts: pd.Series) -> pd.DataFrame:
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return tidy(judged_texts)(batches)
+
+    def judged_texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(dimensions, n, seed)
-        langs, scores = [], []
-        for _, _, vectors, has in encoder.batches(texts.fillna("").tolist()):
-            cosines = vectors @ matrix.T if names else np.zeros((len(vectors), 1), np.float32)
-            best = cosines.argmax(axis=1)
-            ok = has & bool(names)
-            langs += [names[i] if y else "und" for i, y in zip(best, ok)]
-            scores += np.where(ok, cosines[np.arange(len(best)), best].clip(0, 1), 0.0).tolist()
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
-
-    docs = lean(docs)
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    judged = docs.select(*kept, judge(F.col(text)).alias("_judged"))
-    return with_columns(judged, lang_pred=F.col("_judged.lang_pred"), score=F.col("_judged.score")).drop("_judged")
+        for texts in batches:
+            langs, scores = [], []
+            for _, _, vectors, has in encoder.batches(texts.fillna("").tolist()):
+                cosines = vectors @ matrix.T if names else np.zeros((len(vectors), 1), np.float32)
+                best = cosines.argmax(axis=1)
+                ok = has & bool(names)
+                langs += [names[i] if y else "und" for i, y in zip(best, ok)]
+                scores += np.where(ok, cosines[np.arange(len(best)), best].clip(0, 1), 0.0).tolist()
+            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+
+    judged = boxed(lean(docs), judged=judge(F.col(text)))
+    return unboxed(judged, docs, lang_pred=F.col("judged.lang_pred"), score=F.col("judged.score"))
 
 
 def remainder(key: str, of: int) -> Column:

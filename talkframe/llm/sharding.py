@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, checkpointed, text_or_empty, with_columns
+from .common import boxed, bytes_of, checkpointed, text_or_empty, unboxed
 
 LOWEST = -(2**63)
 
@@ -127,15 +127,13 @@ def histogram_sort(
     the tolerance, twice the heaviest row and the weight of rows repeated as a whole. Null and
     empty texts weigh one and count as equal; a null id hashes like any other value; repeated
     rows get slots of their own; an empty table gives an empty result. Input columns named
-    shard or slot are replaced.
+    shard or slot are replaced, all others kept, whatever their names.
 
     Slots need no task that holds a shard. The first round's ranges, the crowded ones cut
     further by the second hash, are numbered alone after the one exchange; their first slots
     come from a table with at most about ``2 * bins + n_shards`` rows, which is broadcast.
     """
-    keyed = docs.withColumns(
-        {"_h": F.xxhash64(text_or_empty(text)), "_g": F.xxhash64(F.col(key)), "_size": bytes_of(text) + 1}
-    )
+    keyed = boxed(docs, _h=F.xxhash64(text_or_empty(text)), _g=F.xxhash64(F.col(key)), _size=bytes_of(text) + 1)
     keys = checkpointed(keyed.select("_h", "_g", "_size"))
     shard = _shard_of(splitters(keys, n_shards, tolerance, bins))
     low_bits = 64 - (bins.bit_length() - 1)
@@ -166,10 +164,9 @@ def histogram_sort(
         )
     )
     own = ["_shard", "_bin", "_part"]
-    rank = F.row_number().over(Window.partitionBy(*own).orderBy("_h", "_g", key))
+    rank = F.row_number().over(Window.partitionBy(*own).orderBy("_h", "_g", F.col("row").getField(key)))
     out = placed(keyed).withColumn("_rank", rank).join(F.broadcast(firsts), own)
-    out = with_columns(out, shard=F.col("_shard").cast("int"), slot=(F.col("_first") + F.col("_rank") - 1).cast("long"))
-    return out.drop("_h", "_g", "_size", "_bin", "_bits", "_part", "_shard", "_rank", "_n", "_first")
+    return unboxed(out, docs, shard=F.col("_shard").cast("int"), slot=(F.col("_first") + F.col("_rank") - 1).cast("long"))
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:
