@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, lean, table, text_or_empty
+from .common import WORD, lean, table, text_or_empty, tidy
 from .tokens import U, mix, sized, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -226,7 +226,7 @@ def _find(docs: DataFrame, items: list[tuple[int, str]], text: str, key: str) ->
             )
 
     kind = dict(docs.dtypes)[key]
-    return lean(docs).select(key, text_or_empty(text).alias("_text")).mapInArrow(run, f"`{key}` {kind}, item_id long, similarity double, start long, words long")
+    return lean(docs).select(key, text_or_empty(text).alias("_text")).mapInArrow(tidy(run), f"`{key}` {kind}, item_id long, similarity double, start long, words long")
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -21,15 +21,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lean, table
+from .common import checkpointed, lean, table, tidy
 from .tokens import NUMBER, U, lower_ascii, mix, sized, word_hashes
 
 DEPTH = 3  # leading words
-#: Hashes that are broadcast at once, 16 bytes each. More are looked up in several passes.
-MOST_HASHES = 16_000_000
+#: Hashes that are broadcast at most, 16 bytes each. More are joined by an exchange.
+MOST_HASHES = 4_000_000
+NO_KEY = -(2**63)  # stands for a null key
 
 
 @dataclass
@@ -56,8 +58,8 @@ class Lines:
         text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
         space = (raw == 32) | ((raw >= 9) & (raw <= 13))
         at, to, words = word_hashes(lower_ascii(raw), ~space)
-        digits = np.concatenate(([0], np.cumsum((raw >= 48) & (raw <= 57))))
-        number = digits[to] > digits[at]
+        digits = np.flatnonzero((raw >= 48) & (raw <= 57))
+        number = np.searchsorted(digits, to) > np.searchsorted(digits, at)
         words = np.where(number, NUMBER, words)
         of = np.searchsorted(ends, at, "left")
         count = np.bincount(of, minlength=len(ends))
@@ -133,7 +135,7 @@ def recurring(docs: DataFrame, min_docs: int, min_words: int, similarity: float,
                 both = np.unique(np.stack((x.text[x.long].astype(np.uint64), x.leaf)), axis=1)[1] if len(x.long) else x.leaf
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(both))], ["leaf"])
 
-    counted = source.mapInArrow(leaves, "leaf long").groupBy("leaf").count().where(F.col("count") >= min_docs)
+    counted = source.mapInArrow(tidy(leaves), "leaf long").groupBy("leaf").count().where(F.col("count") >= min_docs)
     frequent = checkpointed(counted.select("leaf"))
     if frequent.count() <= MOST_HASHES:
         known = docs.sparkSession.sparkContext.broadcast(np.sort(_column(frequent, "leaf")[0].view(np.uint64)))
@@ -155,7 +157,7 @@ def recurring(docs: DataFrame, min_docs: int, min_words: int, similarity: float,
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(x.leaf[own])), pa.array(_signed(x.line[own])), docs_, pa.array(parts, pa.binary())], ["leaf", "line", "doc", "words"])
 
     different = (
-        source.mapInArrow(lines, "leaf long, line long, doc long, words binary")
+        source.mapInArrow(tidy(lines), "leaf long, line long, doc long, words binary")
         .groupBy("leaf", "line")
         .agg(F.count("*").alias("n"), F.min("doc").alias("doc"), F.first("words").alias("words"))
     )
@@ -195,7 +197,7 @@ def recurring(docs: DataFrame, min_docs: int, min_words: int, similarity: float,
             yield done()
 
     met = different.repartition("leaf").sortWithinPartitions("leaf")
-    return met.mapInPandas(gathered, "line long, first_doc long")
+    return met.mapInPandas(tidy(gathered), "line long, first_doc long")
 
 
 def _column(df: DataFrame, *names: str) -> list[np.ndarray]:
@@ -204,24 +206,38 @@ def _column(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [rows.column(n).to_numpy() for n in names]
 
 
-def _rewrite(docs: DataFrame, blocks: list, min_words: int, text: str, key: str) -> DataFrame:
-    """``docs`` with _kept: the text left, the numbers of lines and of those dropped, and their bytes."""
+def _rewrite(docs: DataFrame, known, drops: DataFrame | None, min_words: int, text: str, key: str) -> DataFrame:
+    """``docs`` with _kept: the text left, the numbers of lines and of those dropped, and their bytes.
+
+    Lines to drop are looked up in ``known``, a broadcast of sorted hashes and first documents,
+    or come with each document's key in ``drops``.
+    """
     kind = pa.struct([("text", pa.string()), ("lines", pa.int64()), ("dropped", pa.int64()), ("bytes", pa.int64())])
 
+    def gone_of(x: Lines, b: pa.RecordBatch, at: int, to: int) -> np.ndarray:
+        gone, text_of = np.zeros(len(x.starts), bool), x.text[x.long]
+        if known is None:
+            lists = b.column("drop")[at:to]
+            n = pc.list_value_length(lists).fill_null(0).to_numpy()
+            mine = np.stack((np.repeat(np.arange(to - at), n), lists.flatten().to_numpy(zero_copy_only=False)))
+            both = pd.MultiIndex.from_arrays(mine)
+            gone[x.long] = pd.MultiIndex.from_arrays((text_of, _signed(x.line))).isin(both) if len(both) and len(x.long) else False
+            return gone
+        hashes, first = known.value
+        place, there = _within(hashes, x.line)
+        hit = np.flatnonzero(there)
+        keys = b.column("key").fill_null(NO_KEY).to_numpy()[at:to]
+        gone[x.long[hit[first[place[hit]] != keys[text_of[hit]]]]] = True
+        return gone
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, keys = _bytes(b.column("_raw")), b.column("_key").to_numpy(zero_copy_only=False)
-            null = b.column("_raw").is_null().to_numpy(zero_copy_only=False)
+            texts = _bytes(b.column("raw"))
+            null = b.column("raw").is_null().to_numpy(zero_copy_only=False)
             out: list[dict] = []
             for at, to in sized(texts):
                 x = Lines.of(texts[at:to], min_words)
-                gone = np.zeros(len(x.starts), bool)
-                for block in blocks:
-                    hashes, first = block.value
-                    place, there = _within(hashes, x.line)
-                    hit = np.flatnonzero(there)
-                    other = first[place[hit]] != keys[at:to][x.text[x.long[hit]]]
-                    gone[x.long[hit[other]]] = True
+                gone = gone_of(x, b, at, to)
                 n = np.bincount(x.text, minlength=to - at)
                 lost = np.bincount(x.text, gone, minlength=to - at).astype(int)
                 begin = np.cumsum(n) - n
@@ -232,12 +248,32 @@ def _rewrite(docs: DataFrame, blocks: list, min_words: int, text: str, key: str)
                         kept = b"\n".join(x.data[x.starts[k] : x.ends[k]] for k in own if not gone[k])
                         size = sum(int(x.ends[k] - x.starts[k]) for k in own if gone[k])
                     out.append({"text": None if null[at + i] else kept.decode("utf-8", "replace"), "lines": int(n[i]), "dropped": int(lost[i]), "bytes": size})
-            columns = [c for name, c in zip(b.schema.names, b.columns) if name not in ("_raw", "_key")]
+            columns = [c for name, c in zip(b.schema.names, b.columns) if name not in ("raw", "key", "drop")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, kind)], names)
 
-    names = [*docs.columns, "_kept"]
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", _kept struct<text:string,lines:long,dropped:long,bytes:long>"
-    return lean(docs).select(*docs.columns, F.col(text).cast("binary").alias("_raw"), F.col(key).cast("long").alias("_key")).mapInArrow(run, schema)
+    # Places for names inside: no column of the input can clash with these.
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    names = [*(f"c{i}" for i in range(len(own))), "kept"]
+    schema = ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes)) + ", kept struct<text:string,lines:long,dropped:long,bytes:long>"
+    rows = lean(docs).select(*own, F.col(text).cast("binary").alias("raw"), F.col(key).cast("long").alias("key"))
+    if drops is not None:
+        rows = rows.join(drops, F.coalesce(rows["key"], F.lit(NO_KEY)) == drops["of"], "left").drop("of")
+    return rows.mapInArrow(tidy(run), schema).toDF(*docs.columns, "_kept")
+
+
+def _drops(docs: DataFrame, found: DataFrame, min_words: int, text: str, key: str) -> DataFrame:
+    """of (a key) and drop, the hashes of the lines that its documents lose: by an exchange on the line's hash."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, keys = _bytes(b.column(1)), b.column(0).to_numpy()
+            for at, to in sized(texts):
+                x = Lines.of(texts[at:to], min_words)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at:to][x.text[x.long]]), pa.array(_signed(x.line))], ["of", "line"])
+
+    source = lean(docs).select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("of"), F.col(text).cast("binary").alias("text"))
+    met = source.mapInArrow(tidy(lines), "of long, line long").join(found, "line").where(F.col("first_doc") != F.col("of"))
+    return checkpointed(met.groupBy("of").agg(F.collect_set("line").alias("drop")))
 
 
 def drop_recurring_lines(
@@ -249,19 +285,23 @@ def drop_recurring_lines(
     null text stays null and counts as empty; an empty text has one empty line; a text that
     loses all lines is empty; rows repeated under one key all keep what their first row keeps;
     under a null key every recurring line with a known first document goes; an empty table gives
-    an empty result; other columns are passed on, but for one called _kept. Keys are integers.
+    an empty result; other columns are passed on, whatever their names, but for one called
+    _kept. Keys are integers.
+
+    Up to ``MOST_HASHES`` recurring lines are broadcast, in 16 bytes each; more are joined to the
+    documents' lines by an exchange on their hash. The result is the same.
     """
     docs = docs.drop("_kept")
-    found = checkpointed(recurring(docs.select(key, text), min_docs, min_words, similarity, text, key).groupBy("line").agg(F.min("first_doc").alias("first_doc")))
-    n = found.count()
-    n_blocks = max(1, -(-n // MOST_HASHES))
-    blocks = []
-    for i in range(n_blocks):
-        part = found.where(F.pmod("line", F.lit(n_blocks)) == i) if n_blocks > 1 else found
-        lines, first = _column(part.na.fill(-(2**63), ["first_doc"]), "line", "first_doc")
-        order = np.argsort(lines.view(np.uint64))
-        blocks.append(docs.sparkSession.sparkContext.broadcast((lines.view(np.uint64)[order], first[order])))
-    return _rewrite(docs, blocks, min_words, text, key)
+    if dict(docs.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"the key {key} is not an integer")
+    found = recurring(docs.select(key, text), min_docs, min_words, similarity, text, key)
+    found = checkpointed(found.groupBy("line").agg(F.min("first_doc").alias("first_doc")).na.fill(NO_KEY, ["first_doc"]))
+    if found.count() > MOST_HASHES:
+        return _rewrite(docs, None, _drops(docs, found, min_words, text, key), min_words, text, key)
+    lines, first = _column(found, "line", "first_doc")
+    order = np.argsort(lines.view(np.uint64))
+    known = docs.sparkSession.sparkContext.broadcast((lines.view(np.uint64)[order], first[order]))
+    return _rewrite(docs, known, None, min_words, text, key)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, table
+from .common import lean, table, tidy
 
 #: Texts are tokenized in slices of about so many bytes; so many words are remembered, about, in 40 bytes each.
 SLICE_BYTES = 8_000_000
@@ -189,12 +189,24 @@ def slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have about ``most`` bytes: in longer ones more words repeat."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= most:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, with_ids: bool, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Each document's pieces: doc_id, start, length, ids_crc32, doc_tokens, and ids if asked for."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokenizer(tokenizer)
-        for whole in batches:
+        for whole in gathered(batches, SLICE_BYTES):
             texts = whole.column(1)
             for a, b in slices(pc.binary_length(texts).to_numpy(), SLICE_BYTES):
                 ids, bounds = encoder.encode(texts.slice(a, b - a).cast(pa.string()))
@@ -215,7 +227,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, with_ids:
     names = [key, "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
     kind = dict(docs.dtypes)[key]
     schema = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
-    return lean(docs).select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(cut, schema)
+    return lean(docs).select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(tidy(cut), schema)
 
 
 class Windows:
@@ -309,7 +321,7 @@ def best_fit_decreasing(
     grouped = cut.withColumn("_group", F.pmod(F.xxhash64(key, "start", "ids_crc32"), F.lit(groups)))
     ordered = grouped.repartition("_group").sortWithinPartitions("_group", F.desc("length"), key, "start", "ids_crc32")
     schema = ", ".join(f"`{c}` {t}" for c, t in cut.dtypes) + ", sequence_id long, offset long"
-    return ordered.mapInPandas(pack, schema)
+    return ordered.mapInPandas(tidy(pack), schema)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:

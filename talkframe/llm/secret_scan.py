@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, table
+from .common import lean, table, tidy
 
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -163,7 +163,7 @@ def known_words(docs: DataFrame, text: str = "text") -> dict[str, int]:
                     counts.clear()
         yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
-    counted = lean(docs).select(F.col(text).alias("_text")).mapInArrow(run, "word string, n long")
+    counted = lean(docs).select(F.col(text).alias("_text")).mapInArrow(tidy(run), "word string, n long")
     totals = counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
     ranked = totals.orderBy(F.desc("n"), "word").limit(MOST_WORDS).select("word").toPandas()["word"].tolist()
     return RANKS | {w: len(COMMON) + i for i, w in enumerate((w for w in ranked if w not in RANKS), 1)}
@@ -190,7 +190,7 @@ def scan(docs: DataFrame, min_log10: float = 12.0, text: str = "text", key: str
 
     kind = dict(docs.dtypes)[key]
     schema = f"`{key}` {kind}, secrets array<struct<kind:string,start:long,end:long>>"
-    return lean(docs).select(key, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return lean(docs).select(key, F.col(text).alias("_text")).mapInArrow(tidy(run), schema)
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", min_log10: float = 12.0, text: str = "text") -> DataFrame:
@@ -209,7 +209,7 @@ def redact(docs: DataFrame, mask: str = "[secret]", min_log10: float = 12.0, tex
                 out.append(t if t is None else "".join(parts) + t[at:])
             yield rows.assign(**{text: out})
 
-    return lean(docs).mapInPandas(run, docs.schema)
+    return lean(docs).mapInPandas(tidy(run), docs.schema)
 
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:

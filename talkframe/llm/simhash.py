@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hinted, lean, table, text_or_empty, without
+from .common import checkpointed, hinted, lean, table, text_or_empty, tidy, without
 from .golay import keys as golay_keys
 from .graph import components
 from .tokens import U, mix, sized, word_hashes
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, size: int = 3, text: str = "text", key: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], [key, "fp"])
 
     kind = dict(docs.dtypes)[key]
-    return lean(docs).select(key, text_or_empty(text).cast("binary").alias("_text")).mapInArrow(run, f"`{key}` {kind}, fp long")
+    return lean(docs).select(key, text_or_empty(text).cast("binary").alias("_text")).mapInArrow(tidy(run), f"`{key}` {kind}, fp long")
 
 
 def _segments(fps: np.ndarray) -> list[np.ndarray]:
@@ -101,7 +101,7 @@ def _keyed(fps: DataFrame, make, columns: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *(part.column(c).take(take) for c in ["fp", *columns])], ["key", "fp", *columns])
 
     schema = ", ".join(f"{c} long" for c in ["key", "fp", *columns])
-    return fps.select("fp", *columns).mapInArrow(run, schema)
+    return fps.select("fp", *columns).mapInArrow(tidy(run), schema)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
@@ -172,7 +172,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, most: int = 1024) -> Data
                 yield pa.RecordBatch.from_arrays(columns, ["a", "b", "crowded"])
 
     keyed = _keyed(fps.select("fp"), _exact_keys, [])
-    met = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, crowded boolean").distinct()
+    met = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "a long, b long, crowded boolean").distinct()
     met = checkpointed(met)
     balls = met.where("crowded").select(F.col("a").alias("fp"), F.explode(F.array(F.lit(0).cast("long"), *(F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)))).alias("bit"))
     shared = balls.groupBy(F.col("fp").bitwiseXOR(F.col("bit")).alias("word")).agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)
@@ -259,7 +259,7 @@ def _common(source: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_shingle_sets(texts[at:to], size)).view(np.int64))], ["s"])
 
     sample = source.where(F.pmod(F.xxhash64("_text"), F.lit(SAMPLED)) == 0).select("_text").distinct()
-    counts = sample.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
+    counts = sample.mapInArrow(tidy(run), "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
     found = counts.orderBy(F.desc("n"), "s").limit(MOST_COMMON).select("s").toPandas()["s"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(found)
     return found[order], (len(found) - order).astype(np.int64)
@@ -355,7 +355,7 @@ def _shingle_keys(nodes: DataFrame) -> DataFrame:
                 columns = [pa.array(key), pa.array((all_ - place) << 32 | all_), pa.array(np.repeat(node[at:to], k))]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "spot", "node"])
 
-    return nodes.select("node", "n", "first").mapInArrow(run, "key long, spot long, node long")
+    return nodes.select("node", "n", "first").mapInArrow(tidy(run), "key long, spot long, node long")
 
 
 def _candidates(nodes: DataFrame, most: int, similarity: float, all_pairs: bool = False) -> DataFrame:
@@ -404,7 +404,7 @@ def _candidates(nodes: DataFrame, most: int, similarity: float, all_pairs: bool
 
     names = ["a", "b", "pairs", "crowded"]
     keyed = _shingle_keys(nodes).repartition("key").sortWithinPartitions("key", "node")
-    met = keyed.mapInArrow(run, "a long, b long, pairs long, crowded boolean")
+    met = keyed.mapInArrow(tidy(run), "a long, b long, pairs long, crowded boolean")
     return met.groupBy("a", "b").agg(F.max("pairs").alias("pairs"), F.max("crowded").alias("crowded"))
 
 
@@ -513,7 +513,7 @@ def near_duplicates(
     kind = dict(docs.dtypes)[key]
     source = lean(docs).where(F.col(key).isNotNull()).select(key, text_or_empty(text).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(_common(source, size))
-    classes = checkpointed(source.mapInArrow(classify, f"`{key}` {kind}, node long, n int, first binary"))
+    classes = checkpointed(source.mapInArrow(tidy(classify), f"`{key}` {kind}, node long, n int, first binary"))
     nodes = checkpointed(classes.groupBy("node").agg(F.min(key).alias("rep")))
     own = hinted(nodes.select(F.col("rep").alias(key), "node"))
     shingles = classes.join(own, [key, "node"], "left_semi").select("node", "n", "first")

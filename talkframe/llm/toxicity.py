@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lean, table, with_columns
+from .common import checkpointed, lean, table, tidy, with_columns
 from .lang_id import remainder
 
 #: Labelled texts of each class, about, that the lexicon and the regression are fitted on.
@@ -270,7 +270,7 @@ def fit(
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not n_toxic or not n_clean:
         return Model({}, {})
-    counted = rows.where("_half = 0").mapInArrow(count, "term string, context long, label int").distinct()
+    counted = rows.where("_half = 0").mapInArrow(tidy(count), "term string, context long, label int").distinct()
     counted = counted.groupBy("term").agg(F.count_if(F.col("label") == 0).alias("clean"), F.count_if(F.col("label") == 1).alias("toxic"))
     # Shares of the classes, so that the sample's balance does not matter.
     a, b = F.col("toxic") / n_toxic, (F.col("clean") + 1 + 2 * F.sqrt(F.col("clean") + 1)) / n_clean
@@ -297,7 +297,7 @@ def fit(
         for b in batches:
             yield pd.DataFrame({"x": [features(t, trie, memo) for t in b["_text"]], "y": b["_label"]})
 
-    got = rows.where("_half = 1").mapInPandas(extract, "x array<double>, y int").collect()
+    got = rows.where("_half = 1").mapInPandas(tidy(extract), "x array<double>, y int").collect()
     if got:
         model.weights = _logistic(np.array([r["x"] for r in got]), np.array([r["y"] for r in got]))
     return model

@@ -10,9 +10,11 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from talkframe.llm import decontaminate, golay, graph, lang_id, line_dedup, packing, queries, secret_scan, sharding, simhash, topk, toxicity, url_filter
+from talkframe.llm import decontaminate, golay, graph, lang_id, line_dedup, packing, queries, secret_scan, sharding, simhash, tokens, topk, toxicity, url_filter
 from talkframe.llm.common import table
 
 from ..compare import assert_same
@@ -199,19 +201,50 @@ def test_cascade_is_exact_and_joins_agree(spark):
     assert a == b
 
 
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.data())
+def test_ties_and_verdicts_agree_in_both_paths(spark, data):
+    name = st.sampled_from(["a", "b", "com", "xyz", "a.com", "b.a.com", "com.a"])
+    path = st.sampled_from(["", "/", "/x", "/xyz", "/x/y", "/b"])
+    rules = data.draw(st.dictionaries(st.tuples(name, path), st.sampled_from(["block", "allow", "other"]), min_size=1, max_size=12))
+    rules |= {("a.com", "/x"): "block", ("com", "/xyz"): "allow"}
+    urls = [(i, f"http://{h}{p}") for i, (h, p) in enumerate(data.draw(st.lists(st.tuples(name, st.sampled_from(["", "/", "/x", "/xyz", "/xyz/1", "/x/y/z", "/b?q"])), max_size=30)) + [("a.com", "/xyz")])]
+    pages = spark.createDataFrame(urls, "page_id int, url string")
+    listed = spark.createDataFrame([(*k, v) for k, v in rules.items()], "host string, path string, verdict string")
+    got = [{r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, listed, max_bytes=m).collect()} for m in (1 << 20, 1)]
+    want = {}
+    for i, u in urls:
+        host, _, rest = u[7:].partition("/")
+        at = ("/" + rest if _ else "").partition("?")[0]
+        fit = [(len(h) + len(p), len(h), h + p, v) for (h, p), v in rules.items() if (host == h or host.endswith("." + h)) and at.startswith(p)]
+        want[i] = (max(fit)[2], "block" if max(fit)[3] == "block" else "allow") if fit else (None, "allow")
+    assert got[0] == want == got[1]
+
+
 # Language, toxicity
 
 
-def test_encoder_bundles_bound_ngrams():
+def test_encoder_bundles_bound_ngrams(monkeypatch):
     e = lang_id.Encoder(256)
     said = ["Hello, hello  world", "É ß", "a"]
     got, has = e.encode(said)
     for text, row in zip(said, got):
         letters = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in f" {text.lower()} "))
-        vector = lambda c: e.rotated[2][0 if c == " " else e.id_of[ord(c)]].astype(int)
-        want = sum(np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c) for a, b, c in zip(letters, letters[1:], letters[2:]) if b != " ")
+        vector = lambda c: 1 - 2 * np.unpackbits(e.letters[0 if c == " " else e.id_of[ord(c)]]).astype(int)
+        want = sum(np.roll(vector(a), 16) * np.roll(vector(b), 8) * vector(c) for a, b, c in zip(letters, letters[1:], letters[2:]) if b != " ")
         assert np.allclose(row, want / np.linalg.norm(want), atol=1e-5)
     assert has.all() and np.allclose(e.encode(said[1:])[0], got[1:], atol=1e-5)
+    monkeypatch.setattr(lang_id, "COUNTS_AT_ONCE", 4)
+    monkeypatch.setattr(lang_id, "NGRAMS_AT_ONCE", 3)
+    assert np.allclose(e.encode(said)[0], got, atol=1e-5)
+
+
+def test_encoder_meets_many_letters():
+    rng = random.Random(1)
+    said = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(3000))
+    one, two = lang_id.Encoder(128), lang_id.Encoder(128)
+    two.encode(["".join(reversed(said)), "abc"])  # another order of meeting
+    assert np.allclose(one.encode([said])[0], two.encode([said])[0], atol=1e-5) and one.met > 2000
 
 
 def test_op2_held_out(spark, small):
@@ -386,6 +419,15 @@ def test_recurring_templates(spark):
         assert got[i]["dropped"] == 3 and got[i]["text"] == "short line", got[i]
 
 
+def test_lines_by_broadcast_and_by_exchange_agree(spark, small, monkeypatch):
+    docs = table(spark, small, "documents").select("doc_id", "text")
+    odd = docs.limit(3).select(F.lit(None).cast("long").alias("doc_id"), "text").unionAll(docs.limit(3))  # null and repeated keys
+    rows = lambda: sorted(map(str, line_dedup.drop_recurring_lines(docs.unionAll(odd)).select("doc_id", "_kept").collect()))
+    known = rows()
+    monkeypatch.setattr(line_dedup, "MOST_HASHES", 0)
+    assert rows() == known and any("dropped=0" not in r for r in known)
+
+
 def test_templates_join_as_if_all_were_compared():
     import pandas as pd
 
@@ -404,6 +446,20 @@ def test_templates_join_as_if_all_were_compared():
         assert got[i] == t
 
 
+def test_word_hashes_by_block(monkeypatch):
+    rng = random.Random(1)
+    monkeypatch.setattr(tokens, "BLOCK", 64)
+    tokens._powers.cache_clear()
+    for n in (0, 1, 50, 1000, 3000):
+        data = bytes(rng.choice(b"   abcde" + b"a" * 30) for _ in range(n))
+        raw = np.frombuffer(data, np.uint8)
+        starts, ends, hashes = tokens.word_hashes(raw, raw != 32)
+        assert [data[a:b] for a, b in zip(starts, ends)] == data.split()
+        plain = [sum((c + 1) * pow(tokens.BASE, i, 1 << 64) for i, c in enumerate(w)) % (1 << 64) for w in data.split()]
+        assert (hashes == tokens.mix(np.array(plain, np.uint64))).all()
+    tokens._powers.cache_clear()
+
+
 def test_lines_know_their_words():
     said = [b"A b c d e f g\nx", b"", b"a  B c D e f g 12", "é è ê ë ē ė ę".encode()]
     lines = line_dedup.Lines.of(said, 6)
@@ -467,16 +523,66 @@ def test_prefilter_sees_the_words():
 # Search
 
 
+def agrees(search, queries, q_ids, data, ids, k=5):
+    order = {int(q): row for q, row in zip(search.queries.ids, search.ids)}
+    exact = queries @ data.T
+    exact[q_ids[:, None] == ids[None, :]] = -np.inf
+    for q, row in zip(q_ids, exact):
+        assert order[int(q)].tolist() == ids[np.lexsort((ids, -row))[:k]].tolist()
+
+
 def test_dual_trees_prune_and_agree():
     rng = np.random.default_rng(2)
     centres = rng.normal(0, 300, (8, 6))
     data = np.floor(np.concatenate([c + rng.normal(0, 4, (250, 6)) for c in centres]))
     ids = np.arange(len(data))
     search = topk.Search(topk.CoverTree(data[::4], ids[::4]), topk.CoverTree(data, ids), np.full(500, -np.inf), 5)
-    exact = data[::4] @ data.T
-    order = {int(q): row for q, row in zip(search.queries.ids, search.ids)}
-    for q, row in zip(ids[::4], exact):
-        row[q] = -np.inf
-        assert order[int(q)].tolist() == sorted(range(len(row)), key=lambda i: (-row[i], i))[:5]
-    leaves = lambda n: 1 if not n.children else sum(map(leaves, n.children))
-    assert search.leaf_pairs < 0.7 * leaves(search.queries.root) * leaves(search.data.root)
+    agrees(search, data[::4], ids[::4], data, ids)
+    assert search.queries.root.levels() > 3 < search.data.root.levels()
+    assert search.leaf_pairs < 0.1 * search.queries.root.leaves() * search.data.root.leaves()
+
+
+def test_trees_cover(monkeypatch):
+    monkeypatch.setattr(topk, "LEAF", 3)
+    rng = np.random.default_rng(3)
+    data = np.floor(np.concatenate([rng.normal(c, s, (40, 4)) for c, s in ((0, 1), (0, 100), (500, 10), (500, 0.01))]))
+    tree = topk.CoverTree(data, np.arange(len(data)))
+    assert sorted(tree.ids) == list(range(len(data)))
+
+    def covered(node, start, end):
+        assert node.starts[0] == start and node.ends[-1] == end and (node.starts[1:] == node.ends[:-1]).all()
+        for i, (a, b) in enumerate(zip(node.starts, node.ends)):
+            assert np.linalg.norm(tree.vectors[a:b] - node.centres[i], axis=1).max() <= node.radii[i] + 1e-9
+            if i in node.below:
+                child = node.below[i]
+                gaps = topk._distances(child.centres, child.centres) + 1e9 * np.eye(len(child.radii))
+                assert gaps.min() > node.radii[i] / 2 - 1e-6 and child.radii.max() <= node.radii[i] / 2 + 1e-6
+                covered(child, a, b)
+
+    covered(tree.root, 0, len(data))
+
+
+def test_the_drivers_vectors_are_pruned(spark, small):
+    rows = table(spark, small, "embeddings").select("vec_id", topk.quantized(F.col("embedding")).alias("v")).where("v is not null").toPandas()
+    data, ids = np.stack(rows.v.to_numpy()), rows.vec_id.to_numpy()
+    own = ids % 50 == 0
+    floors = np.sort(data[own] @ data[: len(data) // 2].T, axis=1)[:, -6]
+    search = topk.Search(topk.CoverTree(data[own], ids[own]), topk.CoverTree(data, ids), floors, 5)
+    agrees(search, data[own], ids[own], data, ids)
+    assert search.data.root.levels() > 1 and search.leaf_pairs < 0.1 * own.sum() * len(data)
+
+
+@pytest.mark.parametrize("blocks", [(16384, 4096), (50, 20)])
+def test_cells_and_blocks(spark, monkeypatch, blocks):
+    monkeypatch.setattr(topk, "SAMPLE", 60)
+    rng = np.random.default_rng(4)
+    data = np.floor(np.concatenate([c + rng.normal(0, 5, (60, 5)) for c in rng.normal(0, 400, (6, 5))]))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)] + [(7, data[7].tolist()), (400, data[3].tolist())], "vec_id long, vector array<double>")
+    got = sorted(map(tuple, topk.top_k(rows.where("vec_id % 9 = 0"), rows, 4, *blocks).collect()))
+    every, ids = np.concatenate((data, data[3:4])), np.array([*range(len(data)), 400])
+    want = []
+    for q in ids[ids % 9 == 0]:
+        score = every @ every[np.flatnonzero(ids == q)[0]]
+        score[ids == q] = -np.inf
+        want += [(int(q), r, int(ids[i]), int(score[i])) for r, i in enumerate(np.lexsort((ids, -score))[:4], 1)]
+    assert got == want

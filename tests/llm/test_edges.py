@@ -17,7 +17,15 @@ ROWS = [
 ]
 DDL = "doc_id long, text string, lang string, source string"
 #: Names that operators use for their results or inside.
-CLASHES = ("shard", "slot", "score", "lang_pred", "predicted", "_h", "_kept", "fp", "node", "group_id", "start", "Score", "size")
+CLASHES = (
+    "shard", "slot", "score", "lang_pred", "predicted", "_h", "_g", "_n", "_bin", "_part", "_bits", "_rank", "_first", "_shard", "_size", "_kept", "_raw", "_key", "_text", "_judged", "fp",
+    "node", "group_id", "start", "Score", "size", "row", "judged", "key", "raw", "drop", "of", "c0", "kept", "first", "n", "g", "_best", "_label", "_half", "host", "path", "rule", "verdict", "keys",
+)
+#: Result columns that replace the input's, and operators that pass on all others.
+REPLACED = {
+    "shard": {"shard", "slot"}, "language": {"lang_pred", "score"}, "one": set(), "lines": {"_kept"}, "redact": set(), "toxicity": {"score", "predicted"},
+    "urls": {"host", "path", "rule", "verdict"},
+}
 
 
 @pytest.fixture(scope="module")
@@ -78,9 +86,24 @@ def test_clashing_columns(docs, operators, name):
     for c in CLASHES:
         if c.lower() not in {x.lower() for x in crowded.columns}:
             crowded = crowded.withColumn(c, F.lit("mine"))
-    if name == "redact":
-        assert operators[name](crowded).columns == crowded.columns
-    assert operators[name](crowded).count() >= 1
+    out = operators[name](crowded)
+    rows = out.collect()
+    assert rows
+    if name in REPLACED:  # every other column is there, with its values
+        kept = [c for c in crowded.columns if c.lower() not in REPLACED[name] and c not in ("text", "source", "lang", "doc_id")]
+        assert set(kept) <= set(out.columns) and all(r[c] == "mine" for r in rows for c in kept)
+        own = {(r["doc_id"], r["lang"], r["source"]) for r in crowded.collect()}
+        assert {(r["doc_id"], r["lang"], r["source"]) for r in rows} <= own
+
+
+def test_clashes_in_training_and_search(spark, docs):
+    crowded = docs.where("doc_id < 8").withColumns({c: F.lit("mine") for c in ("key", "_label", "_half", "_text", "_lang", "share", "label", "n", "q_id", "floor")})
+    labels = crowded.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"), "label", "_label", "key", "text")
+    assert set(lang_id.fit_prototypes(crowded)) == {"en", "fr"}
+    assert isinstance(toxicity.fit(crowded, labels), toxicity.Model)
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "vec_id long, vector array<double>")
+    v = v.withColumns({c: F.lit("mine") for c in ("qb", "db", "floor", "q_id", "q_vector", "rank", "score", "query_id", "part")})
+    assert topk.top_k(v.where("vec_id < 2"), v, 2).count() == 4
 
 
 def by_id(df, column):
