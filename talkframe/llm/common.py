@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -12,9 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words, as the near-duplicate and decontamination stages see them: runs of letters and digits.
-WORD = re.compile(r"[^\W_]+")
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; the path may be one that only Spark can open."""

@@ -30,7 +30,7 @@ TRAIN_PER_CLASS = 2500
 PREFIXES = (4, 5, 6, 7)
 #: A term must be in so many contexts of toxic texts, and in this share of all its contexts, were
 #: those of clean texts as many as they may be by chance. Copies of a text add no context.
-MIN_TOXIC, MIN_PRECISION, MAX_TERMS = 5, 0.85, 4000
+MIN_TOXIC, MIN_PRECISION = 5, 0.85
 MIN_DEVIATIONS = 8  # standard deviations over what the clean texts' share would give
 WINDOW = 6  # words on each side
 REPORTING = frozenset("said says quote quoted quotes wrote called calling word words term reported dijo dice palabra sagte sagt wort dit disait mot".split())
@@ -250,12 +250,21 @@ def fit(
 
     One half of the sample, by a hash of the key, gives the lexicon and the other the
     regression, so that terms which are frequent by chance get no trust. Terms are counted
-    where the texts are; the driver gets at most ``MAX_TERMS`` terms and the sample's features.
+    where the texts are; the driver gets the terms that pass, no more than the bounded sample
+    holds, and the sample's features.
+
+    Null texts, and rows with a null or other label, teach nothing; an empty text has no term; a
+    null key meets no label; rows repeated under one key are the same label's texts; texts count
+    as a whole; equal terms and features need no order; without rows of both classes, as in an
+    empty table, the model has no term and gives every text a low score; other columns, whatever
+    their names, are ignored.
     """
-    one = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
-    sample = F.broadcast(_sample(one, "_label", key, per_class))
-    half = F.pmod(F.xxhash64(F.lit(12), key), F.lit(2))
-    rows = checkpointed(docs.where(F.col(text).isNotNull()).select(key, text).join(sample, key).select(F.col(text).alias("_text"), "_label", half.alias("_half")))
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    labels = labels.select(F.col(key).alias("key"), F.col(label).alias("label"))
+    one = labels.where(F.col("label").isin(0, 1)).groupBy("key").agg(F.max("label").cast("int").alias("_label"))
+    sample = F.broadcast(_sample(one, "_label", "key", per_class))
+    half = F.pmod(F.xxhash64(F.lit(12), "key"), F.lit(2))
+    rows = checkpointed(docs.where("text is not null").join(sample, "key").select(F.col("text").alias("_text"), "_label", half.alias("_half")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int, int]] = set()
@@ -279,8 +288,6 @@ def fit(
         counted.where(F.col("toxic") >= MIN_TOXIC)
         .withColumn("precision", a / (a + b))
         .where((F.col("precision") >= MIN_PRECISION) & (F.col("toxic") - expected >= MIN_DEVIATIONS * F.sqrt(expected)))
-        .orderBy(F.desc("toxic"), "term")
-        .limit(MAX_TERMS)
         .collect()
     )
     weight = {r["term"]: math.log(r["precision"] / (1 - r["precision"])) for r in kept}
