@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import lean, table, tidy
 
 #: Texts are tokenized in slices of about so many bytes; so many words are remembered, about, in 40 bytes each.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 CACHED_WORDS = 800_000
 #: Words that the tokenizer gets at once: it keeps a hundred bytes for each of their tokens.
 WORDS_AT_ONCE = 20_000
