@@ -194,7 +194,8 @@ def fingerprint_components(docs: DataFrame, size: int = 3, radius: int = 2, text
     linked = checkpointed(nodes.join(roots, "fp"))
     least = linked.groupBy("root").agg(F.min("_least").alias("_component"))
     named = linked.join(least, "root").select("fp", "_component")
-    own = nodes.join(named, "fp", "left").select("fp", F.coalesce("_component", "_least").alias("component_id"))
+    # A table of its own, so that both sides of the join are exchanged and a crowded fingerprint's rows can be split.
+    own = checkpointed(nodes.join(named, "fp", "left").select("fp", F.coalesce("_component", "_least").alias("component_id")))
     return fps.join(own, "fp").select(key, "fp", "component_id")
 
 
@@ -216,14 +217,17 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in encoded)]))
 
 
-def _classify(texts: list[str]) -> np.ndarray:
-    """For each text a hash of its words in order."""
+def _classify(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text two hashes of its words in order, 128 bits together: texts are never equal by chance."""
     words, bounds = _words(texts)
     n = np.diff(bounds)
     of = np.repeat(np.arange(len(texts)), n)
     place = (np.arange(len(words)) - bounds[:-1][of]).astype(np.uint64)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(words + place * U(0xD1B54A32D192ED03)))))
-    return mix(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64)).view(np.int64)
+    out = []
+    for turn in (U(0xD1B54A32D192ED03), U(0x8CB92BA72F3D8DD7)):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix((words ^ turn) + place * turn))))
+        out.append(mix(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
 
 
 def _shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
@@ -507,16 +511,16 @@ def near_duplicates(
             texts = b.column(1).to_pylist()
             for at, to in sized(texts):
                 n, first = _prefixes(texts[at:to], size, similarity, known)
-                columns = [pa.array(_classify(texts[at:to])), pa.array(n.astype(np.int32)), pa.array(first, pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), *columns], [key, "node", "n", "first"])
+                columns = [*map(pa.array, _classify(texts[at:to])), pa.array(n.astype(np.int32)), pa.array(first, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), *columns], [key, "h", "g", "n", "first"])
 
     kind = dict(docs.dtypes)[key]
     source = lean(docs).where(F.col(key).isNotNull()).select(key, text_or_empty(text).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(_common(source, size))
-    classes = checkpointed(source.mapInArrow(tidy(classify), f"`{key}` {kind}, node long, n int, first binary"))
-    nodes = checkpointed(classes.groupBy("node").agg(F.min(key).alias("rep")))
-    own = hinted(nodes.select(F.col("rep").alias(key), "node"))
-    shingles = classes.join(own, [key, "node"], "left_semi").select("node", "n", "first")
+    classes = checkpointed(source.mapInArrow(tidy(classify), f"`{key}` {kind}, h long, g long, n int, first binary"))
+    nodes = checkpointed(classes.groupBy("h", "g").agg(F.min(key).alias("rep")).withColumn("node", F.monotonically_increasing_id()))
+    own = hinted(nodes.select(F.col("rep").alias(key), "h", "g", "node"))
+    shingles = classes.join(own, [key, "h", "g"]).select("node", "n", "first")
 
     met = checkpointed(_candidates(shingles, most, similarity))
     crowds = checkpointed(components(met.select("a", "b"))).withColumnRenamed("root", "crowd")
@@ -534,8 +538,9 @@ def near_duplicates(
     linked = checkpointed(nodes.join(roots, "node"))
     least = linked.groupBy("root").agg(F.min("rep").alias("group_id"))
     named = linked.join(least, "root").select("node", "group_id")
-    own = nodes.join(named, "node", "left").select("node", F.coalesce("group_id", "rep").alias("group_id"))
-    return classes.join(own, "node").select(key, "group_id")
+    # A table of its own, so that both sides of the join are exchanged and a crowded text's rows can be split.
+    own = checkpointed(nodes.join(named, "node", "left").select("h", "g", F.coalesce("group_id", "rep").alias("group_id")))
+    return classes.join(own, ["h", "g"]).select(key, "group_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
