@@ -124,8 +124,12 @@ def contains_any(text: Column, markers: Sequence[str]) -> Column:
 
 def ngrams(items: Column, n: int) -> Column:
     """All runs of ``n`` items, as arrays."""
-    count = F.size(items) - n + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.slice(items, i, n))).otherwise(F.array().cast("array<array<string>>"))
+
+    def runs(bound: Column) -> Column:
+        count = F.size(bound) - n + 1
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.slice(bound, i, n))).otherwise(F.array().cast("array<array<string>>"))
+
+    return let(items, runs)
 
 
 def strip_json_fences(text: Column) -> Column:

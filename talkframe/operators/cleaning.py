@@ -5,42 +5,24 @@ All stages look at one row alone, so the same chain runs on a batch and on a str
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ANY, capitalize_first, fold, let, rstrip, strip, words
+from ..functions.text import capitalize_first, fold, let, rstrip, strip, words
 
-# Turkish fillers, and words after which one of them is a noun.
-HESITATIONS = "ee+|aa+|hmm?|ımm?"
-NOUN_BEFORE = "bir|hiç|her|ne|başka|herhangi|bazı|çok|az|o"
+# Turkish fillers, words after which one of them is a noun, and pairs that go together.
+FILLERS = ("şey", "yani", "hani")
+HESITATIONS = re.compile("ee+|aa+|hmm?|imm?")  # as ``folded`` gives them
+NOUN_BEFORE = ("bir", "hiç", "her", "ne", "başka", "herhangi", "bazı", "çok", "az", "o")
 CHAINS = (
-    "yani şey", "şey işte", "hani yani", "işte yani", "yani hani", "şey yani", "hani şey", "yani yani", "şey şey",
+    ("yani", "şey"), ("şey", "işte"), ("hani", "yani"), ("işte", "yani"), ("yani", "hani"), ("şey", "yani"), ("hani", "şey"), ("yani", "yani"), ("şey", "şey"),
 )
-LETTER = "a-zA-ZğüşıöçĞÜŞİÖÇ"
-
-#: Stands inside words that a rule must not touch, and at both ends of such a phrase. It is a word
-#: character but none of the letters that rules look for; it is taken out again at the end.
-GUARD = "ꙮ"
-
-#: Phrases first: ("a thing": the filler is a noun) and (number, connective).
-PROTECTED = (
-    (rf"{ANY}\b({NOUN_BEFORE})(\s+ş)(ey)\b", f"{GUARD}$1$2{GUARD}$3{GUARD}"),
-    (rf"{ANY}(\d[\d\w]*\s+\w)(\w*)(,\s*y)(ani\s+)", f"{GUARD}$1{GUARD}$2$3{GUARD}$4{GUARD}"),
-)
-
-#: Rules in order: what is matched, and what takes its place.
-FILLER_RULES = (
-    (rf"{ANY}\b({'|'.join(c.replace(' ', chr(92) + 's+') for c in CHAINS)})[,\s]*", " "),
-    (rf"{ANY}(?:^|(?<=[.!?])\s*)(şey|yani|hani|{HESITATIONS})[,\s]+", ""),
-    (rf"{ANY},\s*yani\s*,", ","),
-    (rf"{ANY},\s*yani\s+(?=\w)", ", "),
-    (rf"{ANY}(?<=[{LETTER}])\s+yani\s+(?=[{LETTER}])", " "),
-    (rf"{ANY},?\s+\b(yani|şey|hani)\b\s*(?=[.!?]|$)", ""),
-    (rf"{ANY}(?<![{LETTER}])\bşey\b(?![{LETTER}])", ""),
-    (rf"{ANY}(?<![{LETTER}])\b({HESITATIONS})\b(?![{LETTER}])", ""),
-)
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZğüşıöçĞÜŞİÖÇ")
 
 #: What speech recognition writes when there is nothing to hear.
 PHANTOM_PHRASES = (
@@ -68,13 +50,164 @@ def _with_capital(text: Column) -> Column:
     return strip(F.when(small, capitalize_first(text)).otherwise(text))
 
 
+def folded(word: str) -> str:
+    """Lower case in which all four letters i are one."""
+    return word.translate(_ONE_I).lower()
+
+
+_ONE_I = str.maketrans("Iİı", "iii")
+_NOUN_BEFORE = frozenset(map(folded, NOUN_BEFORE))
+_CHAINS = frozenset((folded(a), folded(b)) for a, b in CHAINS)
+_PIECES = re.compile(r"\w+")
+_HARDLY = re.compile("şey|yani|hani|işte|[eE]{2}|[aA]{2}|[hH][mM]|[ıiIİ][mM]", re.I)
+
+
+@dataclass
+class Spoken:
+    """A text as words and what stands between them: ``gaps[i]`` before word i, the last one after all.
+
+    ``sound`` is each word's folded form, or nothing where the word is protected; ``open`` tells
+    whether it counts as a neighbour that is a plain word.
+    """
+
+    words: list[str]
+    gaps: list[str]
+    sound: list[str]
+    open: list[bool]
+
+    @classmethod
+    def of(cls, text: str) -> Spoken:
+        found = list(_PIECES.finditer(text))
+        ends = [0, *(m.end() for m in found)]
+        gaps = [text[a:b] for a, b in zip(ends, [*(m.start() for m in found), len(text)])]
+        said = [m[0] for m in found]
+        return cls(said, gaps, [folded(w) for w in said], [True] * len(said))
+
+    def text(self) -> str:
+        return "".join(x for pair in zip(self.gaps, [*self.words, ""]) for x in pair)
+
+    def drop(self, i: int, gap: str, n: int = 1) -> None:
+        """Words i to i + n go, and ``gap`` takes their place and that of the gaps around."""
+        self.gaps[i : i + n + 1] = [gap]
+        for column in (self.words, self.sound, self.open):
+            del column[i : i + n]
+
+    def protect(self) -> None:
+        """A noun "bir şey" stays, and so does "yani" that explains a number."""
+        for i in range(1, len(self.words)):
+            if self.sound[i] == "şey" and self.sound[i - 1] in _NOUN_BEFORE and self.gaps[i].isspace():
+                self.sound[i - 1] = self.sound[i] = ""
+                self.open[i - 1] = self.open[i] = False
+        for i in range(2, len(self.words)):
+            number = any(c.isdigit() for c in self.words[i - 2]) and self.gaps[i - 1].isspace()
+            if number and self.sound[i] == "yani" and self.gaps[i][:1] == "," and not self.gaps[i][1:].strip() and self.gaps[i + 1][:1].isspace():
+                self.sound[i - 2 : i + 1] = [""] * 3
+                self.open[i - 2 : i + 1] = [False] * 3
+                if i + 1 < len(self.words) and self.gaps[i + 1].isspace():
+                    self.sound[i + 1] = ""
+
+
+def _chains(t: Spoken) -> None:
+    """Pairs of fillers, and commas after them."""
+    i = 0
+    while i + 1 < len(t.words):
+        if t.gaps[i + 1].isspace() and (t.sound[i], t.sound[i + 1]) in _CHAINS:
+            t.drop(i, t.gaps[i] + " " + _after_commas(t.gaps[i + 2]), 2)
+        else:
+            i += 1
+
+
+def _starters(t: Spoken) -> None:
+    """A filler that begins a sentence, with the blanks around it and the comma after it."""
+    i, before, first = 0, t.gaps[0], True  # what is left of the gap, as the original has it
+    while i < len(t.words):
+        after = t.gaps[i + 1]
+        begins = before.rstrip()[-1:] in (".", "!", "?") if before.strip() else first and not before
+        first = False
+        if begins and (t.sound[i] in FILLERS or HESITATIONS.fullmatch(t.sound[i])) and after[:1] and not after[0].strip(", \t\n\r\f\v\u00a0"):
+            before = _after_commas(after)
+            t.drop(i, t.gaps[i].rstrip() + before)
+        else:
+            i, before = i + 1, after
+
+
+def _connectives(t: Spoken) -> None:
+    """"yani" between commas, after a comma, and between two words. A comma or blank that one has used up is not another's."""
+    for keep in (_between_commas, _after_comma, _between_words):
+        i, used = 0, False
+        while i < len(t.words):
+            gap = keep(t, i) if t.sound[i] == "yani" and not used else None
+            if gap is None:
+                i, used = i + 1, False
+                continue
+            used = keep is not _between_commas or "," not in t.gaps[i + 1].lstrip()[1:]
+            t.drop(i, gap)
+
+
+def _between_commas(t: Spoken, i: int) -> str | None:
+    before, after = t.gaps[i].rstrip(), t.gaps[i + 1].lstrip()
+    return before + after[1:] if before.endswith(",") and after.startswith(",") else None
+
+
+def _after_comma(t: Spoken, i: int) -> str | None:
+    before = t.gaps[i].rstrip()
+    return before + " " if before.endswith(",") and t.gaps[i + 1].isspace() and i + 1 < len(t.words) else None
+
+
+def _between_words(t: Spoken, i: int) -> str | None:
+    if not 0 < i < len(t.words) - 1 or not (t.gaps[i].isspace() and t.gaps[i + 1].isspace()):
+        return None
+    plain = t.open[i - 1] and t.words[i - 1][-1] in LETTERS and t.open[i + 1] and t.words[i + 1][0] in LETTERS
+    return " " if plain else None
+
+
+def _finals(t: Spoken) -> None:
+    """A filler that ends a sentence, with the comma before it."""
+    i = 0
+    while i < len(t.words):
+        before, after = t.gaps[i], t.gaps[i + 1].lstrip()
+        if t.sound[i] in FILLERS and before[-1:].isspace() and (after[:1] in (".", "!", "?") if after else i + 1 == len(t.words)):
+            t.drop(i, before.rstrip().removesuffix(",") + after)
+        else:
+            i += 1
+
+
+def _others(t: Spoken) -> None:
+    for i in reversed(range(len(t.words))):
+        if t.sound[i] == "şey" or HESITATIONS.fullmatch(t.sound[i]):
+            t.drop(i, t.gaps[i] + t.gaps[i + 1])
+
+
+#: What is done to the words, in this order.
+FILLER_STEPS: tuple[Callable[[Spoken], None], ...] = (Spoken.protect, _chains, _starters, _connectives, _finals, _others)
+
+
+def _after_commas(gap: str) -> str:
+    return re.sub(r"^[,\s]+", "", gap)
+
+
+def without_fillers(text: str) -> str:
+    """One text without its fillers; commas and blanks are left as they come."""
+    if not _HARDLY.search(text):
+        return text
+    spoken = Spoken.of(text)
+    for step in FILLER_STEPS:
+        step(spoken)
+    return spoken.text()
+
+
 def clean_fillers(text: Column) -> Column:
-    """Fillers deleted, but for those that carry meaning; blank texts stay as they are."""
-    out = text
-    for pattern, replacement in (*PROTECTED, *FILLER_RULES):
-        out = F.regexp_replace(out, pattern, replacement)
-    out = tidy(F.replace(out, F.lit(GUARD), F.lit("")))
-    return F.when(F.trim(text) == "", text).otherwise(out)
+    """Fillers deleted, but for those that carry meaning; blank texts stay as they are.
+
+    Words are judged by their neighbours, which no built-in function can follow from one
+    deletion to the next: this is one pass in Arrow batches. A filler is a whole word.
+    """
+
+    @F.pandas_udf("string")
+    def passed(texts: pd.Series) -> pd.Series:
+        return texts.map(without_fillers, na_action="ignore")
+
+    return F.when(F.trim(text) == "", text).otherwise(tidy(passed(text)))
 
 
 def strip_loops(text: Column, repeats: int = 3) -> Column:
@@ -82,18 +215,20 @@ def strip_loops(text: Column, repeats: int = 3) -> Column:
 
     Shorter runs are looked for first, and of each length the leftmost counts. The first copy
     goes too. Texts of fewer than ``2 * repeats`` words are left alone.
+
+    A run of n words begins where ``repeats * n`` words in a row equal those n places on: words
+    are compared with the list shifted by n, and the marks of equality searched as a text.
     """
-    return let(text, lambda t: _strip_loops(t, repeats))
 
+    def stripped(said: Column) -> Column:
+        starts = []
+        for n in (1, 2, 3):
+            marks = F.zip_with(said, F.slice(said, F.lit(n + 1), F.size(said)), lambda a, b: F.when(a == b, "1").otherwise("0"))
+            starts.append(F.nullif(F.instr(F.array_join(marks, ""), "1" * (repeats * n)), F.lit(0)))
+        before = F.array_join(F.slice(said, F.lit(1), F.coalesce(*starts) - 1), " ")
+        return F.when((F.size(said) >= 2 * repeats) & F.coalesce(*starts).isNotNull(), before)
 
-def _strip_loops(text: Column, repeats: int) -> Column:
-    out = text
-    for n in (3, 2, 1):  # the last alternative built is tried first
-        run = rf"(\S+(?:\s+\S+){{{n - 1}}})"
-        pattern = rf"(?Us)^(.*?)(?<!\S){run}(?:\s+\2){{{repeats}}}(?!\S).*$"
-        before = F.array_join(words(F.regexp_extract(text, pattern, 1)), " ")
-        out = F.when(text.rlike(pattern), before).otherwise(out)
-    return F.when(F.size(words(text)) >= 2 * repeats, out).otherwise(text)
+    return let(text, lambda t: F.coalesce(let(words(t), stripped), t))
 
 
 def strip_phantom_phrase(text: Column, phrases: Sequence[str] = PHANTOM_PHRASES) -> Column:

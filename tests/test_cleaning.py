@@ -138,10 +138,3 @@ def test_chain_by_mode(spark):
     assert [out[i]["was_corrected"] for i in (1, 3)] == [True, False] and out[4]["snippet_used"]
 
 
-@pytest.mark.parametrize("pattern", [p for p, _ in c.FILLER_RULES])
-def test_rules_are_valid(spark, pattern):
-    assert spark.range(1).select(F.regexp_replace(F.lit("deneme"), pattern, "")).first()[0] == "deneme"
-
-
-def test_guard_is_no_letter_of_the_rules():
-    assert not re.match(f"[{c.LETTER}]", c.GUARD) and re.match(r"\w", c.GUARD)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,9 +130,9 @@ def test_report(spark):
 
 
 SYMBOLS = [
-    {"symbol_name": "PasteService", "symbol_type": "class", "file_path": "a.py", "line_number": 1},
-    {"symbol_name": "RecordingService", "symbol_type": "class", "file_path": "b.py", "line_number": 2},
-    {"symbol_name": "Auth", "symbol_type": "module", "file_path": "c.py", "line_number": 3},
+    {"symbol_name": "PasteService", "symbol_type": "class", "file_path": "a.py", "line_number": 1, "parts": ["paste", "service"]},
+    {"symbol_name": "RecordingService", "symbol_type": "class", "file_path": "b.py", "line_number": 2, "parts": ["recording", "service"]},
+    {"symbol_name": "Auth", "symbol_type": "module", "file_path": "c.py", "line_number": 3, "parts": ["auth"]},
 ]
 
 
@@ -143,6 +145,37 @@ def test_injection():
     assert ma.Injector(SYMBOLS, {"widgets": ["ui/widgets/"]}, gated=True).inject("somewhere widgets") == "somewhere widgets"
 
 
+def test_folder_scores():
+    assert ma.folder_score("widget", "widgets") == 0.95 and ma.folder_score("widgets", "widgets") == 0.95
+    assert ma.folder_score("widgets", "widge") == 0.90 and ma.folder_score("widgetsandmore", "widge") < 0.90 and ma.folder_score("wid", "widgets") < 0.95
+
+
+def test_what_may_reach_a_similarity():
+    rng = random.Random(1)
+    for _ in range(3000):
+        a, b = ("".join(rng.choices("abcd", k=rng.randrange(1, 9))) for _ in range(2))
+        assert ma.jaro_winkler_of(a, b) < ma.SIMILAR or ma.may_reach(a, b, ma.SIMILAR)
+
+
+DECLARED = {
+    "a.swift": ("@objc public final class Alpha {\n  struct Beta<T> {\nclass func make() {}\n    override static func go(x: Int) {\nopen struct Nope\n  public @objc class Nope2\nprotocol P\nprivate enum Kind: Int {", [
+        ("class", "Alpha", 1), ("struct", "Beta", 2), ("class", "func", 3), ("func", "make", 3), ("func", "go", 4), ("enum", "Kind", 8)]),
+    "b.py": ("class Foo(Bar):\n  class Inner:\n    def run(self):\n    async def arun(self):\n  def odd(): pass\n        def deep(): pass\nasync def main():\ndef x(): pass", [
+        ("class", "Foo", 1), ("func", "run", 3), ("func", "arun", 4), ("func", "main", 7)]),
+    "c.ts": ("export abstract class Shape {\n  interface Opts {\nexport async function load() {\nfunction* gen() {}\nexport default class No {", [("class", "Shape", 1), ("interface", "Opts", 2), ("func", "load", 3)]),
+    "d.kt": ("data class User(val id: Int)\n  suspend fun fetch() {\ndata sealed class No\nfun String.ext() {}", [("class", "User", 1), ("func", "fetch", 2), ("func", "String", 4)]),
+    "e.go": ("type Point struct {\ntype Shape interface{\nfunc (p *Point) Move(x int) {\nfunc New() *Point {\n  func lower() {}\ntype List[T any] struct {\nfunc (Point) Bad() {}", [("struct", "Point", 1), ("interface", "Shape", 2), ("func", "Move", 3), ("func", "New", 4)]),
+}
+
+
+def test_declarations_of_each_language(spark):
+    files = spark.createDataFrame([(p, t) for p, (t, _) in DECLARED.items()], "path string, text string")
+    got = sorted(map(tuple, sy.declarations(files).collect()))
+    assert got == sorted((p, *d) for p, (_, all_) in DECLARED.items() for d in all_)
+    names = spark.createDataFrame([("class A1:\n  def run(self\nexport const Zed = 1\nconst q=1\nconst Yot: x\ntype Pt struct {\ntype Q = 3\nasync def no()\nexport class No\ninterface IFoo extends",)], "text string")
+    assert sorted(r[0] for r in sy.symbol_names(names).collect()) == ["A1", "IFoo", "Pt", "Yot", "Zed", "run"]
+
+
 def test_bounded_lists(spark):
     with pytest.raises(ValueError):
         ma.bounded(spark.range(10), 5)
