@@ -56,13 +56,15 @@ def unique(rows: DataFrame, keys: Sequence[str] = PAIR, trimmed: bool = False, a
     return first_of_each(rows, columns, list(arrival))
 
 
-def numbered(rows: DataFrame, seed: int, *keys: str, ranges: int = 4096) -> DataFrame:
+def numbered(rows: DataFrame, seed: int, *keys: str, ranges: int | None = None) -> DataFrame:
     """Rows with n, their place from 0 in a shuffle by the seed, and no task for all of them.
 
-    A row's hash falls into one of ``ranges`` ranges; ranges are counted, which gives each the
-    number of rows before it, and rows are only sorted inside their range. Rows of equal hash
-    are ordered by the keys; rows with equal keys are interchangeable.
+    A row's hash falls into one of ``ranges`` ranges, a power of two that grows with the rows: a
+    hundred thousand in each, about. Ranges are counted, which gives each the number of rows
+    before it, and rows are only sorted inside their range. Rows of equal hash are ordered by
+    the keys; rows with equal keys are interchangeable.
     """
+    ranges = ranges or 1 << min(20, max(8, (rows.count() // 100_000).bit_length()))
     hashed = rows.withColumn("_h", order(seed, *map(F.col, keys)))
     hashed = hashed.withColumn("_r", F.shiftright("_h", 64 - (ranges.bit_length() - 1)))
     counts = hashed.groupBy("_r").agg(F.count("*").alias("_c"))
@@ -96,21 +98,39 @@ def split_with_floor(rows: DataFrame, seed: int, *keys: str, valid: float = 0.1,
     return both.withColumn("split", label).drop("n", "_t")
 
 
-def placed(rows: DataFrame, key: str, parts: int = 64) -> DataFrame:
+#: Rows that one task sorts, about, and the most parts that an order is cut into.
+ROWS_A_PART, MOST_PARTS = 1_000_000, 4096
+
+
+def placed(rows: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     """Rows with n, their place from 0 in the order of a key, and no task for all of them.
 
-    Borders come from a sample of ``parts * parts`` keys at most, chosen by their hash; rows
-    between two borders are counted, and sorted among themselves. Null keys come first.
+    There are as many ``parts`` as millions of rows, 64 at least and 4096 at most. Borders come
+    from a sample of 16 keys a part, chosen by their hash; rows between two borders are counted,
+    and sorted among themselves. A key that is a border has parts of its own, into which its rows
+    are dealt by a hash of their values: so a key that is repeated often is not sorted in one
+    task. Null keys come first.
     """
+    parts = parts or min(MOST_PARTS, max(64, -(-rows.count() // ROWS_A_PART)))
     known = rows.select(key).where(F.col(key).isNotNull())
-    sampled = sorted(r[0] for r in known.orderBy(order(0, F.col(key)), key).limit(parts * parts).collect())
+    sampled = sorted(r[0] for r in known.orderBy(order(0, F.col(key)), key).limit(16 * parts).collect())
     cuts = sorted(set(sampled[:: max(1, len(sampled) // parts)][1:]))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0)
-    cut = rows.withColumn("_p", F.when(F.col(key).isNull(), -1).otherwise(part))
-    counts = cut.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = counts.withColumn("_b", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).select("_p", "_b")
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
-    return cut.join(F.broadcast(before), "_p").withColumn("n", (F.col("_b") + place).cast("long")).drop("_p", "_b")
+    kind = dict(rows.dtypes)[key]
+    # The borders are one row, which is broadcast; each key is searched for by halves.
+    borders = rows.sparkSession.createDataFrame([(cuts,)], f"_cuts array<{kind}>")
+    at = F.aggregate(
+        F.sequence(F.lit(0), F.lit(max(0, len(cuts).bit_length()))), F.struct(F.lit(0).alias("a"), F.size("_cuts").alias("b")),
+        lambda s, _: F.when(s["a"] < s["b"], F.when(F.get("_cuts", F.floor((s["a"] + s["b"]) / 2).cast("int")) <= F.col(key), F.struct((F.floor((s["a"] + s["b"]) / 2) + 1).cast("int").alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), F.floor((s["a"] + s["b"]) / 2).cast("int").alias("b")))).otherwise(s),
+        lambda s: s["a"],
+    )
+    cut = rows.crossJoin(F.broadcast(borders)).withColumn("_p", F.when(F.col(key).isNull(), -1).otherwise(at))
+    border = F.coalesce(F.get("_cuts", F.col("_p") - 1) == F.col(key), F.lit(False)) | F.col(key).isNull()
+    dealt = F.when(border, F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns)), F.lit(parts))).otherwise(F.lit(parts).cast("long"))
+    cut = cut.withColumn("_q", dealt).drop("_cuts")
+    counts = cut.groupBy("_p", "_q").agg(F.count("*").alias("_c"))
+    before = counts.withColumn("_b", F.sum("_c").over(Window.orderBy("_p", "_q")) - F.col("_c")).select("_p", "_q", "_b")
+    place = F.row_number().over(Window.partitionBy("_p", "_q").orderBy(key)) - 1
+    return cut.join(F.broadcast(before), ["_p", "_q"]).withColumn("n", (F.col("_b") + place).cast("long")).drop("_p", "_q", "_b")
 
 
 def split_sorted(rows: DataFrame, key: str, train: float = 0.95) -> DataFrame:
@@ -453,18 +473,32 @@ def recognition_pairs(rows: DataFrame, heard: str = "heard", truth: str = "truth
     return changed(rows.select(F.col(heard).alias("input"), clean_truth(F.col(truth)).alias("output")), "folded")
 
 
+#: Characters by which lines and stems are looked up: a line that holds a stem holds its first so many.
+GRAM = 8
+
+
 def pair_by_stem(audio: DataFrame, transcripts: DataFrame, metadata: DataFrame) -> DataFrame:
     """Audio files (path, stem) with a text: a transcript of the same stem, else a line of metadata that holds it.
 
-    ``transcripts`` has stem and text; ``metadata`` file, line_no and line (words after the
-    stem, parted by ``|`` or a tab). Stems are looked up as words of the lines, by equal keys;
-    the last file that has one counts, in it the first line.
+    ``transcripts`` has stem and text; ``metadata`` file, line_no and line: what it names up to
+    the first tab, comma or ``|``, and the words after that. A line counts for every stem that
+    stands anywhere in its name; the last file that has one decides, in it the first line. If
+    both have a column folder, only lines of the file's own folder count. Blank texts are null.
+
+    The join is on equal keys, the first ``GRAM`` characters of a stem and all such runs of a
+    name (shorter stems as a whole), and what is found is compared after it.
     """
-    tokens = metadata.select("file", "line_no", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"([\w-]+)"), F.lit(1)))).alias("stem"))
-    best = tokens.groupBy("stem").agg(F.max_by("line", F.struct("file", -F.col("line_no"))).alias("_line"))
-    text = F.trim(F.element_at(F.split("_line", r"[|\t]"), -1))
-    direct = transcripts.select("stem", F.col("text").alias("_text"))
-    return audio.join(direct, "stem", "left").join(best, "stem", "left").withColumn("text", F.coalesce("_text", text)).drop("_text", "_line")
+    own = ["folder"] if "folder" in audio.columns and "folder" in metadata.columns else []
+    stems = audio.select("stem", *own).where("stem <> ''").distinct().withColumn("_gram", F.substring("stem", 1, GRAM))
+    named = metadata.where(F.col("line").rlike(r"[\t,|]")).select("file", "line_no", *own, F.regexp_extract("line", r"^([^\t,|]*)[\t,|]", 1).alias("_name"), F.regexp_extract("line", r"(?s)^[^\t,|]*[\t,|](.*)$", 1).alias("_said"))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length("_name") - n + 1), lambda i: F.substring(F.col("_name"), i, F.lit(n)))
+    every = F.concat(*(F.when(F.length("_name") >= n, grams(n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1)))
+    pieces = named.select("*", F.explode(F.array_distinct(every)).alias("_gram"))
+    hits = stems.join(pieces, ["_gram", *own]).where(F.contains("_name", "stem"))
+    best = hits.groupBy("stem", *own).agg(F.max_by("_said", F.struct("file", -F.col("line_no"))).alias("_line"))
+    direct = transcripts.select("stem", *(c for c in own if c in transcripts.columns), F.col("text").alias("_text"))
+    joined = audio.join(direct, [c for c in ("stem", *own) if c in direct.columns], "left").join(best, ["stem", *own], "left")
+    return joined.withColumn("text", F.nullif(F.trim(F.coalesce("_text", "_line")), F.lit(""))).drop("_text", "_line")
 
 
 def remaining(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -164,3 +165,25 @@ def corrections_to_entries(pairs: DataFrame, before: str, after: str) -> DataFra
     a, b = words(F.col(before)), words(F.col(after))
     zipped = F.filter(F.arrays_zip(a.alias("trigger"), b.alias("replacement")), lambda p: p["trigger"] != p["replacement"])
     return pairs.where(F.size(a) == F.size(b)).select(F.inline(zipped)).distinct()
+
+
+def replaced_words(pairs: DataFrame, before: str = "raw_text", after: str = "text", least: int = 3) -> DataFrame:
+    """(before, after, n): words that corrections put in another's place, in so many places or more.
+
+    Texts are aligned word by word; where as many words stand against as many others, they pair up
+    in order. Rows without both texts are passed over. Alignment needs both whole word lists at
+    once, so it is done in Arrow batches.
+    """
+
+    @F.pandas_udf("array<struct<before:string,after:string>>")
+    def changed(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            p, q = x.split(), y.split()
+            blocks = SequenceMatcher(None, p, q, autojunk=False).get_opcodes()
+            out.append([{"before": u, "after": v} for kind, i, j, k, m in blocks if kind == "replace" and j - i == m - k for u, v in zip(p[i:j], q[k:m])])
+        return pd.Series(out)
+
+    rows = pairs.where(F.col(before).isNotNull() & F.col(after).isNotNull() & (F.col(before) != F.col(after)))
+    found = rows.select(F.inline(changed(F.col(before), F.col(after))))
+    return found.groupBy("before", "after").agg(F.count("*").alias("n")).where(F.col("n") >= least)

@@ -110,3 +110,21 @@ def replace(df: DataFrame, path: str) -> None:
     fs.rename(beside, target)
     fs.delete(old, True)
     spark.catalog.refreshByPath(path)
+
+
+#: Columns of the first symbol index; the second one has more.
+FIRST_INDEX = ("user_id", "project_path", "file_path", "symbol_type", "symbol_name", "line_number")
+
+
+def write_indexes(symbols: DataFrame, user: str, project: str, first: str, second: str) -> None:
+    """A project's symbols take the place of its old ones in both indexes, which are Parquet folders or not there yet.
+
+    The first index has each row once and only FIRST_INDEX; the second has all columns.
+    """
+    spark = symbols.sparkSession
+    rows = symbols.withColumns({"user_id": F.lit(user), "project_path": F.lit(project)})
+    own = (F.col("user_id") == user) & (F.col("project_path") == project)
+    for path, new in ((second, rows), (first, rows.select(*FIRST_INDEX).distinct())):
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+        replace(replace_scope(spark.read.parquet(path), new, own) if there else new, path)

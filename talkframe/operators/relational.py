@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rand import order
-from ..functions.text import space_word_count
+from ..functions.text import space_word_count, words
 
 #: Roles from the least to the most powerful, and the modes of a transcript.
 ROLES = ("member", "admin", "superadmin")
 MODES = ("general", "engineering", "office")
+# What columns of requests may hold; packs are named in scopes.
+ALLOWED = {
+    "scope": ("personal", "team"), "role": ROLES, "mode": MODES, "output_format": ("prose", "code_comment", "pr_description", "jira_ticket"),
+    "pack": ("office", "engineering"), "user_action": ("approved", "edited", "dismissed"),
+}
 
 
 def matching(df: DataFrame, **values: object) -> DataFrame:
@@ -169,5 +174,33 @@ def feedback(rows: DataFrame) -> DataFrame:
     raw_whisper and model_output are required; the action is approved, edited or dismissed.
     """
     missing = F.col("raw_whisper").isNull() | F.col("model_output").isNull() | F.col("user_action").isNull()
-    wrong = ~F.col("user_action").isin("approved", "edited", "dismissed")
+    wrong = ~F.col("user_action").isin(*ALLOWED["user_action"])
     return rows.withColumn("error", F.when(missing, "missing field").when(wrong, "unknown action"))
+
+
+def guarded(rows: DataFrame, *columns: str, allowed: Mapping[str, Sequence[str]] = ALLOWED) -> DataFrame:
+    """Rows with ``errors``, an array of those of the columns that hold a value that they may not; null is no value.
+
+    Without names all columns are looked at that have a list.
+    """
+    checked = columns or [c for c in rows.columns if c in allowed]
+    wrong = [F.when(~F.col(c).isin(*allowed[c]), F.lit(c)) for c in checked]
+    return rows.withColumn("errors", F.array_compact(F.array(*wrong)) if wrong else F.array().cast("array<string>"))
+
+
+def looked_up(rows: DataFrame, cache: DataFrame, column: str = "text", key: str = "text", value: str = "value") -> DataFrame:
+    """Rows in which a text that is in the cache is replaced by what the cache has for it; others stay.
+
+    The join is on equal texts: a short cache is broadcast, a long one exchanged. A key that is
+    there more than once gives its largest value.
+    """
+    known = cache.groupBy(F.col(key).alias("_key")).agg(F.max(value).alias("_value"))
+    joined = rows.join(known, F.col(column) == F.col("_key"), "left")
+    return joined.withColumn(column, F.coalesce("_value", F.col(column))).drop("_key", "_value")
+
+
+def edited_words(feedback_rows: DataFrame, least: int = 2, before: str = "model_output", after: str = "user_edit") -> DataFrame:
+    """word and n: words that users' edits added, in so many edits or more; in each edit a word counts once."""
+    edits = feedback_rows.where(F.col("user_action") == "edited")
+    added = F.array_except(words(F.lower(after)), F.coalesce(words(F.lower(before)), F.array().cast("array<string>")))
+    return edits.select(F.explode(added).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)

@@ -142,7 +142,7 @@ def python_symbols(files: DataFrame, path: str = "path", text: str = "text") ->
                 yield from walk(node, node.name, imports)
             elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 returned = ast.unparse(node.returns) if node.returns else None
-                yield "method" if parent else "func", node.name, node.lineno, node.end_lineno, f"def {node.name}({ast.unparse(node.args)})"[:200], parent, None, returned, imports, [ast.unparse(d) for d in node.decorator_list]
+                yield "func", node.name, node.lineno, node.end_lineno, f"def {node.name}({ast.unparse(node.args)})"[:200], parent, None, returned, imports, [ast.unparse(d) for d in node.decorator_list]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in schema.split(", ")]

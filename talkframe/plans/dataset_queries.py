@@ -147,13 +147,14 @@ def recognition_pairs(spark, sf):
 
 
 @query("pair_by_stem", """
-SELECT c_name AS stem, CASE WHEN c_custkey % 2 = 0 THEN 'own' ELSE 'line ' || c_custkey END AS text FROM customer""")
+SELECT c_name AS stem, CASE WHEN c_custkey % 2 = 0 THEN 'own' ELSE 'line ' || c_custkey || ', b' END AS text FROM customer""")
 def pair_by_stem(spark, sf):
-    rows = table(spark, sf, "customer").select("c_custkey", F.regexp_replace("c_name", "#", "-").alias("stem"))
+    rows = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("stem"))
     own = rows.where("c_custkey % 2 = 0").select("stem", F.lit("own").alias("text"))
-    lines = rows.select(F.lit("a.csv").alias("file"), F.col("c_custkey").alias("line_no"), F.concat(F.lit("x/"), "stem", F.lit(".wav|line "), F.col("c_custkey").cast("string")).alias("line"))
-    out = ds.pair_by_stem(rows.select("stem", F.col("stem").alias("path")), own, lines)
-    return out.select(F.regexp_replace("stem", "^(Customer)-", "$1#").alias("stem"), "text")
+    line = lambda file, n, said: rows.select(F.lit(file).alias("file"), n.alias("line_no"), F.concat(F.lit("x y."), "stem", F.lit(".wav"), said).alias("line"))
+    key = F.col("c_custkey")
+    lines = line("b.csv", key, F.concat(F.lit("|line "), key.cast("string"), F.lit(", b"))).unionAll(line("a.csv", key, F.lit("\tno")))
+    return ds.pair_by_stem(rows.select("stem", F.col("stem").alias("path")), own, lines.unionAll(line("b.csv", key + 1_000_000, F.lit(",late")))).select("stem", "text")
 
 
 @query("resume_remaining", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

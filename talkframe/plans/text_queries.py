@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.similarity import jaro_winkler
+from ..functions.values import decay, mapped
 from ..operators import cleaning as c
 from ..operators import dictionary as d
 from ..operators import evaluation as e
 from ..operators import matching as ma
+from ..operators import outline as ol
+from ..operators import relational as r
 from ..operators import symbols as sy
 from .registry import query
 from .tables import table
@@ -57,7 +60,13 @@ def filler_clean(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", c.clean_fillers(said).alias("text"))
 
 
-@query("loop_strip")
+def _loop(n: int) -> str:
+    return f"instr(array_to_string(list_transform(range(1, len(w) - {n - 1}), lambda i: CASE WHEN w[i] = w[i + {n}] THEN '1' ELSE '0' END), ''), repeat('1', {3 * n}))"
+
+
+@query("loop_strip", f"""
+WITH s AS (SELECT doc_id, text, {WORDS.format("text")} AS w FROM documents), k AS (SELECT *, coalesce(nullif({_loop(1)}, 0), nullif({_loop(2)}, 0), nullif({_loop(3)}, 0)) AS first FROM s)
+SELECT doc_id, CASE WHEN len(w) >= 6 AND first IS NOT NULL THEN array_to_string(w[1:first - 1], ' ') ELSE text END AS text FROM k""")
 def loop_strip(spark, sf):
     return table(spark, sf, "documents").select("doc_id", c.strip_loops(F.col("text")).alias("text"))
 
@@ -72,18 +81,13 @@ def phrase_strip(spark, sf):
 
 
 @query("segment_plan", """
-WITH i AS (SELECT user_id, CAST(hour(ts) * 60 + minute(ts) AS DOUBLE) AS s, CAST(hour(ts) * 60 + minute(ts) AS DOUBLE) + CAST(event_id % 7 AS DOUBLE) / 4 AS e FROM events WHERE user_id < 50),
+WITH i AS (SELECT user_id, CAST(hour(ts) * 60 + minute(ts) AS DOUBLE) AS s, CAST(hour(ts) * 60 + minute(ts) AS DOUBLE) + CAST(event_id % 7 AS DOUBLE) / 4 AS e FROM events),
 k AS (SELECT user_id, s, least(e, 1440.0) AS e, row_number() OVER (PARTITION BY user_id ORDER BY s, e) AS n, count(*) OVER (PARTITION BY user_id) AS m FROM i),
 p AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY user_id ORDER BY n), 0.0) AS prev FROM k)
 SELECT user_id, prev AS s, s AS e, false AS is_cmd FROM p WHERE s > prev + 0.3
 UNION ALL SELECT user_id, s, e, true FROM p WHERE e > s + 0.3
 UNION ALL SELECT user_id, e, 1440.0, false FROM p WHERE n = m AND e + 0.3 < 1440.0""")
 def segment_plan(spark, sf):
-    return planned(table(spark, sf, "events").where("user_id < 50"))
-
-
-@query("segment_plan_all")
-def segment_plan_all(spark, sf):
     return planned(table(spark, sf, "events"))
 
 
@@ -122,6 +126,60 @@ def references_formatted(spark, sf):
     return table(spark, sf, "pages").select("page_id", c.format_references(said).alias("text"))
 
 
+@query("replaced_words", f"""
+WITH w AS (SELECT {WORDS.format("text")} AS w, turn FROM conversations WHERE {WORDS.format("text")}[1] <> 'zzq')
+SELECT w[1] AS before, 'zzq' AS after, count(*) AS n FROM w WHERE len(w) > 0 GROUP BY 1 HAVING count(*) >= 3""")
+def replaced_words(spark, sf):
+    said = tx.words(F.col("text"))
+    rows = table(spark, sf, "conversations").select(F.col("text").alias("raw_text"), F.concat_ws(" ", F.lit("zzq"), F.array_join(F.slice(said, F.lit(2), F.size(said)), " ")).alias("text"))
+    return d.replaced_words(rows.where(F.size(tx.words(F.col("raw_text"))) > 0))
+
+
+@query("edited_words", f"""
+WITH a AS (SELECT unnest(list_distinct(list_filter({WORDS.format("lower(text)")}, lambda x: NOT list_contains({WORDS.format("lower(role)")}, x)))) AS word FROM conversations WHERE turn % 2 = 0)
+SELECT word, count(*) AS n FROM a GROUP BY word HAVING count(*) >= 2""")
+def edited_words(spark, sf):
+    rows = table(spark, sf, "conversations").select(F.col("role").alias("model_output"), F.col("text").alias("user_edit"), F.when(F.col("turn") % 2 == 0, "edited").otherwise("approved").alias("user_action"))
+    return r.edited_words(rows)
+
+
+@query("values_mapped", """
+SELECT conv_id, turn, CASE role WHEN 'user' THEN 'person' WHEN 'assistant' THEN 'model' ELSE 'other' END AS who, CASE turn % 3 WHEN 0 THEN 'technical' WHEN 1 THEN 'casual' END AS tone,
+       round(100.0 * pow(0.92, turn), 6) AS rate, CASE turn % 3 WHEN 2 THEN 'scope' ELSE '' END AS errors FROM conversations""")
+def values_mapped(spark, sf):
+    k = F.col("turn") % 3
+    app, scope = F.when(k == 0, "com.apple.Terminal").when(k == 1, "com.discord").otherwise("org.none"), F.when(k == 2, "world").when(k == 1, "team")
+    rows = r.guarded(table(spark, sf, "conversations").withColumns({"scope": scope}), "scope")
+    who = mapped(F.col("role"), {"user": "person", "assistant": "model"}, "other")
+    return rows.select("conv_id", "turn", who.alias("who"), c.app_tone(app).alias("tone"), F.round(decay(F.lit(100.0), F.col("turn") + 1), 6).alias("rate"), F.array_join("errors", ",").alias("errors"))
+
+
+@query("cached_texts", "SELECT conv_id, turn, CASE WHEN role = 'system' THEN '[' || role || ']' ELSE role END AS role FROM conversations")
+def cached_texts(spark, sf):
+    rows = table(spark, sf, "conversations")
+    cache = rows.where("role = 'system'").select(F.col("role").alias("text"), F.concat(F.lit("["), "role", F.lit("]")).alias("value"))
+    return r.looked_up(rows, cache, "role").select("conv_id", "turn", "role")
+
+
+#: A line of a recording that both the dictionary and the symbols know, in all modes, with a model's answer for every other.
+CHAIN = "servis PasteService var var"
+
+
+@query("full_chain", """
+SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'servis PasteService var var' WHEN turn % 3 = 1 AND turn % 2 = 0 THEN 'Ok.' WHEN turn % 3 = 1 THEN 'Widget PasteService var var' ELSE 'Widget @app/services/paste.py var var' END AS text,
+       turn % 3 = 1 AND turn % 2 = 0 AS was_corrected, CASE WHEN turn % 3 = 0 THEN 'app/services/paste.py:10' END AS place FROM conversations""")
+def full_chain(spark, sf):
+    k = F.col("turn") % 3
+    rows = table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.lit(CHAIN).alias("text"), F.when(k == 0, "engineering").when(k == 1, "general").otherwise("it_dataset").alias("mode"), F.lit("u").alias("user_id"),
+        F.when((F.col("turn") % 2 == 0) & (k == 1), "Ok.").otherwise(F.repeat(F.lit("too long "), 20)).alias("answer"),
+    )
+    entries = spark.createDataFrame([("servis", "Widget", 0)], "trigger string, replacement string, ord int")
+    symbols = spark.createDataFrame(SYMBOLS, SYMBOL_DDL)
+    out = c.clean(rows, entries, symbols=symbols, corrected="answer", enabled=F.lit(True))
+    return out.select("conv_id", "turn", "text", "was_corrected", F.col("symbol_refs")["PasteService"].alias("place"))
+
+
 @query("clean_chain")
 def clean_chain(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.when(F.col("turn") % 4 == 0, "engineering").otherwise("general").alias("mode"), F.col("conv_id").alias("user_id"))
@@ -200,15 +258,17 @@ SYMBOLS = (
 SYMBOL_DDL = "id long, symbol_name string, symbol_type string, file_path string, line_number int"
 
 
-@query("symbol_inject")
+@query("symbol_inject", r"""
+SELECT conv_id, turn, '@app/services/paste.py:10 PasteService and the @app/services/recording.py:4 RecordingService in @app/auth/service.py:7 AuthService @lib/wqxzkv/ internationally ' || regexp_replace(trim(text), '\s+', ' ', 'g') AS text FROM conversations""")
 def symbol_inject(spark, sf):
-    symbols = spark.createDataFrame(SYMBOLS, SYMBOL_DDL)
-    folders = sy.folder_names(symbols.select("file_path"), "file_path")
-    said = F.concat(F.lit("PasteService and the recording service in OutService "), "text")
+    symbols = spark.createDataFrame(SYMBOLS[:4], SYMBOL_DDL)  # the fifth is like some invented words
+    # A folder that no word of the invented texts is like, so that SQL can say what is found.
+    folders = spark.createDataFrame([("wqxzkv", "lib/wqxzkv/")], "name string, path string")
+    said = F.concat(F.lit("PasteService and the recording service in OutService wqxzk internationally "), "text")
     return table(spark, sf, "conversations").select("conv_id", "turn", ma.inject_symbols(said, symbols, folders).alias("text"))
 
 
-@query("phonetic_match")
+@query("phonetic_match", "SELECT item_id, 1 AS start, 2 AS n, 'PasteService' AS symbol_name FROM benchmark")
 def phonetic_match(spark, sf):
     rows = table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("the paste servise and "), "text").alias("text"))
     return ma.phonetic_matches(rows, spark.createDataFrame(SYMBOLS, SYMBOL_DDL), "item_id")
@@ -241,9 +301,29 @@ def symbol_declarations(spark, sf):
     return sy.declarations(sy.source_files(code_files(spark, sf), length=None))
 
 
-@query("symbol_trees")
+@query("symbol_trees", r"""
+WITH f AS (SELECT 'src/m' || page_id % 5 || '/f' || page_id || '.py' AS path, regexp_extract(url, '([a-z]+)\.[a-z]+\.', 1) AS h FROM pages), c AS (SELECT path, upper(h[1]) || h[2:] || 'Service' AS c FROM f)
+SELECT path, 'class' AS symbol_type, c AS symbol_name, 5 AS line_number, 7 AS end_line, 'class ' || c AS signature, NULL AS parent_symbol, 'Base' AS parent_class, NULL AS return_type, 'os,app.core,numpy.linalg' AS imports FROM c
+UNION ALL SELECT path, 'func', 'run', 6, 7, 'def run(self, n: int)', c, NULL, 'str', 'os,app.core,numpy.linalg' FROM c
+UNION ALL SELECT path, 'func', 'go', 9, 10, 'def go()', NULL, NULL, NULL, 'os,app.core,numpy.linalg' FROM c""")
 def symbol_trees(spark, sf):
-    return sy.python_symbols(code_files(spark, sf))
+    rows = sy.python_symbols(code_files(spark, sf))
+    return rows.select("path", "symbol_type", "symbol_name", "line_number", "end_line", "signature", "parent_symbol", "parent_class", "return_type", F.array_join("imports", ",").alias("imports"))
+
+
+def swift_files(spark, sf):
+    host = F.initcap(F.regexp_extract("url", r"([a-z]+)\.[a-z]+\.", 1))
+    body = F.concat(F.lit("import Core\n// class Old {\npublic final class "), host, F.lit("View: Base, Shown {\n    let id = "), F.col("page_id").cast("string"), F.lit("\n    static func make(n: Int) -> String {\n        return \"{\"\n    }\n}\n"))
+    return table(spark, sf, "pages").select(F.concat(F.lit("app/f"), F.col("page_id").cast("string"), F.lit(".swift")).alias("path"), body.alias("text"))
+
+
+@query("symbol_outline", r"""
+WITH f AS (SELECT page_id, 'app/f' || page_id || '.swift' AS path, regexp_extract(url, '([a-z]+)\.[a-z]+\.', 1) AS h FROM pages), c AS (SELECT page_id, path, upper(h[1]) || h[2:] || 'View' AS c FROM f)
+SELECT path, 'class' AS symbol_type, c AS symbol_name, 3 AS line_number, 8 AS end_line, NULL AS signature, NULL AS parent_symbol, 'Base' AS parent_class, 'Shown' AS conformances, NULL AS return_type, 'let id = ' || page_id AS properties, 'Core' AS imports, false AS is_static FROM c
+UNION ALL SELECT path, 'func', 'make', 5, 7, 'static func make(n: Int) -> String', c, NULL, NULL, 'String', '', 'Core', true FROM c""")
+def symbol_outline(spark, sf):
+    rows = ol.outline(swift_files(spark, sf))
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("properties", "imports")})
 
 
 @query("symbol_report")
@@ -269,47 +349,32 @@ def folder_names(spark, sf):
     return sy.folder_names(code_files(spark, sf))
 
 
-# What is dropped keeps words apart, so words can be compared by place.
+# What is dropped keeps words apart, so words can be compared by place. Capitals and the marks that are dropped stand in no
+# prediction, so each takes an edit of its own, and nothing else does.
 SPOILT = "lower(regexp_replace(text, '[.,!?;:]', '', 'g'))"
-ASCII = "(SELECT * FROM benchmark WHERE strlen(text) = length(text))"
+EDITS = r"length(regexp_replace(trim(text), '[^.,!?;:\p{Lu}]', '', 'g'))"
 
 
-def evaluated(spark, sf, ascii_only=True):
+def evaluated(spark, sf):
     rows = table(spark, sf, "benchmark")
-    if ascii_only:  # DuckDB's levenshtein compares bytes
-        rows = rows.where(F.octet_length("text") == F.length("text"))
     return rows.select("item_id", F.concat(F.lit("Actually "), "text").alias("input"), F.col("text").alias("output"), F.lower(tx.drop_punctuation(F.col("text"))).alias("prediction"))
 
 
-@query("cer_rows", f"SELECT item_id, round(levenshtein(trim({SPOILT}), trim(text)) / length(trim(text)), 6) AS cer FROM {ASCII}")
+@query("cer_rows", f"SELECT item_id, round({EDITS} / length(trim(text)), 6) AS cer FROM benchmark")
 def cer_rows(spark, sf):
-    return rates(evaluated(spark, sf))
-
-
-@query("cer_rows_all")
-def cer_rows_all(spark, sf):
-    return rates(evaluated(spark, sf, ascii_only=False))
-
-
-def rates(rows):
-    return rows.select("item_id", F.round(e.cer(F.col("output"), F.col("prediction")), 6).alias("cer"))
+    return evaluated(spark, sf).select("item_id", F.round(e.cer(F.col("output"), F.col("prediction")), 6).alias("cer"))
 
 
 @query("eval_report", f"""
-WITH r AS (SELECT text, {SPOILT} AS p FROM {ASCII}),
+WITH r AS (SELECT text, {SPOILT} AS p FROM benchmark),
 w AS (SELECT *, {WORDS.format("text")} AS a, {WORDS.format("p")} AS b FROM r)
 SELECT count(*) AS samples, round(sum(len(list_filter(list_zip(a, b), lambda z: z[1] <> z[2]))) / sum(len(a)), 4) AS wer,
-       round(avg(levenshtein(trim(p), trim(text)) / length(trim(text))), 4) AS cer, round(avg(CAST(lower(trim(p)) = lower(trim(text)) AS INT)) * 100, 2) AS exact_match,
+       round(avg({EDITS} / length(trim(text))), 4) AS cer, round(avg(CAST(lower(trim(p)) = lower(trim(text)) AS INT)) * 100, 2) AS exact_match,
        round(avg(CAST(NOT (contains(p, 'actually') OR contains(p, 'wait')) AS INT)) * 100, 2) AS backtracking FROM w""")
 def eval_report(spark, sf):
     return e.report(evaluated(spark, sf))
 
 
-@query("eval_report_all")
-def eval_report_all(spark, sf):
-    return e.report(evaluated(spark, sf, ascii_only=False))
-
-
 @query("backtrack_rate", """
 SELECT count(*) AS judged, count(*) FILTER (contains(lower(a), 'wait')) AS still FROM (SELECT CASE WHEN turn % 2 = 0 THEN 'Wait ' || text ELSE text END AS q, CASE WHEN turn % 4 = 0 THEN 'wait ' || text ELSE text END AS a FROM conversations)
 WHERE contains(lower(q), 'wait')""")

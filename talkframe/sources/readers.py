@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import PAIR
@@ -40,10 +40,28 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """row_id (from 0, gapless) and value of the lines that are not blank, files in the order of their names.
+
+    A file may be split in any way: lines are numbered within their split, and the splits' counts
+    are added up in the order of file and position. That table has a row a split.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    counts = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_least"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_file", "_block")) - F.col("_n")).drop("_n")
+    joined = rows.join(F.broadcast(before), ["_file", "_block"])
+    return joined.select((F.col("_before") + F.col("_id") - F.col("_least")).alias("row_id"), "value")
+
+
 def one_field(spark: SparkSession, path: str, field: str = "text") -> DataFrame:
-    """row_id (file and place in it) and a text field of JSON lines; a line without it is an error's row, not a gap."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("row_id"), "value").where(F.trim("value") != "")
-    return rows.select("row_id", F.get_json_object("value", f"$.{field}").alias(field))
+    """row_id (the line's number) and a text field of JSON lines; a line without it is an error's row, not a gap."""
+    return numbered_lines(spark, path).select("row_id", F.get_json_object("value", f"$.{field}").alias(field))
+
+
+def combined(spark: SparkSession, path: str, fields: Sequence[str] = ("input", "output", "prediction")) -> DataFrame:
+    """row_id and several text fields of JSON lines; a missing one is empty."""
+    return numbered_lines(spark, path).select("row_id", *(F.coalesce(F.get_json_object("value", f"$.{f}"), F.lit("")).alias(f) for f in fields))
 
 
 def sentences(spark: SparkSession, folder: str, longer_than: int = 10) -> DataFrame:

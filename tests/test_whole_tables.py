@@ -1,4 +1,4 @@
-"""Queries over whole tables that the SQL of their namesakes takes a part of, against plain versions."""
+"""Queries over whole tables against plain versions."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ def test_segment_plan_of_all_users(spark, small, duck):
             want += [(user, before, s, False)] * (s > before + 0.3) + [(user, s, e, True)] * (e > s + 0.3)
             before = e
         want += [(user, before, 1440.0, False)] * (before + 0.3 < 1440)
-    got = [tuple(r) for r in QUERIES["segment_plan_all"](spark, small).collect()]
+    got = [tuple(r) for r in QUERIES["segment_plan"](spark, small).collect()]
     assert sorted(got) == sorted(want)
 
 
@@ -35,10 +35,10 @@ def test_rates_of_all_items(spark, small, duck):
     items = duck.execute("SELECT item_id, text FROM benchmark").fetchall()
     said = {i: (t, "".join(c for c in t if c not in ".,!?;:").lower()) for i, t in items}
     want = {i: distance(t.strip(), p.strip()) / len(t.strip()) for i, (t, p) in said.items()}
-    got = {r["item_id"]: r["cer"] for r in QUERIES["cer_rows_all"](spark, small).collect()}
+    got = {r["item_id"]: r["cer"] for r in QUERIES["cer_rows"](spark, small).collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
     assert any(not t.isascii() for _, t in items)
-    row = QUERIES["eval_report_all"](spark, small).first()
+    row = QUERIES["eval_report"](spark, small).first()
     wer = sum(distance(t.split(), p.split()) for t, p in said.values()) / sum(len(t.split()) for t, _ in said.values())
     assert row["samples"] == len(items) and abs(row["wer"] - wer) < 1e-4 and abs(row["cer"] - sum(want.values()) / len(want)) < 1e-4
     assert abs(row["exact_match"] - 100 * sum(t.strip().lower() == p.strip() for t, p in said.values()) / len(said)) < 0.01
