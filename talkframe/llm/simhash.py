@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, hinted, lean, table, text_or_empty, tidy, without
@@ -201,8 +201,8 @@ def fingerprint_components(docs: DataFrame, size: int = 3, radius: int = 2, text
 
 #: Of one text in SAMPLED the shingles are counted; those of SEEN texts or more are common, MOST_COMMON of them at most.
 SAMPLED, SEEN, MOST_COMMON = 32, 4, 1_000_000
-#: Texts of a part of a crowd, about; a task compares two parts.
-PART = 512
+#: Texts of a part of a crowd, about; a task compares two parts. And texts that all of a large crowd are compared with first.
+PART, HUBS = 512, 3
 
 
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -437,17 +437,57 @@ def _block_links(texts: list[str], fps: np.ndarray | None, size: int, similarity
     return _spanning(link)
 
 
+def _similarities(a: Column, b: Column, size: int) -> Column:
+    """Jaccard similarity of the word shingles of two texts."""
+
+    @F.pandas_udf("double")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        out: list[float] = []
+        for at in range(0, len(a), 256):
+            left, right = a[at : at + 256].tolist(), b[at : at + 256].tolist()
+            texts = list(dict.fromkeys(left + right))
+            sets = {}
+            for x, y in sized([t.encode("utf-8", "surrogatepass") for t in texts]):
+                sets |= zip(texts[x:y], _shingle_sets(texts[x:y], size))
+            out += [_jaccard(sets[x], sets[y]) for x, y in zip(left, right)]
+        return pd.Series(out, dtype=float)
+
+    return similar(a, b)
+
+
+def _around_hubs(texts: DataFrame, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of texts (crowd, node, text) with a hub of their crowd; and (crowd, node, linked) of all.
+
+    The hub is any text of the crowd at first. Each later one is among those linked already, and
+    those not linked yet are compared with it. So the near copies of one text cost a
+    comparison or two each, however many they are.
+    """
+    links, state = None, texts.select("crowd", "node", F.lit(False).alias("linked"))
+    for turn in range(HUBS):
+        able = state.where("linked") if turn else state
+        hubs = able.groupBy("crowd").agg(F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("hub"))
+        said = texts.select(F.col("node").alias("hub"), F.col("text").alias("said"))
+        hubs = checkpointed(hubs.join(said, "hub"))
+        free = texts.join(state.where("not linked").select("node"), "node", "left_semi")
+        met = free.join(hubs, "crowd").select("node", "hub", _similarities(F.col("text"), F.col("said"), size).alias("s"))
+        new = checkpointed(met.where(F.col("s") >= similarity - 1e-9).select(F.col("hub").alias("a"), F.col("node").alias("b")))
+        links = new if links is None else links.unionAll(new)
+        near = new.select(F.col("b").alias("node"), F.lit(True).alias("_near"))
+        state = checkpointed(state.join(near, "node", "left").select("crowd", "node", (F.col("linked") | F.col("_near").isNotNull()).alias("linked")))
+    return links.where("a <> b"), state
+
+
 def _blocks(crowds: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float, text: str, key: str) -> DataFrame:
-    """Links (a, b) within crowds (crowd, node): all pairs are compared, and each block gives a link a text at most.
+    """Links (a, b) within crowds (crowd, node): all are compared that could still matter, and each block gives a link a text at most.
 
-    A crowd is dealt into parts of about ``PART`` texts, and parts meet in twos, in tasks of
-    their own. A text is sent once for each part of its crowd, and no pair is ever a row.
+    A crowd of up to ``PART`` texts is one block. In a larger one texts are first compared with
+    hubs. Those linked to one are in one component, and need not be compared with each other;
+    those that are not are dealt into parts, which meet each other and the parts of the linked
+    ones, two parts a task. No pair is ever a row.
     """
-    sizes = crowds.groupBy("crowd").count().select("crowd", F.ceil(F.col("count") / PART).cast("int").alias("n"))
-    dealt = crowds.join(sizes, "crowd").withColumn("p", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("q"))
-    dealt = dealt.select("crowd", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node")
-    texts = _texts(crowds.select("node").distinct(), nodes, docs, text, key)
+    sizes = crowds.groupBy("crowd").count()
+    small = crowds.join(sizes.where(F.col("count") <= PART).select("crowd"), "crowd").select("crowd", F.lit(0).alias("i"), F.lit(0).alias("j"), "node")
+    large = checkpointed(crowds.join(sizes.where(F.col("count") > PART).select("crowd"), "crowd"))
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         root = _block_links(rows["text"].tolist(), None, size, similarity)
@@ -455,7 +495,23 @@ def _blocks(crowds: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, sim
         node = rows["node"].to_numpy()
         return pd.DataFrame({"a": node[own], "b": node[root[own]]})
 
-    return dealt.join(texts, "node").groupBy("crowd", "i", "j").applyInPandas(meet, "a long, b long")
+    def met(dealt: DataFrame, texts: DataFrame) -> DataFrame:
+        return dealt.join(texts, "node").groupBy("crowd", "i", "j").applyInPandas(meet, "a long, b long")
+
+    links = met(small, _texts(small.select("node").distinct(), nodes, docs, text, key))
+    if large.isEmpty():
+        return links
+    texts = checkpointed(large.join(_texts(large.select("node"), nodes, docs, text, key), "node"))
+    starred, state = _around_hubs(texts, size, similarity)
+    parts = state.groupBy("crowd").agg(F.ceil(F.count_if(~F.col("linked")) / PART).cast("int").alias("n"), F.ceil(F.count_if("linked") / PART).cast("int").alias("m"))
+    dealt = state.join(parts.where("n > 0"), "crowd")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("linked"), F.col("m")).otherwise(F.col("n"))).cast("int")
+    # Parts of linked texts have the numbers from n on; they only meet those before n.
+    dealt = dealt.select("crowd", "node", "n", "m", "linked", F.when(F.col("linked"), F.col("n") + own).otherwise(own).alias("p"))
+    others = F.when(F.col("linked"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.sequence(F.lit(0), F.col("n") + F.col("m") - 1))
+    dealt = dealt.select("crowd", "node", "p", F.explode(others).alias("q"))
+    dealt = dealt.select("crowd", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node")
+    return links.unionAll(starred).unionAll(met(dealt, texts.select("node", "text")))
 
 
 def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -470,21 +526,9 @@ def _pair_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     texts = _texts(wanted, nodes, docs, text, key)
 
-    @F.pandas_udf("double")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        out: list[float] = []
-        for at in range(0, len(a), 256):
-            left, right = a[at : at + 256].tolist(), b[at : at + 256].tolist()
-            texts_ = list(dict.fromkeys(left + right))
-            sets = {}
-            for x, y in sized([t.encode("utf-8", "surrogatepass") for t in texts_]):
-                sets |= zip(texts_[x:y], _shingle_sets(texts_[x:y], size))
-            out += [_jaccard(sets[x], sets[y]) for x, y in zip(left, right)]
-        return pd.Series(out, dtype=float)
-
     a, b = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     both = pairs.select("a", "b").join(b, "b").join(a, "a")
-    return both.select("a", "b", similar("text_a", "text_b").alias("s")).where(F.col("s") >= similarity - 1e-9).select("a", "b")
+    return both.select("a", "b", _similarities(F.col("text_a"), F.col("text_b"), size).alias("s")).where(F.col("s") >= similarity - 1e-9).select("a", "b")
 
 
 def near_duplicates(
