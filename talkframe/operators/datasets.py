@@ -8,6 +8,7 @@ sorting them in one task.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -225,17 +226,34 @@ MISHEARD = (
     ("değil", "deil"), ("gideceğim", "gideceyim"), ("yapacağız", "yapacayiz"), ("başlamak", "baslamak"), ("çalışıyor", "calisiyor"),
     ("söylüyor", "soyluyor"), ("görüşürüz", "gorusuruz"), ("öğrenci", "ogrenci"), ("düşünüyorum", "dusunuyorum"),
 )
-#: By persona, the chances of a term, a mark, a suffix, a stop, a capital and a word border being spoilt.
+# How many fillers a text gets at least and at most.
+FILLER_COUNTS = {"low": (0, 1), "medium": (1, 3), "high": (3, 6)}
+
+
+class Style(NamedTuple):
+    """How a persona speaks: how often with fillers, and the chances that each kind of thing is spoilt."""
+
+    fillers: str
+    term: float
+    mark: float
+    suffix: float
+    stop: float
+    capital: float
+    border: float
+
+
+# The personas.
 STYLES = {
-    "senior": ("low", 0.5, 0.3, 0.4, 0.3, 0.5, 0.05),
-    "mid": ("medium", 0.6, 0.4, 0.5, 0.5, 0.6, 0.08),
-    "junior": ("high", 0.8, 0.5, 0.6, 0.6, 0.7, 0.12),
-    "pm": ("medium", 0.4, 0.35, 0.5, 0.4, 0.5, 0.06),
+    "senior": Style(fillers="low", term=0.5, mark=0.3, suffix=0.4, stop=0.3, capital=0.5, border=0.05),
+    "mid": Style(fillers="medium", term=0.6, mark=0.4, suffix=0.5, stop=0.5, capital=0.6, border=0.08),
+    "junior": Style(fillers="high", term=0.8, mark=0.5, suffix=0.6, stop=0.6, capital=0.7, border=0.12),
+    "pm": Style(fillers="medium", term=0.4, mark=0.35, suffix=0.5, stop=0.4, capital=0.5, border=0.06),
 }
-# Suffixes that run together with their word, before a blank, a stop and a comma.
+# Suffixes that run together with their word, with what follows them.
 SUFFIXES = (
-    *(f"{s} " for s in "ı i u ü a e da de dan den ta te tan ten la le ın in nın nin ya ye".split()),
-    *(f"{s}." for s in "ı i a e da de dan den nın nin ya ye".split()), *(f"{s}," for s in "ı i a e".split()),
+    "ı ", "i ", "u ", "ü ", "a ", "e ", "da ", "de ", "dan ", "den ", "ta ", "te ", "tan ", "ten ", "la ", "le ", "ın ", "in ", "nın ", "nin ", "ya ", "ye ",
+    "ı.", "i.", "a.", "e.", "da.", "de.", "dan.", "den.", "nın.", "nin.", "ya.", "ye.",
+    "ı,", "i,", "a,", "e,",
 )
 
 
@@ -306,36 +324,43 @@ def spoil_borders(text: Column, chance: float, seed: int, row: Column) -> Column
     return F.aggregate(words(text), start, step, lambda acc: acc["out"])
 
 
-def add_fillers(text: Column, frequency: str, seed: int, row: Column) -> Column:
+def add_fillers(text: Column, frequency: Column | str, seed: int, row: Column) -> Column:
     """None or one filler (low), one to three (medium), or three to six (high); texts under three words keep none."""
-    least, most = {"low": (0, 1), "medium": (1, 3), "high": (3, 6)}[frequency]
-    fillers = list(FILLERS[frequency])
+    named = F.lit(frequency) if isinstance(frequency, str) else frequency
+    of = lambda values, f: F.create_map(*(x for k, v in values.items() for x in (F.lit(k), f(v))))[named]
+    fillers = of(FILLERS, lambda v: F.array(*map(F.lit, v)))
+    least, most = (of(FILLER_COUNTS, lambda v, i=i: F.lit(v[i])) for i in range(2))
     return let(words(text), lambda said: _with_fillers(said, fillers, least, most, seed, row))
 
 
-def _with_fillers(said: Column, fillers: list[str], least: int, most: int, seed: int, row: Column) -> Column:
+def _with_fillers(said: Column, fillers: Column, least: Column, most: Column, seed: int, row: Column) -> Column:
     room = F.greatest(F.lit(1), F.size(said) - 1)
-    low, high = F.least(F.lit(least), room), F.least(F.lit(most), room)
+    low, high = F.least(least, room), F.least(most, room)
     n = low + below(high - low + 1, seed, row).cast("int")
 
     def put(acc: Column, k: Column) -> Column:
         at = F.when((k == 0) & (uniform(seed + 1, row) < 0.5), 1).otherwise(2 + below(F.size(acc) - 1, seed + 2, row, k).cast("int"))
-        return F.array_insert(acc, at, choose(fillers, None, seed + 3, row, k))
+        return F.array_insert(acc, at, F.element_at(fillers, 1 + below(F.size(fillers), seed + 3, row, k).cast("int")))
 
     turns = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     return F.array_join(F.when(F.size(said) < 3, said).otherwise(F.aggregate(turns, said, put)), " ")
 
 
-def spoil(text: Column, style: str, variants: Mapping[str, Sequence[str]], seed: int, row: Column) -> Column:
-    """All layers in order: terms, marks, suffixes, punctuation, capitals, word borders, fillers."""
-    fillers, term, mark, suffix, stop, capital, border = STYLES[style]
-    out = spoil_terms(text, variants, term, seed, row)
-    out = spoil_marks(out, mark, seed + 10, row)
-    out = spoil_suffixes(out, suffix, seed + 20, row)
-    out = spoil_punctuation(out, stop, seed + 30, row)
-    out = spoil_capitals(out, capital, seed + 40, row)
-    out = spoil_borders(out, border, seed + 50, row)
-    out = add_fillers(out, fillers, seed + 60, row)
+def spoil(text: Column, style: Column | str, variants: Mapping[str, Sequence[str]], seed: int, row: Column) -> Column:
+    """All layers in order: terms, marks, suffixes, punctuation, capitals, word borders, fillers.
+
+    The style may differ from row to row; one that is not known is ``mid``.
+    """
+    named = F.lit(style) if isinstance(style, str) else style
+    known = F.when(named.isin(*STYLES), named).otherwise("mid")
+    chance = {f: F.create_map(*(F.lit(x) for k, v in STYLES.items() for x in (k, getattr(v, f))))[known] for f in Style._fields}
+    out = spoil_terms(text, variants, chance["term"], seed, row)
+    out = spoil_marks(out, chance["mark"], seed + 10, row)
+    out = spoil_suffixes(out, chance["suffix"], seed + 20, row)
+    out = spoil_punctuation(out, chance["stop"], seed + 30, row)
+    out = spoil_capitals(out, chance["capital"], seed + 40, row)
+    out = spoil_borders(out, chance["border"], seed + 50, row)
+    out = add_fillers(out, chance["fillers"], seed + 60, row)
     return F.array_join(words(out), " ")
 
 
@@ -415,28 +440,40 @@ def persona_variants(rows: DataFrame, variants: Mapping[str, Sequence[str]], see
     """
     own = rows.select(F.col(key), F.col(persona), F.col(text).alias("output"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("variant"))
     row = F.struct(key, "variant")
-    known = F.coalesce(F.col(persona).isin(*STYLES), F.lit(False))
-    out = None
-    for style in STYLES:
-        like_it = (F.col(persona) == style) | ~known if style == "mid" else F.col(persona) == style
-        part = own.where(like_it).withColumn("input", spoil(F.col("output"), style, variants, seed, row))
-        out = part if out is None else out.unionByName(part)
+    out = own.withColumn("input", spoil(F.col("output"), F.col(persona), variants, seed, row))
     plain = drop_punctuation(F.lower("output"))
     out = out.withColumn("input", F.when(F.col("input") == F.col("output"), plain).otherwise(F.col("input")))
     return unique(changed(out), keys=("input",), arrival=(key, "variant"))
 
 
-# What each training round does: chances for stops and capitals, more fillers or not, versions a text.
+class Round(NamedTuple):
+    """What a training round does: the chances for stops and capitals, whether fillers are more, and versions of a text."""
+
+    name: str
+    stop: float
+    capital: float
+    boost: bool
+    versions: int
+
+
+# The rounds, which then begin again.
 ROUNDS = (
-    ("balanced", 0.5, 0.6, False, 5), ("filler_heavy", 0.3, 0.4, True, 6), ("punct_focus", 0.8, 0.9, False, 5),
-    ("light", 0.3, 0.3, False, 5), ("extreme_filler", 0.6, 0.7, True, 7), ("no_punct", 0.9, 0.5, False, 5),
-    ("mixed", 0.5, 0.6, True, 7), ("gentle", 0.2, 0.2, False, 4), ("real_world", 0.5, 0.5, True, 8), ("final_push", 0.5, 0.6, True, 9),
-)
+    Round("balanced", stop=0.5, capital=0.6, boost=False, versions=5),
+    Round("filler_heavy", stop=0.3, capital=0.4, boost=True, versions=6),
+    Round("punct_focus", stop=0.8, capital=0.9, boost=False, versions=5),
+    Round("light", stop=0.3, capital=0.3, boost=False, versions=5),
+    Round("extreme_filler", stop=0.6, capital=0.7, boost=True, versions=7),
+    Round("no_punct", stop=0.9, capital=0.5, boost=False, versions=5),
+    Round("mixed", stop=0.5, capital=0.6, boost=True, versions=7),
+    Round("gentle", stop=0.2, capital=0.2, boost=False, versions=4),
+    Round("real_world", stop=0.5, capital=0.5, boost=True, versions=8),
+    Round("final_push", stop=0.5, capital=0.6, boost=True, versions=9),
+)
 
 
 def spoilt_round(rows: DataFrame, number: int, frequency: str, seed: int, text: str = "text", key: str = "id") -> DataFrame:
     """Pairs of round ``number`` (from 1): each text in as many versions as the round asks for, unique by input."""
-    _, stop, capital, boost, n = ROUNDS[(number - 1) % len(ROUNDS)]
+    _, stop, capital, boost, n = ROUNDS[(number - 1) % len(ROUNDS)]  # rounds are numbered from 1
     if boost:
         frequency = "medium" if frequency == "low" else "high"
     own = rows.select(key, F.col(text).alias("output"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("variant"))
