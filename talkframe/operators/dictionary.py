@@ -6,7 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import split_identifier
@@ -95,15 +95,28 @@ def apply_dictionary(text: Column, entries: DataFrame | Sequence[tuple[str, str]
         entries = [(r[0], r[1]) for r in found]
     if len(entries) > MOST_ENTRIES:
         raise ValueError(f"a dictionary of more than {MOST_ENTRIES} entries must be split by tenant first")
-    pairs = list(entries)
+    if not entries:
+        return text
+    shared = SparkSession.active().sparkContext.broadcast(list(entries))
 
     @F.pandas_udf("string")
     def substitute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        made = Substitution(pairs)
+        made = _substitution(shared.value)
         for texts in batches:
-            yield texts.map(lambda t: None if t is None else made.apply(t))
+            yield texts.map(made.apply, na_action="ignore")
 
-    return substitute(text) if pairs else text
+    return substitute(text)
+
+
+#: The automaton that this worker has built, and the entries that it was built from.
+_built: list = []
+
+
+def _substitution(entries: list[tuple[str, str]]) -> Substitution:
+    """Built once a worker, not once a task."""
+    if not _built or _built[0] is not entries:
+        _built[:] = [entries, Substitution(entries)]
+    return _built[1]
 
 
 def apply_small_dictionary(text: Column, entries: Sequence[tuple[str, str]]) -> Column:

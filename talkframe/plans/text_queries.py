@@ -35,6 +35,17 @@ def dict_apply(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(d.apply_dictionary(F.col("text"), list(LEXICON))).alias("digest"))
 
 
+#: As many entries as a large bundle has.
+ENTRIES = 70_000
+
+
+@query("dict_apply_large", f"SELECT l_orderkey, l_linenumber, 'a line of Term ' || l_orderkey % {ENTRIES} || ' is here' AS text FROM lineitem")
+def dict_apply_large(spark, sf):
+    entries = [(f"term{i}", f"Term {i}") for i in range(ENTRIES)]
+    said = F.concat(F.lit("a line of term"), (F.col("l_orderkey") % ENTRIES).cast("string"), F.lit(" is here"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", d.apply_dictionary(said, entries).alias("text"))
+
+
 @query("dict_apply_catalyst", f"SELECT conv_id, turn, {_replaced('text')} AS text FROM conversations")
 def dict_apply_catalyst(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", d.apply_small_dictionary(F.col("text"), LEXICON).alias("text"))
@@ -230,7 +241,14 @@ def bundle_expand(spark, sf):
 VARIANTS = {"Service": ("servis", "out"), "User": ("kullanici",), "Repository": ("repo", "depo")}
 
 
-@query("trigger_variants")
+@query("trigger_variants", """
+SELECT * FROM (VALUES ('UserService', 'user out'), ('UserService', 'user servis'), ('UserService', 'user service'), ('UserService', 'kullanici out'), ('UserService', 'kullanici servis'), ('UserService', 'kullanici service'),
+  ('UserRepositoryService', 'user repo out'), ('UserRepositoryService', 'user depo out'), ('UserRepositoryService', 'user repo servis'), ('UserRepositoryService', 'user depo servis'),
+  ('UserRepositoryService', 'user repo service'), ('UserRepositoryService', 'user depo service'), ('UserRepositoryService', 'user repository out'), ('UserRepositoryService', 'user repository servis'),
+  ('UserRepositoryService', 'user repository service'), ('UserRepositoryService', 'kullanici repo out'), ('UserRepositoryService', 'kullanici depo out'), ('UserRepositoryService', 'kullanici repo servis'),
+  ('UserRepositoryService', 'kullanici depo servis'), ('UserRepositoryService', 'kullanici repo service'), ('UserRepositoryService', 'kullanici depo service'), ('UserRepositoryService', 'kullanici repository out'),
+  ('UserRepositoryService', 'kullanici repository servis'), ('UserRepositoryService', 'kullanici repository service'), ('XMLParser', 'xml parser'),
+  ('getUserById', 'get user by id'), ('getUserById', 'get kullanici by id')) AS t(name, trigger)""")
 def trigger_variants(spark, sf):
     names = spark.createDataFrame([("UserService",), ("UserRepositoryService",), ("XMLParser",), ("getUserById",)], "name string")
     return names.select("name", F.explode(d.triggers(F.col("name"), VARIANTS)).alias("trigger"))
@@ -248,12 +266,9 @@ x AS (SELECT token, name, jaro_winkler_similarity(token, name) AS s, dense_rank(
 b AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY s DESC, o) AS k FROM x)
 SELECT token, name, round(s, 6) AS score FROM b WHERE k = 1 AND s >= 0.6""")
 def fuzzy_best(spark, sf):
-    from pyspark.sql import Window
-
     part = table(spark, sf, "part")
     w = lambda column, name: part.select(F.explode(F.split(F.lower(column), r"\s+")).alias(name)).distinct()
-    names = w("p_name", "name").withColumn("ord", F.dense_rank().over(Window.orderBy("name")))
-    return ma.best_match(w("p_type", "token"), names, least=0.6).withColumn("score", F.round("score", 6))
+    return ma.best_match(w("p_type", "token"), w("p_name", "name"), order="name", least=0.6).withColumn("score", F.round("score", 6))
 
 
 @query("jaro_winkler", "SELECT c_custkey, round(jaro_winkler_similarity(lower(c_mktsegment), lower(n_name)), 6) AS score FROM customer JOIN nation ON c_nationkey = n_nationkey")

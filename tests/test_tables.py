@@ -115,7 +115,7 @@ def test_declarations(spark):
     }  # fmt: skip  names of one letter are left out
     assert [tuple(x) for x in sy.inheritance(files).collect()] == [("a.swift", "PasteService", "Base", "Saving")]
     trees = {(x["symbol_name"], x["symbol_type"], x["parent_symbol"]) for x in sy.python_symbols(files).collect()}
-    assert trees == {("go", "method", "A"), ("top", "func", None)}
+    assert trees == {("go", "func", "A"), ("top", "func", None)}
 
 
 def test_report(spark):
