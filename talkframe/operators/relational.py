@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rand import order
 from ..functions.text import space_word_count, words
 
 #: Roles from the least to the most powerful, and the modes of a transcript.
@@ -93,9 +92,10 @@ def with_recordings(sentences: DataFrame, recordings: DataFrame, fields: Sequenc
 
 
 def pick_unrecorded(sentences: DataFrame, recordings: DataFrame, seed: int, key: str = "id", foreign: str = "sentence_id") -> DataFrame:
-    """One sentence without a recording, or, where all have one, any."""
+    """One sentence without a recording, or, where all have one, any: the first in the order of a digest of seed and key."""
     rest = take_counts(sentences, recordings, key, foreign)
-    return rest.orderBy(F.col("take_count") > 0, order(seed, F.col(key)), key).limit(1).drop("take_count")
+    digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string")))
+    return rest.orderBy(F.col("take_count") > 0, digest, key).limit(1).drop("take_count")
 
 
 def usage(transcripts: DataFrame, group: Sequence[str] = (), text: str = "text", duration: str = "duration") -> DataFrame:

@@ -97,10 +97,11 @@ def visible_entries_ui(spark, sf):
     return r.visible_to_user(named, 7).replace({"team": "signup", "personal": "click"}, subset=["scope"])
 
 
-@query("search_history", "SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'the') AND NOT contains(lower(text), '%')")
+@query("search_history", "SELECT conv_id, turn, contains(text, '_') AND contains(text, '%') AS wild FROM conversations WHERE contains(lower(text), 'the')")
 def search_history(spark, sf):
-    rows = table(spark, sf, "conversations")
-    return r.search(rows, F.col("text"), "THE").where(~F.contains(F.lower("text"), F.lit("%"))).select("conv_id", "turn")
+    found = r.search(table(spark, sf, "conversations"), F.col("text"), "THE").select("conv_id", "turn", "text")
+    wild = r.search(r.search(found, F.col("text"), "%"), F.col("text"), "_").select("conv_id", "turn", F.lit(True).alias("wild"))
+    return found.join(wild, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("wild", F.lit(False)).alias("wild"))
 
 
 def sentences(spark, sf):
@@ -128,9 +129,10 @@ def recordings_nested(spark, sf):
     return nested.select("n_name", F.array_join(F.transform("recordings", lambda x: x["s_name"]), ",").alias("names"))
 
 
-@query("pick_unrecorded")
+@query("pick_unrecorded", """
+SELECT d.doc_id FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id) l USING (doc_id) ORDER BY coalesce(n, 0) > 0, md5('5:' || d.doc_id), d.doc_id LIMIT 1""")
 def pick_unrecorded(spark, sf):
-    return r.pick_unrecorded(*sentences(spark, sf), 5, "doc_id", "doc_id")
+    return r.pick_unrecorded(*sentences(spark, sf), 5, "doc_id", "doc_id").select("doc_id")
 
 
 @query("lookup_ladder", """

@@ -119,10 +119,12 @@ def planned(events):
     return plans.select("user_id", F.inline("p"))
 
 
-@query("interval_header", "SELECT r_regionkey, CASE WHEN r_regionkey < 4 THEN 1.5 + r_regionkey END AS first_end FROM region")
+@query("interval_header", "SELECT r_regionkey, CASE WHEN r_regionkey < 4 THEN 1.5 + r_regionkey END AS first_end, CASE WHEN r_regionkey < 4 THEN 4.5 END AS last_start, CASE WHEN r_regionkey < 4 THEN 2 END AS n FROM region")
 def interval_header(spark, sf):
     header = F.when(F.col("r_regionkey") < 4, F.concat_ws("", F.lit("1.10-"), (F.col("r_regionkey") + 1.5).cast("string"), F.lit(",4.50-5.10"))).otherwise("1.0-2.0,x")
-    return table(spark, sf, "region").select("r_regionkey", c.parse_intervals(header)[0]["e"].alias("first_end"))
+    parsed = c.parse_intervals(header)
+    n = F.when(parsed.isNotNull(), F.size(parsed))
+    return table(spark, sf, "region").select("r_regionkey", parsed[0]["e"].alias("first_end"), parsed[1]["s"].alias("last_start"), n.alias("n"))
 
 
 @query("segments_merged", "SELECT conv_id, string_agg(trim(text), ' ' ORDER BY turn, trim(text), role) AS text, arg_min(role, turn) AS language FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
@@ -254,9 +256,11 @@ def trigger_variants(spark, sf):
     return names.select("name", F.explode(d.triggers(F.col("name"), VARIANTS)).alias("trigger"))
 
 
-@query("smart_dictionary")
+@query("smart_dictionary", r"""
+WITH h AS (SELECT DISTINCT regexp_extract(url, '([a-z]+)\.[a-z]+\.', 1) AS h FROM pages), v(said) AS (VALUES ('service'), ('servis'), ('out'))
+SELECT h || ' ' || said AS trigger, upper(h[1]) || h[2:] || 'Service' AS replacement FROM h CROSS JOIN v WHERE h <> ''""")
 def smart_dictionary(spark, sf):
-    return d.smart_entries(sy.identifiers(table(spark, sf, "pages"), "html"), VARIANTS)
+    return d.smart_entries(sy.identifiers(code_files(spark, sf)), VARIANTS)
 
 
 @query("fuzzy_best", r"""
@@ -353,7 +357,14 @@ def symbol_outline(spark, sf):
     return rows.withColumns({c: F.array_join(c, ",") for c in ("properties", "imports")})
 
 
-@query("symbol_report")
+@query("symbol_report", r"""
+WITH c AS (SELECT 'src/m' || page_id % 5 || '/f' || page_id || '.py' AS p, upper(h[1]) || h[2:] || 'Service' AS c FROM (SELECT page_id, regexp_extract(url, '([a-z]+)\.[a-z]+\.', 1) AS h FROM pages)),
+k AS (SELECT *, row_number() OVER (ORDER BY p) AS n FROM c), t AS (SELECT count(*) AS n FROM c),
+a AS (SELECT string_agg('| ' || c || ' | class | ' || p || ':5 | Base | - |', chr(10) ORDER BY p) AS named FROM k WHERE n <= 40),
+b AS (SELECT string_agg('### ' || c || chr(10) || '- **File:** `' || p || ':5`' || chr(10) || '- **Extends:** Base', chr(10) ORDER BY p) AS services FROM k WHERE n <= 20)
+SELECT concat_ws(chr(10), '# Project Context -- pages', '> Last updated: 2024-01-31 00:00', '', '## Architecture Overview', '- **Symbols:** ' || 3 * n || ' total (class: ' || n || ', func: ' || 2 * n || ')',
+  '- **Languages:** python (' || 3 * n || ')', '', '## Patterns Detected', '', '- Service Layer', '', '## Key Libraries & Imports', '', 'app, numpy', '', '## Key Symbols', '',
+  '| Name | Type | File:Line | Inherits | Conforms To |', '|---|---|---|---|---|', named, '', '## Repositories & Services', '', services, '') AS content FROM t, a, b""")
 def symbol_report(spark, sf):
     rows = sy.python_symbols(code_files(spark, sf)).withColumnRenamed("path", "file_path").withColumn("conformances", F.lit(None).cast("string"))
     return sy.report(rows, "pages", "2024-01-31 00:00")
