@@ -17,9 +17,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import boxed, bytes_of, checkpointed, text_or_empty, unboxed
+from .common import boxed, bytes_of, checkpointed, table, text_or_empty, unboxed
 
 LOWEST = -(2**63)
+#: Rows that are numbered in one task, about, and the most ranges of them, as a power of two.
+ROWS_A_RANGE, MOST_RANGES = 1_000_000, 17
 
 
 @dataclass(frozen=True)
@@ -129,16 +131,18 @@ def histogram_sort(
     rows get slots of their own; an empty table gives an empty result. Input columns named
     shard or slot are replaced, all others kept, whatever their names.
 
-    Slots need no task that holds a shard. The first round's ranges, the crowded ones cut
-    further by the second hash, are numbered alone after the one exchange; their first slots
-    come from a table with at most about ``2 * bins + n_shards`` rows, which is broadcast.
+    Slots need no task that holds a shard. Equal ranges of the first hash, of a million rows or
+    so, the crowded ones cut further by the second hash, are numbered alone after the one
+    exchange; their first slots come from a table with at most about ``2 * ranges + n_shards``
+    rows, which is broadcast: there are ``bins`` ranges at least and 2**17 at most.
     """
     keyed = boxed(docs, _h=F.xxhash64(text_or_empty(text)), _g=F.xxhash64(F.col(key)), _size=bytes_of(text) + 1)
     keys = checkpointed(keyed.select("_h", "_g", "_size"))
     shard = _shard_of(splitters(keys, n_shards, tolerance, bins))
-    low_bits = 64 - (bins.bit_length() - 1)
     n_rows = keys.count()
-    room = max(1, 2 * n_rows // bins)
+    ranges = max(bins, 1 << min(MOST_RANGES, (n_rows // ROWS_A_RANGE).bit_length()))
+    low_bits = 64 - (ranges.bit_length() - 1)
+    room = max(1, 2 * n_rows // ranges)
     crowded = (
         keys.groupBy(F.shiftright("_h", low_bits).alias("_bin"))
         .count()
@@ -171,8 +175,6 @@ def histogram_sort(
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:
     """Every document's shard under the law ``bytes``."""
-    from .common import table
-
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", (bytes_of() + 1).alias("size"), F.crc32(text_or_empty()).alias("text_crc32")
     )

@@ -400,11 +400,14 @@ def test_op10(spark, small):
     assert sums.max() - sums.min() <= 2 * got["size"].max() + 1
 
 
-def test_hot_text_is_cut_evenly(spark):
+@pytest.mark.parametrize("rows", [1_000_000, 5])
+def test_hot_text_is_cut_evenly(spark, monkeypatch, rows):
+    monkeypatch.setattr(sharding, "ROWS_A_RANGE", rows)
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("same text " * 5)).otherwise(F.concat(F.lit("t"), "id")).alias("text"))
     got = sharding.histogram_sort(docs, 8, bins=64).toPandas()
     sums = got.assign(size=got.text.str.len() + 1).groupby("shard")["size"].sum()
     assert len(sums) == 8 and sums.max() - sums.min() <= 0.02 * sums.mean() + 110
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
 
 
 # Lines, benchmark
