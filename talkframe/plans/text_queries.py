@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.similarity import jaro_winkler
+from ..functions.similarity import jaro_winkler, metaphone, word_edits
 from ..functions.values import decay, mapped
 from ..operators import cleaning as c
 from ..operators import dictionary as d
@@ -275,6 +275,22 @@ def fuzzy_best(spark, sf):
     return ma.best_match(w("p_type", "token"), w("p_name", "name"), order="name", least=0.6).withColumn("score", F.round("score", 6))
 
 
+@query("folder_best", r"""
+WITH w AS (SELECT DISTINCT lower(unnest(regexp_split_to_array(p_type, '\s+'))) AS w FROM part), t AS (SELECT w AS token FROM w UNION SELECT left(w, 5) FROM w UNION SELECT w || 'es' FROM w UNION SELECT left(w, 3) FROM w),
+f AS (SELECT w AS name FROM w UNION SELECT DISTINCT lower(unnest(regexp_split_to_array(p_name, '\s+'))) FROM part),
+s AS (SELECT token, name, CASE WHEN length(token) >= 5 AND starts_with(name, token) THEN 0.95 WHEN length(name) >= 5 AND starts_with(token, name) AND length(token) <= 1.4 * length(name) THEN 0.9
+  ELSE jaro_winkler_similarity(token, name) END AS score FROM t, f WHERE length(token) >= 4 AND name <> ''),
+b AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY score DESC, name) AS k FROM s WHERE score >= 0.82)
+SELECT token, name, round(score, 6) AS score FROM b WHERE k = 1""")
+def folder_best(spark, sf):
+    part = table(spark, sf, "part")
+    w = lambda column: part.select(F.explode(F.split(F.lower(column), r"\s+")).alias("w")).distinct()
+    said = w("p_type")
+    tokens = said.select(F.explode(F.array("w", F.substring("w", 1, 5), F.concat("w", F.lit("es")), F.substring("w", 1, 3))).alias("token"))
+    folders = said.select(F.col("w").alias("name")).union(w("p_name"))
+    return ma.best_folder(tokens, folders).withColumn("score", F.round("score", 6))
+
+
 @query("jaro_winkler", "SELECT c_custkey, round(jaro_winkler_similarity(lower(c_mktsegment), lower(n_name)), 6) AS score FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def jaro_winkler_scores(spark, sf):
     both = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -444,3 +460,18 @@ def scalar_functions(spark, sf):
         "page_id", tx.safe_file_name(F.lit("a! b?")).alias("file_name"), tx.numbered_file(F.col("page_id"), F.lit(7)).alias("wav"), tx.suffix(url).alias("suffix"),
         tx.parent(url).alias("parent"), tx.module_root(module).alias("module"), tx.end_sentence(tx.capitalize_first(F.lit("abc"))).alias("sentence"),
     )
+
+
+@query("word_functions", """
+SELECT conv_id, turn, role AS edges, role AS stem, CASE WHEN instr(role, 's') > 0 THEN substr(role, 1, instr(role, 's') - 1) || 'SS' || substr(role, instr(role, 's') + 1) ELSE role END AS replaced,
+  '{"a": ' || turn || '}' AS json, upper(role[1]) || role[2:] || '|HTTP|Server' || turn AS parts, CASE role WHEN 'user' THEN 'USR' WHEN 'assistant' THEN 'ASSTNT' WHEN 'system' THEN 'SSTM' END AS sound,
+  role || ' ok' AS said, substr(text, 1, 120) AS cut, 2 AS edits FROM conversations""")
+def word_functions(spark, sf):
+    role, turn = F.col("role"), F.col("turn").cast("string")
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn", tx.clean_edges(F.concat(F.lit('"(_'), role, F.lit(")._"))).alias("edges"), tx.drop_suffix_after_apostrophe(F.concat(role, F.lit("'ndan"))).alias("stem"),
+        tx.replace_first(role, "s", "SS").alias("replaced"), tx.strip_json_fences(F.concat(F.lit('```json\n{"a": '), turn, F.lit("}\n```"))).alias("json"),
+        F.array_join(tx.split_identifier(F.concat(F.initcap(role), F.lit("HTTPServer"), turn)), "|").alias("parts"), metaphone(role).alias("sound"),
+        tx.drop_filler_words(F.concat(F.lit("um "), role, F.lit(" uh, ok")), ("um", "uh")).alias("said"), F.substring("text", 1, 120).alias("cut"),
+        word_edits(F.concat_ws(" ", role, F.lit("x y")), F.concat_ws(" ", F.lit("a"), role, F.lit("x"))).alias("edits"),
+    )

@@ -181,3 +181,11 @@ def test_the_whole_chain(spark):
     assert [out[i]["text"] for i in range(1, 6)] == ["Şey, @a/p.py aç", "PasteService'i aç.", "Var", "şey", "PasteService aç"]
     assert [out[i]["was_corrected"] for i in range(1, 6)] == [False, True, False, False, False]
     assert out[1]["symbol_refs"] == {"PasteService": "a/p.py:9"} and not out[2]["symbol_refs"] and out[1]["raw_text"].startswith("Şey")
+
+
+def test_audio_files(spark, tmp_path):
+    for name in ("a/one.wav", "a/b/two.mp3", "three.txt", "four.FLAC.flac"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * 5)
+    got = sorted((x["stem"], x["length"]) for x in readers.audio_files(spark, str(tmp_path)).collect())
+    assert got == [("four.FLAC", 5), ("one", 5), ("two", 5)]
