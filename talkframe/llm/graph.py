@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = pair("a", "b").unionAll(pair("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        edges_ = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        edges_ = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least = edges_.groupBy("a").agg(F.min("b").alias("m"))
         joined = edges_.join(least, "a")
         edges_ = joined.select("a", F.col("m").alias("b")).unionAll(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))

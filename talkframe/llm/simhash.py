@@ -456,25 +456,37 @@ def _similarities(a: Column, b: Column, size: int) -> Column:
 
 
 def _around_hubs(texts: DataFrame, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of texts (crowd, node, text) with a hub of their crowd; and (crowd, node, linked) of all.
+    """Links (a, b) of texts (crowd, node, text) with a few hubs of their crowd; and (crowd, node, linked) of all.
 
-    The hub is any text of the crowd at first. Each later one is among those linked already, and
-    those not linked yet are compared with it. So the near copies of one text cost a
-    comparison or two each, however many they are.
+    Hubs are any texts of the crowd. ``linked`` are those that the links join to the first hub:
+    so the near copies of one text cost a few comparisons each, however many they are.
     """
-    links, state = None, texts.select("crowd", "node", F.lit(False).alias("linked"))
-    for turn in range(HUBS):
-        able = state.where("linked") if turn else state
-        hubs = able.groupBy("crowd").agg(F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("hub"))
-        said = texts.select(F.col("node").alias("hub"), F.col("text").alias("said"))
-        hubs = checkpointed(hubs.join(said, "hub"))
-        free = texts.join(state.where("not linked").select("node"), "node", "left_semi")
-        met = free.join(hubs, "crowd").select("node", "hub", _similarities(F.col("text"), F.col("said"), size).alias("s"))
-        new = checkpointed(met.where(F.col("s") >= similarity - 1e-9).select(F.col("hub").alias("a"), F.col("node").alias("b")))
-        links = new if links is None else links.unionAll(new)
-        near = new.select(F.col("b").alias("node"), F.lit(True).alias("_near"))
-        state = checkpointed(state.join(near, "node", "left").select("crowd", "node", (F.col("linked") | F.col("_near").isNotNull()).alias("linked")))
-    return links.where("a <> b"), state
+
+    @F.pandas_udf("int")
+    def near(texts: pd.Series, hubs: pd.Series) -> pd.Series:
+        """A bit for each hub that a text is similar enough to."""
+        out: list[int] = []
+        for at in range(0, len(texts), 256):
+            own, around = texts[at : at + 256].tolist(), [[h["text"] for h in x] for x in hubs[at : at + 256]]
+            every = list(dict.fromkeys([*own, *(h for x in around for h in x)]))
+            sets = {}
+            for x, y in sized([t.encode("utf-8", "surrogatepass") for t in every]):
+                sets |= zip(every[x:y], _shingle_sets(every[x:y], size))
+            out += [sum((_jaccard(sets[t], sets[h]) >= similarity - 1e-9) << i for i, h in enumerate(x)) for t, x in zip(own, around)]
+        return pd.Series(out, dtype="int32")
+
+    hubs = texts.groupBy("crowd").agg(F.array(*(F.min_by(F.struct("node", "text"), F.xxhash64(F.lit(i), "node")) for i in range(HUBS))).alias("hubs"))
+    hubs = checkpointed(hubs)
+    met = checkpointed(texts.join(hubs, "crowd").select("crowd", "node", near("text", "hubs").alias("bits")))
+    which = hubs.select("crowd", F.posexplode("hubs").alias("i", "hub")).select("crowd", "i", F.col("hub.node").alias("a"))
+    links = met.select("crowd", F.col("node").alias("b"), F.explode(F.array(*(F.when(F.col("bits").bitwiseAND(1 << i) != 0, i) for i in range(HUBS)))).alias("i"))
+    links = links.join(which, ["crowd", "i"]).where("a <> b").select("a", "b")
+    # Hubs that hang together through any text are one component, that of the first hub counts.
+    joined = lambda bits, all_: F.aggregate(all_, bits, lambda acc, x: F.when(acc.bitwiseAND(x) != 0, acc.bitwiseOR(x)).otherwise(acc))
+    main = met.groupBy("crowd").agg(F.collect_set("bits").alias("all"))
+    main = main.select("crowd", F.aggregate(F.sequence(F.lit(1), F.lit(HUBS)), F.lit(1), lambda acc, _: joined(acc, F.col("all"))).alias("main"))
+    state = met.join(main, "crowd").select("crowd", "node", (F.col("bits").bitwiseAND(F.col("main")) != 0).alias("linked"))
+    return links, checkpointed(state)
 
 
 def _blocks(crowds: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float, text: str, key: str) -> DataFrame:
