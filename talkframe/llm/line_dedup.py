@@ -3,12 +3,13 @@
 A line is a sequence of words; a word with a digit is a variable field. The tree parses by the
 number of words and then by the leading words; in a leaf, lines that agree in most places are
 one template, whose other places are variable fields too. A template that lines of
-``min_docs`` documents have is recurring, and its lines are dropped from every document but
+``min_docs`` documents have is recurring, or of two if it is a passage of 50 words or more, and its lines are dropped from every document but
 the first that has them, so that a passage is never lost to its own copies.
 
 1. Leaves are counted, a row a document and leaf; those in too few documents cannot matter.
-2. Lines of the other leaves are counted, equal ones together before the exchange, and each
-   leaf's different lines are gathered into templates, most frequent first.
+2. Lines of the other leaves are counted, equal ones together before the exchange. Those near
+   to a leaf's most frequent line are its first template; each leaf's other different lines
+   are gathered into templates, most frequent first.
 3. The lines of recurring templates, as hashes, are looked up while texts are rewritten.
 """
 
@@ -22,13 +23,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, lean, table, tidy
 from .tokens import NUMBER, U, lower_ascii, mix, sized, word_hashes
 
 DEPTH = 3  # leading words
+#: Words from which a line is a passage, which recurs as soon as two documents have it.
+PASSAGE = 50
+#: First templates of each leaf that are found before its other lines are gathered.
+LEADERS = 2
 #: Hashes that are broadcast at most, 16 bytes each. More are joined by an exchange.
 MOST_HASHES = 4_000_000
 NO_KEY = -(2**63)  # stands for a null key
@@ -123,6 +128,11 @@ def templates(lines: pd.DataFrame, similarity: float) -> np.ndarray:
     return out
 
 
+def _enough(n: Column, words: Column, min_docs: int) -> Column:
+    """Whether so many documents make a template of so many words a recurring one."""
+    return n >= F.when(words >= PASSAGE, min(2, min_docs)).otherwise(min_docs)
+
+
 def recurring(docs: DataFrame, min_docs: int, min_words: int, similarity: float, text: str, key: str) -> DataFrame:
     """line (hash) and first_doc of every line of a recurring template."""
     source = lean(docs).select(F.col(key).cast("long").alias("_key"), F.col(text).cast("binary").alias("_text"))
@@ -132,10 +142,11 @@ def recurring(docs: DataFrame, min_docs: int, min_words: int, similarity: float,
             texts = _bytes(b.column(1))
             for at, to in sized(texts):
                 x = Lines.of(texts[at:to], min_words)
-                both = np.unique(np.stack((x.text[x.long].astype(np.uint64), x.leaf)), axis=1)[1] if len(x.long) else x.leaf
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(both))], ["leaf"])
+                _, own = np.unique(np.stack((x.text[x.long].astype(np.uint64), x.leaf)), axis=1, return_index=True) if len(x.long) else (None, x.long)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(x.leaf[own])), pa.array(x.count[own].astype(np.int32))], ["leaf", "size"])
 
-    counted = source.mapInArrow(tidy(leaves), "leaf long").groupBy("leaf").count().where(F.col("count") >= min_docs)
+    counted = source.mapInArrow(tidy(leaves), "leaf long, size int").groupBy("leaf").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    counted = counted.where(_enough(F.col("n"), F.col("size"), min_docs))
     frequent = checkpointed(counted.select("leaf"))
     if frequent.count() <= MOST_HASHES:
         known = docs.sparkSession.sparkContext.broadcast(np.sort(_column(frequent, "leaf")[0].view(np.uint64)))
@@ -162,10 +173,13 @@ def recurring(docs: DataFrame, min_docs: int, min_words: int, similarity: float,
         .agg(F.count("*").alias("n"), F.min("doc").alias("doc"), F.first("words").alias("words"))
     )
 
+    def least(words: pd.Series) -> np.ndarray:
+        return np.where(words.map(len).to_numpy() >= 4 * PASSAGE, min(2, min_docs), min_docs)
+
     def gather(leaf: pd.DataFrame) -> pd.DataFrame:
         leaf = leaf.sort_values(["n", "line"], ascending=[False, True])
         grouped = leaf.assign(template=templates(leaf, similarity)).groupby("template")
-        enough = grouped["n"].transform("sum") >= min_docs
+        enough = grouped["n"].transform("sum") >= least(leaf["words"])
         return pd.DataFrame({"line": leaf["line"], "first_doc": grouped["doc"].transform("min")})[enough.to_numpy()] if len(leaf) else leaf
 
     def gathered(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,7 +189,8 @@ def recurring(docs: DataFrame, min_docs: int, min_words: int, similarity: float,
         def done() -> pd.DataFrame:
             part = pd.concat(held)
             total, lines_ = part.groupby("leaf")["n"].transform("sum"), part.groupby("leaf")["n"].transform("size")
-            part, lines_ = part[total >= min_docs], lines_[total >= min_docs]
+            enough = total >= least(part["words"])
+            part, lines_ = part[enough], lines_[enough]
             single = part[lines_ == 1]
             out = [pd.DataFrame({"line": single["line"], "first_doc": single["doc"]})]
             out += [gather(leaf) for _, leaf in part[lines_ > 1].groupby("leaf")]
@@ -196,8 +211,34 @@ def recurring(docs: DataFrame, min_docs: int, min_words: int, similarity: float,
         if held:
             yield done()
 
-    met = different.repartition("leaf").sortWithinPartitions("leaf")
-    return met.mapInPandas(tidy(gathered), "line long, first_doc long")
+    # A leaf's most frequent line is the leader of its first template, whatever comes after it; so
+    # the lines that join it are found without gathering the leaf, which may be mostly these.
+    found, rest = None, checkpointed(different)
+    for _ in range(LEADERS):
+        leaders = checkpointed(rest.groupBy("leaf").agg(F.max_by("words", F.struct("n", F.bitwise_not("line"))).alias("leader")))
+        near = _near(F.col("words"), F.col("leader"), similarity).alias("near")
+        rest = checkpointed(rest.join(leaders, "leaf").select("leaf", "line", "n", "doc", "words", near))
+        joined, rest = rest.where("near"), rest.where("not near").drop("near")
+        totals = joined.groupBy("leaf").agg(F.sum("n").alias("total"), F.min("doc").alias("first_doc"), F.first(F.octet_length("words") / 4).alias("size"))
+        enough = checkpointed(totals.where(_enough(F.col("total"), F.col("size"), min_docs)).drop("size"))
+        own = joined.join(enough, "leaf").select("line", "first_doc")
+        found = own if found is None else found.unionAll(own)
+    met = rest.repartition("leaf").sortWithinPartitions("leaf")
+    return found.unionAll(met.mapInPandas(tidy(gathered), "line long, first_doc long"))
+
+
+def _near(words: Column, leader: Column, similarity: float) -> Column:
+    """Whether a line equals its leader in enough of all places."""
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            out.append(int((p != q).sum()) <= int((1 - similarity) * len(p) + 1e-9))
+        return pd.Series(out, dtype=bool)
+
+    return near(words, leader)
 
 
 def _column(df: DataFrame, *names: str) -> list[np.ndarray]:
@@ -281,7 +322,8 @@ def drop_recurring_lines(
 ) -> DataFrame:
     """``docs`` with _kept, a struct: text without recurring lines, lines, dropped and (their) bytes.
 
-    Lines of fewer than ``min_words`` words, or mostly of numbers, stay: they recur by nature. A
+    Lines of fewer than ``min_words`` words, or mostly of numbers, stay: they recur by nature.
+    Lines of 50 words or more recur from two documents on, others from ``min_docs``. A
     null text stays null and counts as empty; an empty text has one empty line; a text that
     loses all lines is empty; rows repeated under one key all keep what their first row keeps;
     under a null key every recurring line with a known first document goes; an empty table gives

@@ -50,7 +50,7 @@ def plain_lines(docs, min_docs=3, min_words=6, similarity=0.75) -> dict:
             first[w] = min(first.get(w, doc), doc)
     by_leaf = collections.defaultdict(list)
     for w in lines:
-        if leaves[len(w), w[:3]] >= min_docs:
+        if leaves[len(w), w[:3]] >= (2 if len(w) >= 50 else min_docs):
             by_leaf[len(w), w[:3]].append(w)
     place = lambda w: int(line_dedup.Lines.of([b" ".join(x if x != b"#" else b"0" for x in w)], min_words).line.view(np.int64)[0])
     gone = {}
@@ -62,11 +62,19 @@ def plain_lines(docs, min_docs=3, min_words=6, similarity=0.75) -> dict:
                 templates.append(near := [])
             near.append(w)
         for t in templates:
-            if sum(lines[w] for w in t) >= min_docs:
+            if sum(lines[w] for w in t) >= (2 if n >= 50 else min_docs):
                 gone |= dict.fromkeys(t, min(first[w] for w in t))
     return {doc: [(line, w in gone and gone[w] != doc) for line, w in own] for doc, own in said.items()}
 
 
+def test_long_passages_recur_from_two_documents_on(spark):
+    passage = " ".join(f"word{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'xyz'[i % 3] * (i // 26)}" for i in range(55))
+    short = " ".join(passage.split()[:40])
+    rows = [(1, f"{passage}\n{short}\nfirst own line of this one text"), (2, f"an own line of the second text here\n{passage}\n{short}")]
+    got = {r["doc_id"]: r["_kept"]["text"] for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: f"an own line of the second text here\n{short}"}
+
+
 def test_op6(spark, small):
     want = {}
     for doc, own in plain_lines(texts(spark, small)).items():
