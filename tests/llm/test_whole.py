@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import math
 import os
+import random
 import re
 import zlib
 
@@ -184,3 +185,15 @@ def test_pipeline(spark, small):
     got = corpus_pipeline.run(spark, small).toPandas()
     assert got.groupby("doc_id").length.sum().to_dict() == want
     assert got.groupby("sequence_id").length.sum().max() <= 2048 and bad and len(want) < len(rows)
+
+
+def test_language_stage_rejects_what_it_has_not_learned(spark, small):
+    """Long texts of random letters and of scripts without a prototype go; short ones and learned ones stay."""
+    rng = random.Random(1)
+    scripts = ("abcdefghijklmnopqrstuvwxyz     ", "αβγδεζηθικλμνξοπ   ", "".join(map(chr, range(0x4E00, 0x4F00))))
+    odd = [(100_000 + 10 * k + i, "".join(rng.choices(s, k=600)), None) for k, s in enumerate(scripts) for i in range(10)]
+    short = [(200_000 + k, s[:9], None) for k, s in enumerate(scripts)]
+    docs = table(spark, small, "documents").select("doc_id", "text", "lang")
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionAll(spark.createDataFrame(odd + short, docs.schema)), small).collect()}
+    own = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert {i for i, *_ in short} <= kept and not {i for i, *_ in odd} & kept and own <= kept
