@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op5_decontamination
+from .fill_in_middle import OP12_SQL, op12_fill_in_middle
+from .html_text import op11_html_extraction
 from .lang_id import op2_language_id
 from .line_dedup import op6_line_dedup
 from .packing import op8_packing
@@ -16,6 +18,7 @@ from .simhash import op3_simhash
 from .topk import OP4_SQL, op4_topk
 from .toxicity import op9_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
+from .vector_codes import OP13_SQL, op13_vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
+    "op11_html_extraction": op11_html_extraction,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_topk": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_topk": OP4_SQL, "op12_fill_in_middle": OP12_SQL, "op13_vector_codes": OP13_SQL}
