@@ -10,7 +10,10 @@ the first that has them, so that a passage is never lost to its own copies.
 2. Lines of the other leaves are counted, equal ones together before the exchange. Those near
    to a leaf's most frequent line are its first template; each leaf's other different lines
    are gathered into templates, most frequent first.
-3. The lines of recurring templates, as hashes, are looked up while texts are rewritten.
+3. A template's documents are counted, each once however many of its lines are variants of the
+   template. Where one line alone is in enough documents, or all lines together in too few, the
+   sums say so; otherwise the documents of the template's lines are listed.
+4. The lines of recurring templates, as hashes, are looked up while texts are rewritten.
 """
 
 from __future__ import annotations
@@ -134,7 +137,7 @@ def _enough(n: Column, words: Column, min_docs: int) -> Column:
 
 
 def recurring(docs: DataFrame, min_docs: int, min_words: int, similarity: float, text: str, key: str) -> DataFrame:
-    """line (hash) and first_doc of every line of a recurring template."""
+    """line (hash) and first_doc of every line of a recurring template. Every row of ``docs`` is a document."""
     source = lean(docs).select(F.col(key).cast("long").alias("_key"), F.col(text).cast("binary").alias("_text"))
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,37 +167,34 @@ def recurring(docs: DataFrame, min_docs: int, min_words: int, similarity: float,
                     own = own[np.unique(np.stack((x.text[x.long[own]].astype(np.uint64), x.line[own])), axis=1, return_index=True)[1]]
                 short = (x.words >> U(32)).astype(np.uint32)
                 parts = [short[a : a + n].tobytes() for a, n in zip(x.first[own].tolist(), x.count[own].tolist())]
-                docs_ = keys.take(pa.array(x.text[x.long[own]] + at))
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(x.leaf[own])), pa.array(_signed(x.line[own])), docs_, pa.array(parts, pa.binary())], ["leaf", "line", "doc", "words"])
-
-    different = (
-        source.mapInArrow(tidy(lines), "leaf long, line long, doc long, words binary")
-        .groupBy("leaf", "line")
-        .agg(F.count("*").alias("n"), F.min("doc").alias("doc"), F.first("words").alias("words"))
+                row = pa.array(x.text[x.long[own]] + at)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(x.leaf[own])), pa.array(_signed(x.line[own])), keys.take(row), b.column(2).take(row), pa.array(parts, pa.binary())], ["leaf", "line", "doc", "row", "words"])
+
+    numbered = source.withColumn("_row", F.monotonically_increasing_id())
+    said = numbered.mapInArrow(tidy(lines), "leaf long, line long, doc long, row long, words binary")
+    if min_docs > 3:  # a line in too few documents may be in more than its first and last one: they are read again
+        said = checkpointed(said)
+    different = said.groupBy("leaf", "line").agg(
+        F.count("*").alias("n"), F.min("doc").alias("doc"), F.min("row").alias("low"), F.max("row").alias("high"), F.first("words").alias("words")
     )
 
     def least(words: pd.Series) -> np.ndarray:
         return np.where(words.map(len).to_numpy() >= 4 * PASSAGE, min(2, min_docs), min_docs)
 
-    def gather(leaf: pd.DataFrame) -> pd.DataFrame:
-        leaf = leaf.sort_values(["n", "line"], ascending=[False, True])
-        grouped = leaf.assign(template=templates(leaf, similarity)).groupby("template")
-        enough = grouped["n"].transform("sum") >= least(leaf["words"])
-        return pd.DataFrame({"line": leaf["line"], "first_doc": grouped["doc"].transform("min")})[enough.to_numpy()] if len(leaf) else leaf
-
     def gathered(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Leaves come one after another; one whose lines are all one, or all too few, is quick."""
+        """The number of each line's template in its leaf. Leaves come one after another; one whose lines are all too few goes."""
         held: list[pd.DataFrame] = []
 
         def done() -> pd.DataFrame:
             part = pd.concat(held)
-            total, lines_ = part.groupby("leaf")["n"].transform("sum"), part.groupby("leaf")["n"].transform("size")
-            enough = total >= least(part["words"])
-            part, lines_ = part[enough], lines_[enough]
-            single = part[lines_ == 1]
-            out = [pd.DataFrame({"line": single["line"], "first_doc": single["doc"]})]
-            out += [gather(leaf) for _, leaf in part[lines_ > 1].groupby("leaf")]
-            return pd.concat(out)
+            part = part[part.groupby("leaf")["n"].transform("sum").to_numpy() >= least(part["words"])]
+            if part.empty:
+                return part.assign(template=0, size=0)[["leaf", "template", "line", "n", "doc", "low", "high", "size"]]
+            part = part.sort_values(["leaf", "n", "line"], ascending=[True, False, True]).assign(template=0)
+            several = part.groupby("leaf")["n"].transform("size") > 1
+            numbers = [templates(leaf, similarity) for _, leaf in part[several].groupby("leaf")]
+            part.loc[several, "template"] = np.concatenate(numbers) if numbers else []
+            return part.assign(size=part["words"].map(len) // 4)[["leaf", "template", "line", "n", "doc", "low", "high", "size"]]
 
         for b in rows:
             if held and b["leaf"].iloc[0] != held[-1]["leaf"].iloc[-1] and sum(map(len, held)) > 50_000:
@@ -214,17 +214,35 @@ def recurring(docs: DataFrame, min_docs: int, min_words: int, similarity: float,
     # A leaf's most frequent line is the leader of its first template, whatever comes after it; so
     # the lines that join it are found without gathering the leaf, which may be mostly these.
     found, rest = None, checkpointed(different)
-    for _ in range(LEADERS):
+    for i in range(LEADERS):
         leaders = checkpointed(rest.groupBy("leaf").agg(F.max_by("words", F.struct("n", F.bitwise_not("line"))).alias("leader")))
         near = _near(F.col("words"), F.col("leader"), similarity).alias("near")
-        rest = checkpointed(rest.join(leaders, "leaf").select("leaf", "line", "n", "doc", "words", near))
-        joined, rest = rest.where("near"), rest.where("not near").drop("near")
-        totals = joined.groupBy("leaf").agg(F.sum("n").alias("total"), F.min("doc").alias("first_doc"), F.first(F.octet_length("words") / 4).alias("size"))
-        enough = checkpointed(totals.where(_enough(F.col("total"), F.col("size"), min_docs)).drop("size"))
-        own = joined.join(enough, "leaf").select("line", "first_doc")
+        rest = checkpointed(rest.join(leaders, "leaf").select("leaf", "line", "n", "doc", "low", "high", "words", near))
+        size = (F.octet_length("words") / 4).cast("int").alias("size")
+        own = rest.where("near").select("leaf", F.lit(-1 - i).cast("long").alias("template"), "line", "n", "doc", "low", "high", size)
+        rest = rest.where("not near").drop("near")
         found = own if found is None else found.unionAll(own)
     met = rest.repartition("leaf").sortWithinPartitions("leaf")
-    return found.unionAll(met.mapInPandas(tidy(gathered), "line long, first_doc long"))
+    found = found.unionAll(met.mapInPandas(tidy(gathered), "leaf long, template long, line long, n long, doc long, low long, high long, size int"))
+    return _of_enough_documents(checkpointed(found), said, min_docs)
+
+
+def _of_enough_documents(lines: DataFrame, said: DataFrame, min_docs: int) -> DataFrame:
+    """line and first_doc of the templates that ``min_docs`` documents have lines of."""
+    of = ["leaf", "template"]
+    totals = lines.groupBy(of).agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.min("doc").alias("first_doc"), F.first("size").alias("size"))
+    totals = checkpointed(totals.where(_enough(F.col("total"), F.col("size"), min_docs)))
+    sure = _enough(F.col("most"), F.col("size"), min_docs)
+    unsure = totals.where(~sure)
+    open_ = lines.join(unsure.select(of), of)
+    if min_docs > 3:
+        rows = open_.select(*of, "line").join(said.select("leaf", "line", "row"), ["leaf", "line"]).select(*of, "row")
+    else:  # none of these lines is in more than two documents
+        rows = open_.select(*of, F.explode(F.array("low", "high")).alias("row"))
+    documents = rows.distinct().groupBy(of).count()
+    proven = documents.join(unsure, of).where(_enough(F.col("count"), F.col("size"), min_docs))
+    enough = checkpointed(totals.where(sure).select(*of, "first_doc").unionAll(proven.select(*of, "first_doc")))
+    return lines.select(*of, "line").join(enough, of).select("line", "first_doc")
 
 
 def _near(words: Column, leader: Column, similarity: float) -> Column:
@@ -247,8 +265,8 @@ def _column(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [rows.column(n).to_numpy() for n in names]
 
 
-def _rewrite(docs: DataFrame, known, drops: DataFrame | None, min_words: int, text: str, key: str) -> DataFrame:
-    """``docs`` with _kept: the text left, the numbers of lines and of those dropped, and their bytes.
+def _rewrite(docs: DataFrame, known, drops: DataFrame | None, min_words: int, text: str, key: str, into: str) -> DataFrame:
+    """``docs`` with ``into``: the text left, the numbers of lines and of those dropped, and their bytes.
 
     Lines to drop are looked up in ``known``, a broadcast of sorted hashes and first documents,
     or come with each document's key in ``drops``.
@@ -299,7 +317,7 @@ def _rewrite(docs: DataFrame, known, drops: DataFrame | None, min_words: int, te
     rows = lean(docs).select(*own, F.col(text).cast("binary").alias("raw"), F.col(key).cast("long").alias("key"))
     if drops is not None:
         rows = rows.join(drops, F.coalesce(rows["key"], F.lit(NO_KEY)) == drops["of"], "left").drop("of")
-    return rows.mapInArrow(tidy(run), schema).toDF(*docs.columns, "_kept")
+    return rows.mapInArrow(tidy(run), schema).toDF(*docs.columns, into)
 
 
 def _drops(docs: DataFrame, found: DataFrame, min_words: int, text: str, key: str) -> DataFrame:
@@ -318,32 +336,32 @@ def _drops(docs: DataFrame, found: DataFrame, min_words: int, text: str, key: st
 
 
 def drop_recurring_lines(
-    docs: DataFrame, min_docs: int = 3, min_words: int = 6, similarity: float = 0.75, text: str = "text", key: str = "doc_id"
+    docs: DataFrame, min_docs: int = 3, min_words: int = 6, similarity: float = 0.75, text: str = "text", key: str = "doc_id", into: str = "_kept"
 ) -> DataFrame:
-    """``docs`` with _kept, a struct: text without recurring lines, lines, dropped and (their) bytes.
+    """``docs`` with the column ``into``, a struct: text without recurring lines, lines, dropped and (their) bytes.
 
     Lines of fewer than ``min_words`` words, or mostly of numbers, stay: they recur by nature.
-    Lines of 50 words or more recur from two documents on, others from ``min_docs``. A
-    null text stays null and counts as empty; an empty text has one empty line; a text that
+    Lines of 50 words or more recur from two documents on, others from ``min_docs``; every row is
+    a document, and counts once for a template however many variants of it it has. A null text stays null and counts as empty; an empty text has one empty line; a text that
     loses all lines is empty; rows repeated under one key all keep what their first row keeps;
     under a null key every recurring line with a known first document goes; an empty table gives
     an empty result; other columns are passed on, whatever their names, but for one called
-    _kept. Keys are integers.
+    ``into``. Keys are integers.
 
     Up to ``MOST_HASHES`` recurring lines are broadcast, in 16 bytes each; more are joined to the
     documents' lines by an exchange on their hash. The result is the same.
     """
-    docs = docs.drop("_kept")
+    docs = docs.drop(into)
     if dict(docs.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"the key {key} is not an integer")
     found = recurring(docs.select(key, text), min_docs, min_words, similarity, text, key)
     found = checkpointed(found.groupBy("line").agg(F.min("first_doc").alias("first_doc")).na.fill(NO_KEY, ["first_doc"]))
     if found.count() > MOST_HASHES:
-        return _rewrite(docs, None, _drops(docs, found, min_words, text, key), min_words, text, key)
+        return _rewrite(docs, None, _drops(docs, found, min_words, text, key), min_words, text, key, into)
     lines, first = _column(found, "line", "first_doc")
     order = np.argsort(lines.view(np.uint64))
     known = docs.sparkSession.sparkContext.broadcast((lines.view(np.uint64)[order], first[order]))
-    return _rewrite(docs, known, None, min_words, text, key)
+    return _rewrite(docs, known, None, min_words, text, key, into)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -37,8 +37,8 @@ def test_op2_as_computed_at_once(spark, small):
 
 def plain_lines(docs, min_docs=3, min_words=6, similarity=0.75) -> dict:
     """Each document's lines, and which of them go."""
-    said, leaves, lines, first = {}, collections.Counter(), collections.Counter(), {}
-    for doc, text in docs:
+    said, leaves, lines, first, rows = {}, collections.Counter(), collections.Counter(), {}, collections.defaultdict(set)
+    for row, (doc, text) in enumerate(docs):
         said[doc] = []
         for line in (text or "").encode().split(b"\n"):
             words = [b"#" if re.search(rb"[0-9]", w) else w for w in re.split(rb"[\x09-\x0d\x20]+", line.lower()) if w]
@@ -49,6 +49,7 @@ def plain_lines(docs, min_docs=3, min_words=6, similarity=0.75) -> dict:
         lines.update(own)
         for w in own:
             first[w] = min(first.get(w, doc), doc)
+            rows[w].add(row)
     by_leaf = collections.defaultdict(list)
     for w in lines:
         if leaves[len(w), w[:3]] >= (2 if len(w) >= 50 else min_docs):
@@ -63,7 +64,7 @@ def plain_lines(docs, min_docs=3, min_words=6, similarity=0.75) -> dict:
                 templates.append(near := [])
             near.append(w)
         for t in templates:
-            if sum(lines[w] for w in t) >= (2 if n >= 50 else min_docs):
+            if len(set().union(*(rows[w] for w in t))) >= (2 if n >= 50 else min_docs):
                 gone |= dict.fromkeys(t, min(first[w] for w in t))
     return {doc: [(line, w in gone and gone[w] != doc) for line, w in own] for doc, own in said.items()}
 
@@ -76,6 +77,20 @@ def test_long_passages_recur_from_two_documents_on(spark):
     assert got == {1: rows[0][1], 2: f"an own line of the second text here\n{short}"}
 
 
+@pytest.mark.parametrize("min_docs", [3, 5])
+def test_a_document_counts_once_for_all_its_variants(spark, min_docs):
+    said = lambda *x: "\n".join(f"Please read our terms before you go {a} the {b} page" for a, b in x)
+    rows = [(1, said(("to", "first"), ("on", "second"), ("to", "third"))), (2, said(("at", "first"))), (3, "Please read our other long list of unrelated rules here at once")]
+    out = lambda docs: {r["doc_id"]: r["_kept"]["dropped"] for r in line_dedup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_docs).collect()}
+    assert out(rows[:2]) == {1: 0, 2: 0} and out(rows) == {1: 0, 2: 0, 3: 0}
+    more = rows + [(i, said(("by", f"{'abcdefgh'[i]}th"))) for i in range(4, 2 + min_docs)]
+    assert out(more) == {1: 0, 3: 0} | {i: 1 for i, _ in more if i not in (1, 3)}
+    rng = random.Random(min_docs)
+    words = lambda: " ".join(["we", "keep", "your", *(rng.choice("ab") for _ in range(7))])
+    crowd = [(i, "\n".join(words() for _ in range(rng.randint(1, 4)))) for i in range(40)]
+    assert out(crowd) == {i: sum(drop for _, drop in own) for i, own in plain_lines(crowd, min_docs).items()}
+
+
 def test_op6(spark, small):
     want = {}
     for doc, own in plain_lines(texts(spark, small)).items():
