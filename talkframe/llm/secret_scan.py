@@ -9,8 +9,9 @@ words are COMMON and those of the scanned texts themselves, counted outside of v
 
 1. Words of all texts are counted, and ranked by the number of texts that have them.
 2. Spans of the fixed patterns and values in context are found where the texts are.
-3. Each different value's parts that may be words are joined with the ranks, and its cost is
-   worked out. No list of words is sent to any worker.
+3. Each different value's heads, four letters in a row, are joined with those of the ranked
+   words; its parts that begin with a word's head are joined with the ranks; then its cost is
+   worked out. No list of words is sent to any worker, and a value has hardly more parts than letters.
 """
 
 from __future__ import annotations
@@ -55,6 +56,8 @@ SHORTEST, LONGEST = 3, 24
 WORDS = re.compile(rf"[^\W\d_]{{{SHORTEST},{LONGEST}}}")
 LETTERS = re.compile(r"[^\W\d_]+")
 SEEN, HELD = 3, 300_000
+#: Letters by which words are found in values first; rows of a batch of parts.
+HEAD, ROWS = 4, 50_000
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 NEIGHBOURS = {a + b for row in KEY_ROWS for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))}
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
@@ -151,15 +154,44 @@ def find_secrets(text: str | None, min_log10: float = 12.0, ranks: dict[str, int
     return in_order(spans + [("guess", a, b) for a, b in values if guess_cost(text[a:b], ranks) >= min_log10])
 
 
-def parts_of(value: str) -> set[str]:
-    """All parts of a value that may be words."""
-    out = set()
+def heads_of(value: str, heads: set[str] | None = None) -> Iterator[str]:
+    """The HEAD letters in a row from every place of a value; or, with these ``heads``, the parts that may be words: the shorter ones, and those with a known head."""
     low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     for said in {low, low.translate(LEET)}:
         for m in LETTERS.finditer(said):
             run = m[0]
-            out.update(run[i:j] for i in range(len(run)) for j in range(i + SHORTEST, min(len(run), i + LONGEST) + 1))
-    return out
+            for i in range(len(run) - SHORTEST + 1):
+                head = run[i : i + HEAD]
+                if heads is None:
+                    yield head
+                    continue
+                yield from (run[i:j] for j in range(i + SHORTEST, min(len(run) + 1, i + HEAD)))
+                if head in heads:
+                    yield from (run[i:j] for j in range(i + HEAD, min(len(run), i + LONGEST) + 1))
+
+
+def _in_rows(words: Iterator[tuple[str, Iterator[str]]]) -> Iterator[pa.RecordBatch]:
+    """(digest, word) of each digest's words, in batches of bounded size in which a word comes once a digest."""
+    digests: list[str] = []
+    parts: list[str] = []
+
+    def batch() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(parts, pa.string())], ["digest", "word"])
+        digests.clear()
+        parts.clear()
+        return out
+
+    for digest, some in words:
+        seen: set[str] = set()
+        for w in some:
+            if w not in seen:
+                seen.add(w)
+                digests.append(digest)
+                parts.append(w)
+                if len(parts) >= ROWS:
+                    yield batch()
+                    seen.clear()
+    yield batch()
 
 
 def _words_outside(text: str) -> set[str]:
@@ -202,21 +234,31 @@ def known_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _secret_values(values: DataFrame, words: DataFrame, min_log10: float) -> DataFrame:
-    """Of the different texts in column ``value`` those that take ``min_log10`` orders of guesses or more."""
+    """digest of those of the different values (digest, value) that take ``min_log10`` orders of guesses or more.
 
-    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    What a value is joined with is gathered in its row: its known heads and words, no more than
+    a few for each of its letters.
+    """
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _in_rows((d, heads_of(v)) for d, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for v in b.column(0).to_pylist():
-                parts = list(parts_of(v))
-                yield pa.RecordBatch.from_arrays([pa.array([v] * len(parts), pa.string()), pa.array(parts, pa.string())], ["value", "word"])
+            yield from _in_rows((d, heads_of(v, set(h or ()))) for d, v, h in zip(*(c.to_pylist() for c in b.columns)))
 
     @F.pandas_udf("double")
     def cost(value: pd.Series, known: pd.Series) -> pd.Series:
         return pd.Series([guess_cost(v, {x["word"]: int(x["rank"]) for x in (k if k is not None else ())}) for v, k in zip(value, known)], dtype=float)
 
-    met = values.mapInArrow(tidy(parted), "value string, word string").join(words, "word")
-    known = met.groupBy("value").agg(F.collect_list(F.struct("word", "rank")).alias("known"))
-    return values.join(known, "value", "left").where(cost("value", "known") >= min_log10).select("value")
+    rows = "digest string, word string"
+    heads = words.where(F.length("word") >= HEAD).select(F.substring("word", 1, HEAD).alias("word")).distinct()
+    begun = values.mapInArrow(tidy(starts), rows).join(heads, "word").groupBy("digest").agg(F.collect_set("word").alias("heads"))
+    begun = values.join(begun, "digest", "left").select("digest", "value", "heads")
+    met = begun.mapInArrow(tidy(parts), rows).join(words, "word")
+    known = met.groupBy("digest").agg(F.collect_set(F.struct("word", "rank")).alias("known"))
+    return values.join(known, "digest", "left").where(cost("value", "known") >= min_log10).select("digest")
 
 
 def scan(docs: DataFrame, min_log10: float = 12.0, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -242,10 +284,12 @@ def scan(docs: DataFrame, min_log10: float = 12.0, text: str = "text", key: str
     schema = f"key {kind}, spans array<struct<kind:string,start:long,end:long>>, values array<struct<start:long,end:long,value:string>>"
     found = lean(docs).select(F.col(key).alias("key"), F.col(text).alias("_text")).mapInArrow(tidy(run), schema)
     found = checkpointed(found.withColumn("id", F.monotonically_increasing_id()))
-    values = found.select("id", F.explode("values").alias("v")).select("id", "v.*")
-    secret = _secret_values(values.select("value").distinct(), known_words(docs, text), min_log10)
+    values = found.select("id", F.explode("values").alias("v")).select("id", "v.start", "v.end", F.col("v.value").alias("value"), F.sha2("v.value", 256).alias("digest"))
+    different = checkpointed(values.select("digest", "value").dropDuplicates(["digest"]))
+    secret = _secret_values(different, checkpointed(known_words(docs, text)), min_log10)
+    values = values.drop("value")
     more = F.collect_list(F.struct(F.lit("guess").alias("kind"), "start", "end"))
-    guessed = values.join(checkpointed(secret), "value").groupBy("id").agg(more.alias("more"))
+    guessed = values.join(checkpointed(secret), "digest").groupBy("id").agg(more.alias("more"))
     # No two spans of different kinds start alike but fixed ones, which stand in their order.
     place = lambda s: F.when(s["kind"] == "assign", 0).when(s["kind"] == "access", 1).when(s["kind"] == "hex", 2).otherwise(3)
     order = lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(place(a) - place(b))
@@ -256,7 +300,8 @@ def scan(docs: DataFrame, min_log10: float = 12.0, text: str = "text", key: str
 def redact(docs: DataFrame, mask: str = "[secret]", min_log10: float = 12.0, text: str = "text") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced; overlapping spans give one mask.
 
-    Null texts stay null; all columns are kept; equal texts are scanned once.
+    Null texts stay null and empty ones empty; all columns are kept, whatever their names; equal
+    texts, repeated rows among them, are scanned once; an empty table gives an empty result.
     """
 
     @F.pandas_udf("string")

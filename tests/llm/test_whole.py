@@ -134,6 +134,23 @@ def test_op7(spark, small):
     assert all((r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == want[i][:4] for i, r in got.items()) and len(got) == len(docs) - 2
 
 
+def test_op7_values_of_any_length(spark):
+    """Values of thousands and of a million letters: random ones are secrets, those of known words are judged by them."""
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABC", k=n))
+    known = ["orchard", "lantern", "winterly", "Ostrich", "fox"]
+    rows = [(i, f"the {' '.join(known)} sentence") for i in range(3)]
+    rows += [(3, f"pwd: {letters(10_000)}"), (4, f"pwd: {letters(1_000_000)} and more"), (5, "pwd: orchardlantern9"), (6, f"pwd: {'z' * 1_000_000}"), (7, f"pwd: {letters(200)}é{letters(200)}0rch4rd")]
+    got = {r["doc_id"]: [tuple(x) for x in r["secrets"]] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    ranks = secret_scan.RANKS | {w.lower(): len(secret_scan.COMMON) + 1 for w in [*known, "the", "sentence"] if w not in secret_scan.RANKS}
+    assert got == {i: secret_scan.find_secrets(t, ranks=ranks) for i, t in rows}
+    assert got[3] == [("guess", 5, 10_005)] and got[4] == [("guess", 5, 1_000_005)] and got[5] == [] and got[6] == [] and len(got[7]) == 1
+    value = rows[7][1][5:]
+    every = {value.lower().translate(table)[i:j] for table in ({}, secret_scan.LEET) for i in range(len(value)) for j in range(i + 3, min(len(value), i + 24) + 1)}
+    every = {w for w in every if w.isalpha()}
+    assert set(secret_scan.heads_of(value, {w[:4] for w in every})) == every
+
+
 class PlainTrie:
     """The lexicon without automata."""
 
