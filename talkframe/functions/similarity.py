@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,6 +43,57 @@ def jaro_winkler_of(a: str, b: str, scale: float = 0.1, threshold: float = 0.7)
     return j + prefix * scale * (1 - j) if j > threshold else j
 
 
+def least_jaro(least: float, prefix: int, scale: float = 0.1, threshold: float = 0.7) -> float:
+    """The Jaro similarity that two words with so many first characters in common need for a Jaro-Winkler similarity of ``least``."""
+    raised = (least - prefix * scale) / (1 - prefix * scale)
+    return min(least, max(threshold, raised)) if prefix else least
+
+
+def least_common(a: int, b: int, jaro_: float) -> int:
+    """How many characters words of these lengths have in common at least if their Jaro similarity is ``jaro_``.
+
+    It is (m/a + m/b + (m - t)/m) / 3 for m matching characters, and these are common ones.
+    """
+    return max(1, math.ceil((3 * jaro_ - 1) * a * b / (a + b) - 1e-9))
+
+
+#: Letters from common to rare; all other characters count as rarer still.
+COMMON_FIRST = "etaoinsrhldcumfpgwybvkxjqz"
+_RANKS = {c: -i for i, c in enumerate(COMMON_FIRST)}
+#: How many rare characters two words must share besides a prefix of 0, 1 or 2 characters; a longer prefix is enough.
+SHARED_BESIDES = (3, 3, 2)
+
+
+def similarity_keys(word: str, lengths: Iterable[int], least: float, first: bool) -> set[str]:
+    """Keys of which two words share one if their Jaro-Winkler similarity is ``least`` or more.
+
+    ``lengths`` are those of the words on the other side, and ``first`` tells the sides apart. Words with a common prefix of p characters
+    have a known number of characters in common (``least_common``). Of two words with c common characters, rare ones first, the
+    first a - c + k and b - c + k have k in common; so each set of k of these is a key, with the lengths and the prefix.
+    """
+    out, a = set(), len(word)
+    if not a:
+        return out
+    out.update(f"{p}:{word[:p]}" for p in (len(SHARED_BESIDES), len(SHARED_BESIDES) + 1) if p <= a)
+    for p, most in enumerate(SHARED_BESIDES):
+        if p > a:
+            break
+        seen: dict[str, int] = {}
+        marks = []
+        for c in word[p:]:
+            seen[c] = seen.get(c, 0) + 1
+            marks.append((_RANKS.get(c, 1), c, seen[c]))
+        marks.sort(reverse=True)
+        for b in lengths:
+            common = least_common(a, b, least_jaro(least, p)) if b else 0
+            if not p <= b or common > min(a, b) or not b:
+                continue
+            k = min(most, max(0, common - p))
+            at = f"{p}:{a}:{b}:{word[:p]}" if first else f"{p}:{b}:{a}:{word[:p]}"
+            out.update(at + ":" + ",".join(f"{c}{n}" for _, c, n in some) for some in combinations(marks[: a - common + k], k))
+    return out
+
+
 def metaphone_of(word: str) -> str:
     """Lawrence Philips' phonetic code of an English word's letters."""
     w = "".join(c for c in word.upper() if "A" <= c <= "Z")

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import capitalize_first, fold, let, rstrip, strip, words
@@ -246,19 +246,25 @@ def _strip_phrase(text: Column, folded: Column, phrases: Sequence[str]) -> Colum
     return out
 
 
-def expand_snippets(df: DataFrame, snippets: DataFrame, text: str = "text", into: str = "text") -> DataFrame:
+def expand_snippets(df: DataFrame, snippets: DataFrame, text: str = "text", into: str = "text", user: str | None = None) -> DataFrame:
     """Texts that are a snippet's trigger as a whole, in any case and bar final marks, become its expansion.
 
-    ``snippets`` has trigger_phrase, expansion and ord; the least ord of a trigger wins. The
+    ``snippets`` has trigger_phrase, expansion and ord; the least ord of a trigger wins. With ``user``, both tables have that column,
+    and a text meets its user's snippets and those of no owner, the user's own before others of equal ord. The
     join is on equal keys, so Spark broadcasts a short list and exchanges a long one. Adds
     snippet_used.
     """
     key = F.lower(rstrip(strip(F.col(text)), ".,!?;:"))
-    usable = snippets.select(F.lower(strip(F.col("trigger_phrase"))).alias("_key"), strip(F.col("expansion")).alias("_expansion"), "ord").where("_key <> '' AND _expansion <> ''")
-    first = usable.groupBy("_key").agg(F.min_by("_expansion", "ord").alias("_expansion"))
-    joined = df.withColumn("_key", key).join(first, "_key", "left")
-    out = joined.withColumns({into: F.coalesce("_expansion", F.col(text)), "snippet_used": F.col("_expansion").isNotNull()})
-    return out.drop("_key", "_expansion")
+    owner = F.col(user).cast("string") if user else F.lit(None).cast("string")
+    usable = snippets.select(owner.alias("_owner"), F.lower(strip(F.col("trigger_phrase"))).alias("_key"), strip(F.col("expansion")).alias("_expansion"), "ord").where("_key <> '' AND _expansion <> ''")
+    first = lambda rows, by, name: rows.groupBy(*by).agg(F.min_by(F.struct("ord", "_expansion"), F.struct("ord", "_expansion")).alias(name))
+    out = df.withColumn("_key", key).join(first(usable.where("_owner IS NULL"), ["_key"], "_all"), "_key", "left")
+    best = F.col("_all")
+    if user:
+        out = out.withColumn("_owner", owner).join(first(usable.where("_owner IS NOT NULL"), ["_owner", "_key"], "_own"), ["_owner", "_key"], "left")
+        best = F.when(F.col("_all").isNull() | (F.col("_own.ord") <= F.col("_all.ord")), F.col("_own")).otherwise(F.col("_all"))
+    out = out.withColumns({into: F.coalesce(best["_expansion"], F.col(text)), "snippet_used": best.isNotNull()})
+    return out.drop("_key", "_all", "_owner", "_own")
 
 
 def guard_correction(text: Column, corrected: Column, enabled: Column | None = None, keep_letters: bool = False, most: float = 1.5) -> Column:
@@ -293,20 +299,31 @@ def plan_segments(intervals: Column, total: Column, least: float = 0.3) -> Colum
     kind = "array<struct<s:double,e:double,is_cmd:boolean>>"
     piece = lambda s, e, held: F.array(F.struct(s.alias("s"), e.alias("e"), F.lit(held).alias("is_cmd")))
     none = F.array().cast(kind)
+    within = lambda x: F.greatest(F.lit(0.0), F.least(x, total))
 
-    def step(acc: Column, x: Column) -> Column:
-        s, e = F.greatest(F.lit(0.0), F.least(x["s"], total)), F.greatest(F.lit(0.0), F.least(x["e"], total))
-        gap = F.when(s > acc["prev"] + least, piece(acc["prev"], s, False)).otherwise(none)
-        held = F.when(e > s + least, piece(s, e, True)).otherwise(none)
-        return F.struct(e.alias("prev"), F.concat(acc["out"], gap, held).alias("out"))
+    def planned(held: Column) -> Column:
+        def pieces(x: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(held, i - 1)["e"]).otherwise(F.lit(0.0))
+            gap = F.when(x["s"] > before + least, piece(before, x["s"], False)).otherwise(none)
+            return F.concat(gap, F.when(x["e"] > x["s"] + least, piece(x["s"], x["e"], True)).otherwise(none))
 
-    start = F.struct(F.lit(0.0).alias("prev"), none.alias("out"))
+        end = F.coalesce(F.try_element_at(held, F.lit(-1))["e"], F.lit(0.0))
+        tail = F.when(end + least < total, piece(end, total, False)).otherwise(none)
+        return F.concat(F.flatten(F.transform(held, pieces)), tail)
 
-    def finish(acc: Column) -> Column:
-        tail = F.when(acc["prev"] + least < total, piece(acc["prev"], total, False)).otherwise(none)
-        return F.concat(acc["out"], tail)
+    return let(F.transform(F.array_sort(intervals), lambda x: F.struct(within(x["s"]).alias("s"), within(x["e"]).alias("e"))), planned)
 
-    return F.aggregate(F.array_sort(intervals), start, step, finish)
+
+def segment_rows(intervals: DataFrame, key: str, total: float, least: float = 0.3) -> DataFrame:
+    """The same pieces as rows (key, s, e, is_cmd), for intervals (key, s, e) that are rows: no recording is gathered in one row."""
+    by = Window.partitionBy(key).orderBy("_s", "_e")
+    within = lambda c: F.greatest(F.lit(0.0), F.least(F.col(c), F.lit(total)))
+    held = intervals.select(key, F.col("s").alias("_s"), F.col("e").alias("_e"), within("s").alias("s"), within("e").alias("e"))
+    held = held.select(key, "s", "e", F.lag("e", 1, 0.0).over(by).alias("before"), F.lead(F.lit(False), 1, True).over(by).alias("last"))
+    piece = lambda at, s, e, is_cmd: F.when(at, F.struct(s.alias("s"), e.alias("e"), F.lit(is_cmd).alias("is_cmd")))
+    s, e, before, end = F.col("s"), F.col("e"), F.col("before"), F.lit(total)
+    pieces = F.array(piece(s > before + least, before, s, False), piece(e > s + least, s, e, True), piece(F.col("last") & (e + least < end), e, end, False))
+    return held.select(key, F.inline(F.array_compact(pieces)))
 
 
 def merge_segments(segments: DataFrame, key: str, at: str, text: str = "text", language: str = "language") -> DataFrame:
@@ -324,12 +341,13 @@ def format_references(text: Column) -> Column:
 
 
 def references(text: Column) -> Column:
-    """Map of name to ``path:line``, and of each bare ``@path`` besides to itself."""
+    """Map of name to ``path:line``, and of the last part of each bare ``@path`` besides to the path."""
     full = F.regexp_extract_all(text, F.lit(r"@([^\s:]+:\d+) \w+"), F.lit(1))
     names = F.regexp_extract_all(text, F.lit(r"@[^\s:]+:\d+ (\w+)"), F.lit(1))
     rest = F.regexp_extract_all(F.regexp_replace(text, r"@[^\s:]+:\d+ \w+", ""), F.lit(r"@([^\s:]+)"), F.lit(1))
     bare = F.array_except(F.array_distinct(rest), F.transform(full, lambda x: F.split_part(x, F.lit(":"), F.lit(1))))
-    pairs = F.concat(F.arrays_zip(names.alias("k"), full.alias("v")), F.transform(bare, lambda x: F.struct(x.alias("k"), x.alias("v"))))
+    last_part = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, "([^/]+)/*$", 1), F.lit("")), x)
+    pairs = F.concat(F.arrays_zip(names.alias("k"), full.alias("v")), F.transform(bare, lambda x: F.struct(last_part(x).alias("k"), x.alias("v"))))
     first = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(first)
 
@@ -367,12 +385,16 @@ def clean(
     ``it_dataset`` nothing is done after recognition; without a user there is no dictionary and
     there are no snippets and symbols; in mode ``engineering`` fillers stay.
 
-    ``symbols`` and ``folders``, of one user, put references into texts of mode ``engineering``,
-    as the editor wants them; symbol_refs then maps each name to its place. ``corrected`` names a
+    Where a lexicon has the column ``user``, a row is given its own user's entries, and those without an owner; otherwise the
+    lexicon is everyone's. A dictionary of users, and symbols, are for batches alone.
+
+    ``symbols`` and ``folders`` put references into texts of mode ``engineering``, as the editor wants them; symbol_refs then maps each name to its place. ``corrected`` names a
     column with a model's answer for the row; it takes effect where ``enabled`` and where the
     guards let it, and was_corrected then tells whether it did.
     """
+    from ..session import checkpointed
     from .dictionary import apply_dictionary
+    from .lexicons import apply_by_user
     from .matching import inject_symbols
 
     raw = F.col(text)
@@ -380,14 +402,18 @@ def clean(
     engineering = F.coalesce(F.col(mode) == "engineering", F.lit(False))
     out = df.withColumn("raw_text", raw).withColumn(text, strip_phantom_phrase(strip_loops(raw)))
     named = F.col(user).isNotNull() & ~plain
-    if dictionary is not None:
+    if dictionary is not None and user in dictionary.columns:
+        out = apply_by_user(out.withColumn("_named", F.when(named, F.col(text))), dictionary, "_named", user).withColumn(text, F.coalesce("_named", F.col(text))).drop("_named")
+    elif dictionary is not None:
         out = out.withColumn(text, F.when(named, apply_dictionary(F.col(text), dictionary)).otherwise(F.col(text)))
     if snippets is not None:
-        out = expand_snippets(out, snippets, text, "_snippet")
+        out = expand_snippets(out, snippets, text, "_snippet", user if user in snippets.columns else None)
         out = out.withColumns({text: F.when(named, F.col("_snippet")).otherwise(F.col(text)), "snippet_used": named & F.col("snippet_used")}).drop("_snippet")
     out = out.withColumn(text, F.when(plain | engineering, F.col(text)).otherwise(clean_fillers(F.col(text))))
     if symbols is not None:
-        out = out.withColumn("_injected", inject_symbols(F.when(named & engineering, F.col(text)), symbols, folders))
+        # What comes before is worked out once for both uses, and Spark does not mix its functions in Python with the joins' conditions.
+        asked = checkpointed(out.withColumn("_injected", F.when(named & engineering, F.col(text))))
+        out = inject_symbols(asked, symbols, folders, "_injected", user if user in symbols.columns else None)
         out = out.withColumns({text: F.coalesce(format_references(F.col("_injected")), F.col(text)), "symbol_refs": references(F.col("_injected"))}).drop("_injected")
     if corrected is None:
         return out.withColumn("was_corrected", ~F.col("raw_text").eqNullSafe(F.col(text)))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from hashlib import md5
 
 import pandas as pd
 import pyarrow as pa
@@ -166,6 +167,16 @@ def digest(user: Column, text: Column) -> Column:
     return F.md5(F.concat_ws("\x00", user.cast("string"), text))
 
 
+def different_texts(df: DataFrame, user: Column, text: str) -> DataFrame:
+    """id (the digest), user and text of the different texts of each user.
+
+    The rows pass through a worker, so that a text's own functions in Python are no part of the aggregation's keys, which Spark
+    could not evaluate; equal ones meet before they are exchanged.
+    """
+    rows = df.where(user.isNotNull() & F.col(text).isNotNull()).select(user.cast("string").alias("user"), F.col(text).alias("text"))
+    return flat_mapped(rows, lambda u, t: [(md5(f"{u}\x00{t}".encode()).hexdigest(), u, t)], id="string", user="string", text="string").distinct()
+
+
 def apply_by_user(df: DataFrame, entries: DataFrame, text: str = "text", user: str = "user_id", passes: int = 2) -> DataFrame:
     """``df`` with each text's triggers replaced by its user's entries and everyone's.
 
@@ -177,8 +188,8 @@ def apply_by_user(df: DataFrame, entries: DataFrame, text: str = "text", user: s
     """
     id_ = digest(F.col(user), F.col(text))
     named = F.col(user).isNotNull() & F.col(text).isNotNull()
-    texts = df.where(named).select(id_.alias("id"), F.col(user).cast("string").alias("user"), F.col(text).alias("text")).dropDuplicates(["id"])
-    lexicon, busy, done = owned(entries, user), busy_owners(texts), []
+    texts, lexicon = different_texts(df, F.col(user), text), owned(entries, user)
+    busy, done = busy_owners(texts), []
     for _ in range(passes):  # a text in which nothing was replaced has nothing to replace
         texts = _once(texts, lexicon, busy)
         done.append(texts)

@@ -10,6 +10,7 @@ from ..functions.values import decay, mapped
 from ..operators import cleaning as c
 from ..operators import dictionary as d
 from ..operators import evaluation as e
+from ..operators import lexicons as lx
 from ..operators import matching as ma
 from ..operators import outline as ol
 from ..operators import relational as r
@@ -51,6 +52,37 @@ def dict_apply_catalyst(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", d.apply_small_dictionary(F.col("text"), LEXICON).alias("text"))
 
 
+def _spelt(text: str) -> str:
+    return f"regexp_replace({text}, '(^|{BORDER})(?i:' || w || ')({BORDER}|$)', '\\1<' || conv_id || '>\\2', 'g')"
+
+
+@query("dict_by_user", f"""
+WITH f AS (SELECT conv_id, min_by(lower(regexp_extract(text, '[a-zA-Z]{{3,}}')), turn) AS w FROM conversations GROUP BY conv_id)
+SELECT conv_id, turn, CASE WHEN w <> '' THEN {_spelt(_spelt("text"))} ELSE text END AS text FROM conversations LEFT JOIN f USING (conv_id)""")
+def dict_by_user(spark, sf):
+    """Every conversation has an entry of its own, the first word said in it, beside one that is everyone's."""
+    rows = table(spark, sf, "conversations")
+    entries = rows.groupBy("conv_id").agg(F.min_by(F.lower(F.regexp_extract("text", "[a-zA-Z]{3,}", 0)), "turn").alias("trigger")).withColumn("replacement", F.concat(F.lit("<"), F.col("conv_id").cast("string"), F.lit(">")))
+    shared = entries.select(F.lit(None).cast("long").alias("conv_id"), F.lit("no such words").alias("trigger"), F.lit("?").alias("replacement")).limit(1)
+    return lx.apply_by_user(rows, entries.unionByName(shared), user="conv_id").select("conv_id", "turn", "text")
+
+
+@query("snippet_by_user", r"""
+WITH s AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN conv_id END AS u, lower(trim(regexp_replace(trim(text), '[.,!?;:]+$', ''))) AS k FROM conversations WHERE turn <= 1),
+t AS (SELECT conv_id, turn, text, lower(regexp_replace(trim(text), '[.,!?;:]+$', '')) AS k FROM conversations),
+o AS (SELECT u, k, min(turn * 1000000 + s.conv_id) AS ord FROM s WHERE k <> '' GROUP BY u, k)
+SELECT t.conv_id, t.turn, coalesce('#' || least(a.ord, b.ord), t.text) AS text, least(a.ord, b.ord) IS NOT NULL AS snippet_used
+FROM t LEFT JOIN o a ON a.u IS NULL AND a.k = t.k LEFT JOIN o b ON b.u = t.conv_id AND b.k = t.k""")
+def snippet_by_user(spark, sf):
+    """First turns are snippets: of their own conversation where its number is even, else everyone's."""
+    rows = table(spark, sf, "conversations")
+    ord_ = F.col("turn") * 1_000_000 + F.col("conv_id")
+    snippets = rows.where("turn <= 1").select(
+        F.when(F.col("conv_id") % 2 == 0, F.col("conv_id")).alias("conv_id"), F.trim(tx.rstrip(tx.strip(F.col("text")), ".,!?;:")).alias("trigger_phrase"), F.concat(F.lit("#"), ord_.cast("string")).alias("expansion"), ord_.alias("ord"),
+    )
+    return c.expand_snippets(rows, snippets, user="conv_id").select("conv_id", "turn", "text", "snippet_used")
+
+
 KEY = "lower(regexp_replace(trim(text), '[.,!?;:]+$', ''))"
 
 
@@ -114,9 +146,8 @@ def segment_plan(spark, sf):
 
 def planned(events):
     s = (F.hour("ts") * 60 + F.minute("ts")).cast("double")
-    rows = events.select("user_id", F.struct(s.alias("s"), (s + (F.col("event_id") % 7).cast("double") / 4).alias("e")).alias("x"))
-    plans = rows.groupBy("user_id").agg(c.plan_segments(F.collect_list("x"), F.lit(1440.0)).alias("p"))
-    return plans.select("user_id", F.inline("p"))
+    e = s + (F.col("event_id") % 7).cast("double") / 4
+    return c.segment_rows(events.select("user_id", s.alias("s"), e.alias("e")), "user_id", 1440.0)
 
 
 @query("interval_header", "SELECT r_regionkey, CASE WHEN r_regionkey < 4 THEN 1.5 + r_regionkey END AS first_end, CASE WHEN r_regionkey < 4 THEN 4.5 END AS last_start, CASE WHEN r_regionkey < 4 THEN 2 END AS n FROM region")
@@ -312,7 +343,18 @@ def symbol_inject(spark, sf):
     # A folder that no word of the invented texts is like, so that SQL can say what is found.
     folders = spark.createDataFrame([("wqxzkv", "lib/wqxzkv/")], "name string, path string")
     said = F.concat(F.lit("PasteService and the recording service in OutService wqxzk internationally "), "text")
-    return table(spark, sf, "conversations").select("conv_id", "turn", ma.inject_symbols(said, symbols, folders).alias("text"))
+    return ma.inject_symbols(table(spark, sf, "conversations").select("conv_id", "turn", said.alias("text")), symbols, folders)
+
+
+@query("symbols_by_user", r"""
+SELECT conv_id, turn, trim(regexp_replace(trim(text), '\s+', ' ', 'g') || ' @src/u' || conv_id || '.py:' || conv_id % 50 || ' Zqxjkwv') AS text FROM conversations""")
+def symbols_by_user(spark, sf):
+    """Every conversation has a symbol of the same name, in a file of its own; no word of the invented texts is like it."""
+    rows = table(spark, sf, "conversations")
+    path = F.concat(F.lit("src/u"), F.col("conv_id").cast("string"), F.lit(".py"))
+    symbols = rows.select("conv_id").distinct().select("conv_id", F.col("conv_id").alias("id"), F.lit("Zqxjkwv").alias("symbol_name"), F.lit("class").alias("symbol_type"), path.alias("file_path"), (F.col("conv_id") % 50).cast("int").alias("line_number"))
+    said = rows.select("conv_id", "turn", F.concat("text", F.lit(" Zqxjkwv")).alias("text"))
+    return ma.inject_symbols(said, symbols, user="conv_id")
 
 
 @query("phonetic_match", "SELECT item_id, 1 AS start, 2 AS n, 'PasteService' AS symbol_name FROM benchmark")

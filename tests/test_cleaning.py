@@ -123,7 +123,7 @@ def test_guards_and_references(spark):
     assert [r[0] for r in rows.select(c.guard_correction(F.col("a"), F.col("b"))).collect()] == ["text", "text", "text", "text", "  "]
     assert [r[0] for r in rows.limit(1).select(c.guard_correction(F.col("a"), F.lit("texts"), F.lit(False))).collect()] == ["text"]
     got = spark.range(1).select(c.references(F.lit("see @a/b.py:3 Name and @c/ and @a/b.py"))).first()[0]
-    assert got == {"Name": "a/b.py:3", "c/": "c/"}
+    assert got == {"Name": "a/b.py:3", "c": "c/"}
 
 
 def test_chain_by_mode(spark):

@@ -129,34 +129,11 @@ def test_report(spark):
     assert sy.report(rows.where("false"), "p", "now").count() == 0
 
 
-SYMBOLS = [
-    {"symbol_name": "PasteService", "symbol_type": "class", "file_path": "a.py", "line_number": 1, "parts": ["paste", "service"]},
-    {"symbol_name": "RecordingService", "symbol_type": "class", "file_path": "b.py", "line_number": 2, "parts": ["recording", "service"]},
-    {"symbol_name": "Auth", "symbol_type": "module", "file_path": "c.py", "line_number": 3, "parts": ["auth"]},
-]
-
-
-def test_injection():
-    inject = ma.Injector(SYMBOLS, {"widgets": ["ui/widgets/"]})
-    assert inject.inject("PasteService, PasteService") == "@a.py:1 PasteService PasteService"
-    assert inject.inject("open PasteServise now") == "open @a.py:1 PasteService now"
-    assert inject.inject("the recording service'i here") == "the @b.py:2 RecordingService here"
-    assert inject.inject("somewhere widgets please") == "somewhere @ui/widgets/ please" and inject.inject("Auth plain") == "Auth plain"
-    assert ma.Injector(SYMBOLS, {"widgets": ["ui/widgets/"]}, gated=True).inject("somewhere widgets") == "somewhere widgets"
-
-
 def test_folder_scores():
     assert ma.folder_score("widget", "widgets") == 0.95 and ma.folder_score("widgets", "widgets") == 0.95
     assert ma.folder_score("widgets", "widge") == 0.90 and ma.folder_score("widgetsandmore", "widge") < 0.90 and ma.folder_score("wid", "widgets") < 0.95
 
 
-def test_what_may_reach_a_similarity():
-    rng = random.Random(1)
-    for _ in range(3000):
-        a, b = ("".join(rng.choices("abcd", k=rng.randrange(1, 9))) for _ in range(2))
-        assert ma.jaro_winkler_of(a, b) < ma.SIMILAR or ma.may_reach(a, b, ma.SIMILAR)
-
-
 DECLARED = {
     "a.swift": ("@objc public final class Alpha {\n  struct Beta<T> {\nclass func make() {}\n    override static func go(x: Int) {\nopen struct Nope\n  public @objc class Nope2\nprotocol P\nprivate enum Kind: Int {", [
         ("class", "Alpha", 1), ("struct", "Beta", 2), ("class", "func", 3), ("func", "make", 3), ("func", "go", 4), ("enum", "Kind", 8)]),
@@ -176,11 +153,6 @@ def test_declarations_of_each_language(spark):
     assert sorted(r[0] for r in sy.symbol_names(names).collect()) == ["A1", "IFoo", "Pt", "Yot", "Zed", "run"]
 
 
-def test_bounded_lists(spark):
-    with pytest.raises(ValueError):
-        ma.bounded(spark.range(10), 5)
-
-
 def test_stream_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"Yani, metin {i} yani", "general", "u") for i in range(20)], "id int, text string, mode string, user_id string")
     source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
