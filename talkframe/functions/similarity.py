@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .edits import edit_distance
+
 
 def jaro(a: str, b: str) -> float:
     """Share of matching characters, matched within half the longer length, less transpositions."""
@@ -198,16 +200,6 @@ def metaphone_of(word: str) -> str:
     return "".join(out)
 
 
-def edit_distance(a: list, b: list) -> int:
-    """Insertions, deletions and substitutions between two sequences."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        corner, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
-    return row[-1]
-
-
 def _each(a: pd.Series, b: pd.Series, f) -> list:
     """``f`` of each pair, once for equal pairs of a batch; null if either side is."""
     memo = {p: None if p[0] is None or p[1] is None else f(*p) for p in set(zip(a, b))}

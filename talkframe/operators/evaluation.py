@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import word_edits
+from ..functions.edits import counted_edits
 from ..functions.text import contains_any, strip, word_count
 
 #: Words by which a speaker takes something back.
@@ -38,17 +38,19 @@ def details(rows: DataFrame, source: str = "input", reference: str = "output", a
 
 
 def report(rows: DataFrame, source: str = "input", reference: str = "output", answer: str = "prediction") -> DataFrame:
-    """One row: samples, wer (edits by words over all), cer (mean), exact_match and backtracking in percent.
+    """One row: samples, wer (edits by words over all), its substitutions, insertions and deletions, cer (mean), exact_match and backtracking in percent.
 
     A rate without rows to judge is null. Everything is a sum or a mean, formed in parallel.
     """
     r, a = F.col(reference), F.col(answer)
-    edits = word_edits(r, a)
+    edits = counted_edits(r, a, by_words=True)
     left = unresolved(F.col(source), a) if source in rows.columns else F.lit(None).cast("boolean")
     judged = rows.select(edits.alias("e"), word_count(r).alias("n"), cer(r, a).alias("c"), exact(r, a).alias("x"), left.alias("l"))
+    kinds = ("substitutions", "insertions", "deletions")
     return judged.agg(
         F.count("*").alias("samples"),
-        F.round(F.sum("e") / F.nullif(F.sum("n"), F.lit(0)), 4).alias("wer"),
+        F.round(F.sum(sum((F.col(f"e.{k}") for k in kinds), F.lit(0))) / F.nullif(F.sum("n"), F.lit(0)), 4).alias("wer"),
+        *(F.sum(f"e.{k}").alias(k) for k in kinds),
         F.round(F.avg("c"), 4).alias("cer"),
         F.round(F.avg(F.col("x").cast("int")) * 100, 2).alias("exact_match"),
         F.round(F.avg((~F.col("l")).cast("int")) * 100, 2).alias("backtracking"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.edits import counted_edits
 from ..functions.similarity import jaro_winkler, metaphone, word_edits
 from ..functions.values import decay, mapped
 from ..operators import cleaning as c
@@ -465,12 +466,26 @@ def cer_rows(spark, sf):
 WITH r AS (SELECT text, {SPOILT} AS p FROM benchmark),
 w AS (SELECT *, {WORDS.format("text")} AS a, {WORDS.format("p")} AS b FROM r)
 SELECT count(*) AS samples, round(sum(len(list_filter(list_zip(a, b), lambda z: z[1] <> z[2]))) / sum(len(a)), 4) AS wer,
+       CAST(sum(len(list_filter(list_zip(a, b), lambda z: z[1] <> z[2]))) AS BIGINT) AS substitutions, CAST(0 AS BIGINT) AS insertions, CAST(0 AS BIGINT) AS deletions,
        round(avg({EDITS} / length(trim(text))), 4) AS cer, round(avg(CAST(lower(trim(p)) = lower(trim(text)) AS INT)) * 100, 2) AS exact_match,
        round(avg(CAST(NOT (contains(p, 'actually') OR contains(p, 'wait')) AS INT)) * 100, 2) AS backtracking FROM w""")
 def eval_report(spark, sf):
     return e.report(evaluated(spark, sf))
 
 
+CAPITALS, MARKS = (f"length(regexp_replace(text, '[^{x}]', '', 'g'))" for x in ("A-Z", ".,!?;:"))
+
+
+@query("edit_counts", f"""
+SELECT doc_id, {CAPITALS} AS substitutions, CAST(0 AS BIGINT) AS insertions, {MARKS} AS deletions, {CAPITALS} AS back_substitutions, {MARKS} AS back_insertions, CAST(0 AS BIGINT) AS back_deletions FROM documents""")
+def edit_counts(spark, sf):
+    """Whole documents against copies without capitals and marks, which stand in no copy, and back."""
+    text = F.col("text")
+    copy = F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[.,!?;:]", "")
+    rows = table(spark, sf, "documents").select("doc_id", counted_edits(text, copy).alias("e"), counted_edits(copy, text).alias("b"))
+    return rows.select("doc_id", "e.*", *(F.col(f"b.{k}").alias(f"back_{k}") for k in ("substitutions", "insertions", "deletions")))
+
+
 @query("backtrack_rate", """
 SELECT count(*) AS judged, count(*) FILTER (contains(lower(a), 'wait')) AS still FROM (SELECT CASE WHEN turn % 2 = 0 THEN 'Wait ' || text ELSE text END AS q, CASE WHEN turn % 4 = 0 THEN 'wait ' || text ELSE text END AS a FROM conversations)
 WHERE contains(lower(q), 'wait')""")

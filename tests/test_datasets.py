@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from talkframe.operators import datasets as ds
 from talkframe.operators import dictionary as d
 from talkframe.operators import evaluation as e
-from talkframe.functions.similarity import edit_distance, jaro_winkler_of, metaphone_of
+from talkframe.functions.edits import edit_distance
+from talkframe.functions.similarity import jaro_winkler_of, metaphone_of
 
 VARIANTS = {"Service": ("servis", "out"), "User": ("kullanici", "yuzir")}
 
