@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -35,14 +36,47 @@ PHANTOM_PHRASES = (
 
 def tidy(text: Column) -> Column:
     """Single blanks, no doubled or leading commas, a stop for trailing ones, a capital first."""
-    return let(_without_junk(text), _with_capital)
 
-
-def _without_junk(text: Column) -> Column:
-    text = F.regexp_replace(text, "[ \t]{2,}", " ")
-    text = F.regexp_replace(text, r"(?U)\s*,\s*,+", ",")
-    text = F.regexp_replace(text, r"(?U)^[,\s]+", "")
-    return F.regexp_replace(text, r"(?U)[,\s]+$", ".")
+    @F.pandas_udf("string")
+    def tidied(texts: pd.Series) -> pd.Series:
+        return texts.map(without_junk, na_action="ignore")
+
+    return let(tidied(text), _with_capital)
+
+
+def without_junk(text: str) -> str:
+    """One text with the gaps between its words put in order; all that is dropped stands there."""
+    found = list(_PIECES.finditer(text))
+    ends, starts = [0, *(m.end() for m in found)], [*(m.start() for m in found), len(text)]
+    gaps = [_one_comma(_one_blank(text[a:b])) for a, b in zip(ends, starts)]
+    while gaps[0] and (gaps[0][0] == "," or gaps[0][0].isspace()):
+        gaps[0] = gaps[0].lstrip().lstrip(",")
+    last = gaps[-1]
+    while last and (last[-1] == "," or last[-1].isspace()):
+        last = last.rstrip().rstrip(",")
+    gaps[-1] = last if last == gaps[-1] else last + "."
+    return "".join(x for pair in zip(gaps, [*(m[0] for m in found), ""]) for x in pair)
+
+
+def _one_blank(gap: str) -> str:
+    """Blanks and tabs, two or more in a row, become one blank."""
+    runs = ((blank, "".join(run)) for blank, run in groupby(gap, " \t".__contains__))
+    return "".join(" " if blank and len(run) > 1 else run for blank, run in runs)
+
+
+def _one_comma(gap: str) -> str:
+    """A comma that another follows takes in all that follow it at once, and the blanks before and after it."""
+    parts, out, i = gap.split(","), [], 0
+    while i < len(parts) - 1:
+        if i + 2 < len(parts) and not parts[i + 1].strip():
+            out += [parts[i].rstrip(), ","]
+            i += 2
+            while i < len(parts) - 1 and not parts[i]:
+                i += 1
+        else:
+            out += [parts[i], ","]
+            i += 1
+    return "".join([*out, parts[-1]])
 
 
 def _with_capital(text: Column) -> Column:
@@ -206,9 +240,9 @@ def clean_fillers(text: Column) -> Column:
 
     @F.pandas_udf("string")
     def passed(texts: pd.Series) -> pd.Series:
-        return texts.map(without_fillers, na_action="ignore")
+        return texts.map(lambda t: without_junk(without_fillers(t)), na_action="ignore")
 
-    return F.when(F.trim(text) == "", text).otherwise(tidy(passed(text)))
+    return F.when(F.trim(text) == "", text).otherwise(let(passed(text), _with_capital))
 
 
 def strip_loops(text: Column, repeats: int = 3) -> Column:

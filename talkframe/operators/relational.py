@@ -113,6 +113,47 @@ def active_users(facts: DataFrame, as_of: Column, days: int = 7, user: str = "us
     return recent.agg(F.countDistinct(user).alias("active_users"))
 
 
+def active_users_each_day(facts: DataFrame, days: int = 7, user: str = "user_number", at: str = "created_at", by: Sequence[str] = ("tenant_id",)) -> DataFrame:
+    """by, day and active_users, the distinct users with a row on the day or the ``days`` - 1 before it, for each day up to the last one.
+
+    ``user`` is a whole number, close to others: users are bits of a map. Each day's rows become
+    maps once; a window's maps are joined bit by bit, so no user is counted again for every
+    window. Users given by other keys are numbered first (``numbered_users``).
+    """
+    rows = facts.where(F.col(user).isNotNull()).select(*by, F.to_date(at).alias("day"), F.bitmap_bucket_number(user).alias("_bucket"), F.bitmap_bit_position(user).alias("_bit"))
+    maps = rows.groupBy(*by, "day", "_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    last = maps.agg(F.max("day").alias("_last"))
+    ends = maps.select(*by, "_bucket", "_map", F.explode(F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda i: F.date_add("day", i))).alias("day"))
+    windows = ends.join(F.broadcast(last), F.col("day") <= F.col("_last")).groupBy(*by, "day", "_bucket").agg(F.bitmap_or_agg("_map").alias("_map"))
+    return windows.groupBy(*by, "day").agg(F.sum(F.bitmap_count("_map")).alias("active_users"))
+
+
+def numbered_users(facts: DataFrame, user: str = "user_id", into: str = "user_number") -> DataFrame:
+    """``facts`` with each different user's number from 0; rows of no user have none."""
+    from .datasets import numbered
+
+    users = numbered(facts.where(F.col(user).isNotNull()).select(F.col(user).alias("_user")).distinct(), 0, "_user").withColumnRenamed("n", into)
+    return facts.join(users, F.col(user) == F.col("_user"), "left").drop("_user")
+
+
+def trailing_phrases(transcripts: DataFrame, tenant: str, newest: Sequence[Column], text: str = "text", last: int = 200, words_: int = 5, sizes: Sequence[int] = (2, 3, 4, 5), share: float = 0.15) -> DataFrame:
+    """tenant, phrase, n and share: runs of words that end so many of a tenant's latest texts, as what is recognised in silence does.
+
+    Of each tenant's ``last`` texts, the first in the order ``newest``, which should end in a key, the last ``words_`` words count; a
+    phrase counts once a text. Spark keeps the first rows of each tenant before it exchanges any,
+    so a tenant with many rows costs no more than ``last`` of them a task.
+    """
+    from ..functions.text import ngrams, words
+
+    latest = transcripts.where(F.col(text).isNotNull()).withColumn("_rank", F.row_number().over(Window.partitionBy(tenant).orderBy(*newest))).where(F.col("_rank") <= last)
+    said = words(F.lower(text))
+    ending = latest.select(tenant, "_rank", F.slice(said, F.greatest(F.lit(1), F.size(said) - (words_ - 1)), F.lit(words_)).alias("_end"))
+    grams = [F.transform(F.coalesce(ngrams(F.col("_end"), n), F.array().cast("array<array<string>>")), lambda g: F.array_join(g, " ")) for n in sizes]
+    counted = ending.select(tenant, F.explode(F.array_distinct(F.concat(*grams))).alias("phrase")).groupBy(tenant, "phrase").agg(F.count("*").alias("n"))
+    totals = latest.groupBy(tenant).agg(F.count("*").alias("_texts"))
+    return counted.join(totals, tenant).where(F.col("n") >= share * F.col("_texts")).select(tenant, "phrase", "n", (F.col("n") / F.col("_texts")).alias("share"))
+
+
 def mode_breakdown(transcripts: DataFrame, modes: Sequence[str] = MODES, mode: str = "mode") -> DataFrame:
     """Transcripts of every mode, zero included. A null mode counts as the first one."""
     spark = transcripts.sparkSession

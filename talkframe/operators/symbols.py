@@ -36,7 +36,7 @@ class Declared:
 
 
 _SWIFT = ("public", "private", "internal")
-#: The keywords that are looked for, by language.
+#: Fixed values, as the same declarations must be found: keywords by language, the words that may stand before them, how many, and indents.
 KEYWORDS = {
     "swift": (
         Declared("class", "class", (*_SWIFT, "open", "final"), annotated=True),
@@ -117,14 +117,11 @@ def declarations(files: DataFrame, path: str = "path", text: str = "text") -> Da
 
 
 def inheritance(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """path, symbol_name, parent_class and conformances of Swift types that name what they inherit."""
-    head = r"(?:class|struct|enum|actor)\s+(\w+)(?:\s*<[^>]*>)?\s*:\s*([^{<\n]+?)(?:\s*\{|\s*where\b)"
-    rows = files.where(suffix(F.col(path)) == ".swift").select(
-        path, F.arrays_zip(F.regexp_extract_all(text, F.lit(head), F.lit(1)).alias("name"), F.regexp_extract_all(text, F.lit(head), F.lit(2)).alias("all")).alias("_z")
-    )
-    parts = F.filter(F.transform(F.split("all", ","), lambda p: F.trim(p)), lambda p: p.rlike(r"^[A-Z]\w*"))
-    rest = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(2), F.size(parts)), ", "))
-    return rows.select(path, F.inline("_z")).select(path, F.col("name").alias("symbol_name"), F.try_element_at(parts, F.lit(1)).alias("parent_class"), rest.alias("conformances"))
+    """path, symbol_name, parent_class and conformances of Swift types that name what they inherit, as their outline has them."""
+    from .outline import outline
+
+    types = outline(files.where(suffix(F.col(path)) == ".swift"), path, text).where(F.col("parent_class").isNotNull())
+    return types.select(F.col("path").alias(path), "symbol_name", "parent_class", "conformances")
 
 
 def python_symbols(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -182,6 +179,7 @@ def symbol_names(files: DataFrame, text: str = "text") -> DataFrame:
 
 def identifiers(files: DataFrame, text: str = "text") -> DataFrame:
     """Distinct PascalCase (6 letters or more) and camelCase identifiers of up to 60 letters."""
+    # What counts as an identifier.
     pascal = F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-zA-Z0-9]{5,})\b"), F.lit(1))
     camel = F.regexp_extract_all(text, F.lit(r"\b([a-z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b"), F.lit(1))
     rows = files.select(F.explode(F.array_distinct(F.concat(pascal, camel))).alias("name"))
@@ -278,6 +276,7 @@ def report(symbols: DataFrame, project: str, at: str, most_key: int = 40, most_s
     row = total.crossJoin(kinds).crossJoin(languages).crossJoin(patterns(symbols)).crossJoin(libraries(symbols)).crossJoin(key_lines).crossJoin(services)
     texts = lambda c: F.array_join(F.transform(c, lambda x: x["t"]), "\n")
     section = lambda title, body, there: F.when(there, F.concat(F.lit(f"## {title}\n\n"), body, F.lit("\n")))
+    # The report's headings.
     content = F.concat_ws(
         "\n",
         F.lit(f"# Project Context -- {project}\n> Last updated: {at}\n\n## Architecture Overview"),

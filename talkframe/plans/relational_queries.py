@@ -57,6 +57,26 @@ def active_users_7d(spark, sf):
     return r.active_users(table(spark, sf, "events"), as_of(), at="ts")
 
 
+@query("active_users_each_day", """
+WITH d AS (SELECT DISTINCT user_id % 3 AS tenant_id, CAST(ts AS DATE) AS day, user_id FROM events WHERE user_id IS NOT NULL),
+w AS (SELECT DISTINCT tenant_id, CAST(day + CAST(i AS INTEGER) AS DATE) AS day, user_id FROM d, range(0, 7) r(i))
+SELECT tenant_id, CAST(day AS VARCHAR) AS day, count(*) AS active_users FROM w WHERE day <= (SELECT max(day) FROM d) GROUP BY tenant_id, day""")
+def active_users_each_day(spark, sf):
+    rows = table(spark, sf, "events").withColumn("tenant_id", F.col("user_id") % 3)
+    return r.active_users_each_day(rows, user="user_id", at="ts").withColumn("day", F.col("day").cast("string"))
+
+
+@query("trailing_phrases", r"""
+WITH k AS (SELECT conv_id % 11 AS tenant_id, lower(text) AS t, row_number() OVER (PARTITION BY conv_id % 11 ORDER BY conv_id DESC, turn DESC) AS k FROM conversations WHERE text IS NOT NULL),
+l AS (SELECT tenant_id, k, list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '') AS w FROM k WHERE k <= 200), e AS (SELECT *, w[greatest(1, len(w) - 4):] AS e FROM l),
+g AS (SELECT DISTINCT tenant_id, k, array_to_string(e[i:i + n - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(e) - n + 2)) AS i FROM e, range(2, 6) r(n)) WHERE len(e) >= n)
+SELECT tenant_id, phrase, count(*) AS n, round(count(*) / (SELECT count(*) FROM l WHERE l.tenant_id = g.tenant_id), 6) AS share FROM g GROUP BY tenant_id, phrase
+HAVING count(*) >= 0.15 * (SELECT count(*) FROM l WHERE l.tenant_id = g.tenant_id)""")
+def trailing_phrases(spark, sf):
+    rows = table(spark, sf, "conversations").withColumn("tenant_id", F.col("conv_id") % 11)
+    return r.trailing_phrases(rows, "tenant_id", [F.desc("conv_id"), F.desc("turn")]).withColumn("share", F.round("share", 6))
+
+
 EVENT = ("event_id", "user_id", "event_type")
 
 
