@@ -8,6 +8,7 @@ sorting them in one task.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,9 +75,33 @@ def numbered(rows: DataFrame, seed: int, *keys: str, ranges: int | None = None)
     return hashed.join(F.broadcast(before), "_r").withColumn("n", (F.col("_b") + place - 1).cast("long")).drop("_r", "_h", "_b")
 
 
+#: Bits of a hash by which rows are counted.
+BIN_BITS = 16
+
+
+def stratified(rows: DataFrame, k: int, seed: int, *keys: str, strata: Sequence[str] = ()) -> DataFrame:
+    """``k`` rows without replacement of each stratum, or all it has; null is a stratum of its own.
+
+    A stratum's rows of the least hashes are taken. Rows are counted by the first bits of their
+    hashes, which is all that is exchanged of them; the counts say up to which bin all rows are
+    taken, and only those of the next bin, one in 65,536, are put in order. Rows of equal hash
+    are ordered by the keys; rows with equal keys are interchangeable.
+    """
+    hashed = rows.withColumn("_h", order(seed, *map(F.col, keys))).withColumn("_bin", F.shiftright("_h", 64 - BIN_BITS))
+    places = [f"_s{i}" for i in range(len(strata))]
+    counts = hashed.groupBy(*(F.col(s).alias(p) for s, p in zip(strata, places)), "_bin").agg(F.count("*").alias("_c"))
+    upto = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*places).orderBy("_bin"))).where(F.col("_upto") > k)
+    edges = upto.groupBy(*places).agg(F.min("_bin").alias("_edge"), F.min_by(k - F.col("_upto") + F.col("_c"), "_bin").alias("_rest"))
+    same = [F.col(s).eqNullSafe(F.col(p)) for s, p in zip(strata, places)]
+    near = hashed.join(edges if strata else F.broadcast(edges), reduce(Column.__and__, same, F.lit(True)), "left").where(F.col("_edge").isNull() | (F.col("_bin") <= F.col("_edge")))
+    sure = near.where(F.col("_edge").isNull() | (F.col("_bin") < F.col("_edge")))
+    edge = near.where(F.col("_bin") == F.col("_edge")).withColumn("_n", F.row_number().over(Window.partitionBy(*places).orderBy("_h", *keys))).where(F.col("_n") <= F.col("_rest"))
+    return sure.select(rows.columns).unionAll(edge.select(rows.columns))
+
+
 def sample(rows: DataFrame, k: int, seed: int, *keys: str) -> DataFrame:
     """``k`` rows without replacement, or all."""
-    return numbered(rows, seed, *keys).where(F.col("n") < k).drop("n")
+    return stratified(rows, k, seed, *keys)
 
 
 def split(rows: DataFrame, seed: int, *keys: str, train: float = 0.8, valid: float = 0.1) -> DataFrame:

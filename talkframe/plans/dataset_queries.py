@@ -14,6 +14,12 @@ def pairs(spark, sf):
     return table(spark, sf, "documents").select(F.lit(0).alias("src"), F.col("doc_id").alias("ord"), F.col("lang").alias("input"), F.col("text").alias("output"))
 
 
+@query("stratified_sizes", "SELECT lang, source, least(count(*), 7) AS n FROM documents GROUP BY lang, source")
+def stratified_sizes(spark, sf):
+    drawn = ds.stratified(table(spark, sf, "documents").select("doc_id", "lang", "source"), 7, 3, "doc_id", strata=("lang", "source"))
+    return drawn.groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
 @query("dedup_first", "SELECT min(doc_id) AS ord FROM documents GROUP BY trim(text)")
 def dedup_first(spark, sf):
     return ds.unique(pairs(spark, sf), ("output",), trimmed=True).select("ord")

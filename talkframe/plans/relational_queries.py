@@ -164,9 +164,14 @@ def lookup_ladder(spark, sf):
 
 
 @query("lookup_by_kind", """
-SELECT r_name AS symbol_name, kind AS symbol_type, 0 AS tier FROM (SELECT 'x' AS r_name, 'struct' AS kind UNION ALL SELECT 'X', 'class' UNION ALL SELECT 'xy', 'class') WHERE lower(r_name) = 'x'""")
+WITH p AS (SELECT DISTINCT CASE p_partkey % 2 WHEN 0 THEN p_name ELSE upper(p_name) END AS symbol_name, CASE p_size % 4 WHEN 0 THEN 'class' WHEN 1 THEN 'func' WHEN 2 THEN 'struct' ELSE 'protocol' END AS symbol_type FROM part)
+SELECT *, 0 AS tier FROM p WHERE lower(symbol_name) = (SELECT min(p_name) FROM part)
+ORDER BY CASE symbol_type WHEN 'class' THEN 0 WHEN 'struct' THEN 1 WHEN 'protocol' THEN 2 ELSE 3 END, symbol_name LIMIT 5""")
 def lookup_by_kind(spark, sf):
-    return sy.lookup(spark.createDataFrame([("x", "struct"), ("X", "class"), ("xy", "class")], "symbol_name string, symbol_type string"), "x")
+    part = table(spark, sf, "part")
+    kinds = F.element_at(F.array(*map(F.lit, ("class", "func", "struct", "protocol"))), F.col("p_size") % 4 + 1)
+    symbols = part.select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.upper("p_name")).alias("symbol_name"), kinds.alias("symbol_type")).distinct()
+    return sy.lookup(symbols, part.agg(F.min("p_name")).first()[0])
 
 
 def indexed(spark, sf):

@@ -276,15 +276,10 @@ VARIANTS = {"Service": ("servis", "out"), "User": ("kullanici",), "Repository":
 
 
 @query("trigger_variants", """
-SELECT * FROM (VALUES ('UserService', 'user out'), ('UserService', 'user servis'), ('UserService', 'user service'), ('UserService', 'kullanici out'), ('UserService', 'kullanici servis'), ('UserService', 'kullanici service'),
-  ('UserRepositoryService', 'user repo out'), ('UserRepositoryService', 'user depo out'), ('UserRepositoryService', 'user repo servis'), ('UserRepositoryService', 'user depo servis'),
-  ('UserRepositoryService', 'user repo service'), ('UserRepositoryService', 'user depo service'), ('UserRepositoryService', 'user repository out'), ('UserRepositoryService', 'user repository servis'),
-  ('UserRepositoryService', 'user repository service'), ('UserRepositoryService', 'kullanici repo out'), ('UserRepositoryService', 'kullanici depo out'), ('UserRepositoryService', 'kullanici repo servis'),
-  ('UserRepositoryService', 'kullanici depo servis'), ('UserRepositoryService', 'kullanici repo service'), ('UserRepositoryService', 'kullanici depo service'), ('UserRepositoryService', 'kullanici repository out'),
-  ('UserRepositoryService', 'kullanici repository servis'), ('UserRepositoryService', 'kullanici repository service'), ('XMLParser', 'xml parser'),
-  ('getUserById', 'get user by id'), ('getUserById', 'get kullanici by id')) AS t(name, trigger)""")
+WITH n AS (SELECT DISTINCT string_split(p_name, ' ') AS w FROM part), v(said) AS (VALUES ('service'), ('servis'), ('out'))
+SELECT upper(w[1][1]) || w[1][2:] || upper(w[2][1]) || w[2][2:] || 'Service' AS name, w[1] || ' ' || w[2] || ' ' || said AS trigger FROM n CROSS JOIN v""")
 def trigger_variants(spark, sf):
-    names = spark.createDataFrame([("UserService",), ("UserRepositoryService",), ("XMLParser",), ("getUserById",)], "name string")
+    names = table(spark, sf, "part").select(F.concat(F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), F.lit("Service")).alias("name")).distinct()
     return names.select("name", F.explode(d.triggers(F.col("name"), VARIANTS)).alias("trigger"))
 
 
