@@ -254,8 +254,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     A row for each pair, with the window most similar to the item, the first if several. Null
     and empty texts and items match nothing; a text shorter than an item is compared as a whole;
     an item or text of fewer than five words is one shingle; repeated rows give a row each, as
-    does an item id with several texts; an empty table gives an empty result; other columns are
-    ignored. Words are runs of letters and digits in lower case, of any script; marks and signs
+    does an item id with several texts; a null key stays null; an empty table gives an empty
+    result; other columns are ignored. Words are runs of letters and digits in lower case, of any script; marks and signs
     part them.
     """
     items = benchmark.select(F.col(item).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null").distinct()

@@ -602,7 +602,9 @@ def near_duplicates(
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """``docs`` without all but the document of the smallest key of each group of near-duplicates.
 
-    Rows with a null key stay; of rows repeated under the key that stays, one is kept.
+    Null texts, empty ones and those without a word are one group. Rows with a null key stay; of
+    rows repeated under the key that stays, one is kept; an empty table gives an empty result; all
+    columns are kept, whatever their names.
     """
     groups = checkpointed(near_duplicates(docs, text=text, key=key, **options))
     gone = groups.groupBy(key).agg(F.min("group_id").alias("g"), F.count("*").alias("n"))

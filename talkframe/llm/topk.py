@@ -31,6 +31,8 @@ LEAF = 16
 SCORED = (512, 2048)
 #: Rows of a block of data and of queries, about; of the sample for the first floors; and cells at most.
 DATA_BLOCK, QUERY_BLOCK, SAMPLE, CELLS = 16384, 4096, 2048, 1024
+#: The sample is no more than one in so many rows.
+SHARE = 16
 
 
 def _distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -229,7 +231,8 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, data_block: int = DAT
     """query_id, rank, vec_id and score of each query's k highest inner products.
 
     Both sides have vec_id and vector, a non-null array of doubles with whole values, all of one
-    length; products and sums stay exact below 2**53. A query does not meet the row of its own
+    length: rows of another length than that of the data's first vec_id take no part, on either
+    side; products and sums stay exact below 2**53. A query does not meet the row of its own
     vec_id. Ties go to the smaller vec_id; fewer than k candidates give fewer rows; rows
     repeated under one vec_id are one candidate if their vectors are equal, else two; an empty
     side gives an empty result; other columns are ignored. Block sizes grow no task beyond one
@@ -238,7 +241,10 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, data_block: int = DAT
     into its blocks by a hash. Centres are at most ``CELLS`` vectors of the sample.
     """
     rows = lambda df: df.select("vec_id", "vector").distinct()
-    queries, data = checkpointed(rows(queries)), checkpointed(rows(data))
+    data = checkpointed(rows(data))
+    first = data.orderBy("vec_id").limit(1).select(F.size("vector").alias("n")).first()
+    of_length = F.size("vector") == (first["n"] if first else 0)
+    queries, data = checkpointed(rows(queries).where(of_length)), data.where(of_length)
     n_q, n_d = queries.count(), data.count()
     found = "query_id long, vec_id long, score long"
     if not n_q or not n_d:
@@ -264,7 +270,8 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, data_block: int = DAT
         block = ("qc", "qb", "dc", "db")
         return q.groupBy(*block).cogroup(d.groupBy(*block)).applyInPandas(walk, found)
 
-    sample = data.where(F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(max(1, n_d))) < SAMPLE)
+    # A true sample: the floors of a small table are not found by scoring all of it.
+    sample = data.where(F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(n_d)) < min(SAMPLE, max(1, n_d // SHARE)))
     drawn = _matrix(sample.orderBy(F.xxhash64(F.lit(6), "vec_id"), "vec_id").limit(CELLS).toPandas()["vector"], 0)
     drawn = drawn if len(drawn) else _matrix(data.orderBy("vec_id").limit(1).toPandas()["vector"], 0)
     q_centres, d_centres = drawn[: -(-n_q // query_block)], drawn[: -(-n_d // data_block)]

@@ -70,9 +70,22 @@ def operators(spark, model, prototypes):
 NAMES = ("shard", "language", "fingerprints", "near", "one", "contaminated", "lines", "secrets", "redact", "pack", "toxicity", "urls")
 
 
+#: Operators that give a row for every row, and those that give one for each that has a key.
+EVERY, KEYED = ("shard", "language", "fingerprints", "lines", "secrets", "redact", "toxicity", "urls"), ("near",)
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_odd_rows(docs, operators, name):
-    assert len(operators[name](docs).collect()) >= 1
+    got = [r["doc_id"] for r in operators[name](docs).collect()]
+    order = lambda ids: sorted(ids, key=str)
+    keys = [r[0] for r in ROWS]
+    if name in EVERY:
+        assert order(got) == order(keys)
+    elif name in KEYED:
+        assert order(got) == order(k for k in keys if k is not None)
+    else:
+        assert got and set(got) <= set(keys)
+        assert name != "pack" or set(got) == set(keys)
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -153,3 +166,57 @@ def test_pipeline_on_odd_rows(spark, docs, tmp_path):
     tokenizer()
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(out.doc_id.dropna()) <= {1, 5, 7, 8} and {1, 5, 7} <= set(out.doc_id.dropna())
+
+
+STAGES = dict(corpus_pipeline.STAGES)
+
+
+@pytest.fixture(scope="module")
+def stage_dir(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("stages")
+    items = [(1, "an item that one of the documents holds as a whole from its first word to its last"), (2, None), (3, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    return str(folder)
+
+
+def crowd(spark, stage_dir, *names: str):
+    """Documents with repeated rows, ties, odd texts, one that holds an item, and columns of these names."""
+    item = spark.read.parquet(f"{stage_dir}/benchmark.parquet").where("item_id = 1").first()["text"]
+    line = "This line of six words and more recurs in many of the documents"
+    said = [f"{line}\nThe quick brown fox number {w} jumps over the lazy dog and runs away" for w in ("alpha", "beta", "gamma", "delta")]
+    rows = [(i, t, "en", "s") for i, t in enumerate(said)] + [(0, said[0], "en", "s"), (10, said[1], "en", "s"), (11, f"Some words before. {item}. And after it.", "en", "s"), *ROWS]
+    df = spark.createDataFrame(rows, DDL).withColumn("n_chars", F.length("text").cast("long"))
+    return df.withColumns({n: F.concat(F.lit("mine "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in names})
+
+
+@pytest.mark.parametrize("name", [n for n in STAGES if n != "packing"])
+def test_stages_keep_all_columns_and_say_the_same_beside_them(spark, stage_dir, name):
+    plain, crowded = crowd(spark, stage_dir), crowd(spark, stage_dir, *(c for c in dict.fromkeys(c.lower() for c in (*CLASHES, "kept_", "kept__", "into", "lead", "crowd", "sim")) if c not in ("text", "lang", "source", "doc_id")))
+    got = STAGES[name](spark, crowded, stage_dir)
+    assert got.columns == crowded.columns
+    rows = got.collect()
+    assert rows and all(r[c] == f"mine {'-' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in crowded.columns if c not in plain.columns)
+    short = lambda r: str((r["doc_id"], hash(r["text"]), r["lang"], r["n_chars"]))
+    assert sorted(map(short, rows)) == sorted(map(short, STAGES[name](spark, plain, stage_dir).collect()))
+    ids = [r["doc_id"] for r in rows]
+    if name == "lines":
+        assert len(ids) == plain.count() and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+    if name == "near_duplicates":
+        assert 10 not in ids and ids.count(0) == 1 and ids.count(None) == 1 and len(ids) == len(set(ids))
+    if name == "benchmark":
+        assert 11 not in ids and len(ids) == plain.count() - 1
+    if name == "language":
+        assert all(any(c.isalpha() for c in r["text"] or "") for r in rows) and {0, 1, 2, 3, 10, 11} <= set(ids) and not {4, 6} & set(ids)
+
+
+def test_packing_ignores_other_columns(spark, stage_dir):
+    tokenizer()
+    crowded = crowd(spark, stage_dir, "start", "length", "sequence_id", "offset", "ids", "tokens", "key", "row", "piece")
+    same = [sorted(map(str, STAGES["packing"](spark, d, stage_dir).collect())) for d in (crowded, crowd(spark, stage_dir))]
+    assert same[0] == same[1] and same[0]
+
+
+@pytest.mark.parametrize("name", list(STAGES))
+def test_stages_of_empty_tables(spark, stage_dir, name):
+    tokenizer()
+    assert STAGES[name](spark, crowd(spark, stage_dir, "kept", "_kept").limit(0), stage_dir).collect() == []
