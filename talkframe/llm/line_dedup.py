@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lean, table, tidy
+from .common import checkpointed, hinted, lean, table, tidy
 from .tokens import NUMBER, U, lower_ascii, mix, sized, word_hashes
 
 DEPTH = 3  # leading words
@@ -234,7 +234,7 @@ def _of_enough_documents(lines: DataFrame, said: DataFrame, min_docs: int) -> Da
     totals = checkpointed(totals.where(_enough(F.col("total"), F.col("size"), min_docs)))
     sure = _enough(F.col("most"), F.col("size"), min_docs)
     unsure = totals.where(~sure)
-    open_ = lines.join(unsure.select(of), of)
+    open_ = lines.join(hinted(unsure.select(of)), of)
     if min_docs > 3:
         rows = open_.select(*of, "line").join(said.select("leaf", "line", "row"), ["leaf", "line"]).select(*of, "row")
     else:  # none of these lines is in more than two documents
@@ -242,7 +242,7 @@ def _of_enough_documents(lines: DataFrame, said: DataFrame, min_docs: int) -> Da
     documents = rows.distinct().groupBy(of).count()
     proven = documents.join(unsure, of).where(_enough(F.col("count"), F.col("size"), min_docs))
     enough = checkpointed(totals.where(sure).select(*of, "first_doc").unionAll(proven.select(*of, "first_doc")))
-    return lines.select(*of, "line").join(enough, of).select("line", "first_doc")
+    return lines.select(*of, "line").join(hinted(enough), of).select("line", "first_doc")
 
 
 def _near(words: Column, leader: Column, similarity: float) -> Column:
