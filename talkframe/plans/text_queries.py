@@ -15,6 +15,7 @@ from ..operators import lexicons as lx
 from ..operators import matching as ma
 from ..operators import outline as ol
 from ..operators import relational as r
+from ..operators import search as se
 from ..operators import symbols as sy
 from .registry import query
 from .tables import table
@@ -492,6 +493,12 @@ def backtrack_rate(spark, sf):
     return left.agg(F.count("l").alias("judged"), F.count_if("l").alias("still"))
 
 
+@query("search_postings", "SELECT doc_id FROM documents WHERE contains(lower(text), 'tion th')")
+def search_postings(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return se.search_postings(docs, se.postings(docs, "doc_id"), "doc_id", "TION th").select("doc_id")
+
+
 @query("frequent_ngrams", f"""
 WITH w AS (SELECT conv_id, turn, {WORDS.format("lower(text)")} AS w FROM conversations),
 g AS (SELECT DISTINCT conv_id, turn, array_to_string(w[i:i+2], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM w))

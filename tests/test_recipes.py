@@ -81,3 +81,23 @@ def test_requests_a_minute(spark, tmp_path):
     q.awaitTermination(90)
     got = {(r["user_id"], (r["start"] - dt.datetime(2024, 5, 1, 10)).total_seconds()): r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("a", 0): 2, ("a", 60): 1, ("b", 0): 1, (None, 0): 1}  # the last minute is still open
+
+
+def test_limits_hold_over_restarts_late_and_repeated_rows(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 5, 1, 10) + dt.timedelta(seconds=s)
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    schema = "request_id long, user_id string, ts timestamp"
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        read = st.read(spark, source, spark.read.parquet(source).schema)
+        st.write_available(st.limited(read, 2), out, check).awaitTermination(120)
+        return {r["request_id"]: r["allowed"] for r in spark.read.parquet(out).collect()}
+
+    assert run([(1, "a", at(1)), (2, "a", at(50)), (2, "a", at(50)), (3, "b", at(5)), (4, "a", at(61))]) == {1: True, 2: True, 3: True, 4: True}
+    # A new run: a third request of the first minute, one that was there before, a second user's.
+    assert run([(5, "a", at(30)), (1, "a", at(1)), (6, "b", at(6)), (7, None, at(6))]) == {1: True, 2: True, 3: True, 4: True, 5: False, 6: True, 7: True}
+    run([(8, "a", at(4000))])
+    got = run([(9, "a", at(40)), (10, "a", at(3990)), (11, "a", at(4001))])  # the first is too late
+    assert got == {1: True, 2: True, 3: True, 4: True, 5: False, 6: True, 7: True, 8: True, 10: True, 11: False}
+    assert spark.read.parquet(out).count() == 10

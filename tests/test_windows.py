@@ -1,4 +1,4 @@
-"""Users of every seven days, and phrases that texts end with, against plain counting."""
+"""Users of every seven days, phrases that texts end with, and search by postings, against plain counting."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import random
 from pyspark.sql import functions as F
 
 from talkframe.operators import relational as r
+from talkframe.operators import search as se
 
 
 def test_users_of_every_window(spark):
@@ -36,3 +37,20 @@ def test_phrases_that_texts_end_with(spark):
     found = {(x["t"], x["phrase"]): (x["n"], round(x["share"], 4)) for x in got.collect()}
     assert found["a", "for watching"] == (40, 0.2) and found["a", "here thank you for watching"] == (40, 0.2) and found["a", "quite another one"] == (160, 0.8)
     assert found["b", "thank you"] == (2, 0.5) and not any("text" in p or p.count(" ") > 4 for _, p in found)
+
+
+def test_search_by_postings_opens_few_files_and_finds_all(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choices("abcde İé\U0001f600%_", k=rng.randint(0, 60)))) for i in range(300)] + [(900, None), (901, ""), (None, "abcabc"), (902, "ab"), (5, "again under one key: abc")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    path = str(tmp_path / "postings")
+    se.write_postings(df, path, "id")
+    posted = spark.read.parquet(path)
+    for query in ("abc", "AB", "a", "e\U0001f600b", "abcd", "%_", "é a", "no such text", ""):
+        want = sorted(str(tuple(r)) for r in r.search(df.where("id IS NOT NULL"), F.col("text"), query).collect())
+        assert sorted(str(tuple(r)) for r in se.search_postings(df, posted, "id", query).collect()) == want
+    plan = se.search_postings(df, posted, "id", "abcd")
+    assert "PartitionFilters: [part#" in plan._jdf.queryExecution().executedPlan().toString()
+    files = posted.select(F.input_file_name().alias("f")).distinct().count()
+    opened = posted.where(F.col("part").isin(*(x[0] for x in spark.createDataFrame([("abc",), ("bcd",)], "g string").select(se.part_of(F.col("g"))).collect()))).select(F.input_file_name()).distinct().count()
+    assert opened * 20 < files
