@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import datasets as ds
 from .registry import query
-from .tables import table
+from .tables import spread, table
 
 
 def pairs(spark, sf):
@@ -121,18 +121,18 @@ VARIANTS = {"the": ("da", "zo"), "of": ("ov",)}
 
 @query("corrupt_persona")
 def corrupt_persona(spark, sf):
-    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text", F.element_at(F.array(*map(F.lit, ds.STYLES)), (F.col("item_id") % 4 + 1).cast("int")).alias("persona"))
+    rows = spread(table(spark, sf, "benchmark")).select(F.col("item_id").alias("id"), "text", F.element_at(F.array(*map(F.lit, ds.STYLES)), (F.col("item_id") % 4 + 1).cast("int")).alias("persona"))
     return ds.persona_variants(rows, VARIANTS, 42)
 
 
 @query("corrupt_difficulty")
 def corrupt_difficulty(spark, sf):
-    return ds.spoilt_pairs(table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"), 42)
+    return ds.spoilt_pairs(spread(table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")), 42)
 
 
 @query("corrupt_round")
 def corrupt_round(spark, sf):
-    return ds.spoilt_round(table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"), 5, "low", 42)
+    return ds.spoilt_round(spread(table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")), 5, "low", 42)
 
 
 @query("template_pairs", """

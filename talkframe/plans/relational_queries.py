@@ -6,11 +6,15 @@ type is the scope), documents and labels for sentences and recordings.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import maintenance as m
 from ..operators import relational as r
+from ..operators import snapshots as sn
 from ..operators import symbols as sy
+from ..session import shared_folder
 from .registry import query
 from .tables import table
 
@@ -239,6 +243,16 @@ def update_role(spark, sf):
     return m.update(table(spark, sf, "customer"), F.col("c_nationkey") == 3, c_mktsegment=F.lit("admin")).select("c_custkey", "c_mktsegment")
 
 
+@query("erasure_marks", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE user_id % 10 <> 7 GROUP BY event_type")
+def erasure_marks(spark, sf):
+    """A tenth of the users erased by their keys alone: the events' files stay as they are, and readers leave the rows out."""
+    root = f"{shared_folder(spark)}/erasure-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    sn.change(spark, root, {"events": events})
+    sn.change(spark, root, erase={"events": events.where("user_id % 10 = 7").select("user_id").distinct()})
+    return sn.read(spark, root, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+
+
 @query("erasure_counts", """
 SELECT count(*) FILTER (event_type = 'view') AS transcriptions, count(*) FILTER (event_type = 'click') AS user_dictionary,
        count(*) FILTER (event_type = 'purchase') AS snippets, count(*) FILTER (event_type = 'error') AS correction_feedback

@@ -18,7 +18,7 @@ from ..operators import relational as r
 from ..operators import search as se
 from ..operators import symbols as sy
 from .registry import query
-from .tables import table
+from .tables import spread, table
 
 #: An ASCII lexicon whose triggers do not touch one another, and whose replacements hold none.
 LEXICON = (("that", "QUELLE"), ("was on", "WASON"), ("with", "a.i. $1"))
@@ -35,7 +35,7 @@ def _replaced(text: str) -> str:
 
 @query("dict_apply", f"SELECT doc_id, md5({_replaced('text')}) AS digest FROM documents")
 def dict_apply(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(d.apply_dictionary(F.col("text"), list(LEXICON))).alias("digest"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.md5(d.apply_dictionary(F.col("text"), list(LEXICON))).alias("digest"))
 
 
 #: As many entries as a large bundle has.
@@ -46,7 +46,7 @@ ENTRIES = 70_000
 def dict_apply_large(spark, sf):
     entries = [(f"term{i}", f"Term {i}") for i in range(ENTRIES)]
     said = F.concat(F.lit("a line of term"), (F.col("l_orderkey") % ENTRIES).cast("string"), F.lit(" is here"))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", d.apply_dictionary(said, entries).alias("text"))
+    return spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")).select("l_orderkey", "l_linenumber", d.apply_dictionary(said, entries).alias("text"))
 
 
 @query("dict_apply_catalyst", f"SELECT conv_id, turn, {_replaced('text')} AS text FROM conversations")
@@ -112,7 +112,7 @@ NO_I = "translate(text, 'iIıİ', 'yyyy')"
 @query("filler_clean", f"SELECT conv_id, turn, {_tidied(f"{NO_I} || ', byr , bir şey'")} AS text FROM conversations")
 def filler_clean(spark, sf):
     said = F.concat(F.lit("Yani, "), F.translate("text", "iIıİ", "yyyy"), F.lit(", byr şey, hani yani bir şey yani"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", c.clean_fillers(said).alias("text"))
+    return spread(table(spark, sf, "conversations")).select("conv_id", "turn", c.clean_fillers(said).alias("text"))
 
 
 def _loop(n: int) -> str:
@@ -123,7 +123,7 @@ def _loop(n: int) -> str:
 WITH s AS (SELECT doc_id, text, {WORDS.format("text")} AS w FROM documents), k AS (SELECT *, coalesce(nullif({_loop(1)}, 0), nullif({_loop(2)}, 0), nullif({_loop(3)}, 0)) AS first FROM s)
 SELECT doc_id, CASE WHEN len(w) >= 6 AND first IS NOT NULL THEN array_to_string(w[1:first - 1], ' ') ELSE text END AS text FROM k""")
 def loop_strip(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", c.strip_loops(F.col("text")).alias("text"))
+    return spread(table(spark, sf, "documents")).select("doc_id", c.strip_loops(F.col("text")).alias("text"))
 
 
 PHRASES = ("all rights reserved", "released under the mit license", "licensed under cc by-nc 4.0", "version 2.0")
@@ -132,7 +132,7 @@ ENDS = " ".join(f"WHEN ends_with(f, '{p}') THEN rtrim(substr(text, 1, length(f)
 
 @query("phrase_strip", f"SELECT doc_id, md5(CASE {ENDS} ELSE text END) AS digest FROM (SELECT doc_id, text, rtrim(lower(text), ' .') AS f FROM documents)")
 def phrase_strip(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(c.strip_phantom_phrase(F.col("text"), PHRASES)).alias("digest"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.md5(c.strip_phantom_phrase(F.col("text"), PHRASES)).alias("digest"))
 
 
 @query("segment_plan", """
@@ -240,7 +240,7 @@ def full_chain(spark, sf):
 WITH r AS (SELECT * REPLACE ({NO_I} AS text), {_replaced(NO_I)} AS t FROM conversations), k AS (SELECT *, CASE WHEN turn % 4 = 0 OR trim(t) = '' THEN t ELSE {_tidied("t")} END AS u FROM r)
 SELECT conv_id, turn, u AS text, u <> text AS was_corrected FROM k""")
 def clean_chain(spark, sf):
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.translate("text", "iIıİ", "yyyy").alias("text"), F.when(F.col("turn") % 4 == 0, "engineering").otherwise("general").alias("mode"), F.col("conv_id").alias("user_id"))
+    rows = spread(table(spark, sf, "conversations")).select("conv_id", "turn", F.translate("text", "iIıİ", "yyyy").alias("text"), F.when(F.col("turn") % 4 == 0, "engineering").otherwise("general").alias("mode"), F.col("conv_id").alias("user_id"))
     entries = spark.createDataFrame([(t, r, i) for i, (t, r) in enumerate(LEXICON)], "trigger string, replacement string, ord int")
     return c.clean(rows, entries).select("conv_id", "turn", "text", "was_corrected")
 
@@ -375,7 +375,7 @@ def code_files(spark, sf):
     host = F.initcap(F.regexp_extract("url", r"([a-z]+)\.[a-z]+\.", 1))
     body = F.concat(F.lit("import os\nfrom app.core import x\nimport numpy.linalg\n\nclass "), host, F.lit("Service(Base):\n    def run(self, n: int) -> str:\n        return str(n)\n\nasync def go():\n    pass\n"))
     path = F.concat(F.lit("src/m"), (F.col("page_id") % 5).cast("string"), F.lit("/f"), F.col("page_id").cast("string"), F.lit(".py"))
-    return table(spark, sf, "pages").select(path.alias("path"), body.alias("text"))
+    return spread(table(spark, sf, "pages").select(path.alias("path"), body.alias("text")))
 
 
 @query("symbol_declarations", r"""
@@ -478,7 +478,7 @@ def edit_counts(spark, sf):
     """Whole documents against copies without capitals and marks, which stand in no copy, and back."""
     text = F.col("text")
     copy = F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[.,!?;:]", "")
-    rows = table(spark, sf, "documents").select("doc_id", counted_edits(text, copy).alias("e"), counted_edits(copy, text).alias("b"))
+    rows = spread(table(spark, sf, "documents")).select("doc_id", counted_edits(text, copy).alias("e"), counted_edits(copy, text).alias("b"))
     return rows.select("doc_id", "e.*", *(F.col(f"b.{k}").alias(f"back_{k}") for k in ("substitutions", "insertions", "deletions")))
 
 
@@ -495,7 +495,7 @@ def backtrack_rate(spark, sf):
 
 @query("search_postings", "SELECT doc_id FROM documents WHERE contains(lower(text), 'tion th')")
 def search_postings(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return se.search_postings(docs, se.postings(docs, "doc_id"), "doc_id", "TION th").select("doc_id")
 
 

@@ -26,13 +26,19 @@ def session(name: str = "talkframe", master: str | None = None, **settings: str)
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which ``spark.checkpoint.dir`` names; where that is unset, on one machine, a temporary one."""
+    if named := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="talkframe-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut through the shared folder that ``spark.checkpoint.dir`` names; where that is unset, on one machine, a temporary one."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """``df`` with its lineage cut through the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="talkframe-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
