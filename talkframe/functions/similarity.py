@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Sequence
+from functools import lru_cache
 from itertools import combinations
 
 import pandas as pd
@@ -62,11 +63,19 @@ def least_common(a: int, b: int, jaro_: float) -> int:
 #: Letters from common to rare; all other characters count as rarer still.
 COMMON_FIRST = "etaoinsrhldcumfpgwybvkxjqz"
 _RANKS = {c: -i for i, c in enumerate(COMMON_FIRST)}
-#: How many rare characters two words must share besides a prefix of 0, 1 or 2 characters; a longer prefix is enough.
-SHARED_BESIDES = (3, 3, 2)
+#: How many rare characters two words must share besides a prefix of 0, 1 or 2 characters; a longer prefix is enough. More make
+#: fewer pairs of more keys. It is for so many words on the other side, or less.
+SHARED_BESIDES = {1000: (1, 1, 1), 100_000: (2, 2, 1), math.inf: (3, 3, 2)}
 
 
-def similarity_keys(word: str, lengths: Iterable[int], least: float, first: bool) -> set[str]:
+@lru_cache(100_000)
+def _partners(a: int, prefix: int, least: float, lengths: tuple[int, ...]) -> list[tuple[int, int]]:
+    """The lengths of words that may be similar to one of length a with such a prefix in common, and how many characters they share."""
+    needed = ((b, least_common(a, b, least_jaro(least, prefix))) for b in lengths if b >= max(1, prefix))
+    return [(b, common) for b, common in needed if common <= min(a, b)]
+
+
+def similarity_keys(word: str, lengths: tuple[int, ...], least: float, first: bool, besides: Sequence[int] = SHARED_BESIDES[math.inf]) -> set[str]:
     """Keys of which two words share one if their Jaro-Winkler similarity is ``least`` or more.
 
     ``lengths`` are those of the words on the other side, and ``first`` tells the sides apart. Words with a common prefix of p characters
@@ -76,23 +85,22 @@ def similarity_keys(word: str, lengths: Iterable[int], least: float, first: bool
     out, a = set(), len(word)
     if not a:
         return out
-    out.update(f"{p}:{word[:p]}" for p in (len(SHARED_BESIDES), len(SHARED_BESIDES) + 1) if p <= a)
-    for p, most in enumerate(SHARED_BESIDES):
-        if p > a:
-            break
+    out.update(f"{p}:{word[:p]}" for p in (len(besides), len(besides) + 1) if p <= a)
+    for p, most in enumerate(besides):
+        needed = _partners(a, p, least, lengths) if p <= a else ()
+        if not needed:
+            continue
         seen: dict[str, int] = {}
         marks = []
         for c in word[p:]:
-            seen[c] = seen.get(c, 0) + 1
-            marks.append((_RANKS.get(c, 1), c, seen[c]))
+            seen[c] = n = seen.get(c, 0) + 1
+            marks.append((_RANKS.get(c, 1), c, n))
         marks.sort(reverse=True)
-        for b in lengths:
-            common = least_common(a, b, least_jaro(least, p)) if b else 0
-            if not p <= b or common > min(a, b) or not b:
-                continue
+        said = [f"{c}{n}" for _, c, n in marks]
+        for b, common in needed:
             k = min(most, max(0, common - p))
-            at = f"{p}:{a}:{b}:{word[:p]}" if first else f"{p}:{b}:{a}:{word[:p]}"
-            out.update(at + ":" + ",".join(f"{c}{n}" for _, c, n in some) for some in combinations(marks[: a - common + k], k))
+            at = f"{p}:{a}:{b}:{word[:p]}:" if first else f"{p}:{b}:{a}:{word[:p]}:"
+            out.update(at + ",".join(some) for some in combinations(said[: a - common + k], k))
     return out
 
 

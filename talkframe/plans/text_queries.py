@@ -63,7 +63,7 @@ WITH f AS (SELECT conv_id, min_by(lower(regexp_extract(text, '[a-zA-Z]{{3,}}')),
 SELECT conv_id, turn, CASE WHEN w <> '' THEN {_spelt(_spelt("text"))} ELSE text END AS text FROM conversations LEFT JOIN f USING (conv_id)""")
 def dict_by_user(spark, sf):
     """Every conversation has an entry of its own, the first word said in it, beside one that is everyone's."""
-    rows = table(spark, sf, "conversations")
+    rows = spread(table(spark, sf, "conversations"))
     entries = rows.groupBy("conv_id").agg(F.min_by(F.lower(F.regexp_extract("text", "[a-zA-Z]{3,}", 0)), "turn").alias("trigger")).withColumn("replacement", F.concat(F.lit("<"), F.col("conv_id").cast("string"), F.lit(">")))
     shared = entries.select(F.lit(None).cast("long").alias("conv_id"), F.lit("no such words").alias("trigger"), F.lit("?").alias("replacement")).limit(1)
     return lx.apply_by_user(rows, entries.unionByName(shared), user="conv_id").select("conv_id", "turn", "text")
@@ -340,14 +340,14 @@ def symbol_inject(spark, sf):
     # A folder that no word of the invented texts is like, so that SQL can say what is found.
     folders = spark.createDataFrame([("wqxzkv", "lib/wqxzkv/")], "name string, path string")
     said = F.concat(F.lit("PasteService and the recording service in OutService wqxzk internationally "), "text")
-    return ma.inject_symbols(table(spark, sf, "conversations").select("conv_id", "turn", said.alias("text")), symbols, folders)
+    return ma.inject_symbols(spread(table(spark, sf, "conversations").select("conv_id", "turn", said.alias("text"))), symbols, folders)
 
 
 @query("symbols_by_user", r"""
 SELECT conv_id, turn, trim(regexp_replace(trim(text), '\s+', ' ', 'g') || ' @src/u' || conv_id || '.py:' || conv_id % 50 || ' Zqxjkwv') AS text FROM conversations""")
 def symbols_by_user(spark, sf):
     """Every conversation has a symbol of the same name, in a file of its own; no word of the invented texts is like it."""
-    rows = table(spark, sf, "conversations")
+    rows = spread(table(spark, sf, "conversations"))
     path = F.concat(F.lit("src/u"), F.col("conv_id").cast("string"), F.lit(".py"))
     symbols = rows.select("conv_id").distinct().select("conv_id", F.col("conv_id").alias("id"), F.lit("Zqxjkwv").alias("symbol_name"), F.lit("class").alias("symbol_type"), path.alias("file_path"), (F.col("conv_id") % 50).cast("int").alias("line_number"))
     said = rows.select("conv_id", "turn", F.concat("text", F.lit(" Zqxjkwv")).alias("text"))
