@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import random
+import time
+
+from talkframe.functions import edits
+
 
 def test_op1_follows_its_contract(spark, tmp_path):
     from talkframe.llm.url_filter import op1_url_filter
@@ -10,3 +15,26 @@ def test_op1_follows_its_contract(spark, tmp_path):
     spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in op1_url_filter(spark, str(tmp_path)).collect()}
     assert got == {0: ("example.org/en/1", "block"), 1: ("org/", "allow"), 2: ("example.org/es/", "block"), 3: ("com/fr/", "allow"), 4: ("com/de/", "block")}
+
+
+def test_certain_edits_are_the_searched_ones(monkeypatch):
+    rng = random.Random(3)
+    for _ in range(400):
+        a = "".join(rng.choices("abAB,", k=rng.randrange(30)))
+        b = "".join(x.lower() for x in a if x != "," or rng.random() < 0.1)
+        b = b if rng.random() < 0.7 else b[: len(b) // 2] + rng.choice("abA") + b[len(b) // 2 :]
+        for x, y in ((a, b), (b, a)):
+            certain = edits._certain_counts(x, y)
+            with monkeypatch.context() as m:
+                m.setattr(edits, "_certain_counts", lambda *_: None)
+                assert certain in (None, edits.edit_counts(x, y))
+
+
+def test_edits_of_a_long_text_take_no_search():
+    rng = random.Random(4)
+    a = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz     ABC.,", k=300_000))
+    b = a.translate(str.maketrans("ABC", "abc", ".,"))
+    start = time.time()
+    capitals, marks = sum(a.count(x) for x in "ABC"), sum(a.count(x) for x in ".,")
+    assert edits.edit_counts(a, b) == (capitals, 0, marks) and edits.edit_counts(b, a) == (capitals, marks, 0)
+    assert time.time() - start < 20
