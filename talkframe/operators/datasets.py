@@ -535,10 +535,6 @@ def recognition_pairs(rows: DataFrame, heard: str = "heard", truth: str = "truth
     return changed(rows.select(F.col(heard).alias("input"), clean_truth(F.col(truth)).alias("output")), "folded")
 
 
-#: Characters by which lines and stems are looked up: a line that holds a stem holds its first so many.
-GRAM = 8
-
-
 def pair_by_stem(audio: DataFrame, transcripts: DataFrame, metadata: DataFrame) -> DataFrame:
     """Audio files (path, stem) with a text: a transcript of the same stem, else a line of metadata that holds it.
 
@@ -547,17 +543,17 @@ def pair_by_stem(audio: DataFrame, transcripts: DataFrame, metadata: DataFrame)
     stands anywhere in its name; the last file that has one decides, in it the first line. If
     both have a column folder, only lines of the file's own folder count. Blank texts are null.
 
-    The join is on equal keys, the first ``GRAM`` characters of a stem and all such runs of a
-    name (shorter stems as a whole), and what is found is compared after it.
+    The join is on equal keys: the stems, and all runs of a name that are as long as some stem.
+    Stems of equal beginnings, as numbered files have them, so never meet one another's lines.
     """
     own = ["folder"] if "folder" in audio.columns and "folder" in metadata.columns else []
-    stems = audio.select("stem", *own).where("stem <> ''").distinct().withColumn("_gram", F.substring("stem", 1, GRAM))
+    stems = audio.select("stem", *own).where("stem <> ''").distinct()
+    lengths = stems.agg(F.collect_set(F.length("stem")).alias("_lengths"))  # one row
     named = metadata.where(F.col("line").rlike(r"[\t,|]")).select("file", "line_no", *own, F.regexp_extract("line", r"^([^\t,|]*)[\t,|]", 1).alias("_name"), F.regexp_extract("line", r"(?s)^[^\t,|]*[\t,|](.*)$", 1).alias("_said"))
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length("_name") - n + 1), lambda i: F.substring(F.col("_name"), i, F.lit(n)))
-    every = F.concat(*(F.when(F.length("_name") >= n, grams(n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1)))
-    pieces = named.select("*", F.explode(F.array_distinct(every)).alias("_gram"))
-    hits = stems.join(pieces, ["_gram", *own]).where(F.contains("_name", "stem"))
-    best = hits.groupBy("stem", *own).agg(F.max_by("_said", F.struct("file", -F.col("line_no"))).alias("_line"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length("_name") - n + 1), lambda i: F.substring(F.col("_name"), i, n))
+    every = F.flatten(F.transform(F.filter("_lengths", lambda n: n <= F.length("_name")), runs))
+    pieces = named.join(F.broadcast(lengths)).select("file", "line_no", *own, "_said", F.explode(F.array_distinct(every)).alias("stem"))
+    best = stems.join(pieces, ["stem", *own]).groupBy("stem", *own).agg(F.max_by("_said", F.struct("file", -F.col("line_no"))).alias("_line"))
     direct = transcripts.select("stem", *(c for c in own if c in transcripts.columns), F.col("text").alias("_text"))
     joined = audio.join(direct, [c for c in ("stem", *own) if c in direct.columns], "left").join(best, ["stem", *own], "left")
     return joined.withColumn("text", F.nullif(F.trim(F.coalesce("_text", "_line")), F.lit(""))).drop("_text", "_line")

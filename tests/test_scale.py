@@ -5,7 +5,10 @@ from __future__ import annotations
 import random
 import time
 
+from pyspark.sql import functions as F
+
 from talkframe.functions import edits
+from talkframe.operators import datasets as ds
 
 
 def test_op1_follows_its_contract(spark, tmp_path):
@@ -38,3 +41,13 @@ def test_edits_of_a_long_text_take_no_search():
     capitals, marks = sum(a.count(x) for x in "ABC"), sum(a.count(x) for x in ".,")
     assert edits.edit_counts(a, b) == (capitals, 0, marks) and edits.edit_counts(b, a) == (capitals, marks, 0)
     assert time.time() - start < 20
+
+
+def test_stems_of_equal_beginnings_do_not_meet(spark):
+    n = 20_000
+    audio = spark.range(n).select(F.format_string("Customer#%09d", "id").alias("stem"), F.lit("p").alias("path"))
+    lines = spark.range(n).select(F.lit("a.csv").alias("file"), F.col("id").alias("line_no"), F.concat(F.lit("x y."), F.format_string("Customer#%09d", "id"), F.lit(".wav|line "), F.col("id").cast("string")).alias("line"))
+    start = time.time()
+    got = ds.pair_by_stem(audio, spark.createDataFrame([], "stem string, text string"), lines)
+    assert got.where(F.col("text") == F.concat(F.lit("line "), F.regexp_extract("stem", "#0*([0-9]+)", 1).cast("long").cast("string"))).count() == n
+    assert time.time() - start < 30
