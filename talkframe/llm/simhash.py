@@ -8,8 +8,9 @@ that meet under a key composed of two segments' keys are compared and verified.
 segments one is then free of errors, and another has two at most, so the pair meets under one
 segment as it is with a codeword of another.
 
-``near_duplicates`` links documents by the exact similarity of their word shingles. Its
-candidates are complete: shingles have one order for all texts, common ones last, and two texts
+``near_duplicates`` links documents by the exact similarity of their word shingles. Documents
+whose fingerprints link in the same way are candidates, and a prefix filter adds those that are
+further apart in bits, so that candidates are complete: shingles have one order for all texts, common ones last, and two texts
 that are similar enough share one among the first few of each (a prefix filter).
 """
 
@@ -201,6 +202,8 @@ def fingerprint_components(docs: DataFrame, size: int = 3, radius: int = 2, text
 
 #: Of one text in SAMPLED the shingles are counted; those of SEEN texts or more are common, MOST_COMMON of them at most.
 SAMPLED, SEEN, MOST_COMMON = 32, 4, 1_000_000
+#: Bits of a text's marks, at most.
+MOST_MARKS = 1 << 16
 #: Texts of a part of a crowd, about; a task compares two parts. And texts that all of a large crowd are compared with first.
 PART, HUBS = 512, 3
 
@@ -269,13 +272,65 @@ def _common(source: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return found[order], (len(found) - order).astype(np.int64)
 
 
-def _prefixes(texts: list[str], size: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
-    """For each text the number of its distinct shingles, and the first of them in the common order.
+def _set_fingerprint(shingles: np.ndarray) -> int:
+    """The SimHash, as a signed number, of a set of hashes: a bit is one if more than half of them have it."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(shingles), 1 << 16):
+        bits = shingles[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(shingles), bitorder="little").view("<i8")[0])
+
+
+def _marks(shingles: np.ndarray) -> bytes:
+    """A bit for each remainder of the hashes, one if an odd number of them has it; two bits a hash or more, up to ``MOST_MARKS``."""
+    bits = min(MOST_MARKS, max(64, 1 << (2 * len(shingles)).bit_length()))
+    odd = np.bincount((shingles & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _least_apart(x: bytes, y: bytes) -> int:
+    """How many shingles only one of two texts has, at least, by their marks: each such shingle turns one bit. Longer marks are folded."""
+    a, b = sorted((x, y), key=len)
+    low, high, bits = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(b)
+    while bits > 8 * len(a):
+        bits //= 2
+        high = (high & ((1 << bits) - 1)) ^ (high >> bits)
+    return (low ^ high).bit_count()
+
+
+def _may_be_similar(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) but for those that the marks (node, n, marks) rule out: no similar pair is lost.
+
+    Two sets of n and m shingles that are similar enough differ in (1 - s) / (1 + s) of n + m at most.
+    """
+    share = (1 - similarity + 1e-9) / (1 + similarity - 1e-9)
+
+    @F.pandas_udf("boolean")
+    def near(n: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_least_apart(a, b) <= share * k + 1e-6 for k, a, b in zip(n, x, y)], dtype=bool)
+
+    a, b = (marks.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("marks").alias(f"m_{c}")) for c in "ab")
+    return pairs.join(b, "b").join(a, "a").where(near(F.col("n_a") + F.col("n_b"), F.col("m_a"), F.col("m_b"))).select("a", "b")
+
+
+def _fingerprint_candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs a < b of nodes that join all those whose fingerprints (fp) are reached over links of two bits or fewer."""
+    firsts = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    links = checkpointed(fingerprint_links(firsts))
+    ends = (firsts.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
+    for c, end in zip("ab", ends):
+        links = links.join(end, c)
+    near = links.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    same = nodes.join(hinted(firsts), "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return near.unionAll(same).where("a <> b").distinct()
+
+
+def _prefixes(sets: list[np.ndarray], similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
+    """For each set the number of its distinct shingles, and the first of them in the common order.
 
     Texts of n shingles that are similar enough share ceil(similarity * n) at least, so one of
     them is among the n - ceil(similarity * n) + 1 first ones.
     """
-    sets = _shingle_sets(texts, size)
     n = np.array([len(x) for x in sets], np.int64)
     every = np.concatenate(sets)
     rank = np.zeros(len(every), np.int64)
@@ -555,6 +610,10 @@ def near_duplicates(
     Either way every candidate pair is verified, and a large group of near copies makes no
     more rows than it has texts and parts.
 
+    Candidates are first those whose 64-bit fingerprints link at two or fewer bits, found by Golay
+    keys, then those of a prefix filter, which are further apart. Pairs that are compared one by
+    one are first told apart by short marks, so that few texts are sent.
+
     Candidates are complete and verification is exact, so all pairs of ``similarity`` or more
     are joined, in crowds of either kind, and no others. Null and empty
     texts have no words and are one group. Rows repeated under one key share a group through
@@ -566,19 +625,22 @@ def near_duplicates(
         for b in batches:
             texts = b.column(1).to_pylist()
             for at, to in sized(texts):
-                n, first = _prefixes(texts[at:to], size, similarity, known)
+                sets = _shingle_sets(texts[at:to], size)
+                n, first = _prefixes(sets, similarity, known)
                 columns = [*map(pa.array, _classify(texts[at:to])), pa.array(n.astype(np.int32)), pa.array(first, pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), *columns], [key, "h", "g", "n", "first"])
+                columns += [pa.array([_set_fingerprint(x) for x in sets], pa.int64()), pa.array([_marks(x) for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), *columns], [key, "h", "g", "n", "first", "fp", "marks"])
 
     kind = dict(docs.dtypes)[key]
     source = lean(docs).where(F.col(key).isNotNull()).select(key, text_or_empty(text).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(_common(source, size))
-    classes = checkpointed(source.mapInArrow(tidy(classify), f"`{key}` {kind}, h long, g long, n int, first binary"))
-    nodes = checkpointed(classes.groupBy("h", "g").agg(F.min(key).alias("rep")).withColumn("node", F.monotonically_increasing_id()))
+    classes = checkpointed(source.mapInArrow(tidy(classify), f"`{key}` {kind}, h long, g long, n int, first binary, fp long, marks binary"))
+    nodes = checkpointed(classes.groupBy("h", "g").agg(F.min(key).alias("rep"), F.min("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()))
     own = hinted(nodes.select(F.col("rep").alias(key), "h", "g", "node"))
-    shingles = classes.join(own, [key, "h", "g"]).select("node", "n", "first")
+    shingles = classes.join(own, [key, "h", "g"]).select("node", "n", "first", "marks")
 
-    met = checkpointed(_candidates(shingles, most, similarity))
+    linked_bits = checkpointed(_fingerprint_candidates(nodes.select("node", "fp")))
+    met = checkpointed(_candidates(shingles, most, similarity).unionAll(linked_bits.select("a", "b", F.lit(1).cast("long"), F.lit(False))))
     crowds = checkpointed(components(met.select("a", "b"))).withColumnRenamed("root", "crowd")
     weight = met.join(crowds, F.col("b") == F.col("node")).groupBy("crowd").agg(F.sum("pairs").alias("m"), F.max("crowded").alias("full"))
     sizes = crowds.groupBy("crowd").agg(F.count("*").alias("k")).join(weight, "crowd")
@@ -587,8 +649,12 @@ def near_duplicates(
     dense, sparse = (crowds.join(sizes.where(F.col("dense") == x).select("crowd"), "crowd") for x in (True, False))
     links = checkpointed(_blocks(checkpointed(dense.select("crowd", "node")), nodes, docs, size, similarity, text, key))
     if not sizes.where("not dense").isEmpty():
-        alone = shingles.join(hinted(checkpointed(sparse.select("node"))), "node", "left_semi")
-        pairs = checkpointed(_candidates(alone, most, similarity, all_pairs=True).select("a", "b"))
+        apart = hinted(checkpointed(sparse.select("node")))
+        alone = shingles.join(apart, "node", "left_semi")
+        pairs = _candidates(alone, most, similarity, all_pairs=True).select("a", "b")
+        pairs = checkpointed(pairs.unionAll(linked_bits.join(apart.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")).distinct())
+        marks = checkpointed(alone.select("node", "n", "marks").dropDuplicates(["node"]))
+        pairs = checkpointed(_may_be_similar(pairs, marks, similarity))
         links = links.unionAll(checkpointed(_pair_links(pairs, nodes, docs, size, similarity, text, key)))
     roots = components(links)
     linked = checkpointed(nodes.join(roots, "node"))
