@@ -412,6 +412,7 @@ def app_tone(app: Column) -> Column:
 def clean(
     df: DataFrame, dictionary: DataFrame | None = None, snippets: DataFrame | None = None, text: str = "text", mode: str = "mode", user: str = "user_id",
     symbols: DataFrame | None = None, folders: DataFrame | None = None, corrected: str | None = None, enabled: Column | None = None,
+    recognised: bool = False,
 ) -> DataFrame:
     """The chain as a whole: loops, phantom phrases, dictionary, snippets, fillers, symbols, and a correction's guards.
 
@@ -419,6 +420,8 @@ def clean(
     ``it_dataset`` nothing is done after recognition; without a user there is no dictionary and
     there are no snippets and symbols; in mode ``engineering`` fillers stay.
 
+    Texts that are ``recognised`` have come through recognition, whose own steps (loops and phantom phrases) are then not done again.
+
     Where a lexicon has the column ``user``, a row is given its own user's entries, and those without an owner; otherwise the
     lexicon is everyone's. A dictionary of users, and symbols, are for batches alone.
 
@@ -434,7 +437,7 @@ def clean(
     raw = F.col(text)
     plain = F.coalesce(F.col(mode) == "it_dataset", F.lit(False))
     engineering = F.coalesce(F.col(mode) == "engineering", F.lit(False))
-    out = df.withColumn("raw_text", raw).withColumn(text, strip_phantom_phrase(strip_loops(raw)))
+    out = df.withColumn("raw_text", raw).withColumn(text, raw if recognised else strip_phantom_phrase(strip_loops(raw)))
     named = F.col(user).isNotNull() & ~plain
     if dictionary is not None and user in dictionary.columns:
         out = apply_by_user(out.withColumn("_named", F.when(named, F.col(text))), dictionary, "_named", user).withColumn(text, F.coalesce("_named", F.col(text))).drop("_named")

@@ -51,3 +51,12 @@ def test_stems_of_equal_beginnings_do_not_meet(spark):
     got = ds.pair_by_stem(audio, spark.createDataFrame([], "stem string, text string"), lines)
     assert got.where(F.col("text") == F.concat(F.lit("line "), F.regexp_extract("stem", "#0*([0-9]+)", 1).cast("long").cast("string"))).count() == n
     assert time.time() - start < 30
+
+
+def test_clean_chain_leaves_recognised_loops(spark, tmp_path):
+    from talkframe.plans import QUERIES
+
+    said = "Ab cd. of of of of of\nand more"
+    spark.createDataFrame([(1, 1, "user", said)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    row = QUERIES["clean_chain"](spark, str(tmp_path)).first()
+    assert (row["text"], row["was_corrected"]) == (said, False)
