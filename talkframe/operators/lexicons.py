@@ -13,6 +13,8 @@ often Spark works it out again.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import md5
@@ -28,6 +30,8 @@ from .dictionary import Substitution
 PIECES = re.compile(r"[^\W_]+|[\W_]", re.S)
 #: Characters of an owner's texts in one slice, at least; no owner has more than MOST_SLICES. Rows of a batch.
 SLICE, MOST_SLICES, ROWS = 1 << 26, 1000, 50_000
+#: Bytes of a batch, but for one row that is larger: as Arrow holds it, and of it what is turned into Python's much larger values at once.
+BATCH_BYTES, BYTES_AT_ONCE = 2 << 20, 1 << 18
 #: The owner of entries that are everyone's.
 SHARED = ""
 
@@ -76,25 +80,44 @@ def spliced(text: str, spans: Iterable[dict]) -> str:
 
 
 def in_batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows as Arrow batches of a bounded number."""
+    """Rows as Arrow batches of a bounded number and size."""
     held: list[tuple] = []
+    size = 0
     for row in rows:
         held.append(row)
-        if len(held) >= ROWS:
+        size += sum(len(x) if isinstance(x, str) else 4 for x in row)
+        if len(held) >= ROWS or size >= BATCH_BYTES:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
-            held = []
+            held, size = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
 
+def in_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``BYTES_AT_ONCE``."""
+    step = max(1, batch.num_rows * BYTES_AT_ONCE // max(1, batch.nbytes))
+    return (batch.slice(at, step) for at in range(0, batch.num_rows, step))
+
+
+def _give_back() -> None:
+    """Memory that Arrow and the C library hold free goes back to the system: workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def flat_mapped(df: DataFrame, rows: Callable[..., Iterable[tuple]], **schema: str) -> DataFrame:
     """The rows that ``rows`` makes of each row's values, as columns of these types (string or int)."""
     arrow = pa.schema([(n, pa.string() if t == "string" else pa.int32()) for n, t in schema.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield from in_batches((out for row in zip(*(c.to_pylist() for c in b.columns)) for out in rows(*row)), arrow)
+        try:
+            for b in batches:
+                yield from in_batches((out for part in in_slices(b) for row in zip(*(c.to_pylist() for c in part.columns)) for out in rows(*row)), arrow)
+        finally:
+            _give_back()
 
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)  # the value that all operators set
     return df.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in schema.items()))
 
 

@@ -53,6 +53,19 @@ def test_stems_of_equal_beginnings_do_not_meet(spark):
     assert time.time() - start < 30
 
 
+def test_texts_become_values_in_bounded_slices():
+    import pyarrow as pa
+
+    from talkframe.operators import lexicons as lx
+
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * 1000] * 10_000, "n": list(range(10_000))})
+    parts = list(lx.in_slices(batch))
+    assert pa.Table.from_batches(parts).combine_chunks().to_batches()[0].equals(batch)
+    assert max(p.num_rows for p in parts) <= lx.BYTES_AT_ONCE // 1000
+    out = list(lx.in_batches((("y" * 5000, 1) for _ in range(2000)), pa.schema([("t", pa.string()), ("n", pa.int32())])))
+    assert sum(b.num_rows for b in out) == 2000 and max(b.nbytes for b in out) < 2 * lx.BATCH_BYTES
+
+
 def test_clean_chain_leaves_recognised_loops(spark, tmp_path):
     from talkframe.plans import QUERIES
 
