@@ -73,3 +73,15 @@ def test_clean_chain_leaves_recognised_loops(spark, tmp_path):
     spark.createDataFrame([(1, 1, "user", said)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     row = QUERIES["clean_chain"](spark, str(tmp_path)).first()
     assert (row["text"], row["was_corrected"]) == (said, False)
+
+
+def test_rounds_of_components_are_few_stages(spark):
+    from talkframe.llm.graph import components
+
+    chain = spark.range(64).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    spark.sparkContext.setJobGroup("few stages", "")
+    try:
+        assert components(chain).where("root = 0").count() == 65
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few stages")) < 40
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
