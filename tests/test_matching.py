@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from talkframe.functions.similarity import SHARED_BESIDES, jaro_winkler_of, metaphone_of, similarity_keys
 from talkframe.operators import matching as ma
@@ -177,3 +178,28 @@ def test_the_whole_chain_of_many_users_is_one_call_a_user(spark):
             assert r == all_[r["k"]]
     assert all_[1]["text"] == "All" and all_[13]["text"] == "B." and all_[25]["text"] == "All" and all_[2]["text"] == "my sig."
     assert all_[6]["symbol_refs"] == {"widgets": "lib/widgets/"} or set(all_[6]["symbol_refs"].values()) == {"lib/widgets/", "ui/widgets/"}
+
+
+def test_keys_of_words_are_not_broadcast(spark):
+    """Spark judges a side by its words, before each becomes many keys."""
+    words = spark.createDataFrame([(w,) for w in words_of(random.Random(8), 60, "abcdefgh", 9)], "a string").selectExpr("a", "a AS b")
+    pairs = ma.similar_pairs(words, words, "a", "b", 0.85)
+    assert pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_words_of_texts_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """Spark judges them by the file that the texts are in, however short it is for them."""
+    plans, checkpointed = [], ma.checkpointed
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpointed(df)
+
+    monkeypatch.setattr(ma, "checkpointed", seen)
+    spark.range(2000).select(F.col("id").alias("k"), F.lit("the paste servis and more").alias("text")).write.parquet(f"{tmp_path}/texts")
+    found = ma.phonetic_matches(spark.read.parquet(f"{tmp_path}/texts"), spark.createDataFrame([("PasteService",)], "symbol_name string"), "k")
+    assert found.count() == 2000
+    assert any("posexplode(transform(filter(split(text" in p and "SortMergeJoin [_word" in p for p in plans)
+    assert not any("BroadcastHashJoin [_word" in p for p in plans)
